@@ -293,11 +293,16 @@ def _q_folds(spark, sf):
 
 def _q_compare(spark, sf):
     res = V.compare_models(fixture(spark, sf, "fx_reg"), "y",
-                           models=["lm", "glmnet", "lasso", "earth", "svmRadial", "gbm", "rf", "tree"],
+                           models=["lm", "glmnet", "lasso", "earth", "svmRadial", "rf", "tree"],
                            cv="cv", k=5, num_trees=20)
     return res.metrics
 
 
+def _q_boosting(spark, sf):
+    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["gbm", "xgbTree"], cv="none")
+    return res.metrics
+
+
 def _q_predict(spark, sf):
     reg = fixture(spark, sf, "fx_reg")
     res = V.compare_models(reg, "y", models=["lm", "lasso"], cv="cv", k=5)
@@ -394,6 +399,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mean_model_fx_reg": _q_mean_model,
         "fold_sizes_fx_reg": _q_folds,
         "compare_models_fx_reg": _q_compare,
+        "boosting_fx_reg": _q_boosting,
         "predict_fx_reg": _q_predict,
         "variable_importance_fx_reg": _q_importance,
         "metrics_long_fx_reg": _q_metrics_long,

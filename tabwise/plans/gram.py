@@ -17,14 +17,20 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import as_double
 
 
-def gram_by_group(df: DataFrame, features: list[str], label: str, group: Column | None = None) -> dict:
-    """``{group: ZᵀZ}`` with Z = [1 | features | label]; rows with a null are skipped."""
+def gram_by_group(df: DataFrame, features: list[str], label: str, group: Column | None = None,
+                  feature_fn=None, n_out: int | None = None) -> dict:
+    """``{group: ZᵀZ}`` with Z = [1 | features | label]; rows with a null are skipped.
+
+    ``feature_fn`` maps a batch's (rows x p) feature block to (rows x n_out)
+    derived features (random Fourier features, hinge functions) inside the
+    task, so derived columns never travel through Arrow or the shuffle.
+    """
     p = len(features)
     cols = [as_double(c).alias(f"_x{i}") for i, c in enumerate(features)] + [as_double(label).alias("_y")]
     g = (group if group is not None else F.lit(0)).cast("long").alias("_g")
     base = df.select(g, *cols).na.drop("any")
-    names = [f"_x{i}" for i in range(p)] + ["_y"]
-    d = p + 2
+    xnames = [f"_x{i}" for i in range(p)]
+    d = (n_out if feature_fn is not None else p) + 2
     iu = np.triu_indices(d)
 
     def partial(batches):
@@ -34,9 +40,13 @@ def gram_by_group(df: DataFrame, features: list[str], label: str, group: Column
             if pdf.empty:
                 continue
             for gv, part in pdf.groupby("_g", sort=False):
+                x = part[xnames].to_numpy(dtype=float)
+                if feature_fn is not None:
+                    x = feature_fn(x)
                 z = np.empty((len(part), d))
                 z[:, 0] = 1.0
-                z[:, 1:] = part[names].to_numpy(dtype=float)
+                z[:, 1:d - 1] = x
+                z[:, d - 1] = part["_y"].to_numpy(dtype=float)
                 m = z.T @ z
                 yield pd.DataFrame({"_g": np.full(len(iu[0]), gv, dtype="int64"),
                                     "i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "v": m[iu]})
@@ -88,27 +98,34 @@ def fit_ols(mo: Moments):
     return b0, beta, se, rank
 
 
-def fit_elastic_net(mo: Moments, lam: float, alpha: float, tol: float = 1e-10, max_iter: int = 100_000):
+def fit_elastic_net(mo: Moments, lam: float, alpha: float, tol: float = 1e-9, max_iter: int = 10_000,
+                    start: np.ndarray | None = None):
     """Minimise 1/(2n) Σ(y - b0 - xβ)² + lam * ((1-alpha)/2 |β|² + alpha |β|₁),
-    intercept unpenalised, by coordinate descent on the covariance form."""
+    intercept unpenalised, by coordinate descent on the covariance form
+    (``start`` warm-starts along a lambda path)."""
     p = mo.p
-    beta = np.zeros(p)
     c, cc = mo.cxx, mo.cxy
     l1, l2 = lam * alpha, lam * (1 - alpha)
-    if alpha == 0.0:
-        beta = np.linalg.solve(c + l2 * np.eye(p), cc) if p else beta
+    if alpha == 0.0 or p == 0:
+        beta = np.linalg.lstsq(c + l2 * np.eye(p), cc, rcond=None)[0] if p else np.zeros(0)
         return mo.my - mo.mx @ beta, beta
+    beta = np.zeros(p) if start is None else start.copy()
+    diag = np.diag(c) + l2
+    grad = cc - c @ beta  # running c_j - Σ_k C_jk β_k
+    scale = max(float(np.max(np.abs(cc))), 1e-12)
     for _ in range(max_iter):
         delta = 0.0
         for j in range(p):
-            denom = c[j, j] + l2
-            if denom <= 0:
+            if diag[j] <= 0:
                 continue
-            r = cc[j] - c[j] @ beta + c[j, j] * beta[j]
-            new = np.sign(r) * max(abs(r) - l1, 0.0) / denom
-            delta = max(delta, abs(new - beta[j]))
-            beta[j] = new
-        if delta < tol:
+            r = grad[j] + c[j, j] * beta[j]
+            new = np.sign(r) * max(abs(r) - l1, 0.0) / diag[j]
+            step = new - beta[j]
+            if step != 0.0:
+                grad -= c[:, j] * step
+                beta[j] = new
+                delta = max(delta, abs(step))
+        if delta <= tol * scale:
             break
     return mo.my - mo.mx @ beta, beta
 

@@ -85,27 +85,23 @@ def fold_sizes(df: DataFrame, k: int, repeats: int = 1) -> DataFrame:
 
 # ---------------------------------------------------------------- linear family
 
-def _grams(prepared: DataFrame, features: list[str], label: str, k: int, reps: int):
-    """Total moments and per-(repeat, fold) matrices from one pass."""
+def _grams(prepared: DataFrame, features: list[str], label: str, k: int, reps: int, feature_fn=None,
+           n_out: int | None = None):
+    """Total and per-(repeat, fold) ZᵀZ from one pass. Folds hash the prepared
+    row; repeats share the pass by exploding each row once per repeat (<= 10)."""
     if k == 0:
-        g = gram_by_group(prepared, features, label)
+        g = gram_by_group(prepared, features, label, feature_fn=feature_fn, n_out=n_out)
         return g.get(0), {}
     cols = prepared.columns
-    group = F.lit(0)
-    # group id = rep * k + fold; one pass per repeat would rescan, so all repeats share
-    # the pass by exploding the row once per repeat (repeats <= 10)
     if reps == 1:
-        g = gram_by_group(prepared, features, label, fold_column(cols, k, 0))
+        g = gram_by_group(prepared, features, label, fold_column(cols, k, 0), feature_fn, n_out)
     else:
         rep_ids = F.explode(F.array(*[F.lit(r) for r in range(reps)])).alias("_rep")
         exploded = prepared.select("*", rep_ids)
         fold = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols], F.col("_rep")), F.lit(k))
-        group = F.col("_rep") * k + fold
-        g = gram_by_group(exploded, features, label, group)
-    per = {}
+        g = gram_by_group(exploded, features, label, F.col("_rep") * k + fold, feature_fn, n_out)
+    per = {(gid // k, gid % k): m for gid, m in g.items()}
     total = None
-    for gid, m in g.items():
-        per[(gid // k, gid % k)] = m
     for (r, _), m in per.items():
         if r == 0:
             total = m.copy() if total is None else total + m
@@ -113,22 +109,25 @@ def _grams(prepared: DataFrame, features: list[str], label: str, k: int, reps: i
 
 
 def _cv_select(fit_fn, grid, total, per, k, reps):
-    """Mean over resamples of the held-out RMSE per grid point; ties -> first."""
+    """Mean over resamples of the held-out RMSE per grid point; ties -> first.
+    ``fit_fn(moments, g, start)`` may warm-start from the previous grid point."""
     if not per or len(grid) == 1:
         return grid[0], None
-    scores = []
-    for g in grid:
-        rmses = []
-        for (r, f), m in per.items():
-            train = Moments(total - m)
-            hold = Moments(m)
-            if hold.n == 0 or train.n < 2:
-                continue
-            b0, beta = fit_fn(train, g)
-            rmses.append(math.sqrt(hold.sse(b0, beta) / hold.n))
-        scores.append(float(np.mean(rmses)) if rmses else float("inf"))
-    best = int(np.argmin(scores))
-    return grid[best], scores[best]
+    folds = [(Moments(total - m), Moments(m)) for m in per.values()]
+    scores = np.zeros(len(grid))
+    counts = np.zeros(len(grid))
+    for train, hold in folds:
+        if hold.n == 0 or train.n < 2:
+            continue
+        start = None
+        for gi in sorted(range(len(grid)), key=lambda i: -(grid[i] or 0)):
+            b0, beta = fit_fn(train, grid[gi], start)
+            start = beta
+            scores[gi] += math.sqrt(hold.sse(b0, beta) / hold.n)
+            counts[gi] += 1
+    means = np.where(counts > 0, scores / np.maximum(counts, 1), np.inf)
+    best = int(np.argmin(means))
+    return grid[best], float(means[best])
 
 
 def fit_linear(prepared, features, label, name="lm", cv="cv", k=CV_DEFAULT_K, repeats=CV_DEFAULT_REPEATS,
@@ -141,12 +140,13 @@ def fit_linear(prepared, features, label, name="lm", cv="cv", k=CV_DEFAULT_K, re
         return Fitted("mean", features, expr=F.lit(float(mo.my)), params={"mean": float(mo.my)})
     if name == "lm":
         b0, beta, se, rank = fit_ols(mo)
-        _, cv_score = _cv_select(lambda m, _: fit_ols(m)[:2], [None, None], total, per, kk, reps) if per else (None, None)
+        _, cv_score = _cv_select(lambda m, _g, _s: fit_ols(m)[:2], [None, None], total, per, kk, reps) \
+            if per else (None, None)
         t = {f: (float(abs(b / s)) if s and not np.isnan(s) and s > 0 else None) for f, b, s in zip(features, beta, se)}
         return Fitted("lm", features, expr=linear_expr(features, b0, beta), params={"intercept": float(b0), "rank": rank},
                       coef=dict(zip(features, map(float, beta))), importance=t, cv_rmse=cv_score)
     alpha = {"glmnet": 0.0, "ridge": 0.0, "lasso": 1.0}[name]
-    fit_fn = lambda m, lam: fit_elastic_net(m, lam, alpha)
+    fit_fn = lambda m, lam, start=None: fit_elastic_net(m, lam, alpha, start=start)
     if per:
         lam, score = _cv_select(fit_fn, list(LAMBDA_GRID), total, per, kk, reps)
     else:
@@ -162,30 +162,31 @@ def fit_rbf_ridge(prepared, features, label, sigma=0.1, components=100, seed=42,
                   k=CV_DEFAULT_K, repeats=CV_DEFAULT_REPEATS) -> Fitted:
     """M7 re-aimed: random Fourier features for the kernel exp(-sigma |x-x'|^2)
     (w ~ N(0, 2 sigma I), b ~ U(0, 2 pi)), then cross-validated ridge on them.
-    Squared loss, not the epsilon-insensitive loss of an SVR."""
+    Squared loss, not the epsilon-insensitive loss of an SVR. The features are
+    computed with numpy inside the Gram pass; scoring is a column expression."""
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * sigma), size=(components, len(features)))
     b = rng.uniform(0, 2 * math.pi, size=components)
     scale = math.sqrt(2.0 / components)
-    zexprs = []
+
+    def rff(x):
+        return scale * np.cos(x @ w.T + b)
+
+    kk, reps = fold_plan(cv, k, repeats)
+    total, per = _grams(prepared, features, label, kk, reps, rff, components)
+    mo = Moments(total)
+    fit_fn = lambda m, lam, start=None: fit_elastic_net(m, lam, 0.0)
+    lam, score = _cv_select(fit_fn, list(LAMBDA_GRID), total, per, kk, reps) if per else (LAMBDA_GRID[0], None)
+    b0, beta = fit_fn(mo, lam)
+    expr = F.lit(float(b0))
     for j in range(components):
         dot = F.lit(float(b[j]))
         for i, f in enumerate(features):
             dot = dot + F.lit(float(w[j, i])) * F.col(f"`{f}`")
-        zexprs.append((F.lit(scale) * F.cos(dot)).alias(f"_z{j}"))
-    znames = [f"_z{j}" for j in range(components)]
-    zdf = prepared.select(F.col(f"`{label}`"), *zexprs)
-    inner = fit_linear(zdf, znames, label, "glmnet", cv, k, repeats)
-    expr = F.lit(float(inner.params["intercept"]))
-    for j, zn in enumerate(znames):
-        beta = inner.coef[zn]
-        dot = F.lit(float(b[j]))
-        for i, f in enumerate(features):
-            dot = dot + F.lit(float(w[j, i])) * F.col(f"`{f}`")
-        expr = expr + F.lit(float(beta)) * F.lit(scale) * F.cos(dot)
+        expr = expr + F.lit(float(beta[j] * scale)) * F.cos(dot)
     return Fitted("svmRadial", features, expr=expr,
-                  params={"sigma": sigma, "components": components, "lambda": inner.params["lambda"]},
-                  cv_rmse=inner.cv_rmse)
+                  params={"sigma": sigma, "components": components, "lambda": lam, "intercept": float(b0)},
+                  cv_rmse=score)
 
 
 def fit_hinge(prepared, features, label, max_terms=10, knots=9, penalty=2.0) -> Fitted:
@@ -197,18 +198,19 @@ def fit_hinge(prepared, features, label, max_terms=10, knots=9, penalty=2.0) ->
     probs = [(i + 1) / (knots + 1) for i in range(knots)]
     row = prepared.agg(*[F.percentile_approx(F.col(f"`{f}`"), probs, 1000).alias(f"_k{i}")
                          for i, f in enumerate(features)]).first()
-    cands, exprs = [], []
+    cands = []
     for i, f in enumerate(features):
-        x = F.col(f"`{f}`")
         for t in sorted(set(row[f"_k{i}"] or [])):
             for side in (1, -1):
-                name = f"_h{len(cands)}"
-                e = F.greatest(F.lit(0.0), (x - F.lit(float(t))) * F.lit(float(side)))
-                cands.append((f, float(t), side))
-                exprs.append(e.alias(name))
-    names = [f"_h{j}" for j in range(len(cands))]
-    hdf = prepared.select(F.col(f"`{label}`"), *exprs)
-    m = gram_by_group(hdf, names, label)[0]
+                cands.append((i, f, float(t), side))
+    col_idx = np.array([c[0] for c in cands], dtype=int)
+    knots = np.array([c[2] for c in cands])
+    sides = np.array([c[3] for c in cands], dtype=float)
+
+    def hinges(x):
+        return np.maximum(0.0, (x[:, col_idx] - knots) * sides)
+
+    m = gram_by_group(prepared, features, label, feature_fn=hinges, n_out=len(cands))[0]
     n = m[0, 0]
     yy = m[-1, -1]
 
@@ -250,14 +252,14 @@ def fit_hinge(prepared, features, label, max_terms=10, knots=9, penalty=2.0) ->
     expr = F.lit(float(coef[0]))
     terms = []
     for c, j in zip(coef[1:], best_sel):
-        f, t, side = cands[j]
+        _, f, t, side = cands[j]
         x = F.col(f"`{f}`")
         expr = expr + F.lit(float(c)) * F.greatest(F.lit(0.0), (x - F.lit(t)) * F.lit(float(side)))
         terms.append((f, t, side, float(c)))
     imp: dict = {}
     for f, _, _, c in terms:
         imp[f] = imp.get(f, 0.0) + abs(c)
-    return Fitted("earth", features, expr=expr, params={"terms": len(best_sel) + 1, "gcv": gcv(best_sel)},
+    return Fitted("earth", features, expr=expr, params={"terms": len(best_sel) + 1, "gcv": float(gcv(best_sel))},
                   coef={f"h({f},{t},{s})": c for f, t, s, c in terms}, importance=imp)
 
 
