@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation that is NULL (not an ANSI divide-by-zero error) when
-    either side is constant or has fewer than two rows."""
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    """Pearson correlation over the rows where both sides are present; NULL (not
+    an ANSI divide-by-zero error) when either side is constant there or fewer
+    than two rows remain."""
+    a2 = F.when(b.isNotNull(), a)
+    b2 = F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
 
 
 def stack_rows(one: DataFrame, pairs, name_cols, value_col: str) -> DataFrame:
