@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.functions.normal import A, B, C, D, P_LOW
+from tabwise.functions.normal import A, B, C, D, P_LOW, qnorm
 from tabwise.functions.stats import rounded
 from tabwise.operators import clean as K
 from tabwise.operators import plotdata as P
@@ -309,6 +309,21 @@ def _q_predict(spark, sf):
     return res.predict(reg.drop("y"), keep=["l_quantity", "l_returnflag"])
 
 
+def _q_best(spark, sf):
+    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["glmnet", "lm", "lasso"], cv="cv", k=5)
+    return V.best_model(res.metrics, ["glmnet", "lm", "lasso"])
+
+
+def _q_summary_model(spark, sf):
+    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["lasso"], cv="repeatedcv", k=5, repeats=3)
+    return V.model_summary(res.fitted["lasso"])
+
+
+def _q_qq_line(spark, sf):
+    line = P.qq_line(_t(spark, sf, "events"), "value")
+    return rounded(spark.createDataFrame([(line["slope"], line["intercept"])], "slope double, intercept double"))
+
+
 def _q_importance(spark, sf):
     res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["lm"], cv="none")
     return V.variable_importance(res.fitted["lm"])
@@ -401,6 +416,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "compare_models_fx_reg": _q_compare,
         "boosting_fx_reg": _q_boosting,
         "predict_fx_reg": _q_predict,
+        "best_model_fx_reg": _q_best,
+        "model_summary_fx_reg": _q_summary_model,
+        "qq_line_events": _q_qq_line,
         "variable_importance_fx_reg": _q_importance,
         "metrics_long_fx_reg": _q_metrics_long,
         "classify_returnflag": _q_classify,
@@ -667,6 +685,11 @@ def oracle_sql() -> dict[str, str]:
         "SELECT CAST(rn AS BIGINT) AS position, " + _r(_sql_qnorm(p)) + " AS theoretical, " + _r("value")
         + " AS sample FROM (SELECT value, row_number() OVER (ORDER BY value) AS rn, count(*) OVER () AS cnt "
         "FROM events WHERE value IS NOT NULL)")
+    z1, z3 = (f"CAST('{qnorm(p)!r}' AS DOUBLE)" for p in (0.25, 0.75))
+    q["qq_line_events"] = (
+        f"SELECT {_r(f'(b - a) / ({z3} - {z1})')} AS slope, "
+        f"{_r(f'a - (b - a) / ({z3} - {z1}) * {z1}')} AS intercept FROM "
+        "(SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)")
     q["one_hot_lineitem"] = (
         "SELECT l_orderkey, l_linenumber, "
         + ", ".join(f"CASE WHEN l_returnflag = '{v}' THEN 1.0 ELSE 0.0 END AS l_returnflag_{v}" for v in "ANR") + ", "

@@ -40,3 +40,67 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
+
+
+def correlation_values(df: DataFrame, cols: list[str], complete: bool = True) -> dict:
+    """Pearson correlations of every pair of ``cols`` as ``{(a, b): r or None}``.
+
+    ``complete=True`` uses only rows present in *all* columns (R's
+    use="complete.obs"); ``False`` uses, per pair, the rows where both are
+    present. Two scans: column means (the shift that keeps the sums
+    numerically stable), then one Arrow pass where numpy forms, per batch,
+    four p x p sums (pair counts, masked sums, masked squares, cross
+    products); the partial matrices are summed by a shuffle of p^2 keys.
+    NULL for a constant column or fewer than two rows. Only p^2 numbers
+    reach the driver.
+    """
+    import numpy as np
+
+    from .quantiles import as_double
+
+    p = len(cols)
+    x = df.select([as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    if complete:
+        x = x.na.drop("any")
+    srow = x.agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(p)]).first()
+    shift = np.array([srow[f"_m{i}"] if srow[f"_m{i}"] is not None else 0.0 for i in range(p)])
+    names = [f"_x{i}" for i in range(p)]
+    ii, jj = np.meshgrid(np.arange(p), np.arange(p), indexing="ij")
+    ii, jj = ii.ravel().astype("int32"), jj.ravel().astype("int32")
+
+    def partial(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            v = pdf[names].to_numpy(dtype=float) - shift
+            m = (~np.isnan(v)).astype(float)
+            v0 = np.nan_to_num(v, nan=0.0)
+            mats = (m.T @ m, v0.T @ m, (v0 * v0).T @ m, v0.T @ v0)
+            for k, mat in enumerate(mats):
+                yield pd.DataFrame({"k": np.full(p * p, k, dtype="int32"), "i": ii, "j": jj, "v": mat.ravel()})
+
+    rows = (x.mapInPandas(partial, "k int, i int, j int, v double")
+            .groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect())
+    n, s, q, c = (np.zeros((p, p)) for _ in range(4))
+    for r in rows:
+        (n, s, q, c)[r["k"]][r["i"], r["j"]] = r["v"]
+    out = {}
+    for a in range(p):
+        for b in range(p):
+            nab = n[a, b]
+            if nab < 2:
+                out[(cols[a], cols[b])] = None
+                continue
+            sab, sba = s[a, b], s[b, a]
+            cov = c[a, b] - sab * sba / nab
+            va = q[a, b] - sab * sab / nab
+            vb = q[b, a] - sba * sba / nab
+            tiny = 1e-12
+            if va <= tiny * max(q[a, b], 1e-300) or vb <= tiny * max(q[b, a], 1e-300):
+                out[(cols[a], cols[b])] = None
+            else:
+                r = cov / np.sqrt(va * vb)
+                out[(cols[a], cols[b])] = float(min(1.0, max(-1.0, r))) if a != b else 1.0
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import qnorm, qnorm_expr
 from ..functions.positions import with_positions
 from ..functions.quantiles import as_double, exact_quantiles
-from ..functions.stats import safe_corr, stack_rows
+from ..functions.stats import correlation_values, stack_rows
 from .schema import numeric_columns
 
 
@@ -233,11 +233,9 @@ def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     cols = numeric_columns(df)[:5] if cols is None else list(cols)
     if len(cols) < 2:
         raise ValueError("select at least 2 numeric columns")
-    complete = df.select([as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)]).na.drop("any")
-    pairs = [((cols[i], cols[j]), safe_corr(F.col(f"_x{i}"), F.col(f"_x{j}")))
-             for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    one = complete.agg(*[e.alias(f"_r{k}") for k, (_, e) in enumerate(pairs)])
-    return stack_rows(one, [(key, F.col(f"_r{k}")) for k, (key, _) in enumerate(pairs)], ("var1", "var2"), "corr")
+    vals = correlation_values(df, cols, complete=True)
+    rows = [(cols[i], cols[j], vals[(cols[i], cols[j])]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, corr double")
 
 
 def pair_correlations(df: DataFrame, max_cols: int = 8) -> DataFrame:
@@ -246,12 +244,9 @@ def pair_correlations(df: DataFrame, max_cols: int = 8) -> DataFrame:
     cols = numeric_columns(df)[:max_cols]
     if len(cols) < 2:
         raise ValueError("need at least 2 numeric columns for a pair plot")
-    pairs = []
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            pairs.append(((cols[i], cols[j]), safe_corr(as_double(cols[i]), as_double(cols[j]))))
-    one = df.agg(*[e.alias(f"_r{k}") for k, (_, e) in enumerate(pairs)])
-    return stack_rows(one, [(key, F.col(f"_r{k}")) for k, (key, _) in enumerate(pairs)], ("var1", "var2"), "corr")
+    vals = correlation_values(df, cols, complete=False)
+    rows = [(cols[i], cols[j], vals[(cols[i], cols[j])]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, corr double")
 
 
 def density_curve(df: DataFrame, col: str, points: int = 512, grid_bins: int = 2048, **kw) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import as_double, exact_quantiles
-from ..functions.stats import safe_corr, stack_rows
+from ..functions.stats import correlation_values, stack_rows
 from .schema import numeric_columns
 
 
@@ -192,44 +192,17 @@ def near_zero_variance(df: DataFrame, freq_cut: float = 95 / 5, unique_cut: floa
 
 def correlation_matrix_values(df: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | None]:
     """Pearson correlations over rows complete in *all* ``cols`` (R use="complete.obs").
-
-    One aggregate of ``covar_samp``/``stddev_samp`` per pair; a constant column
-    gives NULL (not an error). Only p x p numbers reach the driver.
-    """
-    complete = df.select([as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)]).na.drop("any")
-    aggs = []
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            aggs.append(safe_corr(F.col(f"_x{i}"), F.col(f"_x{j}")).alias(f"_r{i}_{j}"))
-    out: dict[tuple[str, str], float | None] = {}
-    row = complete.agg(*aggs).first() if aggs else None
-    for i, a in enumerate(cols):
-        out[(a, a)] = 1.0
-        for j in range(i + 1, len(cols)):
-            v = row[f"_r{i}_{j}"]
-            out[(a, cols[j])] = out[(cols[j], a)] = v
-    return out
+    Only p x p numbers reach the driver."""
+    return correlation_values(df, cols, complete=True)
 
 
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Full correlation matrix in long form (col_a, col_b, corr), complete rows only."""
+    """Full correlation matrix in long form (col_a, col_b, corr), complete rows only;
+    a constant column correlates as NULL (its diagonal too)."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    complete = df.select([as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)]).na.drop("any")
-    aggs = [
-        safe_corr(F.col(f"_x{i}"), F.col(f"_x{j}")).alias(f"_r{i}_{j}")
-        for i in range(len(cols)) for j in range(i + 1, len(cols))
-    ]
-    sds = [F.stddev_samp(F.col(f"_x{i}")).alias(f"_s{i}") for i in range(len(cols))]
-    one = complete.agg(*aggs, *sds)
-    pairs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                pairs.append(((a, b), F.when(F.col(f"_s{i}") > 0, F.lit(1.0))))
-            else:
-                lo, hi = min(i, j), max(i, j)
-                pairs.append(((a, b), F.col(f"_r{lo}_{hi}")))
-    return stack_rows(one, pairs, ("col_a", "col_b"), "corr")
+    vals = correlation_values(df, cols, complete=True)
+    rows = [(a, b, vals[(a, b)]) for a in cols for b in cols]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def find_correlated(matrix: dict[tuple[str, str], float | None], names: list[str], cutoff: float = 0.9,

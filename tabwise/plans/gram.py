@@ -83,18 +83,43 @@ class Moments:
         return float(max(w @ self.m @ w, 0.0))
 
 
+def independent_columns(cxx: np.ndarray, tol: float = 1e-9) -> list[int]:
+    """Columns kept in order, skipping any that is (numerically) a linear
+    combination of those before it, as a pivot-free QR would alias them."""
+    keep: list[int] = []
+    for j in range(cxx.shape[0]):
+        vjj = cxx[j, j]
+        if vjj <= 0:
+            continue
+        if keep:
+            ckk = cxx[np.ix_(keep, keep)]
+            ckj = cxx[keep, j]
+            resid = vjj - ckj @ np.linalg.solve(ckk, ckj)
+        else:
+            resid = vjj
+        if resid > tol * vjj:
+            keep.append(j)
+    return keep
+
+
 def fit_ols(mo: Moments):
-    """Least squares with intercept; a rank-deficient design gets the minimum-norm
-    solution (fitted values are unique either way). Returns (b0, beta, se, rank)."""
-    beta, *_ = np.linalg.lstsq(mo.cxx, mo.cxy, rcond=None)
-    rank = int(np.linalg.matrix_rank(mo.cxx)) if mo.p else 0
+    """Least squares with intercept. Aliased columns (exact linear combinations
+    of earlier ones, e.g. the last level of a full one-hot set) get coefficient
+    0 and no standard error, as ``lm`` reports NA for them.
+    Returns (b0, beta, se, rank)."""
+    keep = independent_columns(mo.cxx) if mo.p else []
+    beta = np.zeros(mo.p)
+    se = np.full(mo.p, np.nan)
+    if keep:
+        ckk = mo.cxx[np.ix_(keep, keep)]
+        beta[keep] = np.linalg.solve(ckk, mo.cxy[keep])
     b0 = mo.my - mo.mx @ beta
+    rank = len(keep)
     dof = mo.n - rank - 1
-    se = np.full(mo.p, np.nan)
-    if dof > 0 and mo.p and rank == mo.p:
+    if dof > 0 and keep:
         sigma2 = mo.sse(b0, beta) / dof
-        inv = np.linalg.inv(mo.cxx * mo.n)
-        se = np.sqrt(np.maximum(np.diag(inv) * sigma2, 0.0))
+        inv = np.linalg.inv(mo.cxx[np.ix_(keep, keep)] * mo.n)
+        se[keep] = np.sqrt(np.maximum(np.diag(inv) * sigma2, 0.0))
     return b0, beta, se, rank
 
 

@@ -13,6 +13,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,17 +179,25 @@ def fit_rbf_ridge(prepared, features, label, sigma=0.1, components=100, seed=42,
     fit_fn = lambda m, lam, start=None: fit_elastic_net(m, lam, 0.0)
     lam, score = _cv_select(fit_fn, list(LAMBDA_GRID), total, per, kk, reps) if per else (LAMBDA_GRID[0], None)
     b0, beta = fit_fn(mo, lam)
-    expr = F.lit(float(b0))
-    for j in range(components):
-        dot = F.lit(float(b[j]))
-        for i, f in enumerate(features):
-            dot = dot + F.lit(float(w[j, i])) * F.col(f"`{f}`")
-        expr = expr + F.lit(float(beta[j] * scale)) * F.cos(dot)
-    return Fitted("svmRadial", features, expr=expr,
+    return Fitted("svmRadial", features, expr=rff_score_expr(features, w, b, beta * scale, b0),
                   params={"sigma": sigma, "components": components, "lambda": lam, "intercept": float(b0)},
                   cv_rmse=score)
 
 
+def rff_score_expr(features: list[str], w: np.ndarray, b: np.ndarray, coef: np.ndarray, b0: float) -> Column:
+    """b0 + Σ_j coef_j cos(w_j · x + b_j), scored per Arrow batch with numpy.
+
+    A components x features sum of cosines is too large for one generated
+    method, so Spark would interpret it row by row; the pandas UDF evaluates
+    it as two matrix products per batch instead."""
+    @F.pandas_udf("double")
+    def score(x: pd.DataFrame) -> pd.Series:
+        v = x.to_numpy(dtype=float)
+        return pd.Series(b0 + np.cos(v @ w.T + b) @ coef)
+
+    return score(F.struct(*[as_double(f).alias(f"_x{i}") for i, f in enumerate(features)]))
+
+
 def fit_hinge(prepared, features, label, max_terms=10, knots=9, penalty=2.0) -> Fitted:
     """M8 re-aimed (MARS-like, degree 1): candidate hinge pairs max(0, x - t),
     max(0, t - x) at ``knots`` quantile knots per feature; forward selection of
