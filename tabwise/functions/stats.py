@@ -71,15 +71,18 @@ def correlation_values(df: DataFrame, cols: list[str], complete: bool = True) ->
     def partial(batches):
         import pandas as pd
 
+        acc = None  # summed over the partition's batches, emitted once
         for pdf in batches:
             if pdf.empty:
                 continue
             v = pdf[names].to_numpy(dtype=float) - shift
             m = (~np.isnan(v)).astype(float)
             v0 = np.nan_to_num(v, nan=0.0)
-            mats = (m.T @ m, v0.T @ m, (v0 * v0).T @ m, v0.T @ v0)
-            for k, mat in enumerate(mats):
-                yield pd.DataFrame({"k": np.full(p * p, k, dtype="int32"), "i": ii, "j": jj, "v": mat.ravel()})
+            mats = np.stack([m.T @ m, v0.T @ m, (v0 * v0).T @ m, v0.T @ v0])
+            acc = mats if acc is None else acc + mats
+        if acc is not None:
+            for k in range(4):
+                yield pd.DataFrame({"k": np.full(p * p, k, dtype="int32"), "i": ii, "j": jj, "v": acc[k].ravel()})
 
     rows = (x.mapInPandas(partial, "k int, i int, j int, v double")
             .groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect())

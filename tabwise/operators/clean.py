@@ -63,18 +63,25 @@ def drop_rows(df: DataFrame, positions, order_by: list[str]) -> DataFrame:
     return positioned.withColumn("_row", F.col("_row") + 1).join(drop, "_row", "left_anti").drop("_row")
 
 
+def present(df: DataFrame, c: str) -> Column:
+    """``c`` is neither null nor NaN, written so that IS NOT NULL reaches the Parquet scan."""
+    cond = _q(c).isNotNull()
+    if df.schema[c].dataType.simpleString() in ("double", "float"):
+        cond = cond & ~F.isnan(_q(c))
+    return cond
+
+
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
-    """Rows whose target is not null."""
-    return df.where(_q(target).isNotNull())
+    """Rows whose target is present."""
+    return df.where(present(df, target))
 
 
 def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Drop any row with a null (NaN counts as null) in ``cols`` (default all)."""
     cols = df.columns if cols is None else list(cols)
     cond = F.lit(True)
-    num = set(numeric_columns(df))
     for c in cols:
-        cond = cond & (as_double(c).isNotNull() if c in num else _q(c).isNotNull())
+        cond = cond & present(df, c)
     return df.where(cond)
 
 

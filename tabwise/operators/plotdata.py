@@ -282,12 +282,26 @@ def density_curve(df: DataFrame, col: str, points: int = 512, grid_bins: int = 2
     return spark.createDataFrame([(float(u), float(v)) for u, v in zip(xs, dens)], "x double, density double")
 
 
-def plot_sample(df: DataFrame, n: int = 10_000, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows, chosen reproducibly by a seeded hash of the row
-    (a top-n per partition merged on the driver side of a TakeOrdered, never a
-    full sort). Tables with at most ``n`` rows come back whole."""
+def plot_sample(df: DataFrame, n: int = 10_000, seed: int = 0, oversample: float = 3.0) -> DataFrame:
+    """At most ``n`` rows, chosen reproducibly by a seeded hash of the row.
+
+    Rows whose hash falls below a threshold (about ``oversample * n`` expected
+    rows, from one count) pass a map-side filter; the ``n`` smallest hashes of
+    those are taken. The final top-n therefore merges ~3n rows whatever the
+    partition count. Tables with at most ``n`` rows come back whole."""
+    total = df.count()
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
+    tagged = df.withColumn("_h", h)
+    if total <= n:
+        return tagged.drop("_h")
+    frac = min(1.0, oversample * n / total)
+    while True:
+        # the hash is uniform on [-2^63, 2^63): keep the lowest ``frac`` of that range
+        cut = int(-(2 ** 63) + frac * (2 ** 64))
+        kept = tagged.where(F.col("_h") < F.lit(cut)) if frac < 1.0 else tagged
+        if frac >= 1.0 or kept.count() >= n:
+            return kept.orderBy("_h").limit(n).drop("_h")
+        frac = min(1.0, frac * 2)
 
 
 def qq_points(df: DataFrame, col: str) -> DataFrame:

@@ -36,6 +36,7 @@ def gram_by_group(df: DataFrame, features: list[str], label: str, group: Column
     def partial(batches):
         import pandas as pd
 
+        acc: dict = {}  # one matrix per group for the whole partition, emitted once at its end
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -48,8 +49,10 @@ def gram_by_group(df: DataFrame, features: list[str], label: str, group: Column
                 z[:, 1:d - 1] = x
                 z[:, d - 1] = part["_y"].to_numpy(dtype=float)
                 m = z.T @ z
-                yield pd.DataFrame({"_g": np.full(len(iu[0]), gv, dtype="int64"),
-                                    "i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "v": m[iu]})
+                acc[gv] = acc[gv] + m if gv in acc else m
+        for gv, m in acc.items():
+            yield pd.DataFrame({"_g": np.full(len(iu[0]), gv, dtype="int64"),
+                                "i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "v": m[iu]})
 
     parts = base.mapInPandas(partial, "_g long, i int, j int, v double")
     rows = parts.groupBy("_g", "i", "j").agg(F.sum("v").alias("v")).collect()
