@@ -1,0 +1,34 @@
+"""Spread a small multi-pass input over the available cores.
+
+Operators that scan their input several times (exact quantiles, profile,
+model preparation) read it through ``parallel_input``. When the input has
+fewer partitions than the session's default parallelism (a small table in
+a few files or row groups), the projected input is repartitioned once and
+persisted (memory, spilling to disk) for the operator's passes, so every
+pass runs on all cores. When it already has at least as many partitions
+(any large table), the input is used as it is: no shuffle, no cache.
+"""
+
+from __future__ import annotations
+
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+
+def is_small(df: DataFrame) -> bool:
+    sc = df.sparkSession.sparkContext
+    return df.rdd.getNumPartitions() < sc.defaultParallelism
+
+
+@contextmanager
+def parallel_input(df: DataFrame):
+    if not is_small(df):
+        yield df
+        return
+    work = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield work
+    finally:
+        work.unpersist()

@@ -10,10 +10,11 @@ billions of distinct doubles. Here the exact value is found by selection:
    the two order statistics the interpolation needs;
 2. one aggregate of ``count_if`` per bracket gives the exact rank of the
    bracket's lower edge and the number of rows inside;
-3. when a bracket holds at most ``resolve_limit`` rows, one job sends just the
-   rows inside the brackets, grouped by value, to the driver, where the two
-   order statistics are read off; otherwise the bracket is narrowed by another
-   sketch restricted to it (each round divides its size by ~accuracy/6).
+3. when a bracket holds at most ``resolve_limit`` rows, one job counts the
+   rows inside the brackets per value and a window per bracket finds the two
+   order statistics (two values per quantile reach the driver); otherwise
+   the bracket is narrowed by another sketch restricted to it (each round
+   divides its size by ~accuracy/6).
 
 All columns share each pass, so a profile of p columns costs about three
 scans whatever p is, and no task ever holds more than one sketch per column.
@@ -159,40 +160,50 @@ def _count_brackets(base: DataFrame, live: list[_Target]) -> None:
 
 
 def _resolve(base: DataFrame, ts: list[_Target]) -> None:
-    """Collect the (value, count) pairs inside each small bracket and read off order statistics."""
+    """Pick each target's two order statistics inside its (small) bracket.
+
+    Rows inside any bracket are counted per (target, value); a window per
+    target (at most ``resolve_limit`` rows each, by the bracket counts) gives
+    running counts, and only the values at the two wanted ranks return to
+    the driver (two rows per target).
+    """
+    from pyspark.sql import Window
+
+    spark = base.sparkSession
     conds = [F.col(f"_q{t.col}").between(F.lit(t.lo), F.lit(t.hi)) for t in ts]
     hits = [F.when(cond, F.struct(F.lit(k).alias("t"), F.col(f"_q{t.col}").alias("v")))
             for k, (t, cond) in enumerate(zip(ts, conds))]
     any_hit = conds[0]
     for cond in conds[1:]:
         any_hit = any_hit | cond
-    rows = (
+    counts = (
         base.where(any_hit)  # a codegen'd filter keeps only the few rows inside some bracket
         .select(F.explode(F.array(*hits)).alias("h"))
         .where(F.col("h").isNotNull())
         .groupBy(F.col("h.t").alias("t"), F.col("h.v").alias("v"))
-        .count()
-        .collect()
+        .agg(F.count(F.lit(1)).alias("c"))
     )
-    per = defaultdict(list)
-    for r in rows:
-        per[r["t"]].append((r["v"], r["count"]))
-    for k, t in enumerate(ts):
-        vals = sorted(per[k])
-        t.v0 = _kth(vals, t.k0 - t.below)
-        t.v1 = _kth(vals, t.k1 - t.below)
+    # one row per target: the size bound is the number of requested quantiles
+    ranks = spark.createDataFrame([(k, t.k0 - t.below, t.k1 - t.below) for k, t in enumerate(ts)],
+                                  "t int, r0 long, r1 long")
+    w = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
+    picked = run.join(F.broadcast(ranks), "t").where(
+        ((F.col("r0") >= F.col("lo")) & (F.col("r0") < F.col("hi")))
+        | ((F.col("r1") >= F.col("lo")) & (F.col("r1") < F.col("hi")))
+    ).select("t", "v", "lo", "hi", "r0", "r1").collect()
+    for r in picked:
+        t = ts[r["t"]]
+        if r["lo"] <= r["r0"] < r["hi"]:
+            t.v0 = r["v"]
+        if r["lo"] <= r["r1"] < r["hi"]:
+            t.v1 = r["v"]
+    for t in ts:
+        if t.v0 is None or t.v1 is None:
+            raise RuntimeError("rank outside bracket")
         t.done = True
 
 
-def _kth(vals, k):
-    seen = 0
-    for v, cnt in vals:
-        seen += cnt
-        if k < seen:
-            return v
-    raise RuntimeError("rank outside bracket")
-
-
 def _refine(base: DataFrame, ts: list[_Target], accuracy: int, d: float) -> None:
     """Narrow large brackets with a sketch over the rows inside them."""
     aggs, plan = [], []

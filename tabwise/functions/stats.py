@@ -62,8 +62,7 @@ def correlation_values(df: DataFrame, cols: list[str], complete: bool = True) ->
     x = df.select([as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
     if complete:
         x = x.na.drop("any")
-    srow = x.agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(p)]).first()
-    shift = np.array([srow[f"_m{i}"] if srow[f"_m{i}"] is not None else 0.0 for i in range(p)])
+    shift = np.zeros(p)  # filled from the first pass before the second is built
     names = [f"_x{i}" for i in range(p)]
     ii, jj = np.meshgrid(np.arange(p), np.arange(p), indexing="ij")
     ii, jj = ii.ravel().astype("int32"), jj.ravel().astype("int32")
@@ -84,8 +83,13 @@ def correlation_values(df: DataFrame, cols: list[str], complete: bool = True) ->
             for k in range(4):
                 yield pd.DataFrame({"k": np.full(p * p, k, dtype="int32"), "i": ii, "j": jj, "v": acc[k].ravel()})
 
-    rows = (x.mapInPandas(partial, "k int, i int, j int, v double")
-            .groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect())
+    from .parallel import parallel_input
+
+    with parallel_input(x) as work:
+        srow = work.agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(p)]).first()
+        shift[:] = [srow[f"_m{i}"] if srow[f"_m{i}"] is not None else 0.0 for i in range(p)]
+        rows = (work.mapInPandas(partial, "k int, i int, j int, v double")
+                .groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect())
     n, s, q, c = (np.zeros((p, p)) for _ in range(4))
     for r in rows:
         (n, s, q, c)[r["k"]][r["i"], r["j"]] = r["v"]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import qnorm, qnorm_expr
+from ..functions.parallel import parallel_input
 from ..functions.positions import with_positions
 from ..functions.quantiles import as_double, exact_quantiles
 from ..functions.stats import correlation_values, stack_rows
@@ -54,19 +55,17 @@ def boxplot_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
     """Per variable n, q1, median, q3, whiskers (most extreme values inside
     1.5 IQR) and outlier count. Exact quartiles, then one aggregate; no unpivot."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    res = exact_quantiles(df, cols, [0.25, 0.5, 0.75], **kw)
-    aggs, fences = _box_aggs(cols, res, k)
-    one = df.agg(*aggs)
-    pairs = []
+    with parallel_input(df.select([_q(c) for c in cols])) as work:
+        res = exact_quantiles(work, cols, [0.25, 0.5, 0.75], **kw)
+        aggs, fences = _box_aggs(cols, res, k)
+        row = work.agg(*aggs).first()
+    rows = []
     for i, c in enumerate(cols):
         q1, med, q3, _, _ = fences[c]
-        pairs.append((c, F.struct(
-            F.lit(res[c]["n"]).cast("bigint").alias("n"),
-            F.lit(q1).cast("double").alias("q1"), F.lit(med).cast("double").alias("median"),
-            F.lit(q3).cast("double").alias("q3"),
-            F.col(f"_lw{i}").alias("lower_whisker"), F.col(f"_uw{i}").alias("upper_whisker"),
-            F.col(f"_o{i}").alias("outliers"))))
-    return stack_rows(one, pairs, "variable", "s").select("variable", "s.*")
+        rows.append((c, res[c]["n"], q1, med, q3, row[f"_lw{i}"], row[f"_uw{i}"], row[f"_o{i}"]))
+    return df.sparkSession.createDataFrame(
+        rows, "variable string, n long, q1 double, median double, q3 double, lower_whisker double, "
+              "upper_whisker double, outliers long")
 
 
 def grouped_quantiles(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:

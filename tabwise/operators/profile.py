@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parallel import parallel_input
 from ..functions.quantiles import as_double, exact_quantiles
 from ..functions.stats import correlation_values, stack_rows
 from .schema import numeric_columns
@@ -62,7 +63,8 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, cols: list[str] | None = None, probs=(0.25, 0.5, 0.75), **kw) -> DataFrame:
     """Exact type-7 quantiles, nulls skipped: (column_name, prob, value)."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    res = exact_quantiles(df, cols, list(probs), **kw)
+    with parallel_input(df.select([_q(c) for c in cols])) as work:
+        res = exact_quantiles(work, cols, list(probs), **kw)
     rows = [(c, float(p), res[c]["q"][j]) for c in cols for j, p in enumerate(probs)]
     return df.sparkSession.createDataFrame(rows, "column_name string, prob double, value double")
 
@@ -82,7 +84,8 @@ def summary(df: DataFrame, **kw) -> DataFrame:
             extra += [F.count_if(c).alias(f"_t{i}"), F.count_if(~c).alias(f"_f{i}")]
         elif f.dataType.simpleString() == "string":
             extra += [F.min(F.length(c)).alias(f"_lmin{i}"), F.max(F.length(c)).alias(f"_lmax{i}")]
-    res, row = exact_quantiles(df, num, [0.25, 0.5, 0.75], extra=extra, **kw)
+    with parallel_input(df) as work:
+        res, row = exact_quantiles(work, num, [0.25, 0.5, 0.75], extra=extra, **kw)
     out = []
     for i, f in enumerate(fields):
         r = dict(
@@ -292,64 +295,56 @@ def outlier_counts(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
     Quartiles by exact selection, then one aggregate with the fences as literals.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
-    fences = outlier_fences(df, cols, k, **kw)
-    aggs = []
-    for i, c in enumerate(cols):
-        _, _, lo, hi = fences[c]
-        x = as_double(c)
-        if lo is None:
-            aggs.append(F.lit(0).cast("bigint").alias(f"_o{i}"))
-        else:
-            aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"_o{i}"))
-    one = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(cols):
-        q1, q3, lo, hi = fences[c]
-        rows.append((c, F.struct(
-            F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3"),
-            F.lit(lo).cast("double").alias("lower"), F.lit(hi).cast("double").alias("upper"),
-            F.col(f"_o{i}").alias("outliers"))))
-    return stack_rows(one, rows, "column_name", "s").select("column_name", "s.*")
+    with parallel_input(df.select([_q(c) for c in cols])) as work:
+        fences = outlier_fences(work, cols, k, **kw)
+        aggs = []
+        for i, c in enumerate(cols):
+            _, _, lo, hi = fences[c]
+            x = as_double(c)
+            if lo is None:
+                aggs.append(F.lit(0).cast("bigint").alias(f"_o{i}"))
+            else:
+                aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"_o{i}"))
+        row = work.agg(*aggs).first()
+    rows = [(c, *fences[c], row[f"_o{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, q1 double, q3 double, lower double, upper double, outliers long")
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFrame:
     """A15 (flagship): one row per numeric column with nulls, distinct, min, q1, median,
     mean, q3, max and 1.5-IQR outlier count.
 
-    Passes: (1) one aggregate with counts, nulls, mean, exact distinct counts
-    and the quantile sketches; (2) bracket counts; (3) bracket values; (4) the
-    outlier count with fences as literals. The number of passes does not
-    depend on the number of columns.
+    Passes: (1) one aggregate with counts, nulls, means and the quantile
+    sketches; (2) bracket counts; (3) bracket values; (4) exact distinct
+    counts; (5) the outlier count with fences as literals. The number of
+    passes does not depend on the number of columns.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
     extra = []
     for i, c in enumerate(cols):
         extra += [F.count_if(_q(c).isNull()).alias(f"_z{i}"), F.avg(as_double(c)).alias(f"_m{i}")]
-    res, row = exact_quantiles(df, cols, [0.25, 0.5, 0.75], extra=extra, **kw)
-    # exact distinct counts on their own: mixing them into the sketch pass would
-    # expand every row once per column before the sketches see it
-    dist = df.select([_q(c) for c in cols]).agg(
-        *[F.count_distinct(_q(c)).alias(f"_d{i}") for i, c in enumerate(cols)]).first() if cols else {}
-    aggs = []
-    stats = []
+    with parallel_input(df.select([_q(c) for c in cols])) as work:
+        res, row = exact_quantiles(work, cols, [0.25, 0.5, 0.75], extra=extra, **kw)
+        # exact distinct counts on their own: mixing them into the sketch pass would
+        # expand every row once per column before the sketches see it
+        dist = work.agg(*[F.count_distinct(_q(c)).alias(f"_d{i}") for i, c in enumerate(cols)]).first() \
+            if cols else {}
+        aggs, fences = [], {}
+        for i, c in enumerate(cols):
+            q1, _, q3 = res[c]["q"]
+            x = as_double(c)
+            if q1 is None:
+                aggs.append(F.lit(0).cast("bigint").alias(f"_o{i}"))
+            else:
+                lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+                aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"_o{i}"))
+        outl = work.agg(*aggs).first() if cols else {}
+    rows = []
     for i, c in enumerate(cols):
         q = res[c]
         q1, med, q3 = q["q"]
-        x = as_double(c)
-        if q1 is None:
-            lo = hi = None
-            aggs.append(F.lit(0).cast("bigint").alias(f"_o{i}"))
-        else:
-            lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-            aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"_o{i}"))
-        stats.append((c, row[f"_z{i}"], dist[f"_d{i}"], q["min"], q1, med, row[f"_m{i}"], q3, q["max"]))
-    one = df.agg(*aggs)
-    pairs = []
-    for i, (c, nulls, nd, mn, q1, med, mean, q3, mx) in enumerate(stats):
-        pairs.append((c, F.struct(
-            F.lit(nulls).cast("bigint").alias("nulls"), F.lit(nd).cast("bigint").alias("n_distinct"),
-            F.lit(mn).cast("double").alias("min"), F.lit(q1).cast("double").alias("q1"),
-            F.lit(med).cast("double").alias("median"), F.lit(mean).cast("double").alias("mean"),
-            F.lit(q3).cast("double").alias("q3"), F.lit(mx).cast("double").alias("max"),
-            F.col(f"_o{i}").alias("outliers"))))
-    return stack_rows(one, pairs, "column_name", "s").select("column_name", "s.*")
+        rows.append((c, row[f"_z{i}"], dist[f"_d{i}"], q["min"], q1, med, row[f"_m{i}"], q3, q["max"], outl[f"_o{i}"]))
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, nulls long, n_distinct long, min double, q1 double, median double, "
+              "mean double, q3 double, max double, outliers long")

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parallel import parallel_input
 from ..functions.quantiles import as_double
 from ..operators.profile import correlation_matrix_values, find_correlated, near_zero_variance, value_counts_long
 from ..operators.schema import is_numeric_type, normalized_names, syntactic_name
@@ -118,39 +119,40 @@ def preprocess(df: DataFrame, target: str, nzv: bool = True, corr_cutoff: float
     kept = df.where(as_double(target).isNotNull())
     numeric = [c for c in predictors if is_numeric_type(df.schema[c].dataType)]
     categorical = [c for c in predictors if c not in numeric]
-    n, fills, levels = fit_fill_values(kept, numeric, categorical)
-    if n == 0:
-        raise PreprocessError("All rows have missing values in target variable.")
-    if n <= len(predictors):
-        raise PreprocessError("Not enough data points after preprocessing.")
-    raw_names = [target] + numeric + [f"{c}_{lvl}" for c in categorical for lvl in levels[c]]
-    norm = normalized_names(raw_names)
-    numeric_names = dict(zip(numeric, norm[1:1 + len(numeric)]))
-    dummy_names, k = {}, 1 + len(numeric)
-    for c in categorical:
-        for lvl in levels[c]:
-            dummy_names[(c, lvl)] = norm[k]
-            k += 1
-    features = norm[1:]
-    pre = Preprocessor(target, numeric, categorical, fills, levels, dummy_names, features,
-                       numeric_names=numeric_names)
-    unscaled = kept.select(as_double(target).alias(norm[0]), *pre.feature_exprs(scaled=False))
-    dropped = {"nzv": [], "correlated": []}
-    if nzv and features:
-        nz = near_zero_variance(unscaled.select(*[_q(f) for f in features]))
-        dropped["nzv"] = [r[0] for r in nz.where(F.col("nzv")).select("column_name").collect()]
-        features = [f for f in features if f not in dropped["nzv"]]
-    if corr_cutoff is not None and len(features) > 1:
-        mat = correlation_matrix_values(unscaled, features)
-        dropped["correlated"] = find_correlated(mat, features, corr_cutoff)
-        features = [f for f in features if f not in dropped["correlated"]]
-    pre.features = features
-    pre.dropped = dropped
-    if features:
-        row = unscaled.agg(*[F.avg(_q(f)).alias(f"_m{i}") for i, f in enumerate(features)],
-                           *[F.stddev_samp(_q(f)).alias(f"_s{i}") for i, f in enumerate(features)]).first()
-        pre.means = {f: row[f"_m{i}"] for i, f in enumerate(features)}
-        pre.sds = {f: (row[f"_s{i}"] if row[f"_s{i}"] else 1.0) for i, f in enumerate(features)}
+    with parallel_input(kept) as work:
+        n, fills, levels = fit_fill_values(work, numeric, categorical)
+        if n == 0:
+            raise PreprocessError("All rows have missing values in target variable.")
+        if n <= len(predictors):
+            raise PreprocessError("Not enough data points after preprocessing.")
+        raw_names = [target] + numeric + [f"{c}_{lvl}" for c in categorical for lvl in levels[c]]
+        norm = normalized_names(raw_names)
+        numeric_names = dict(zip(numeric, norm[1:1 + len(numeric)]))
+        dummy_names, k = {}, 1 + len(numeric)
+        for c in categorical:
+            for lvl in levels[c]:
+                dummy_names[(c, lvl)] = norm[k]
+                k += 1
+        features = norm[1:]
+        pre = Preprocessor(target, numeric, categorical, fills, levels, dummy_names, features,
+                           numeric_names=numeric_names)
+        unscaled = work.select(as_double(target).alias(norm[0]), *pre.feature_exprs(scaled=False))
+        dropped = {"nzv": [], "correlated": []}
+        if nzv and features:
+            nz = near_zero_variance(unscaled.select(*[_q(f) for f in features]))
+            dropped["nzv"] = [r[0] for r in nz.where(F.col("nzv")).select("column_name").collect()]
+            features = [f for f in features if f not in dropped["nzv"]]
+        if corr_cutoff is not None and len(features) > 1:
+            mat = correlation_matrix_values(unscaled, features)
+            dropped["correlated"] = find_correlated(mat, features, corr_cutoff)
+            features = [f for f in features if f not in dropped["correlated"]]
+        pre.features = features
+        pre.dropped = dropped
+        if features:
+            row = unscaled.agg(*[F.avg(_q(f)).alias(f"_m{i}") for i, f in enumerate(features)],
+                               *[F.stddev_samp(_q(f)).alias(f"_s{i}") for i, f in enumerate(features)]).first()
+            pre.means = {f: row[f"_m{i}"] for i, f in enumerate(features)}
+            pre.sds = {f: (row[f"_s{i}"] if row[f"_s{i}"] else 1.0) for i, f in enumerate(features)}
     prepared = pre.transform(kept.select(*[_q(c) for c in df.columns]))
     if norm[0] != target:
         prepared = prepared.withColumnRenamed(target, norm[0])
