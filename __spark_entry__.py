@@ -265,6 +265,12 @@ def _q_align(spark, sf):
     return FE.align_features(li, ["l_discount", "l_quantity", "l_missing"])
 
 
+def _q_preprocess(spark, sf):
+    """F1 end to end on a table with nulls in the target, numeric and text predictors."""
+    pre, prepared = FE.preprocess(fixture(spark, sf, "fx_gap"), "price")
+    return rounded(prepared)
+
+
 def _lm1(spark, sf):
     reg = fixture(spark, sf, "fx_reg").select("y", "l_quantity")
     return reg, M.fit_linear(reg, ["l_quantity"], "y", "lm", cv="none")
@@ -405,6 +411,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "qq_points_events": _q_qq,
         "plot_sample_lineitem": _q_sample,
         "density_curve_events": _q_density,
+        "preprocess_fx_gap": _q_preprocess,
         "one_hot_lineitem": _q_one_hot,
         "standardize_lineitem": _q_standardize,
         "fill_score_row_fx_reg": _q_fill_row,
