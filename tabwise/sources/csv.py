@@ -1,9 +1,9 @@
 """CSV ingest (S1) and the empty-table guard (S3).
 
 The file is read with every column as text; the null tokens become NULL;
-then one aggregate decides each column's type by checking that every
-non-null value survives ``try_cast`` (int, then bigint, double, boolean),
-and a projection casts. Types are thus inferred *after* nulling, which
+then one aggregate decides each column's type from the smallest and largest
+per-value type code (int, bigint, double, logical, text), and a projection
+casts. Types are thus inferred *after* nulling, which
 Spark's single-token ``nullValue`` cannot do.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ("", "NA", "?")
 TRUE_WORDS = ("TRUE", "true", "True", "T")
 FALSE_WORDS = ("FALSE", "false", "False", "F")
+INT_PATTERN = r"^[+-]?[0-9]+$"
+NUMBER_PATTERN = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|Inf|inf|NaN)$"
 
 
 class EmptyTableError(ValueError):
@@ -41,34 +43,34 @@ def read_table_csv(spark: SparkSession, path: str, na=NULL_TOKENS, trim: bool =
         return F.when(v.isin(*na), F.lit(None)).otherwise(v)
 
     text = raw.select([cleaned(c).alias(c) for c in cols])
-    checks = []
+    # one type code per value: 0 int, 1 bigint, 2 double, 3 logical, 4 text. The
+    # patterns gate the casts, so no value reaches a failing number parse.
+    aggs = []
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`")
-        checks += [
-            F.count(v).alias(f"n{i}"),
-            F.count(F.expr(f"try_cast(`{c}` AS INT)")).alias(f"i{i}"),
-            F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{i}"),
-            F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
-            F.count_if(v.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b{i}"),
-        ]
-    r = text.agg(*checks).first()
-    if guard and r is not None and all(r[f"n{i}"] == 0 for i in range(len(cols))):
-        if text.isEmpty():
-            raise EmptyTableError("Uploaded CSV is empty.")
+        integral = v.rlike(INT_PATTERN)
+        code = (
+            F.when(v.isNull(), F.lit(None))
+            .when(integral & F.expr(f"try_cast(`{c}` AS INT)").isNotNull(), F.lit(0))
+            .when(integral & F.expr(f"try_cast(`{c}` AS BIGINT)").isNotNull(), F.lit(1))
+            .when(v.rlike(NUMBER_PATTERN), F.lit(2))
+            .when(v.isin(*TRUE_WORDS, *FALSE_WORDS), F.lit(3))
+            .otherwise(F.lit(4))
+        )
+        aggs += [F.min(code).alias(f"lo{i}"), F.max(code).alias(f"hi{i}")]
+    r = text.agg(*aggs).first()
+    if guard and all(r[f"hi{i}"] is None for i in range(len(cols))) and text.isEmpty():
+        raise EmptyTableError("Uploaded CSV is empty.")
     out = []
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`")
-        n = r[f"n{i}"]
-        if n and r[f"i{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS INT)").alias(c))
-        elif n and r[f"l{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS BIGINT)").alias(c))
-        elif n and r[f"d{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
-        elif n and r[f"b{i}"] == n:
-            out.append(F.when(v.isin(*TRUE_WORDS), F.lit(True)).when(v.isin(*FALSE_WORDS), F.lit(False)).alias(c))
-        elif n == 0:
+        lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+        if hi is None:
             out.append(F.lit(None).cast("boolean").alias(c))  # an all-NA column reads as logical
+        elif hi <= 2:
+            out.append(F.expr(f"try_cast(`{c}` AS {('INT', 'BIGINT', 'DOUBLE')[hi]})").alias(c))
+        elif lo == hi == 3:
+            out.append(F.when(v.isin(*TRUE_WORDS), F.lit(True)).when(v.isin(*FALSE_WORDS), F.lit(False)).alias(c))
         else:
             out.append(v.alias(c))
     return text.select(*out)
