@@ -23,7 +23,6 @@ scans whatever p is, and no task ever holds more than one sketch per column.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -16,7 +16,7 @@ from ..functions.normal import qnorm, qnorm_expr
 from ..functions.parallel import parallel_input
 from ..functions.positions import with_positions
 from ..functions.quantiles import as_double, exact_quantiles
-from ..functions.stats import correlation_values, stack_rows
+from ..functions.stats import correlation_values
 from .schema import numeric_columns
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.parallel import parallel_input
 from ..functions.quantiles import as_double
 from ..operators.profile import correlation_matrix_values, find_correlated, near_zero_variance, value_counts_long
-from ..operators.schema import is_numeric_type, normalized_names, syntactic_name
+from ..operators.schema import is_numeric_type, normalized_names
 
 
 class PreprocessError(ValueError):

@@ -325,18 +325,26 @@ def compare_classifiers(df: DataFrame, target: str, features: list[str],
                         models=("logistic", "tree", "rf"), seed: int = 42) -> DataFrame:
     """Fit classifiers on numeric ``features`` and report training accuracy
     (model, accuracy, error). The label is indexed by a fitted StringIndexer."""
-    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer
 
     base = df.select(F.col(f"`{target}`").cast("string").alias("_label_raw"),
                      *[F.coalesce(as_double(f), F.lit(0.0)).alias(f) for f in features]).where(
         F.col("_label_raw").isNotNull())
+    from ..functions.parallel import parallel_input
+
     indexed = StringIndexer(inputCol="_label_raw", outputCol="_label", stringOrderType="alphabetAsc") \
         .fit(base).transform(base)
-    data = VectorAssembler(inputCols=features, outputCol="_features").transform(indexed)
     ev = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="_pred", metricName="accuracy")
     rows = []
+    with parallel_input(VectorAssembler(inputCols=features, outputCol="_features").transform(indexed)) as data:
+        _fit_classifiers(models, data, ev, rows, seed)
+    return df.sparkSession.createDataFrame(rows, "model string, accuracy double, error string")
+
+
+def _fit_classifiers(models, data, ev, rows, seed):
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+
     for m in models:
         try:
             if m == "logistic":
@@ -351,4 +359,3 @@ def compare_classifiers(df: DataFrame, target: str, features: list[str],
             rows.append((m, float(ev.evaluate(fitted.transform(data))), None))
         except Exception as e:  # one failure does not stop the others
             rows.append((m, None, f"Error training {m}: {e}"))
-    return df.sparkSession.createDataFrame(rows, "model string, accuracy double, error string")
