@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parallel import parallel_input
 from ..functions.quantiles import as_double
-from ..operators.profile import correlation_matrix_values, find_correlated, near_zero_variance, value_counts_long
+from ..operators.clean import nzv_columns
+from ..operators.profile import correlation_matrix_values, find_correlated, value_counts_long
 from ..operators.schema import is_numeric_type, normalized_names
 
 
@@ -139,8 +140,7 @@ def preprocess(df: DataFrame, target: str, nzv: bool = True, corr_cutoff: float
         unscaled = work.select(as_double(target).alias(norm[0]), *pre.feature_exprs(scaled=False))
         dropped = {"nzv": [], "correlated": []}
         if nzv and features:
-            nz = near_zero_variance(unscaled.select(*[_q(f) for f in features]))
-            dropped["nzv"] = [r[0] for r in nz.where(F.col("nzv")).select("column_name").collect()]
+            dropped["nzv"] = nzv_columns(unscaled.select(*[_q(f) for f in features]))
             features = [f for f in features if f not in dropped["nzv"]]
         if corr_cutoff is not None and len(features) > 1:
             mat = correlation_matrix_values(unscaled, features)
