@@ -114,9 +114,12 @@ def boxplot_by(df: DataFrame, x: str, y: str, k: float = 1.5) -> DataFrame:
     base = df.select(_q(x).alias(x), yv.alias("_y")).where(F.col("_y").isNotNull())
     # fences: one row per category. Broadcast when the category count is small,
     # otherwise a shuffle join (AQE splits a hot category on the large side).
-    n_groups = fences.count()
     limit = 100_000
-    side = F.broadcast(fences) if n_groups <= limit else fences
+    small = fences.limit(limit + 1).collect()
+    if len(small) <= limit:  # at most ``limit`` categories: computed once, broadcast
+        side = F.broadcast(df.sparkSession.createDataFrame(small, fences.schema))
+    else:
+        side = fences
     joined = base.join(side, base[x].eqNullSafe(side[x])).drop(side[x])
     out = joined.groupBy(base[x], "n", "q1", "median", "q3").agg(
         F.min(F.when(F.col("_y") >= F.col("_lo"), F.col("_y"))).alias("lower_whisker"),
