@@ -139,16 +139,26 @@ def mode_value(df: DataFrame, col: str) -> DataFrame:
 def value_counts_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column_name, value, n): counts of every non-null value of every column.
 
-    Values are cast to string so that all columns fit one ``unpivot``; the
-    count is partially aggregated before the shuffle on (column, value).
+    All columns go through one ``explode`` of (name, number, text) structs:
+    numeric columns are counted as doubles (NaN is missing and -0.0 equals
+    0.0, as in R), other columns as text, so no row pays a number-to-text
+    cast. The count is partially aggregated before the shuffle on
+    (column, value); only the distinct values are formatted as text afterwards.
     """
     cols = df.columns if cols is None else list(cols)
-    as_str = df.select([_q(c).cast("string").alias(f"_v{i}") for i, c in enumerate(cols)])
-    long = as_str.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_v{i}").alias("value"))
-                            for i, c in enumerate(cols)])).alias("kv")
-    ).select("kv.column_name", "kv.value")
-    return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    num = set(numeric_columns(df))
+    structs = []
+    for c in cols:
+        is_num = c in num
+        structs.append(F.struct(
+            F.lit(c).alias("column_name"),
+            (as_double(c) if is_num else F.lit(None).cast("double")).alias("x"),
+            (F.lit(None).cast("string") if is_num else _q(c).cast("string")).alias("s"),
+        ))
+    long = df.select(F.explode(F.array(*structs)).alias("kv")).select("kv.column_name", "kv.x", "kv.s")
+    counts = long.where(F.col("x").isNotNull() | F.col("s").isNotNull()) \
+        .groupBy("column_name", "x", "s").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("column_name", F.coalesce(F.col("s"), F.col("x").cast("string")).alias("value"), "n")
 
 
 def near_zero_variance(df: DataFrame, freq_cut: float = 95 / 5, unique_cut: float = 10.0) -> DataFrame:
