@@ -205,6 +205,10 @@ def _q_scatter_bins(spark, sf):
     return P.scatter_bins(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", bins=20)
 
 
+def _q_scatter_points(spark, sf):
+    return P.scatter_points(_t(spark, sf, "lineitem"), n=10_000, seed=3)
+
+
 def _q_line(spark, sf):
     return P.line_points(_t(spark, sf, "events"), "event_id", "value")
 
@@ -402,6 +406,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "boxplot_stats_events": _q_boxplot,
         "boxplot_by_returnflag": _q_boxplot_by,
         "scatter_bins_lineitem": _q_scatter_bins,
+        "scatter_points_lineitem": _q_scatter_points,
         "line_points_events": _q_line,
         "histogram_events": _q_hist,
         "histogram_width_quantity": _q_hist_width,
