@@ -30,6 +30,16 @@ from tabwise.session import ensure_checkpoint_dir
 from tabwise.sources import csv as CSV
 from tabwise.sources.tables import FIXTURE_SQL, fixture, read_table
 
+try:  # the pipeline subpackage and its top-level script may be absent
+    from tabwise.llm.queries import ORACLES as LLM_ORACLES
+    from tabwise.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_ORACLES, LLM_QUERIES = {}, {}
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -379,7 +389,7 @@ def _q_normalize(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         "profile_lineitem": _q_profile,
         "shape_fx_gap": _q_shape,
         "null_counts_fx_gap": _q_null_counts,
@@ -446,6 +456,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_table_csv_fx_gap": _q_read_csv,
         "normalize_names_lineitem": _q_normalize,
     }
+    if corpus_pipeline is not None:
+        own["pipeline"] = corpus_pipeline.run
+    return own | LLM_QUERIES
 
 
 # ------------------------------------------------------------------ DuckDB side
@@ -750,4 +763,6 @@ def oracle_sql() -> dict[str, str]:
     q["read_table_csv_fx_gap"] = gap + gap_txt
     q["normalize_names_lineitem"] = (
         "SELECT l_quantity AS qty__units_, l_discount AS X2nd_discount, l_tax AS qty__units__1 FROM lineitem")
-    return q
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        q["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return q | LLM_ORACLES
