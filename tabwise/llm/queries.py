@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabwise.llm import chat, sharding, warc
+from tabwise.llm import bpe, chat, sharding, simhash, warc
 from tabwise.llm.common import ship_package
 from tabwise.sources.tables import read_table
 
@@ -31,6 +32,21 @@ def op1_sharding(spark, sf):
                        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op4_byte_bpe(spark, sf):
+    ids = bpe.encode_documents(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN, decode=True)
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op5_simhash(spark, sf):
+    found = simhash.near_duplicates(read_table(spark, sf, "documents"), words=3, most_bits=3)
+    return found.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 @_query
 def op8_chat_formatting(spark, sf):
     said = "</s>[INST] ok [/INST]"
