@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabwise.llm import bpe, chat, sharding, simhash, warc
+from tabwise.llm import bpe, chat, embeddings, sharding, simhash, warc
 from tabwise.llm.common import ship_package
 from tabwise.sources.tables import read_table
 
@@ -47,6 +47,29 @@ def op5_simhash(spark, sf):
                         F.col("component").alias("component_id"))
 
 
+@_query
+def op7_embeddings(spark, sf):
+    found = embeddings.near_duplicates(read_table(spark, sf, "embeddings"), 0.93)
+    return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+ORACLES["op7_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(x, lambda c: c <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), class AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT class.vec_id, coalesce(n.n_links, 0) AS n_links, component_id, class.vec_id = component_id AS kept
+FROM class LEFT JOIN n ON class.vec_id = n.vec_id"""
+
+
 @_query
 def op8_chat_formatting(spark, sf):
     said = "</s>[INST] ok [/INST]"
