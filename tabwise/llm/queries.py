@@ -7,10 +7,16 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabwise.llm import bpe, chat, embeddings, sharding, simhash, warc
+from tabwise.llm import bpe, chat, embeddings, sharding, simhash, toxicity, warc
 from tabwise.llm.common import ship_package
 from tabwise.sources.tables import read_table
 
+
+def _crc_of_id(n):
+    """crc32 of the id as text, modulo ``n``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
 QUERIES = {}
 ORACLES = {}
 
@@ -96,6 +102,17 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
   sha256(loss) AS loss_sha256, formatted_chars FROM whole"""
 
 
+@_query
+def op9_toxicity(spark, sf):
+    documents, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    held_out = _crc_of_id(5) == 0
+    learn = documents.where(~held_out).select("doc_id", "text").join(
+        labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    scored = toxicity.score(documents, toxicity.fit(learn)).withColumnRenamed("key", "doc_id")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op10_warc(spark, sf):
     index = warc.write_archives(read_table(spark, sf, "pages"))

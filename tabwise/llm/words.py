@@ -54,10 +54,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray = SPA
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes (ascending, not overlapping). Works chunk by chunk; a longer span is hashed in parts."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: tuple = ()) -> np.ndarray:
+    """64-bit hash of each span of bytes (ascending, not overlapping). Works chunk by chunk; a longer span is hashed in parts.
+
+    With ``heads`` the result has a further column for the first ``k`` bytes of each span, for each ``k`` in it.
+    """
     up, down = _power_tables()
-    out = np.empty(len(starts), np.uint64)
+    out = np.empty((len(starts), 1 + len(heads)), np.uint64)
     i = 0
     with np.errstate(over="ignore"):
         while i < len(starts):
@@ -68,7 +71,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
                 for at in range(lo, int(ends[i]), _CHUNK):
                     part = data[at:min(at + _CHUNK, int(ends[i]))].astype(np.uint64) + np.uint64(1)
                     h = mix(h + np.sum(part * up[:len(part)], dtype=np.uint64))
-                out[i] = h + np.uint64(int(ends[i]) - lo)
+                out[i, 0] = h + np.uint64(int(ends[i]) - lo)
+                for c, k in enumerate(heads, 1):
+                    out[i, c] = np.sum((data[lo:lo + k].astype(np.uint64) + np.uint64(1)) * up[:k], dtype=np.uint64)
                 i += 1
                 continue
             n = int(ends[j - 1]) - lo
@@ -76,9 +81,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             total[0] = 0
             np.cumsum((data[lo:lo + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
             a, b = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = (total[b] - total[a]) * down[a]
+            base, undo = total[a], down[a]
+            out[i:j, 0] = (total[b] - base) * undo
+            for c, k in enumerate(heads, 1):
+                out[i:j, c] = (total[np.minimum(a + k, b)] - base) * undo
             i = j
-    return mix(out)
+    return mix(out) if heads else mix(out[:, 0])
 
 
 def gram_hashes(words: np.ndarray, first: np.ndarray, n: int):
