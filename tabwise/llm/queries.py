@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabwise.llm import bpe, chat, embeddings, sharding, simhash, toxicity, warc
+from tabwise.llm import bpe, chat, embeddings, langid, sharding, simhash, toxicity, warc
 from tabwise.llm.common import ship_package
 from tabwise.sources.tables import read_table
 
@@ -53,6 +53,14 @@ def op5_simhash(spark, sf):
                         F.col("component").alias("component_id"))
 
 
+@_query
+def op6_language_id(spark, sf):
+    documents = read_table(spark, sf, "documents")
+    held_out = _crc_of_id(3) == 1
+    found = langid.identify(documents, langid.fit(documents.where(~held_out)))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @_query
 def op7_embeddings(spark, sf):
     found = embeddings.near_duplicates(read_table(spark, sf, "embeddings"), 0.93)
