@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabwise.llm import bpe, chat, embeddings, langid, sharding, simhash, toxicity, warc
+from tabwise.llm import bpe, chat, decontaminate, embeddings, langid, sharding, simhash, toxicity, warc
 from tabwise.llm.common import ship_package
 from tabwise.sources.tables import read_table
 
@@ -38,6 +38,12 @@ def op1_sharding(spark, sf):
                        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op2_decontamination(spark, sf):
+    found = decontaminate.leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+    return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+
+
 @_query
 def op4_byte_bpe(spark, sf):
     ids = bpe.encode_documents(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
