@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabwise.llm import bpe, chat, decontaminate, embeddings, langid, sharding, simhash, toxicity, warc
+from tabwise.llm import bpe, chat, decontaminate, embeddings, langid, ngram_lm, sharding, simhash, toxicity, warc
 from tabwise.llm.common import ship_package
 from tabwise.sources.tables import read_table
 
@@ -44,6 +44,14 @@ def op2_decontamination(spark, sf):
     return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
 
+@_query
+def op3_ngram_lm(spark, sf):
+    documents = read_table(spark, sf, "documents")
+    held_out = F.coalesce(_crc_of_id(7) == 2, F.lit(False))
+    scored = ngram_lm.score(documents, ngram_lm.fit(documents.where(~held_out))).withColumnRenamed("key", "doc_id")
+    return scored.withColumn("held_out", held_out)
+
+
 @_query
 def op4_byte_bpe(spark, sf):
     ids = bpe.encode_documents(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
