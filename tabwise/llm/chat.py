@@ -9,8 +9,8 @@ and put in order by a sort that streams.
 
 Template: ``<|role|>\n`` + text + ``<|end|>\n`` for each message. Every control string of this and
 of the common templates begins with ``<`` or ``[``; inside roles and texts these two and the escape
-sign are written ``\l``, ``\o`` and ``\\``, so no control string can occur there and the text reads
-back exactly. The loss mask of a segment is the span of an assistant's text.
+sign are written ``\l``, ``\o`` and ``\\`` (and ``|`` in a role ``\p``), so no control string can occur
+there and the text reads back exactly. The loss mask of a segment is the span of an assistant's text.
 
 Defined cases: null text and null role are empty; a null conversation id is a conversation of its
 own; a null sequence number sorts first; events with equal numbers apply in order of op, role and
@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_SEGMENT = re.compile(r"<\|([^<]*)\|>\n([^<]*)<\|end\|>\n")
-_PLAIN = {"\\": "\\", "l": "<", "o": "["}
+_SEGMENT = re.compile(r"<\|([^<|]*)\|>\n([^<]*)<\|end\|>\n")
+_PLAIN = {"\\": "\\", "l": "<", "o": "[", "p": "|"}
 
 
 def escape(c: Column) -> Column:
@@ -59,7 +59,7 @@ def fold_events(log: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """One formatted segment a message, with its loss mask (code points within the segment; length 0: none)."""
-    role, text = escape(F.col("role")), escape(F.col("text"))
+    role, text = F.replace(escape(F.col("role")), F.lit("|"), F.lit("\\p")), escape(F.col("text"))
     head = F.concat(F.lit("<|"), role, F.lit("|>\n"))
     teaches = F.col("role") == "assistant"
     return messages.select(

@@ -111,7 +111,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), each_turn AS (
-  SELECT *, '<|' || replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\o') || '|>' || chr(10)
+  SELECT *, '<|' || replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\o'), '|', '\p') || '|>' || chr(10)
     || replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\o') || '<|end|>' || chr(10) AS segment FROM turns
 ), whole AS (
   SELECT conv_id, count(*) AS n_turns,
