@@ -65,13 +65,13 @@ def text_words(batch, column="text"):
         yield first, n, _features(data, starts, ends), of
 
 
-def hash_words(words) -> np.ndarray:
-    joined = b" ".join(w.encode() for w in words)
-    data = LOWER[np.frombuffer(joined, np.uint8)]
+def term_features(words) -> np.ndarray:
+    """Features of single words, a row a word."""
+    data = LOWER[np.frombuffer(b" ".join(w.encode() for w in words), np.uint8)]
     starts, ends, _ = word_bounds(data, np.array([0, len(data)]), PUNCTUATION)
     if len(starts) != len(words):
         raise ValueError("identity terms must be single words")
-    return hash_spans(data, starts, ends)
+    return _features(data, starts, ends)
 
 
 def _count_words(batches):
@@ -137,29 +137,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit_weights(rows, cols, y, n_words, swaps, l1, l2, fairness, steps=400):
+def fit_weights(rows, cols, y, n_words, terms, swaps, l1, l2, fairness, steps=400):
     """Logistic weights with L1, L2 and counterfactual terms, by accelerated proximal gradient descent.
 
-    ``rows``/``cols`` are the (text, word) pairs. ``swaps`` are ``(word, other, count)``: ``count``
-    labelled sentences hold ``word`` and had it swapped for ``other``; each adds
-    ``fairness * (w[word] - w[other])**2``.
+    ``rows``/``cols`` are the (text, word) pairs. ``terms`` lists the columns of each identity term (none
+    of a term without a weight). ``swaps`` are ``(term, other, count)``: ``count`` labelled texts hold a sentence
+    with the term, in which it was swapped for the other; each adds ``fairness`` times the square of the
+    change of score.
     """
     n = len(y)
     prior = math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))  # a text without known words keeps near this
     w, bias = np.zeros(n_words), prior
     a, b, c = (np.array(x) for x in zip(*swaps)) if swaps else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    part = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    column = np.concatenate([*terms, np.empty(0, int)]).astype(int)
+    width = np.bincount(part, minlength=len(terms) + 1).astype(float)
+    curve_term = 2 * fairness * (np.bincount(a, c * (width[a] + width[b]), len(terms) + 1)
+                                 + np.bincount(b, c * (width[a] + width[b]), len(terms) + 1)) if len(a) else width * 0
     per_text = np.bincount(rows, minlength=n)
-    degree = np.bincount(a, c, n_words) + np.bincount(b, c, n_words) if len(a) else np.zeros(n_words)
     # an upper bound of the curvature, by word: its texts weighted by how many words they have
-    curve = 0.25 * np.bincount(cols, per_text[rows] + 1.0, n_words) + l2 + 4 * fairness * degree + 1e-9
+    curve = 0.25 * np.bincount(cols, per_text[rows] + 1.0, n_words) + l2 + 1e-9 + np.bincount(column, curve_term[part], n_words)
     curve_bias = 0.25 * (n + per_text.sum()) + 1
     z, z_bias, t = w.copy(), bias, 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z_bias + np.bincount(rows, z[cols], n), -500, 500)))
         g = np.bincount(cols, (p - y)[rows], n_words) + l2 * z
         if len(a):
-            d = 2 * fairness * c * (z[a] - z[b])
-            g += np.bincount(a, d, n_words) - np.bincount(b, d, n_words)
+            total = np.bincount(part, z[column], len(terms))
+            d = 2 * fairness * c * (total[a] - total[b])
+            of_term = np.bincount(a, d, len(terms)) - np.bincount(b, d, len(terms))
+            g += np.bincount(column, of_term[part], n_words)
         new = z - g / curve
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / curve, 0)
         new_bias = z_bias - ((p - y).sum() + z_bias - prior) / curve_bias
@@ -189,11 +196,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     zeros = (F.col("texts") - F.col("ones")) / (n - positive)
     pooled = F.col("texts") / n
     z = F.abs(ones - zeros) / F.sqrt(pooled * (1 - pooled) * (1 / positive + 1 / (n - positive)))
-    named = [hash_words(kind) for kind in identity]
+    named = [term_features(kind) for kind in identity]
     telling = (sample.mapInArrow(_count_words, "word long, texts long, ones long")
                .groupBy("word").agg(F.sum("texts").alias("texts"), F.sum("ones").alias("ones"))
                .where((F.col("texts") >= least_texts) & (F.col("texts") < n)).where(z >= least_z).select("word").toArrow())
-    chosen = np.unique(np.concatenate([telling.column("word").to_numpy().view(np.uint64), *named]))
+    chosen = np.unique(np.concatenate([telling.column("word").to_numpy().view(np.uint64), *(f.ravel() for f in named)]))
     got = sample.mapInArrow(_find_words(labelled.sparkSession.sparkContext.broadcast(chosen)), "row long, word long").toArrow()
     examples = sample.select("row", "label").toArrow()
     ids = examples.column("row").to_numpy()
@@ -206,18 +213,23 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
 
     index = {int(h): i for i, h in enumerate(words)}
     texts_with = np.bincount(cols, minlength=len(words))
-    # a term that no labelled text holds keeps weight zero: all such partners share one unused column
-    swaps = [(index[int(h)], index.get(int(other), len(words)), int(texts_with[index[int(h)]]))
-             for kind in named for h in kind if int(h) in index for other in kind if other != h]
-    weights, bias = fit_weights(at, cols, y, len(words) + 1, swaps, l1 * math.sqrt(n), l2, fairness)
+    terms, swaps = [], []
+    for kind in named:
+        first = len(terms)
+        for f in kind:
+            terms.append(np.unique([index[int(h)] for h in f if int(h) in index]).astype(int))
+        for i, f in enumerate(kind):
+            held = int(texts_with[index[int(f[0])]]) if int(f[0]) in index else 0
+            swaps += [(first + i, first + j, held) for j in range(len(kind)) if held and i != j]
+    weights, _ = fit_weights(at, cols, y, len(words), terms, swaps, l1 * math.sqrt(n), l2, fairness)
     # the L1 term has chosen the words; fitted again without it, their weights are no longer shrunk
-    kept = np.flatnonzero(weights[:-1])
-    place = np.full(len(words) + 1, len(kept))
+    kept = np.flatnonzero(weights)
+    place = np.full(len(words), -1)
     place[kept] = np.arange(len(kept))
-    inside = place[cols] < len(kept)
-    swaps = [(place[a], place[b], c) for a, b, c in swaps]
-    weights, bias = fit_weights(at[inside], place[cols[inside]], y, len(kept) + 1, swaps, 0.0, l2, fairness, steps=3000)
-    return Model(words[kept], weights[:-1], bias)
+    inside = place[cols] >= 0
+    terms = [place[t][place[t] >= 0] for t in terms]
+    weights, bias = fit_weights(at[inside], place[cols[inside]], y, len(kept), terms, swaps, 0.0, l2, fairness, steps=3000)
+    return Model(words[kept], weights, bias)
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
