@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment (operator 2).
 
 Texts are words (lower-cased over A-Z, ASCII punctuation parts words), compared by 64-bit hash. Runs
-of ``n`` words of the test items are counted over the whole corpus. A run is a seed if it is rare
-there (in at most ``rare_share`` of the documents); each item also keeps its ``least_seeds`` rarest
-runs, so a test item that leaked often, or that consists of frequent phrases, is still sought. Where a
+of ``n`` words of the test items are counted over the whole corpus. A run is a seed if it is rare there (in at most ``rare_share`` of the
+documents, or ``rare_count`` of them); of every ``stretch`` neighbouring runs the rarest is a seed in
+any case, so a test item that leaked often, or that consists of frequent phrases, is still sought, and a copy
+that keeps ``2 * stretch + n - 2`` neighbouring words always holds a seed. Where a
 document holds a seed, the item is aligned with the words around it (as far as an alignment that is
 good enough can reach), so paraphrased and edited copies score like what they kept.
 
@@ -76,13 +77,15 @@ class Items:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.distinct & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def choose_seeds(self, counts: dict, documents: int, rare_share: float, least_seeds: int) -> None:
-        """Keep the rare runs, and the rarest of each item."""
+    def choose_seeds(self, counts: dict, most: float, stretch: int) -> None:
+        """Keep the runs in at most ``most`` documents, and the rarest of each stretch."""
         count = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        chosen = count <= rare_share * documents
-        order = np.lexsort((self.place, count, self.item))
-        rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
-        chosen[order[rank < least_seeds]] = True
+        chosen = count <= most
+        part = self.place // stretch
+        order = np.lexsort((self.place, count, part, self.item))
+        first = np.ones(len(order), bool)
+        first[1:] = (self.item[order][1:] != self.item[order][:-1]) | (part[order][1:] != part[order][:-1])
+        chosen[order[first]] = True
         self._index(chosen)
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
@@ -180,7 +183,7 @@ def _leaks_of(batch_text, items, least, least_words):
                 yield first + r, i, score, int(starts[lo + a] - offsets[r]), int(ends[lo + z - 1] - offsets[r])
 
 
-def _prepared(documents, benchmark, text, item_key, item_text, n, rare_share, least_seeds, least_words):
+def _prepared(documents, benchmark, text, item_key, item_text, n, rare, stretch, least_words):
     """Broadcast blocks of items with their seeds chosen by the counts of the corpus."""
     context = documents.sparkSession.sparkContext
     corpus = documents.select(F.col(text).alias("text"))
@@ -190,13 +193,13 @@ def _prepared(documents, benchmark, text, item_key, item_text, n, rare_share, le
         counts = (corpus.mapInArrow(_count_grams(context.broadcast(items)), "gram long, n long")
                   .groupBy("gram").agg(F.sum("n").alias("n")).toArrow())  # the block's runs at most
         items.choose_seeds(dict(zip(counts.column("gram").to_pylist(), counts.column("n").to_pylist())),
-                           total, rare_share, least_seeds)
+                           max(rare[0] * total, rare[1]), stretch)
         yield context.broadcast(items)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
           item_text: str = "text", n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 0.001,
-          least_seeds: int = 8) -> DataFrame:
+          rare_count: int = 100, stretch: int = 4) -> DataFrame:
     """Pairs of document and test item, ``(key, item, similarity, first_byte, end_byte)``: where the item's best copy lies."""
     key_type, item_type = documents.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType
     schema = f"key {key_type}, item {item_type.simpleString()}, similarity double, first_byte long, end_byte long"
@@ -218,13 +221,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         return run
 
     out = documents.sparkSession.createDataFrame([], schema)
-    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, rare_share, least_seeds, least_words):
+    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, (rare_share, rare_count), stretch, least_words):
         out = out.unionByName(rows.mapInArrow(finder(sent), schema))
     return out
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-          n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 0.001, least_seeds: int = 8) -> DataFrame:
+          n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 0.001, rare_count: int = 100,
+          stretch: int = 4) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no test item."""
     at = documents.columns.index(text)
 
@@ -240,6 +244,6 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_k
         return run
 
     out = documents
-    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, rare_share, least_seeds, least_words):
+    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, (rare_share, rare_count), stretch, least_words):
         out = out.mapInArrow(dropper(sent), documents.schema)
     return out
