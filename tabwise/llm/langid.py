@@ -99,6 +99,7 @@ class Model:
         like = np.exp(loss.min(1, keepdims=True) - loss)
         order = np.sort(loss, 1)
         second = order[:, 1] - order[:, 0] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
+        second = np.where((margins == 0).all(1), 0.0, second)  # no known trigram
         return loss.argmin(1), like.max(1) / like.sum(1), second
 
 
