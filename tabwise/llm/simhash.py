@@ -36,7 +36,7 @@ from tabwise.llm.common import components, local_roots, text_slices, written
 from tabwise.llm.words import LOWER, word_bounds
 
 SAMPLE = 20_000  # fingerprints at most on which the top tree is fitted (about)
-SHARD = 4_000  # fingerprints at home in a shard (about)
+SHARD = 16_000  # fingerprints at home in a shard (about)
 BLOCK = 256  # fingerprints in a block of a shard's own tree
 
 
@@ -166,6 +166,12 @@ def _sharder(tree, reach):
         for b in batches:
             points = b.column("fp").to_numpy().view(np.uint64)
             which, leaf, own = visits(tree, points, reach)
+            home = np.empty(len(points), np.int64)
+            home[which[own]] = leaf[own]
+            home = home[which]
+            # of two shards, the points of one visit the other: each pair meets once, and shards share the visits evenly
+            go = own | (((leaf + home) % 2 == 0) == (home < leaf))
+            which, leaf, own = which[go], leaf[go], own[go]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(leaf, pa.int32()), pa.array(points[which].view(np.int64)), pa.array(own)], ["shard", "fp", "home"])
 
