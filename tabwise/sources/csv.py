@@ -1,17 +1,23 @@
 """CSV ingest (S1) and the empty-table guard (S3).
 
-The file is read with every column as text; the null tokens become NULL;
+Every field is read as text; the null tokens become NULL;
 then one aggregate decides each column's type from the smallest and largest
 per-value type code (int, bigint, double, logical, text), and a projection
 casts. Types are thus inferred *after* nulling, which
-Spark's single-token ``nullValue`` cannot do.
+Spark's single-token ``nullValue`` cannot do. A doubled quote inside a quoted field is a quote; with
+``multi_line`` a quoted field may hold line breaks. Rows with more or fewer fields than the header are kept
+as far as the header goes (missing fields are NULL), and reported with their lines.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.schema import normalized_names
+
 # The null tokens and the logical spellings the reference's reader accepts.
 NULL_TOKENS = ("", "NA", "?")
 TRUE_WORDS = ("TRUE", "true", "True", "T")
@@ -20,32 +26,72 @@ INT_PATTERN = r"^[+-]?[0-9]+$"
 NUMBER_PATTERN = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|Inf|inf|NaN)$"
 
 
+NAN_WORDS = ("NaN",)
+
+
 class EmptyTableError(ValueError):
     pass
 
 
+@dataclass
+class CsvRead:
+    """A typed table, and which lines did not fit its header."""
+
+    table: DataFrame
+    header: list  # as written; ``table`` has syntactic, unique names
+    damaged: int
+    damaged_lines: DataFrame
+
+
 def empty_guard(df: DataFrame) -> DataFrame:
     """S3: error when the table has no columns or no rows (``isEmpty`` reads one row at most)."""
     if not df.columns or df.isEmpty():
-        raise EmptyTableError("Uploaded CSV is empty.")
+        raise EmptyTableError("the table has no rows")
     return df
 
 
-def read_table_csv(spark: SparkSession, path: str, na=NULL_TOKENS, trim: bool = True, guard: bool = True) -> DataFrame:
-    """Header CSV, several null tokens, types inferred after nulling."""
-    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    cols = raw.columns
-    if not cols:
-        raise EmptyTableError("Uploaded CSV is empty.")
+def read_table_csv(spark: SparkSession, path: str, na=NULL_TOKENS, trim: bool = True, guard: bool = True,
+                   multi_line: bool = False, report: bool = False):
+    """Header CSV, several null tokens, types inferred after nulling, names made syntactic and unique.
+
+    With ``report`` returns a ``CsvRead`` with the counts of rows that do not fit the header. ``multi_line`` lets a
+    quoted field span lines; Spark then reads each file in one task."""
+    reader = spark.read.option("inferSchema", False).option("quote", '"').option("escape", '"') \
+        .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+    head = reader.option("header", False).csv(path).limit(1).collect()
+    if not head:
+        raise EmptyTableError("the file is empty")
+    header = [v if v is not None else "" for v in head[0]]
+    p = len(header)
+    raw = reader.option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad") \
+        .schema(_text_schema(p)).csv(path)
+    return typed_table(raw, header, na, trim, guard, report)
+
+
+def _text_schema(p: int) -> str:
+    return ", ".join(f"_f{i} string" for i in range(p)) + ", _bad string"
+
+
+def table_of_lines(lines: DataFrame, header: list, na=NULL_TOKENS, trim: bool = True, guard: bool = True, report: bool = False):
+    """S1 on CSV lines in the first column of a DataFrame (no header line; a quoted field may hold line breaks)."""
+    fields = F.from_csv(F.col(f"`{lines.columns[0]}`"), _text_schema(len(header)), {
+        "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": "true"})
+    return typed_table(lines.select(fields.alias("f")).select("f.*"), header, na, trim, guard, report)
+
+
+def typed_table(raw: DataFrame, header: list, na, trim: bool, guard: bool, report: bool):
+    """The typed table of text fields ``_f0``, ``_f1``, ... whose damaged lines are in ``_bad``."""
+    cols = normalized_names([h.strip() if trim else h for h in header])
 
-    def cleaned(c):
-        v = F.trim(F.col(f"`{c}`")) if trim else F.col(f"`{c}`")
-        return F.when(v.isin(*na), F.lit(None)).otherwise(v)
+    def cleaned(i):
+        v = F.trim(F.col(f"_f{i}")) if trim else F.col(f"_f{i}")
+        return F.when(v.isin(*na, *NAN_WORDS), F.lit(None)).otherwise(v)
 
-    text = raw.select([cleaned(c).alias(c) for c in cols])
+    text = raw.select(*[cleaned(i).alias(c) for i, c in enumerate(cols)])
+    with_bad = raw.select(*[cleaned(i).alias(c) for i, c in enumerate(cols)], "_bad")
     # one type code per value: 0 int, 1 bigint, 2 double, 3 logical, 4 text. The
     # patterns gate the casts, so no value reaches a failing number parse.
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count("_bad").alias("bad")]
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`")
         integral = v.rlike(INT_PATTERN)
@@ -58,9 +104,9 @@ def read_table_csv(spark: SparkSession, path: str, na=NULL_TOKENS, trim: bool =
             .otherwise(F.lit(4))
         )
         aggs += [F.min(code).alias(f"lo{i}"), F.max(code).alias(f"hi{i}")]
-    r = text.agg(*aggs).first()
-    if guard and all(r[f"hi{i}"] is None for i in range(len(cols))) and text.isEmpty():
-        raise EmptyTableError("Uploaded CSV is empty.")
+    r = with_bad.agg(*aggs).first()
+    if guard and not r["rows"]:
+        raise EmptyTableError("the file has no rows below its header")
     out = []
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`")
@@ -73,4 +119,9 @@ def read_table_csv(spark: SparkSession, path: str, na=NULL_TOKENS, trim: bool =
             out.append(F.when(v.isin(*TRUE_WORDS), F.lit(True)).when(v.isin(*FALSE_WORDS), F.lit(False)).alias(c))
         else:
             out.append(v.alias(c))
-    return text.select(*out)
+    table = text.select(*out)
+    if not report:
+        return table
+    # the first field is read beside the line: Spark refuses to read the corrupt record's column alone
+    lines = with_bad.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"), F.col(f"`{cols[0]}`").alias("first_field"))
+    return CsvRead(table, list(header), r["bad"], lines)

@@ -28,6 +28,12 @@ SELECT o_orderkey AS id,
   o_totalprice * 1.1 + o_custkey AS price_copy,
   o_custkey AS cust
 FROM orders""",
+    # NaN stands for a missing value in a quarter of one column and three quarters of another
+    "fx_nan": """
+SELECT event_id,
+  CASE WHEN event_id % 4 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value,
+  CASE WHEN event_id % 4 > 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS mostly_nan
+FROM events""",
     "fx_out": "SELECT event_id, value, value * value AS v2 FROM events",
     # y is an integer in exact arithmetic; ROUND removes the 1e-15 noise of 200 * l_discount
     "fx_reg": """

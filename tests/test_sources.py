@@ -4,7 +4,7 @@ import tempfile
 import pytest
 
 from tabwise.operators.schema import column_names, normalize_names, numeric_column_list
-from tabwise.sources.csv import EmptyTableError, empty_guard, read_table_csv
+from tabwise.sources.csv import EmptyTableError, empty_guard, read_table_csv, table_of_lines
 
 FX_CSV = "a,b,c,d\n1,NA,x,TRUE\n?,2.5,,FALSE\n3,,?,NA\n 4,1e3,y,T\n"
 
@@ -41,3 +41,26 @@ def test_schema_helpers(spark):
     assert [tuple(r) for r in column_names(df).collect()][:2] == [(1, "a", "int"), (2, "s", "string")]
     odd = spark.createDataFrame([(1, 2, 3)], "`a b` int, `1x` int, `a_b` int")
     assert normalize_names(odd).columns == ["a_b", "X1x", "a_b_1"]
+
+
+QUOTED = 'a,b c,a\n1,"he said ""hi"", ok",x\n2,"line\nbreak",NaN\n3,short\n4,wide,y,extra\n'
+
+
+def test_quotes_breaks_names_and_damaged_rows(spark):
+    got = read_table_csv(spark, _write(QUOTED), multi_line=True, report=True)
+    assert got.header == ["a", "b c", "a"] and got.table.columns == ["a", "b_c", "a_1"]
+    rows = sorted(map(tuple, got.table.collect()))
+    assert rows == [(1, 'he said "hi", ok', "x"), (2, "line\nbreak", None), (3, "short", None), (4, "wide", "y")]
+    assert got.damaged == 2 and {r["line"] for r in got.damaged_lines.collect()} == {"3,short", "4,wide,y,extra"}
+
+
+def test_nan_is_null_and_types_hold_beside_a_damaged_row(spark):
+    got = read_table_csv(spark, _write("n,v\n1,NaN\n2,1.5\n3\n"), report=True)
+    assert [f.dataType.simpleString() for f in got.table.schema.fields] == ["int", "double"]
+    assert [r["v"] for r in got.table.orderBy("n").collect()] == [None, 1.5, None] and got.damaged == 1
+
+
+def test_lines_of_a_frame(spark):
+    lines = spark.createDataFrame([('1,"a ""b"", c"',), ("?,NA",), ("3,x,y",)], "value string")
+    got = table_of_lines(lines, ["n", "t"], report=True)
+    assert sorted(map(tuple, got.table.collect()), key=str) == [(1, 'a "b", c'), (3, "x"), (None, None)] and got.damaged == 1
