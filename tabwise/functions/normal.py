@@ -58,21 +58,3 @@ def qnorm(p: float) -> float:
         return _horner(A, r) * q / _horner_one(B, r)
     q = math.sqrt(-2 * math.log(1 - p))
     return -_horner(C, q) / _horner_one(D, q)
-
-
-def _sql_horner(coefs, x: str) -> str:
-    acc = f"({coefs[0]!r} * {x})"
-    for c in coefs[1:-1]:
-        acc = f"(({acc} + {c!r}) * {x})"
-    return f"({acc} + {coefs[-1]!r})"
-
-
-def sql_qnorm(p: str) -> str:
-    """The approximation as SQL text over the expression ``p``."""
-    r = f"(({p}) - 0.5) * (({p}) - 0.5)"
-    mid = f"({_sql_horner(A, f'({r})')} * (({p}) - 0.5) / ({_sql_horner(B, f'({r})')} * ({r}) + 1))"
-    ql = f"sqrt(-2.0 * ln({p}))"
-    low = f"({_sql_horner(C, ql)} / ({_sql_horner(D, ql)} * {ql} + 1))"
-    qh = f"sqrt(-2.0 * ln(1.0 - ({p})))"
-    high = f"(-{_sql_horner(C, qh)} / ({_sql_horner(D, qh)} * {qh} + 1))"
-    return f"(CASE WHEN ({p}) < {P_LOW} THEN {low} WHEN ({p}) <= {1 - P_LOW!r} THEN {mid} ELSE {high} END)"

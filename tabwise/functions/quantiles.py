@@ -8,13 +8,15 @@ billions of distinct doubles. Here the exact value is found by selection:
    ``percentile_approx`` sketch (bounded memory, rank error <= n/accuracy) at
    ``p - d`` and ``p + d`` around every requested probability. That brackets
    the two order statistics the interpolation needs;
-2. one aggregate of ``count_if`` per bracket gives the exact rank of the
-   bracket's lower edge and the number of rows inside;
-3. when a bracket holds at most ``resolve_limit`` rows, one job counts the
-   rows inside the brackets per value and a window per bracket finds the two
+2. one aggregate of ``count_if`` per bracket gives the exact number of rows
+   below it, at its lower edge, inside it and at its upper edge; an order
+   statistic that falls on an edge is known, so a value that half the rows
+   share never has to be looked into;
+3. when at most ``resolve_limit`` rows lie strictly inside, one job counts
+   them per value and a window per bracket finds the
    order statistics (two values per quantile reach the driver); otherwise
-   the bracket is narrowed by another sketch restricted to it (each round
-   divides its size by ~accuracy/6).
+   the open interior is narrowed by another sketch restricted to it (each round
+   divides its size by ~accuracy/6, and takes its new edges from within, so it ends).
 
 All columns share each pass, so a profile of p columns costs about three
 scans whatever p is, and no task ever holds more than one sketch per column.
@@ -37,8 +39,14 @@ def as_double(name: str):
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def missing(df: DataFrame, name: str):
+    """Whether ``name`` is null or NaN: the one meaning of missing in all operators."""
+    c = F.col(f"`{name}`")
+    return c.isNull() | F.isnan(c) if df.schema[name].dataType.simpleString() in ("double", "float") else c.isNull()
+
+
 class _Target:
-    __slots__ = ("col", "p", "n", "k0", "k1", "frac", "lo", "hi", "below", "inside", "v0", "v1", "done")
+    __slots__ = ("col", "p", "n", "k0", "k1", "frac", "lo", "hi", "below", "inside", "v0", "v1")
 
     def __init__(self, col, p, n, mn, mx):
         self.col, self.p, self.n = col, p, n
@@ -50,7 +58,22 @@ class _Target:
         self.below = 0
         self.inside = n
         self.v0 = self.v1 = None
-        self.done = False
+
+    @property
+    def done(self):
+        return self.v0 is not None and self.v1 is not None
+
+    def counted(self, below, at_lo, inside, at_hi) -> bool:
+        """Take the counts of the bracket; False if it does not hold the two order statistics."""
+        if not below <= self.k0 <= self.k1 < below + at_lo + inside + at_hi:
+            return False
+        self.below, self.inside = below + at_lo, inside  # from here on the open interior counts
+        for name, k in (("v0", self.k0), ("v1", self.k1)):
+            if k < self.below:
+                setattr(self, name, self.lo)
+            elif k >= self.below + inside:
+                setattr(self, name, self.hi)
+        return True
 
     def value(self):
         if self.v0 is None:
@@ -70,7 +93,6 @@ def exact_quantiles(
     probs: list[float],
     accuracy: int = DEFAULT_ACCURACY,
     resolve_limit: int = DEFAULT_RESOLVE_LIMIT,
-    max_rounds: int = 8,
     extra: list | None = None,
 ):
     """Exact type-7 quantiles of each column in ``cols`` at each of ``probs``.
@@ -107,59 +129,45 @@ def exact_quantiles(
         at = dict(zip(sketch_p, sk))
         for j, p in enumerate(probs):
             t = _Target(i, p, n, mn, mx)
-            t.below = None  # unknown until counted
             lo_p, hi_p = _sketch_probs(p, p, d)
             t.lo = mn if lo_p <= 0.0 else at[lo_p]
             t.hi = mx if hi_p >= 1.0 else at[hi_p]
             if mn == mx:
                 t.v0 = t.v1 = mn
-                t.done = True
             targets.append((c, j, t))
 
-    prev: dict[int, tuple] = {}
-    for _ in range(max_rounds):
-        live = [t for _, _, t in targets if not t.done]
-        if not live:
-            break
-        _count_brackets(base, live)
-        resolve, refine = [], []
-        for t in live:
-            valid = t.below <= t.k0 and t.below + t.inside >= t.k1 + 1
-            if not valid:  # sketch guarantee broken: fall back to the full range
-                t.lo, t.hi = out[cols[t.col]]["min"], out[cols[t.col]]["max"]
-                t.below, t.inside = 0, t.n
-            if t.lo == t.hi:  # a bracket of one repeated value: that value is the answer
-                t.v0 = t.v1 = t.lo
-                t.done = True
-                continue
-            stuck = prev.get(id(t)) == (t.lo, t.hi)
-            prev[id(t)] = (t.lo, t.hi)
-            # ties collapse when grouped by value, so a bracket the sketch cannot narrow is resolved
-            (resolve if t.inside <= resolve_limit or stuck else refine).append(t)
-        if resolve:
-            _resolve(base, resolve)
-        if refine:
-            _refine(base, refine, accuracy, d)
+    live = [t for _, _, t in targets if not t.done]
+    while live:
+        _count_brackets(base, live, out, cols)
+        live = [t for t in live if not t.done]
+        small = [t for t in live if t.inside <= resolve_limit]
+        if small:
+            _resolve(base, small)
+        live = [t for t in live if not t.done]
+        if live:
+            _refine(base, live, accuracy, d)
     for c, j, t in targets:
-        if not t.done:
-            raise RuntimeError(f"quantile of {c} did not converge")
         out[c]["q"][j] = t.value()
     return (out, row) if extra is not None else out
 
 
-def _count_brackets(base: DataFrame, live: list[_Target]) -> None:
-    aggs = []
-    for k, t in enumerate(live):
-        x = F.col(f"_q{t.col}")
-        aggs.append(F.count_if(x < F.lit(t.lo)).alias(f"b{k}"))
-        aggs.append(F.count_if(x.between(F.lit(t.lo), F.lit(t.hi))).alias(f"w{k}"))
-    row = base.agg(*aggs).first()
-    for k, t in enumerate(live):
-        t.below, t.inside = row[f"b{k}"], row[f"w{k}"]
+def _count_brackets(base: DataFrame, live: list[_Target], info: dict, cols: list[str]) -> None:
+    """Exact counts below, at the edges of and inside each bracket, all targets in one aggregate."""
+    while live:
+        aggs = []
+        for k, t in enumerate(live):
+            x, lo, hi = F.col(f"_q{t.col}"), F.lit(t.lo), F.lit(t.hi)
+            aggs += [F.count_if(x < lo).alias(f"b{k}"), F.count_if(x == lo).alias(f"l{k}"),
+                     F.count_if((x > lo) & (x < hi)).alias(f"w{k}"), F.count_if((x == hi) & (x > lo)).alias(f"h{k}")]
+        row = base.agg(*aggs).first()
+        wrong = [t for k, t in enumerate(live) if not t.counted(*(row[f"{c}{k}"] for c in "blwh"))]
+        for t in wrong:  # the sketch's error bound did not hold: begin again with the whole range
+            t.lo, t.hi = info[cols[t.col]]["min"], info[cols[t.col]]["max"]
+        live = wrong
 
 
 def _resolve(base: DataFrame, ts: list[_Target]) -> None:
-    """Pick each target's two order statistics inside its (small) bracket.
+    """Pick each target's order statistics strictly inside its (small) bracket.
 
     Rows inside any bracket are counted per (target, value); a window per
     target (at most ``resolve_limit`` rows each, by the bracket counts) gives
@@ -169,7 +177,7 @@ def _resolve(base: DataFrame, ts: list[_Target]) -> None:
     from pyspark.sql import Window
 
     spark = base.sparkSession
-    conds = [F.col(f"_q{t.col}").between(F.lit(t.lo), F.lit(t.hi)) for t in ts]
+    conds = [(F.col(f"_q{t.col}") > F.lit(t.lo)) & (F.col(f"_q{t.col}") < F.lit(t.hi)) for t in ts]
     hits = [F.when(cond, F.struct(F.lit(k).alias("t"), F.col(f"_q{t.col}").alias("v")))
             for k, (t, cond) in enumerate(zip(ts, conds))]
     any_hit = conds[0]
@@ -197,32 +205,26 @@ def _resolve(base: DataFrame, ts: list[_Target]) -> None:
             t.v0 = r["v"]
         if r["lo"] <= r["r1"] < r["hi"]:
             t.v1 = r["v"]
-    for t in ts:
-        if t.v0 is None or t.v1 is None:
-            raise RuntimeError("rank outside bracket")
-        t.done = True
+    if not all(t.done for t in ts):
+        raise RuntimeError("the column changed between two passes: a rank lies outside its bracket")
 
 
 def _refine(base: DataFrame, ts: list[_Target], accuracy: int, d: float) -> None:
-    """Narrow large brackets with a sketch over the rows inside them."""
+    """Narrow large brackets with a sketch over the rows strictly inside them."""
     aggs, plan = [], []
     for k, t in enumerate(ts):
-        x = F.col(f"_q{t.col}")
-        m = t.inside
-        lo_p, hi_p = _sketch_probs((t.k0 - t.below) / m, (t.k1 - t.below + 1) / m, d)
+        x, m = F.col(f"_q{t.col}"), t.inside
+        r0, r1 = (min(max(r - t.below, 0), m - 1) for r in (t.k0, t.k1))
+        lo_p, hi_p = _sketch_probs(r0 / m, (r1 + 1) / m, d)
         ps = sorted({lo_p, hi_p})
         plan.append((t, lo_p, hi_p, ps))
-        inner = F.when(x.between(F.lit(t.lo), F.lit(t.hi)), x)
+        inner = F.when((x > F.lit(t.lo)) & (x < F.lit(t.hi)), x)
         aggs.append(F.percentile_approx(inner, ps, accuracy).alias(f"r{k}"))
     row = base.agg(*aggs).first()
     for k, (t, lo_p, hi_p, ps) in enumerate(plan):
         at = dict(zip(ps, row[f"r{k}"]))
+        t.v0 = t.v1 = None
         if lo_p > 0.0:
             t.lo = at[lo_p]
         if hi_p < 1.0:
             t.hi = at[hi_p]
-
-
-def quantile_map(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict[str, list]:
-    """``{col: [q at each prob]}`` convenience wrapper."""
-    return {c: v["q"] for c, v in exact_quantiles(df, cols, probs, **kw).items()}

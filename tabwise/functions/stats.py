@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over the rows where both sides are present; NULL (not
-    an ANSI divide-by-zero error) when either side is constant there or fewer
-    than two rows remain."""
-    a2 = F.when(b.isNotNull(), a)
-    b2 = F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
-
-
 def stack_rows(one: DataFrame, pairs, name_cols, value_col: str) -> DataFrame:
     """Reshape a one-row aggregate into long form.
 
@@ -50,27 +41,25 @@ def correlation_values(df: DataFrame, cols: list[str], complete: bool = True) ->
     present. Two scans: column means (the shift that keeps the sums
     numerically stable), then one Arrow pass where numpy forms, per batch,
     four p x p sums (pair counts, masked sums, masked squares, cross
-    products); the partial matrices are summed by a shuffle of p^2 keys.
+    products); each partition hands over one block, summed in two levels.
     NULL for a constant column or fewer than two rows. Only p^2 numbers
     reach the driver.
     """
     import numpy as np
 
+    from .partials import summed_arrays
     from .quantiles import as_double
 
     p = len(cols)
     x = df.select([as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
     if complete:
         x = x.na.drop("any")
-    shift = np.zeros(p)  # filled from the first pass before the second is built
     names = [f"_x{i}" for i in range(p)]
-    ii, jj = np.meshgrid(np.arange(p), np.arange(p), indexing="ij")
-    ii, jj = ii.ravel().astype("int32"), jj.ravel().astype("int32")
+    means = x.agg(*[F.avg(c).alias(c) for c in names]).first()
+    shift = np.array([means[c] if means[c] is not None else 0.0 for c in names])
 
     def partial(batches):
-        import pandas as pd
-
-        acc = None  # summed over the partition's batches, emitted once
+        acc = None  # summed over the partition's batches
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -80,19 +69,9 @@ def correlation_values(df: DataFrame, cols: list[str], complete: bool = True) ->
             mats = np.stack([m.T @ m, v0.T @ m, (v0 * v0).T @ m, v0.T @ v0])
             acc = mats if acc is None else acc + mats
         if acc is not None:
-            for k in range(4):
-                yield pd.DataFrame({"k": np.full(p * p, k, dtype="int32"), "i": ii, "j": jj, "v": acc[k].ravel()})
-
-    from .parallel import parallel_input
+            yield 0, acc
 
-    with parallel_input(x) as work:
-        srow = work.agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(p)]).first()
-        shift[:] = [srow[f"_m{i}"] if srow[f"_m{i}"] is not None else 0.0 for i in range(p)]
-        rows = (work.mapInPandas(partial, "k int, i int, j int, v double")
-                .groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect())
-    n, s, q, c = (np.zeros((p, p)) for _ in range(4))
-    for r in rows:
-        (n, s, q, c)[r["k"]][r["i"], r["j"]] = r["v"]
+    n, s, q, c = summed_arrays(x, partial).get(0, np.zeros((4, p, p)))
     out = {}
     for a in range(p):
         for b in range(p):

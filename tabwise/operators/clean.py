@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.positions import with_positions
-from ..functions.quantiles import as_double, exact_quantiles
+from ..functions.positions import key_positions
+from ..functions.quantiles import as_double, exact_quantiles, missing
 from .profile import correlated_columns, near_zero_variance
 from .schema import categorical_columns, numeric_columns
 
@@ -27,48 +27,46 @@ def drop_columns(df: DataFrame, cols) -> DataFrame:
 
 
 def parse_positions(text) -> list[int]:
-    """Comma list of 1-based positions; items that are not numbers are ignored."""
-    if isinstance(text, str):
-        items = text.split(",")
-    else:
-        items = list(text)
+    """Comma list of 1-based positions; a fraction is cut off, as a subscript's is, and items that are not finite
+    numbers are ignored."""
     out = []
-    for item in items:
+    for item in text.split(",") if isinstance(text, str) else text:
         try:
-            v = float(str(item).strip())
-        except ValueError:
+            out.append(int(float(str(item).strip())))
+        except (ValueError, OverflowError):  # no number, or not a finite one
             continue
-        if v == v and v == int(v):
-            out.append(int(v))
     return out
 
 
 def drop_rows(df: DataFrame, positions, order_by: list[str]) -> DataFrame:
-    """Drop rows at 1-based ``positions`` of the order ``order_by``.
+    """Drop rows at 1-based ``positions`` of the order ``order_by`` (ties: by a hash of the other columns).
 
-    Positions outside 1..n are ignored; an empty list keeps every row. The
-    position is dense over a range-partitioned sort (no single-partition
-    window); the position list is a broadcast left-anti join (its size is the
-    user's list, checked against the broadcast limit).
+    Positions outside 1..n are ignored; an empty list keeps every row. Only the order keys are ranked
+    (grouped, so a frequent key is one row); the keys at the wanted positions are few, and the table itself is
+    filtered by a join on them: no row of it is sorted. Of identical rows as many go as positions fall on them.
     """
     pos = sorted({p for p in parse_positions(positions) if p > 0})
     if not pos:
         return df
-    spark = df.sparkSession
-    positioned = with_positions(df, order_by, pos_col="_row")
-    drop = spark.createDataFrame([(p,) for p in pos], "_row long")
-    limit = int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").rstrip("b") or 0)
-    if len(pos) * 16 <= max(limit, 0):
-        drop = F.broadcast(drop)
-    return positioned.withColumn("_row", F.col("_row") + 1).join(drop, "_row", "left_anti").drop("_row")
+    keys = [f"_k{i}" for i in range(len(order_by))] + ["_h"]
+    named = [_q(c).alias(k) for c, k in zip(order_by, keys)] + [F.xxhash64(*[_q(c) for c in df.columns]).alias("_h")]
+    ranked = key_positions(df.select(*named), keys)
+    wanted = F.array(*[F.lit(p - 1).cast("long") for p in pos])  # the user's list
+    hit = ranked.withColumn("_drop", F.size(F.filter(wanted, lambda p: (p >= F.col("_start")) & (p < F.col("_start") + F.col("_n"))))) \
+        .where("_drop > 0").select(*[F.col(k).alias(f"{k}_") for k in keys], "_n", "_drop")
+    tagged = df.select("*", *named)
+    same = F.lit(True)
+    for k in keys:
+        same = same & tagged[k].eqNullSafe(hit[f"{k}_"])
+    kept = tagged.join(hit, same, "left_anti").drop(*keys)
+    some = tagged.join(hit.where("_drop < _n"), same).dropDuplicates(keys)
+    again = some.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") - F.col("_drop"))))
+    return kept.unionByName(again.select(*[_q(c) for c in df.columns]))
 
 
 def present(df: DataFrame, c: str) -> Column:
     """``c`` is neither null nor NaN, written so that IS NOT NULL reaches the Parquet scan."""
-    cond = _q(c).isNotNull()
-    if df.schema[c].dataType.simpleString() in ("double", "float"):
-        cond = cond & ~F.isnan(_q(c))
-    return cond
+    return _q(c).isNotNull() & ~missing(df, c)
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
@@ -113,10 +111,10 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- auto clean
 
 def sparse_columns(df: DataFrame, threshold: float = 0.5) -> list[str]:
-    """Columns whose null fraction is strictly above ``threshold`` (one aggregate)."""
+    """Columns whose fraction of nulls (NaN counts as null) is strictly above ``threshold`` (one aggregate)."""
     if not df.columns:
         return []
-    row = df.agg(*[F.avg(_q(c).isNull().cast("double")).alias(f"_n{i}") for i, c in enumerate(df.columns)]).first()
+    row = df.agg(*[F.avg(missing(df, c).cast("double")).alias(f"_n{i}") for i, c in enumerate(df.columns)]).first()
     return [c for i, c in enumerate(df.columns) if row[f"_n{i}"] is not None and row[f"_n{i}"] > threshold]
 
 
@@ -126,24 +124,11 @@ def drop_sparse_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def nzv_columns(df: DataFrame, exclude: tuple[str, ...] = (), unique_cut: float = 10.0) -> list[str]:
-    """Names flagged near-zero-variance (A12), computed only where the flag can be true.
-
-    A flagged column has at most ``unique_cut`` % distinct values (or one
-    value). One aggregate of HyperLogLog++ counts (bounded memory, ~2 %
-    relative error) first rules out columns with more than twice that share
-    -- ids, prices, timestamps -- so only the remaining columns go through
-    the exact (column, value) count shuffle.
-    """
+    """Names flagged near-zero-variance (A12): one exact (column, value) count, combined map-side."""
     cols = [c for c in df.columns if c not in exclude]
     if not cols:
         return []
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.approx_count_distinct(_q(c), 0.02).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
-    n = row["_n"] or 0
-    candidates = [c for i, c in enumerate(cols) if n == 0 or 100.0 * row[f"_d{i}"] / n <= 2 * unique_cut]
-    if not candidates:
-        return []
-    nz = near_zero_variance(df.select(*[_q(c) for c in candidates]), unique_cut=unique_cut)
+    nz = near_zero_variance(df.select(*[_q(c) for c in cols]), unique_cut=unique_cut)
     return [r[0] for r in nz.where(F.col("nzv")).select("column_name").collect()]
 
 

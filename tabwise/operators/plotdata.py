@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import qnorm, qnorm_expr
-from ..functions.parallel import parallel_input
-from ..functions.positions import with_positions
+from ..functions.positions import key_positions
 from ..functions.quantiles import as_double, exact_quantiles
 from ..functions.stats import correlation_values
-from .schema import numeric_columns
+from ..session import cut_lineage
+from .schema import is_numeric_type, numeric_columns
 
 
 def _q(name: str) -> Column:
@@ -55,10 +55,9 @@ def boxplot_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
     """Per variable n, q1, median, q3, whiskers (most extreme values inside
     1.5 IQR) and outlier count. Exact quartiles, then one aggregate; no unpivot."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    with parallel_input(df.select([_q(c) for c in cols])) as work:
-        res = exact_quantiles(work, cols, [0.25, 0.5, 0.75], **kw)
-        aggs, fences = _box_aggs(cols, res, k)
-        row = work.agg(*aggs).first()
+    res = exact_quantiles(df, cols, [0.25, 0.5, 0.75], **kw)
+    aggs, fences = _box_aggs(cols, res, k)
+    row = df.agg(*aggs).first()
     rows = []
     for i, c in enumerate(cols):
         q1, med, q3, _, _ = fences[c]
@@ -71,27 +70,23 @@ def boxplot_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
 def grouped_quantiles(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Exact type-7 quantiles of ``col`` within each group of ``by``.
 
-    Rows are range-partitioned on (by, col), so a group holding a third of the
-    rows is spread over many tasks; each group's order statistics are picked by
-    dense position (group start + k) instead of a per-group window or
-    collect. Result: (by, n, q_0, q_1, ...).
+    Rows are counted by (group, value) map-side and the distinct pairs numbered in order, so neither a group nor
+    a value that holds a third of the rows meets in one task; a group's order statistics are the
+    pairs whose positions cover (group start + k). Result: (by, n, q_0, q_1, ...).
     """
     base = df.select(_q(by).alias("_g"), as_double(col).alias("_v")).where(F.col("_v").isNotNull())
-    positioned = with_positions(base, ["_g", "_v"], pos_col="_pos")
-    starts = positioned.groupBy("_g").agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    pairs = key_positions(base, ["_g", "_v"]).withColumnRenamed("_n", "_c")
+    groups = pairs.groupBy("_g").agg(F.min("_start").alias("_first"), F.sum("_c").alias("_n"))
     wanted = []
     for j, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
         k0 = F.floor(h)
-        wanted += [
-            F.struct(F.lit(j).alias("j"), F.lit(0).alias("side"), (F.col("_start") + k0).alias("_pos"),
-                     (h - k0).alias("frac")),
-            F.struct(F.lit(j).alias("j"), F.lit(1).alias("side"),
-                     (F.col("_start") + F.least(k0 + 1, F.col("_n") - 1)).alias("_pos"), (h - k0).alias("frac")),
-        ]
-    picks = starts.select("_g", "_n", F.inline(F.array(*wanted)))
-    # one row per (group, order statistic): joined on the position alone, which is unique
-    hit = positioned.select("_pos", "_v").join(picks, "_pos")
+        for side, k in ((0, k0), (1, F.least(k0 + 1, F.col("_n") - 1))):
+            wanted.append(F.struct(F.lit(j).alias("j"), F.lit(side).alias("side"), (F.col("_first") + k).alias("_pos"),
+                                   (h - k0).alias("frac")))
+    picks = groups.select(F.col("_g").alias("_pg"), "_n", F.inline(F.array(*wanted)))
+    hit = pairs.join(picks, pairs["_g"].eqNullSafe(picks["_pg"]) & (F.col("_pos") >= F.col("_start"))
+                     & (F.col("_pos") < F.col("_start") + F.col("_c")))
     agg = hit.groupBy("_g", "_n", "j").agg(
         F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("v0"),
         F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("v1"),
@@ -104,29 +99,23 @@ def grouped_quantiles(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75))
 
 def boxplot_by(df: DataFrame, x: str, y: str, k: float = 1.5) -> DataFrame:
     """Box statistics of ``y`` per category of ``x`` (n, q1, median, q3,
-    whiskers, outliers). Null categories form their own box, as in a chart."""
+    whiskers, outliers). Null categories form their own box, as in a chart. A numeric ``x`` is no category:
+    it gives one box of all rows, with ``x`` null."""
+    if is_numeric_type(df.schema[x].dataType):
+        df = df.select(F.lit(None).cast(df.schema[x].dataType).alias(x), _q(y))
     qs = grouped_quantiles(df, x, y)
     qs = qs.select(x, "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
-    fences = qs.select(x, "n", "q1", "median", "q3",
-                       (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("_lo"),
-                       (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    yv = as_double(y)
-    base = df.select(_q(x).alias(x), yv.alias("_y")).where(F.col("_y").isNotNull())
-    # fences: one row per category. Broadcast when the category count is small,
-    # otherwise a shuffle join (AQE splits a hot category on the large side).
-    limit = 100_000
-    small = fences.limit(limit + 1).collect()
-    if len(small) <= limit:  # at most ``limit`` categories: computed once, broadcast
-        side = F.broadcast(df.sparkSession.createDataFrame(small, fences.schema))
-    else:
-        side = fences
+    side = qs.select(x, "n", "q1", "median", "q3",
+                     (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("_lo"),
+                     (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("_hi"))
+    base = df.select(_q(x).alias(x), as_double(y).alias("_y")).where(F.col("_y").isNotNull())
+    # one fence row a category; Spark broadcasts them if they are small, else joins by shuffle and splits a hot category
     joined = base.join(side, base[x].eqNullSafe(side[x])).drop(side[x])
-    out = joined.groupBy(base[x], "n", "q1", "median", "q3").agg(
+    return joined.groupBy(base[x], "n", "q1", "median", "q3").agg(
         F.min(F.when(F.col("_y") >= F.col("_lo"), F.col("_y"))).alias("lower_whisker"),
         F.max(F.when(F.col("_y") <= F.col("_hi"), F.col("_y"))).alias("upper_whisker"),
         F.count_if((F.col("_y") < F.col("_lo")) | (F.col("_y") > F.col("_hi"))).alias("outliers"),
     )
-    return out
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
@@ -146,16 +135,17 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-def scatter_points(df: DataFrame, x: str | None = None, y: str | None = None, n: int = 10_000,
+def scatter_points(df: DataFrame, x: str | None = None, y: str | None = None, n: int | None = None,
                    seed: int = 0) -> DataFrame:
-    """The (x, y) points to draw, default the first two numeric columns;
-    at most ``n`` rows by the reproducible sample P11."""
+    """The (x, y) points to draw, default the first two numeric columns: all of them, or with ``n`` a sample
+    of ``n`` rows (P11)."""
     num = numeric_columns(df)
     if x is None or y is None:
         if len(num) < 2:
             raise ValueError("need at least 2 numeric columns for a scatter plot")
         x, y = num[0], num[1]
-    return plot_sample(df.select(as_double(x).alias(x), as_double(y).alias(y)), n, seed)
+    rows = df if n is None else plot_sample(df, n, seed)
+    return rows.select(as_double(x).alias(x), as_double(y).alias(y))
 
 
 def line_points(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -176,24 +166,21 @@ def line_buckets(df: DataFrame, x: str, y: str, buckets: int = 1000) -> DataFram
         F.min("_x").alias("x_min"), F.max("_x").alias("x_max"), F.min("_y").alias("y_min"), F.max("_y").alias("y_max"))
 
 
-def _histogram(df: DataFrame, col: str, origin: float, width: float, nbins: int) -> DataFrame:
-    x = as_double(col)
-    spark = df.sparkSession
-    idx = F.greatest(F.ceil((x - F.lit(origin)) / F.lit(width)) - 1, F.lit(0))
-    if nbins:
-        idx = F.least(idx, F.lit(nbins - 1))
-    counts = df.select(idx.cast("int").alias("bin")).where(F.col("bin").isNotNull()).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("count"))
-    # the bin list is bounded by the bin count (<= 50 by default, else the data range / width)
-    allbins = spark.range(nbins).select(F.col("id").cast("int").alias("bin"))
-    out = F.broadcast(allbins).join(counts, "bin", "left").select(
+def _histogram(df: DataFrame, col: str, origin: float, width: float, nbins: int, empty_bins: bool) -> DataFrame:
+    idx = F.greatest(F.ceil((as_double(col) - F.lit(origin)) / F.lit(width)) - 1, F.lit(0))
+    idx = F.least(idx.cast("bigint"), F.lit(nbins - 1).cast("bigint"))
+    counts = df.select(idx.alias("bin")).where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    if empty_bins:
+        counts = df.sparkSession.range(nbins).withColumnRenamed("id", "bin").join(counts, "bin", "left")
+    return counts.select(
         "bin",
         (F.lit(origin) + F.col("bin") * F.lit(width)).alias("x_min"),
         (F.lit(origin) + (F.col("bin") + 1) * F.lit(width)).alias("x_max"),
         (F.lit(origin) + (F.col("bin") + 0.5) * F.lit(width)).alias("center"),
-        F.coalesce(F.col("count"), F.lit(0)).alias("count"),
-    )
-    return out
+        F.coalesce(F.col("count"), F.lit(0)).alias("count"))
+
+
+_NO_BINS = "bin long, x_min double, x_max double, center double, count long"
 
 
 def histogram_edges(lo: float, hi: float, bins: int) -> tuple[float, float]:
@@ -206,49 +193,74 @@ def histogram_edges(lo: float, hi: float, bins: int) -> tuple[float, float]:
     return origin, width
 
 
-def histogram(df: DataFrame, col: str, bins: int = 15) -> DataFrame:
-    """(bin, x_min, x_max, center, count) with right-closed bins; empty bins kept."""
+def histogram(df: DataFrame, col: str, bins: int = 15, empty_bins: bool = True) -> DataFrame:
+    """(bin, x_min, x_max, center, count) with right-closed bins; empty bins kept (``bins`` rows)."""
     if not 1 <= bins:
         raise ValueError("bins must be positive")
     r = df.agg(F.min(as_double(col)).alias("lo"), F.max(as_double(col)).alias("hi")).first()
     if r["lo"] is None:
-        return df.sparkSession.createDataFrame([], "bin int, x_min double, x_max double, center double, count long")
+        return df.sparkSession.createDataFrame([], _NO_BINS)
     origin, width = histogram_edges(r["lo"], r["hi"], bins)
     nb = bins if r["hi"] > r["lo"] else 1
-    return _histogram(df, col, origin, width, nb)
+    return _histogram(df, col, origin, width, nb, empty_bins)
 
 
-def histogram_width(df: DataFrame, col: str, width: float = 10.0) -> DataFrame:
-    """Fixed-width, right-closed bins with edges at width/2 + k*width."""
+def histogram_width(df: DataFrame, col: str, width: float = 10.0, empty_bins: bool = False) -> DataFrame:
+    """Fixed-width, right-closed bins with edges at width/2 + k*width. The bins that hold rows; ``empty_bins`` fills
+    the others in (range / width rows, made on Spark)."""
     r = df.agg(F.min(as_double(col)).alias("lo"), F.max(as_double(col)).alias("hi")).first()
     if r["lo"] is None:
-        return df.sparkSession.createDataFrame([], "bin int, x_min double, x_max double, center double, count long")
+        return df.sparkSession.createDataFrame([], _NO_BINS)
     boundary = width / 2
     origin = boundary + math.floor((r["lo"] - boundary) / width) * width
     nb = max(1, int(math.ceil((r["hi"] - origin) / width)))
-    return _histogram(df, col, origin, width, nb)
+    return _histogram(df, col, origin, width, nb, empty_bins)
 
 
-def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Upper triangle of the complete-rows correlation matrix, no diagonal:
-    (var1, var2, corr). Default: first 5 numeric columns; needs at least 2."""
-    cols = numeric_columns(df)[:5] if cols is None else list(cols)
+FIRST_FOR_PAIRS = 5  # fixed values: the reference's default numbers of columns
+FIRST_FOR_MATRIX = 8
+
+
+def _pairs(df: DataFrame, cols: list[str], complete: bool) -> DataFrame:
     if len(cols) < 2:
-        raise ValueError("select at least 2 numeric columns")
-    vals = correlation_values(df, cols, complete=True)
-    rows = [(cols[i], cols[j], vals[(cols[i], cols[j])]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+        raise ValueError("correlations need at least 2 numeric columns")
+    vals = correlation_values(df, cols, complete=complete)
+    rows = [(a, b, vals[(a, b)]) for i, a in enumerate(cols) for b in cols[i + 1:]]
     return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, corr double")
 
 
-def pair_correlations(df: DataFrame, max_cols: int = 8) -> DataFrame:
-    """P9 (panel values): pairwise correlations of the first ``max_cols`` numeric
+def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Upper triangle of the complete-rows correlation matrix, no diagonal:
+    (var1, var2, corr), of ``cols`` or of all numeric columns; needs at least 2."""
+    return _pairs(df, numeric_columns(df) if cols is None else list(cols), True)
+
+
+def default_columns(df: DataFrame, most: int) -> tuple[list[str], list[str]]:
+    """The numeric columns that the reference would draw by default, and those it would leave out."""
+    num = numeric_columns(df)
+    return num[:most], num[most:]
+
+
+def pair_correlations(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """P9 (panel values): pairwise correlations of ``cols`` or of all numeric
     columns, each pair over the rows where both are present."""
-    cols = numeric_columns(df)[:max_cols]
-    if len(cols) < 2:
-        raise ValueError("need at least 2 numeric columns for a pair plot")
-    vals = correlation_values(df, cols, complete=False)
-    rows = [(cols[i], cols[j], vals[(cols[i], cols[j])]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, corr double")
+    return _pairs(df, numeric_columns(df) if cols is None else list(cols), False)
+
+
+def pair_matrix(df: DataFrame, cols: list[str] | None = None, n: int = 10_000, points: int = 512, seed: int = 0) -> DataFrame:
+    """All panels of the pair plot as one table (panel, var1, var2, x, y): ``corr`` (y the correlation, x
+    null), ``density`` (a column's curve, var2 null) and ``point`` (the sample of P11, each pair)."""
+    cols = numeric_columns(df) if cols is None else list(cols)
+    null = F.lit(None).cast("double")
+    out = pair_correlations(df, cols).select(F.lit("corr").alias("panel"), "var1", "var2", null.alias("x"), F.col("corr").alias("y"))
+    for c in cols:
+        out = out.unionByName(density_curve(df, c, points).select(
+            F.lit("density").alias("panel"), F.lit(c).alias("var1"), F.lit(None).cast("string").alias("var2"), "x",
+            F.col("density").alias("y")))
+    pairs = F.array(*[F.struct(F.lit("point").alias("panel"), F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                               as_double(a).alias("x"), as_double(b).alias("y"))
+                      for i, a in enumerate(cols) for b in cols[i + 1:]])
+    return out.unionByName(plot_sample(df, n, seed).select(F.inline(pairs)))
 
 
 def density_curve(df: DataFrame, col: str, points: int = 512, grid_bins: int = 2048, **kw) -> DataFrame:
@@ -284,40 +296,45 @@ def density_curve(df: DataFrame, col: str, points: int = 512, grid_bins: int = 2
     return spark.createDataFrame([(float(u), float(v)) for u, v in zip(xs, dens)], "x double, density double")
 
 
-def plot_sample(df: DataFrame, n: int = 10_000, seed: int = 0, oversample: float = 3.0) -> DataFrame:
-    """At most ``n`` rows, chosen reproducibly by a seeded hash of the row.
+def plot_sample(df: DataFrame, n: int = 10_000, seed: int = 0) -> DataFrame:
+    """``n`` rows drawn at random without replacement (all rows of a table of at most ``n``).
 
-    Rows whose hash falls below a threshold (about ``oversample * n`` expected
-    rows, from one count) pass a map-side filter; the ``n`` smallest hashes of
-    those are taken. The final top-n therefore merges ~3n rows whatever the
-    partition count. Tables with at most ``n`` rows come back whole."""
+    Each row draws its own number, so equal rows are kept or left independently. Rows under a threshold
+    (about 3 n expected, from one count) are checkpointed, which fixes their numbers, and the ``n``
+    smallest are taken: the last step merges about 3 n rows whatever the table's size. The draw repeats for the
+    same seed and the same input files."""
     total = df.count()
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))
-    tagged = df.withColumn("_h", h)
     if total <= n:
-        return tagged.drop("_h")
-    frac = min(1.0, oversample * n / total)
+        return df
+    frac = min(1.0, 3.0 * n / total + 10.0 * math.sqrt(n) / total)
     while True:
-        # the hash is uniform on [-2^63, 2^63): keep the lowest ``frac`` of that range
-        cut = int(-(2 ** 63) + frac * (2 ** 64))
-        kept = tagged.where(F.col("_h") < F.lit(cut)) if frac < 1.0 else tagged
+        kept = cut_lineage(df.withColumn("_r", F.rand(seed)).where(F.col("_r") < frac))
         if frac >= 1.0 or kept.count() >= n:
-            return kept.orderBy("_h").limit(n).drop("_h")
+            return kept.orderBy("_r").limit(n).drop("_r")
         frac = min(1.0, frac * 2)
 
 
+_CHUNK = 10_000  # rows of one value that one task of qq_points writes
+
+
 def qq_points(df: DataFrame, col: str) -> DataFrame:
     """(position, theoretical, sample): the sorted sample against normal
-    quantiles at (i - a)/(n + 1 - 2a), a = 3/8 for n <= 10, else 1/2."""
+    quantiles at (i - a)/(n + 1 - 2a), a = 3/8 for n <= 10, else 1/2.
+
+    Equal values are counted first and numbered as one; a frequent value is cut into chunks that are dealt out before
+    its points are written."""
     base = df.select(as_double(col).alias("sample")).where(F.col("sample").isNotNull())
-    n = base.count()
-    if n == 0:
+    ranked = key_positions(base, ["sample"])
+    n = ranked.agg(F.sum("_n")).first()[0]
+    if not n:
         return df.sparkSession.createDataFrame([], "position long, theoretical double, sample double")
     a = 3.0 / 8.0 if n <= 10 else 0.5
-    positioned = with_positions(base, ["sample"], pos_col="_p")
-    i = F.col("_p") + 1
-    prob = (i - F.lit(a)) / F.lit(n + 1 - 2 * a)
-    return positioned.select(i.alias("position"), qnorm_expr(prob).alias("theoretical"), "sample")
+    chunks = ranked.select("sample", "_start", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {_CHUNK}"))).alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is not merged by AQE, which sees few bytes
+    points = chunks.repartition(parts, "sample", "_c").select("sample", F.explode(F.sequence(
+        F.col("_start") + F.col("_c") * _CHUNK + 1, F.col("_start") + F.least(F.col("_n"), (F.col("_c") + 1) * _CHUNK))).alias("position"))
+    prob = (F.col("position") - F.lit(a)) / F.lit(n + 1 - 2 * a)
+    return points.select("position", qnorm_expr(prob).alias("theoretical"), "sample")
 
 
 def qq_line(df: DataFrame, col: str) -> dict:

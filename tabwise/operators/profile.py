@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parallel import parallel_input
-from ..functions.quantiles import as_double, exact_quantiles
+from ..functions.quantiles import as_double, exact_quantiles, missing
 from ..functions.stats import correlation_values, stack_rows
 from .schema import numeric_columns
 
@@ -34,15 +33,15 @@ def shape(original: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """A4: (column_name, null_count) in one aggregate."""
-    one = df.agg(*[F.count_if(_q(c).isNull()).alias(f"_n{i}") for i, c in enumerate(df.columns)])
+    """A4: (column_name, null_count) in one aggregate; NaN counts as null."""
+    one = df.agg(*[F.count_if(missing(df, c)).alias(f"_n{i}") for i, c in enumerate(df.columns)])
     return stack_rows(one, [(c, F.col(f"_n{i}")) for i, c in enumerate(df.columns)], "column_name", "null_count")
 
 
 def null_fraction(df: DataFrame) -> DataFrame:
     """A5: (column_name, null_fraction) = mean of is-null per column, in one aggregate."""
     one = df.agg(
-        *[F.avg(_q(c).isNull().cast("double")).alias(f"_n{i}") for i, c in enumerate(df.columns)]
+        *[F.avg(missing(df, c).cast("double")).alias(f"_n{i}") for i, c in enumerate(df.columns)]
     )
     return stack_rows(one, [(c, F.col(f"_n{i}")) for i, c in enumerate(df.columns)], "column_name", "null_fraction")
 
@@ -63,8 +62,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, cols: list[str] | None = None, probs=(0.25, 0.5, 0.75), **kw) -> DataFrame:
     """Exact type-7 quantiles, nulls skipped: (column_name, prob, value)."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    with parallel_input(df.select([_q(c) for c in cols])) as work:
-        res = exact_quantiles(work, cols, list(probs), **kw)
+    res = exact_quantiles(df, cols, list(probs), **kw)
     rows = [(c, float(p), res[c]["q"][j]) for c in cols for j, p in enumerate(probs)]
     return df.sparkSession.createDataFrame(rows, "column_name string, prob double, value double")
 
@@ -77,15 +75,14 @@ def summary(df: DataFrame, **kw) -> DataFrame:
     extra = []
     for i, f in enumerate(fields):
         c = _q(f.name)
-        extra += [F.count(c).alias(f"_c{i}"), F.count_if(c.isNull()).alias(f"_z{i}")]
+        extra += [F.count_if(~missing(df, f.name)).alias(f"_c{i}"), F.count_if(missing(df, f.name)).alias(f"_z{i}")]
         if f.name in num:
             extra.append(F.avg(as_double(f.name)).alias(f"_m{i}"))
         elif f.dataType.simpleString() == "boolean":
             extra += [F.count_if(c).alias(f"_t{i}"), F.count_if(~c).alias(f"_f{i}")]
         elif f.dataType.simpleString() == "string":
             extra += [F.min(F.length(c)).alias(f"_lmin{i}"), F.max(F.length(c)).alias(f"_lmax{i}")]
-    with parallel_input(df) as work:
-        res, row = exact_quantiles(work, num, [0.25, 0.5, 0.75], extra=extra, **kw)
+    res, row = exact_quantiles(df, num, [0.25, 0.5, 0.75], extra=extra, **kw)
     out = []
     for i, f in enumerate(fields):
         r = dict(
@@ -219,62 +216,41 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def find_correlated(matrix: dict[tuple[str, str], float | None], names: list[str], cutoff: float = 0.9,
-                    exact: bool | None = None) -> list[str]:
+                    exact: bool = True) -> list[str]:
     """A14 on a p x p matrix (driver side: p^2 numbers, not rows).
 
-    Below 100 columns (``exact``): order columns by mean absolute correlation
-    (diagonal excluded), descending; walk pairs (i, j>i) above the cutoff and
-    remove the one whose mean absolute correlation is larger (row i vs the
-    matrix without row j), blanking removed columns as it goes. From 100
-    columns: one pass comparing the two columns' overall means.
+    Columns are taken in order of mean absolute correlation, descending. Of each pair above the
+    cutoff whose columns both still stand, one goes: the first if its mean correlation with the standing columns
+    is larger than the mean over the standing columns without the second's row, else the second.
+    ``exact=False``: one pass over the pairs that compares the columns' means over the whole matrix.
     Missing correlations never exceed the cutoff.
     """
+    import itertools
+
     import numpy as np
 
-    p = len(names)
-    if p < 2:
-        return []
-    m = np.array([[np.nan if matrix.get((a, b)) is None else abs(matrix[(a, b)]) for b in names] for a in names])
-    if exact is None:
-        exact = p < 100
+    size = np.array([[np.nan if matrix.get((a, b)) is None else abs(matrix[(a, b)]) for b in names] for a in names])
+    size = size.reshape(len(names), len(names))
     if not exact:
-        avg = np.nanmean(m, axis=0)
-        drop = []
-        for i in range(p):
-            for j in range(i + 1, p):
-                if not np.isnan(m[i, j]) and m[i, j] > cutoff:
-                    k = j if avg[j] > avg[i] else i
-                    if names[k] not in drop:
-                        drop.append(names[k])
-        return drop
-    tmp = m.copy()
-    np.fill_diagonal(tmp, np.nan)
+        mean = np.nanmean(size, axis=0) if len(names) else size
+        gone = dict.fromkeys(j if mean[j] > mean[i] else i for i, j in itertools.combinations(range(len(names)), 2)
+                             if size[i, j] > cutoff)
+        return [names[i] for i in gone]
+    np.fill_diagonal(size, np.nan)
+    here = ~np.isnan(size)
+    value = np.where(here, size, 0.0)
     with np.errstate(all="ignore"):
-        order = np.argsort(-np.nanmean(tmp, axis=0), kind="stable")
-    x = m[np.ix_(order, order)]
-    x2 = x.copy()
-    np.fill_diagonal(x2, np.nan)
-    delete = np.zeros(p, dtype=bool)
-    for i in range(p - 1):
-        with np.errstate(invalid="ignore"):
-            if not np.any(x2[~np.isnan(x2)] > cutoff):
-                break
-        if delete[i]:
+        order = np.argsort(-value.sum(0) / here.sum(0), kind="stable")
+    standing = np.ones(len(names))
+    for i, j in itertools.combinations(order, 2):
+        if not (standing[i] and standing[j] and value[i, j] > cutoff):
             continue
-        for j in range(i + 1, p):
-            if not delete[i] and not delete[j] and not np.isnan(x[i, j]) and x[i, j] > cutoff:
-                with np.errstate(all="ignore"):
-                    mn1 = np.nanmean(x2[i, :])
-                    mn2 = np.nanmean(np.delete(x2, j, axis=0))
-                if mn1 > mn2:
-                    delete[i] = True
-                    x2[i, :] = np.nan
-                    x2[:, i] = np.nan
-                else:
-                    delete[j] = True
-                    x2[j, :] = np.nan
-                    x2[:, j] = np.nan
-    return [names[order[k]] for k in range(p) if delete[k]]
+        rest = standing.copy()
+        rest[j] = 0  # the rows of the standing columns but the second
+        own = value[i] @ standing / (here[i] @ standing)
+        others = rest @ value @ standing / (rest @ here @ standing)
+        standing[i if own > others else j] = 0
+    return [names[k] for k in order if not standing[k]]
 
 
 def correlated_columns(df: DataFrame, cols: list[str] | None = None, cutoff: float = 0.9) -> list[str]:
@@ -305,58 +281,52 @@ def outlier_counts(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
     Quartiles by exact selection, then one aggregate with the fences as literals.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
-    with parallel_input(df.select([_q(c) for c in cols])) as work:
-        fences = outlier_fences(work, cols, k, **kw)
-        aggs = []
-        for i, c in enumerate(cols):
-            _, _, lo, hi = fences[c]
-            x = as_double(c)
-            if lo is None:
-                aggs.append(F.lit(0).cast("bigint").alias(f"_o{i}"))
-            else:
-                aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"_o{i}"))
-        row = work.agg(*aggs).first()
+    fences = outlier_fences(df, cols, k, **kw)
+    aggs = []
+    for i, c in enumerate(cols):
+        _, _, lo, hi = fences[c]
+        x = as_double(c)
+        aggs.append(F.lit(0).cast("bigint").alias(f"_o{i}") if lo is None
+                    else F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"_o{i}"))
+    row = df.agg(*aggs).first() if aggs else None
     rows = [(c, *fences[c], row[f"_o{i}"]) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
         rows, "column_name string, q1 double, q3 double, lower double, upper double, outliers long")
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, exact_distinct: bool = True, **kw) -> DataFrame:
-    """A15 (flagship): one row per numeric column with nulls, distinct, min, q1, median,
+    """A15 (flagship): one row per numeric column with nulls (NaN counts as null), distinct, min, q1, median,
     mean, q3, max and 1.5-IQR outlier count.
 
     Passes: (1) one aggregate with counts, nulls, means and the quantile
     sketches; (2) bracket counts; (3) bracket values; (4) exact distinct
-    counts; (5) the outlier count with fences as literals. The number of
-    passes does not depend on the number of columns. ``exact_distinct=False``
-    replaces pass (4) by HyperLogLog++ counts inside pass (1) (bounded
-    memory, ~1% error), which avoids expanding every row once per column.
+    counts from (column, value) pairs, counted map-side first; (5) the outlier count with fences as
+    literals. The number of passes does not depend on the number of columns.
+    ``exact_distinct=False`` replaces pass (4) by HyperLogLog++ counts inside pass (1) (bounded
+    memory, ~1% error).
     """
     cols = numeric_columns(df) if cols is None else list(cols)
     extra = []
     for i, c in enumerate(cols):
-        extra += [F.count_if(_q(c).isNull()).alias(f"_z{i}"), F.avg(as_double(c)).alias(f"_m{i}")]
+        extra += [F.count_if(missing(df, c)).alias(f"_z{i}"), F.avg(as_double(c)).alias(f"_m{i}")]
         if not exact_distinct:
-            extra.append(F.approx_count_distinct(_q(c), 0.01).alias(f"_d{i}"))
-    with parallel_input(df.select([_q(c) for c in cols])) as work:
-        res, row = exact_quantiles(work, cols, [0.25, 0.5, 0.75], extra=extra, **kw)
-        # exact distinct counts on their own: mixing them into the sketch pass would
-        # expand every row once per column before the sketches see it
-        if exact_distinct:
-            dist = work.agg(*[F.count_distinct(_q(c)).alias(f"_d{i}") for i, c in enumerate(cols)]).first() \
-                if cols else {}
+            extra.append(F.approx_count_distinct(as_double(c), 0.01).alias(f"_d{i}"))
+    res, row = exact_quantiles(df, cols, [0.25, 0.5, 0.75], extra=extra, **kw)
+    if exact_distinct and cols:
+        found = {r["column_name"]: r["count"] for r in value_counts_long(df, cols).groupBy("column_name").count().collect()}
+        dist = {f"_d{i}": found.get(c, 0) for i, c in enumerate(cols)}
+    else:
+        dist = row
+    aggs = []
+    for i, c in enumerate(cols):
+        q1, _, q3 = res[c]["q"]
+        x = as_double(c)
+        if q1 is None:
+            aggs.append(F.lit(0).cast("bigint").alias(f"_o{i}"))
         else:
-            dist = row
-        aggs, fences = [], {}
-        for i, c in enumerate(cols):
-            q1, _, q3 = res[c]["q"]
-            x = as_double(c)
-            if q1 is None:
-                aggs.append(F.lit(0).cast("bigint").alias(f"_o{i}"))
-            else:
-                lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-                aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"_o{i}"))
-        outl = work.agg(*aggs).first() if cols else {}
+            lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            aggs.append(F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"_o{i}"))
+    outl = df.agg(*aggs).first() if cols else {}
     rows = []
     for i, c in enumerate(cols):
         q = res[c]

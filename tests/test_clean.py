@@ -84,3 +84,33 @@ def test_select_model_columns(spark):
     df = spark.createDataFrame([(1, "a", 2.0, 3)], "a int, s string, y double, z int")
     assert K.select_model_columns(df, "y").columns == ["y", "a", "s", "z"]
     assert K.select_model_columns(df, "y", numeric_only=True).columns == ["y", "a", "z"]
+
+
+def test_drop_rows_with_ties_and_odd_positions(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "b"), (2, "c"), (None, "d")], "k int, v string")
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    # order: None, then 1 (three alike), then 2
+    assert key(K.drop_rows(df, "2, 4, inf, -inf, nan, x, 99", ["k"]).collect()) == key([(None, "d"), (1, "a"), (2, "b"), (2, "c")])
+    assert key(K.drop_rows(df, "1.9", ["k"]).collect()) == key([(1, "a")] * 3 + [(2, "b"), (2, "c")])
+    assert K.drop_rows(df, "5,6", ["k", "v"]).count() == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        assert K.drop_rows(df, [1], ["k"]).count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_drop_rows_sorts_no_rows_of_the_table(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = K.drop_rows(li, "3, 7", ["l_orderkey", "l_linenumber"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan.lower()
+
+
+def test_nan_counts_as_missing_and_small_tables(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, nan), (2.0, nan), (3.0, nan), (4.0, 1.0)], "a double, b double")
+    assert K.sparse_columns(df) == ["b"] and K.drop_sparse_columns(df).columns == ["a"]
+    for n in range(1, 6):
+        rows = [(float(i), 7.0, "x") for i in range(n)]
+        df = spark.createDataFrame(rows, "a double, same double, text string")
+        assert set(K.nzv_columns(df)) >= {"same", "text"}

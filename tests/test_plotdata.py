@@ -102,3 +102,42 @@ def test_metrics_long_drops_nulls(spark):
     m = spark.createDataFrame([("lm", 1.0, None, 0.5), ("rf", None, None, None)],
                               "model string, rmse double, mape double, r_squared double")
     assert sorted(tuple(r) for r in P.metrics_long(m).collect()) == [("lm", "r_squared", 0.5), ("lm", "rmse", 1.0)]
+
+
+def test_sample_of_repeated_rows_is_uniform(spark):
+    df = spark.range(40_000).select((F.col("id") % 4).cast("double").alias("v"))
+    got = {r["v"]: r["count"] for r in P.plot_sample(df, 4000, seed=2).groupBy("v").count().collect()}
+    assert sum(got.values()) == 4000 and all(abs(c - 1000) < 150 for c in got.values())
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    pairs = P.scatter_points(li, "l_quantity", "l_discount", n=10_000).distinct().count()
+    assert pairs == li.select("l_quantity", "l_discount").distinct().count()
+    assert P.scatter_points(li, "l_quantity", "l_discount").count() == li.count()
+
+
+def test_frequent_value_is_spread(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") % 10 < 7, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    pts = P.qq_points(df, "v")
+    per = [r["count"] for r in pts.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 100_000 and max(per) < 50_000
+    assert pts.agg(F.countDistinct("position")).first()[0] == 100_000
+
+
+def test_numeric_x_is_one_box(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    r = P.boxplot_by(li, "l_quantity", "l_extendedprice").collect()
+    b = P.boxplot_stats(li, ["l_extendedprice"]).first()
+    assert len(r) == 1 and r[0]["l_quantity"] is None
+    assert (r[0].n, r[0].q1, r[0].median, r[0].q3, r[0].outliers) == (b.n, b.q1, b.median, b.q3, b.outliers)
+
+
+def test_wide_range_histogram(spark):
+    df = spark.createDataFrame([(0.0,), (1e11,), (1e11,)], "x double")
+    rows = P.histogram_width(df, "x", 10.0).orderBy("bin").collect()
+    assert [r["count"] for r in rows] == [1, 2] and rows[1].bin == 10_000_000_000
+
+
+def test_pair_matrix_has_all_panels(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "value")
+    got = {(r.panel, r.var1, r.var2): r["count"] for r in P.pair_matrix(ev, n=500, points=64).groupBy("panel", "var1", "var2").count().collect()}
+    assert got == {("corr", "user_id", "value"): 1, ("density", "user_id", None): 64, ("density", "value", None): 64,
+                   ("point", "user_id", "value"): 500}

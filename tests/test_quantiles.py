@@ -52,3 +52,23 @@ def test_events_value_matches_survey(spark):
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     q = exact_quantiles(ev, ["value"], [0.25, 0.5, 0.75])["value"]["q"]
     assert [round(v, 4) for v in q] == [14.56, 34.59, 69.1475]
+
+
+@pytest.mark.parametrize("half", [0.0, 1.0])
+def test_a_value_that_half_the_rows_share(spark, half):
+    import numpy as np
+
+    from tabwise.functions import quantiles as Q
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([np.full(6000, half), rng.random(6000)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(4)
+    seen = []
+    real = Q._resolve
+    Q._resolve = lambda base, ts: (seen.extend(t.inside for t in ts), real(base, ts))
+    try:
+        got = Q.exact_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.51, 0.75, 0.9], accuracy=50, resolve_limit=50)["x"]["q"]
+    finally:
+        Q._resolve = real
+    assert got == pytest.approx(list(np.quantile(x, [0.1, 0.25, 0.5, 0.51, 0.75, 0.9])), abs=1e-12)
+    assert all(n <= 50 for n in seen)
