@@ -1,10 +1,9 @@
 """Sufficient statistics for linear models in one distributed pass.
 
 For Z = [1 | X | y] the matrix ZᵀZ holds n, the column sums, XᵀX, Xᵀy and
-yᵀy. Each Arrow batch contributes its partial ZᵀZ per group (fold) through
-``mapInPandas`` (numpy inside the task); the partials are summed by a
-``groupBy`` with map-side combine. Only (groups x (p+2)^2) numbers reach the
-driver, whatever the row count, and every later fit, cross-validation score
+yᵀy. Each partition contributes one partial ZᵀZ a group (fold), formed with numpy
+inside the task; the partials are summed in two levels. Only (groups x
+(p+2)^2) numbers of a few lanes reach the driver, whatever the row count, and every later fit, cross-validation score
 and prediction error for a linear model is algebra on these matrices.
 """
 
@@ -14,74 +13,89 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.partials import summed_arrays
 from ..functions.quantiles import as_double
 
 
-def gram_by_group(df: DataFrame, features: list[str], label: str, group: Column | None = None,
-                  feature_fn=None, n_out: int | None = None) -> dict:
-    """``{group: ZᵀZ}`` with Z = [1 | features | label]; rows with a null are skipped.
+class Grams(dict):
+    """``{group: ZᵀZ}`` of Z = [1 | features - shift | label - shift]; group = repeat * k + fold, 0 without folds."""
 
-    ``feature_fn`` maps a batch's (rows x p) feature block to (rows x n_out)
-    derived features (random Fourier features, hinge functions) inside the
-    task, so derived columns never travel through Arrow or the shuffle.
+    shift: np.ndarray
+
+    def moments(self, m: np.ndarray) -> "Moments":
+        return Moments(m, self.shift)
+
+
+def gram_by_group(df: DataFrame, features: list[str], label: str, folds: list[Column] | None = None, k: int = 1,
+                  feature_fn=None, n_out: int | None = None) -> Grams:
+    """Sufficient statistics by fold; rows with a null are skipped.
+
+    A first aggregate takes the column means; the pass subtracts them before it multiplies, so ids,
+    timestamps and prices in cents keep their digits. ``folds`` holds one fold column (0 to k - 1) a repeat;
+    every batch is added to all repeats, no row is multiplied.
+
+    ``feature_fn`` maps a batch's (rows x p) feature block to (rows x n_out) derived features (random
+    Fourier features, hinge functions) inside the task, so derived columns never travel through Arrow or
+    the shuffle; of derived features only the label is shifted.
     """
     p = len(features)
     cols = [as_double(c).alias(f"_x{i}") for i, c in enumerate(features)] + [as_double(label).alias("_y")]
-    g = (group if group is not None else F.lit(0)).cast("long").alias("_g")
-    base = df.select(g, *cols).na.drop("any")
+    fold_cols = [f.cast("int").alias(f"_f{r}") for r, f in enumerate(folds or [])]
+    base = df.select(*fold_cols, *cols).na.drop("any")
     xnames = [f"_x{i}" for i in range(p)]
+    means = base.agg(*[F.avg(c).alias(c) for c in [*xnames, "_y"]]).first()
     d = (n_out if feature_fn is not None else p) + 2
-    iu = np.triu_indices(d)
+    shift = np.zeros(d - 1)
+    if feature_fn is None:
+        shift[:p] = [means[c] or 0.0 for c in xnames]
+    shift[-1] = means["_y"] or 0.0
+    reps = len(fold_cols)
 
     def partial(batches):
-        import pandas as pd
-
-        acc: dict = {}  # one matrix per group for the whole partition, emitted once at its end
+        acc: dict = {}  # one matrix a group for the whole partition
         for pdf in batches:
             if pdf.empty:
                 continue
-            for gv, part in pdf.groupby("_g", sort=False):
-                x = part[xnames].to_numpy(dtype=float)
-                if feature_fn is not None:
-                    x = feature_fn(x)
-                z = np.empty((len(part), d))
-                z[:, 0] = 1.0
-                z[:, 1:d - 1] = x
-                z[:, d - 1] = part["_y"].to_numpy(dtype=float)
-                m = z.T @ z
-                acc[gv] = acc[gv] + m if gv in acc else m
-        for gv, m in acc.items():
-            yield pd.DataFrame({"_g": np.full(len(iu[0]), gv, dtype="int64"),
-                                "i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "v": m[iu]})
-
-    parts = base.mapInPandas(partial, "_g long, i int, j int, v double")
-    rows = parts.groupBy("_g", "i", "j").agg(F.sum("v").alias("v")).collect()
-    out: dict = {}
-    for r in rows:
-        m = out.setdefault(r["_g"], np.zeros((d, d)))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
+            x = pdf[xnames].to_numpy(dtype=float)
+            z = np.empty((len(pdf), d))
+            z[:, 0] = 1.0
+            z[:, 1:d - 1] = feature_fn(x) if feature_fn is not None else x
+            z[:, d - 1] = pdf["_y"].to_numpy(dtype=float)
+            z[:, 1:] -= shift
+            for r in range(max(reps, 1)):
+                fold = pdf[f"_f{r}"].to_numpy() if reps else np.zeros(len(pdf), dtype=int)
+                for f in np.unique(fold):
+                    part = z[fold == f]
+                    m = part.T @ part
+                    g = r * k + int(f)
+                    acc[g] = acc[g] + m if g in acc else m
+        yield from acc.items()
+
+    out = Grams(summed_arrays(base, partial))
+    out.shift = shift
     return out
 
 
 class Moments:
-    """Centred second moments from a ZᵀZ matrix."""
+    """Centred second moments from a ZᵀZ matrix of shifted columns."""
 
-    def __init__(self, m: np.ndarray):
+    def __init__(self, m: np.ndarray, shift: np.ndarray | None = None):
         self.m = m
         self.n = m[0, 0]
         p = m.shape[0] - 2
         self.p = p
+        self.shift = np.zeros(p + 1) if shift is None else shift
         n = max(self.n, 1.0)
-        sx = m[0, 1:p + 1]
-        sy = m[0, p + 1]
-        self.mx = sx / n
-        self.my = sy / n
-        self.cxx = m[1:p + 1, 1:p + 1] / n - np.outer(self.mx, self.mx)
-        self.cxy = m[1:p + 1, p + 1] / n - self.mx * self.my
-        self.vyy = m[p + 1, p + 1] / n - self.my ** 2
+        dx, dy = m[0, 1:p + 1] / n, m[0, p + 1] / n
+        self.mx = dx + self.shift[:p]
+        self.my = dy + self.shift[p]
+        self.cxx = m[1:p + 1, 1:p + 1] / n - np.outer(dx, dx)
+        self.cxy = m[1:p + 1, p + 1] / n - dx * dy
+        self.vyy = m[p + 1, p + 1] / n - dy ** 2
 
     def sse(self, b0: float, beta: np.ndarray) -> float:
         """Σ (y - b0 - xβ)² over the rows of this matrix."""
+        b0 = b0 + self.shift[:self.p] @ beta - self.shift[self.p]
         w = np.concatenate([[-b0], -beta, [1.0]])
         return float(max(w @ self.m @ w, 0.0))
 
@@ -128,12 +142,14 @@ def fit_ols(mo: Moments):
 
 def fit_elastic_net(mo: Moments, lam: float, alpha: float, tol: float = 1e-9, max_iter: int = 10_000,
                     start: np.ndarray | None = None):
-    """Minimise 1/(2n) Σ(y - b0 - xβ)² + lam * ((1-alpha)/2 |β|² + alpha |β|₁),
+    """Minimise 1/(2n) Σ(y - b0 - xβ)² + lam * ((1-alpha)/2 |β|² / sd(y) + alpha |β|₁),
     intercept unpenalised, by coordinate descent on the covariance form
-    (``start`` warm-starts along a lambda path)."""
+    (``start`` warm-starts along a lambda path). The L2 term is on the scale of a
+    standardized label, as in Spark's LinearRegression (sd(y): sample)."""
     p = mo.p
     c, cc = mo.cxx, mo.cxy
-    l1, l2 = lam * alpha, lam * (1 - alpha)
+    sd = float(np.sqrt(max(mo.vyy, 0.0) * mo.n / max(mo.n - 1, 1.0)))
+    l1, l2 = lam * alpha, lam * (1 - alpha) / (sd or 1.0)
     if alpha == 0.0 or p == 0:
         beta = np.linalg.lstsq(c + l2 * np.eye(p), cc, rcond=None)[0] if p else np.zeros(0)
         return mo.my - mo.mx @ beta, beta

@@ -1,15 +0,0 @@
-"""Streaming: the reference has no event streams.
-
-A fitted ``Comparison`` scores with column expressions (linear family) or a
-Spark ML transform (trees), both of which accept a streaming DataFrame, so
-``score_stream`` is the whole streaming surface.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-
-
-def score_stream(comparison, stream_df: DataFrame, model: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Apply the fitted preparation and model to a streaming (or batch) frame."""
-    return comparison.predict(stream_df, model=model, keep=keep)

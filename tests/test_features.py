@@ -11,8 +11,8 @@ def _mixed(spark):
 
 
 @pytest.mark.parametrize("target,msg", [
-    ("nope", "Target variable not found in dataset."),
-    ("cat", "Target variable must be numeric for regression."),
+    ("nope", "has no column"),
+    ("cat", "is not numeric"),
 ])
 def test_validation_messages(spark, target, msg):
     with pytest.raises(FE.PreprocessError, match=msg):
@@ -21,13 +21,13 @@ def test_validation_messages(spark, target, msg):
 
 def test_more_validation_messages(spark):
     only = spark.createDataFrame([(1.0,), (2.0,)], "y double")
-    with pytest.raises(FE.PreprocessError, match="No predictor variables available."):
+    with pytest.raises(FE.PreprocessError, match="only column"):
         FE.preprocess(only, "y")
     nulls = spark.createDataFrame([(None, 1.0), (None, 2.0)], "y double, x double")
-    with pytest.raises(FE.PreprocessError, match="All rows have missing values in target variable."):
+    with pytest.raises(FE.PreprocessError, match="no row has a value"):
         FE.preprocess(nulls, "y")
     tiny = spark.createDataFrame([(1.0, 1.0, 2.0), (2.0, 3.0, 1.0)], "y double, a double, b double")
-    with pytest.raises(FE.PreprocessError, match="Not enough data points after preprocessing."):
+    with pytest.raises(FE.PreprocessError, match="more rows than predictors"):
         FE.preprocess(tiny, "y")
 
 
@@ -91,3 +91,43 @@ def test_standardize_fill_and_align(spark):
     assert (row.a, row.s) == (2.0, "p")
     al = FE.align_features(df, ["y", "zz", "a"]).first()
     assert (al.y, al.zz, al.a) == (5.0, 0.0, 1.0)
+
+
+def test_text_ids_do_not_become_columns(spark):
+    """A column of ids and a column of 30 levels: only levels of at least a twentieth of the rows leave Spark."""
+    rows = [(float(i), f"id{i}", f"l{i % 30}" if i % 2 else "big", 2.0 * i) for i in range(900)]
+    df = spark.createDataFrame(rows, "x double, id string, c string, y double")
+    n, fills, levels = FE.fit_fill_values(df, ["x"], ["id", "c"], all_levels=False)
+    assert levels == {"id": [], "c": ["big"]} and n == 900
+    pre, prepared = FE.preprocess(df, "y", corr_cutoff=None)
+    assert pre.features == ["x", "c_big"] and prepared.count() == 900
+
+
+def test_level_filter_is_the_near_zero_variance_rule(spark):
+    import random
+
+    from tabwise.operators.clean import nzv_columns
+
+    rnd = random.Random(3)
+    for n in (5, 19, 20, 21, 60, 200):
+        rows = [(float(i), rnd.choice("aaaaaaaaaaaaaaaaaabcdd") if rnd.random() > 0.1 else None) for i in range(n)]
+        df = spark.createDataFrame(rows, "y double, c string")
+        _, fills, levels = FE.fit_fill_values(df, [], ["c"], all_levels=False)
+        filled = df.na.fill(fills)
+        wide = FE.one_hot(filled.select("c"), ["c"])
+        flagged = set(nzv_columns(wide))
+        assert [f"c_{v}" for v in levels["c"]] == [c for c in wide.columns if c not in flagged], n
+
+
+def test_score_rows_take_inputs(spark):
+    df = spark.createDataFrame([(1.0, 10, "b", 1.0), (3.0, 30, "a", 2.0)], "x double, k int, c string, y double")
+    assert FE.fill_score_row(df, "y").first().asDict() == {"x": 2.0, "k": 20.0, "c": "a"}
+    assert FE.fill_score_row(df, "y", {"x": 7, "nope": 1}).first().asDict() == {"x": 7.0, "k": 20.0, "c": "a"}
+    table = spark.createDataFrame([(None, "z"), (5.0, None), (float("nan"), "q")], "x double, c string")
+    assert [tuple(r) for r in FE.fill_score_row(df, "y", table).collect()] == [(2.0, 20.0, "z"), (5.0, 20.0, "a"), (2.0, 20.0, "q")]
+
+
+def test_one_hot_vector(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "c string")
+    got = [r["one_hot"].toArray().tolist() for r in FE.one_hot_vector(df, ["c"]).collect()]
+    assert got == [[0, 1, 0], [1, 0, 0], [0, 0, 1], [1, 0, 0]]

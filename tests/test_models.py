@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabwise.plans import evaluate as V
 from tabwise.plans import models as M
-from tabwise.plans.gram import Moments, fit_elastic_net, gram_by_group
+from tabwise.plans.gram import fit_elastic_net, gram_by_group
 from tabwise.sources.tables import fixture
 
 SF = "/root/testdata/sf0.01"
@@ -27,33 +27,53 @@ def test_lm_recovers_fx_reg(spark):
     assert m.r_squared == pytest.approx(0.995958, abs=1e-6)
 
 
-def test_ridge_matches_closed_form_and_lasso_kkt(spark):
+@pytest.mark.parametrize("alpha", [0.0, 1.0])
+@pytest.mark.parametrize("lam", [0.01, 0.5])
+def test_ridge_and_lasso_agree_with_sparks_linear_regression(spark, alpha, lam):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    reg = _reg3(spark, SMALL)
+    feats = ["l_quantity", "l_discount", "flag_r"]
+    data = VectorAssembler(inputCols=feats, outputCol="features").transform(reg)
+    want = LinearRegression(labelCol="y", regParam=lam, elasticNetParam=alpha, standardization=False, solver="l-bfgs",
+                            tol=1e-12, maxIter=1000).fit(data)
+    g = gram_by_group(reg, feats, "y")
+    b0, beta = fit_elastic_net(g.moments(g[0]), lam, alpha)
+    assert beta == pytest.approx(want.coefficients.toArray(), rel=2e-3, abs=2e-3)
+    assert b0 == pytest.approx(want.intercept, rel=2e-3, abs=2e-3)
+
+
+def test_slopes_keep_their_digits_far_from_zero(spark):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 3))
-    y = x @ np.array([1.0, -2.0, 0.0]) + 0.5 + rng.normal(scale=0.1, size=200)
-    df = spark.createDataFrame([tuple(map(float, r)) + (float(v),) for r, v in zip(x, y)], "a double, b double, c double, y double")
-    mo = Moments(gram_by_group(df, ["a", "b", "c"], "y")[0])
-    xc, yc = x - x.mean(0), y - y.mean()
-    lam = 0.3
-    b0, beta = fit_elastic_net(mo, lam, 0.0)
-    expect = np.linalg.solve(xc.T @ xc / 200 + lam * np.eye(3), xc.T @ yc / 200)
-    assert beta == pytest.approx(expect, abs=1e-9)
-    b0, beta = fit_elastic_net(mo, 0.2, 1.0)
-    grad = xc.T @ (yc - xc @ beta) / 200
-    for g, b in zip(grad, beta):
-        if b != 0:
-            assert g == pytest.approx(0.2 * np.sign(b), abs=1e-6)
-        else:
-            assert abs(g) <= 0.2 + 1e-9
-
-
-def test_fold_sizes_sum_to_rows(spark):
+    x = rng.normal(size=2000)
+    for far in (1e6, 1e9):
+        df = spark.createDataFrame([(float(far + v), float(far + 2 * v)) for v in x], "x double, y double").repartition(3)
+        fit = M.fit_linear(df, ["x"], "y", "lm", cv="none")
+        assert fit.coef["x"] == pytest.approx(2.0, abs=1e-5)
+
+
+def _fold_rows(df, k, reps):
+    return sorted(map(tuple, M.fold_sizes(df, k, reps).collect()))
+
+
+def test_folds_are_balanced_and_independent_of_partitioning(spark):
     reg = fixture(spark, SMALL, "fx_reg")
     n = reg.count()
-    sizes = M.fold_sizes(reg, 5, 3).collect()
+    sizes = _fold_rows(reg, 5, 3)
+    for p in (1, 3, 7):
+        assert _fold_rows(reg.repartition(p), 5, 3) == sizes
     for r in range(3):
-        assert sum(x.n for x in sizes if x.rep == r) == n
-    assert {x.fold for x in sizes} == set(range(5))
+        mine = [c for rep, _, c in sizes if rep == r]
+        assert sum(mine) == n and len(mine) == 5 and max(mine) - min(mine) <= 5 ** r
+    few = spark.createDataFrame([(float(i % 6), float(i % 6)) for i in range(1000)], "x double, y double").repartition(4)
+    assert {c for rep, _, c in _fold_rows(few, 5, 1)} == {200}
+
+
+def test_folds_of_the_same_row_do_not_move(spark):
+    reg = fixture(spark, SMALL, "fx_reg").select("y", "l_quantity", "l_discount").distinct()
+    a, b = (M.with_fold_positions(reg.repartition(p)).collect() for p in (2, 5))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
 def test_compare_models_ranks_and_scores(spark):
@@ -62,8 +82,8 @@ def test_compare_models_ranks_and_scores(spark):
                            cv="repeatedcv", k=3, repeats=2, num_trees=10)
     rows = {r.model: r for r in res.metrics.collect()}
     assert rows["nope"].rmse is None and "nope" in rows["nope"].error  # defect B5: fixed schema
-    for m in ["lm", "glmnet", "lasso", "earth", "svmRadial", "tree", "rf"]:
-        assert rows[m].rmse is not None and rows[m].error is None
+    for m in ["lm", "glmnet", "lasso", "earth", "rbf_ridge", "tree", "rf"]:
+        assert rows[m].rmse is not None and rows[m].error is None and rows[m].cv_rmse > 0.5 * rows[m].rmse
     assert rows["lm"].r_squared > 0.99
     best = min((r.rmse, i, r.model) for i, r in enumerate(res.metrics.collect()) if r.rmse is not None)[2]
     assert res.best == best
@@ -72,10 +92,36 @@ def test_compare_models_ranks_and_scores(spark):
     imp = V.variable_importance(res.fitted["rf"])
     assert imp.count() <= 15 and imp.agg(F.max("importance")).first()[0] == 100.0
     assert V.model_summary(res.fitted["lasso"]).count() > 3
+    wide = M.Fitted("lm", [f"c{i}" for i in range(80)], coef={f"c{i}": float(i) for i in range(80)})
+    assert V.model_summary(wide).where("name LIKE 'coef%'").count() == 80
+
+
+def test_held_out_error_is_that_of_the_folds(spark):
+    reg = _reg3(spark, SMALL)
+    feats = ["l_quantity", "l_discount", "flag_r"]
+    rows = M.with_fold_positions(reg)
+    fit = M.fit_linear(rows, feats, "y", "lm", cv="cv", k=4)
+    pdf = rows.toPandas()
+    want = []
+    for f in range(4):
+        hold = pdf[M.FOLD_POS] % 4 == f
+        z = np.column_stack([np.ones(len(pdf)), pdf[feats].to_numpy()])
+        b = np.linalg.lstsq(z[~hold], pdf.y[~hold], rcond=None)[0]
+        want.append(np.sqrt(np.mean((pdf.y[hold] - z[hold] @ b) ** 2)))
+    assert fit.cv_rmse == pytest.approx(np.mean(want), rel=1e-9)
+    tree = M.fit_tree(rows, feats, "y", "tree", cv="cv", k=4)
+    assert 0 < tree.cv_rmse < pdf.y.std()
+
+
+def test_task_routes_the_comparison(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7), "ab"[i % 2 if i % 9 else 0], 2.0 * i) for i in range(60)],
+                               "x double, w double, c string, y double")
+    assert V.compare(df, "y", models=["lm"], cv="none").columns[0:2] == ["model", "rmse"]
+    assert [r.model for r in V.compare(df, "c").collect()] == ["logistic", "tree", "rf"]
 
 
 def test_boosting_runs(spark):
-    reg = fixture(spark, SMALL, "fx_reg").limit(400)
+    reg = fixture(spark, SMALL, "fx_reg")
     res = V.compare_models(reg, "y", models=["gbm", "xgbTree"], cv="none")
     assert all(r.rmse is not None for r in res.metrics.collect())
 
