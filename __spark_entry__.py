@@ -3,15 +3,13 @@
 Every query reads the driver tables (or a fixture view derived from them by
 SQL) in full. Doubles are rounded to 6 decimals on both sides so the value
 hash compares numbers, not the last bits of two engines' arithmetic.
-Queries without an oracle are the ones SQL cannot express (hash-based folds,
-tree ensembles, iterative fits); they get the rows-only check and pytest
+Queries without an oracle are the ones SQL cannot express (tree ensembles,
+iterative fits, random samples); they get the rows-only check and pytest
 properties.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +24,6 @@ from tabwise.operators import schema as S
 from tabwise.plans import evaluate as V
 from tabwise.plans import features as FE
 from tabwise.plans import models as M
-from tabwise.session import ensure_checkpoint_dir
 from tabwise.sources import csv as CSV
 from tabwise.sources.tables import FIXTURE_SQL, fixture, read_table
 
@@ -156,8 +153,9 @@ def _q_remove_joint(spark, sf):
 ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
-def _orders(spark, sf):
-    return _t(spark, sf, "orders").select(*ORDERS_COLS)
+def _day(df):
+    """The order's timestamp as text, which both engines write alike."""
+    return df.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 def _q_drop_columns(spark, sf):
@@ -168,7 +166,7 @@ DROP_ROWS_TEXT = "1, 5, x, 15000, 20000, 0, -3, 7.5"
 
 
 def _q_drop_rows(spark, sf):
-    return K.drop_rows(_orders(spark, sf), DROP_ROWS_TEXT, ["o_orderkey"])
+    return _day(K.drop_rows(_t(spark, sf, "orders"), DROP_ROWS_TEXT, ["o_orderkey"]))
 
 
 def _q_select_numeric(spark, sf):
@@ -192,7 +190,7 @@ def _q_model_columns(spark, sf):
 
 
 def _q_preview(spark, sf):
-    return K.preview(_orders(spark, sf), ["o_orderkey"], page=3, page_size=20, search="urgent")
+    return _day(K.preview(_t(spark, sf, "orders"), ["o_orderkey"], page=3, page_size=20, search="urgent"))
 
 
 def _q_drop_duplicates(spark, sf):
@@ -211,12 +209,63 @@ def _q_boxplot_by(spark, sf):
     return rounded(P.boxplot_by(_t(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice"))
 
 
+def _q_boxplot_numeric(spark, sf):
+    return rounded(P.boxplot_by(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
+def _q_line_buckets(spark, sf):
+    return rounded(P.line_buckets(_t(spark, sf, "events"), "event_id", "value", buckets=100))
+
+
+def _q_pair_matrix(spark, sf):
+    return rounded(P.pair_matrix(_t(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"], n=2_000))
+
+
+def _q_null_counts_nan(spark, sf):
+    return PR.null_counts(fixture(spark, sf, "fx_nan"))
+
+
+def _q_profile_nan(spark, sf):
+    return rounded(PR.profile(fixture(spark, sf, "fx_nan")))
+
+
+def _q_drop_sparse_nan(spark, sf):
+    return K.drop_sparse_columns(fixture(spark, sf, "fx_nan")).select("event_id", F.round("value", 6).alias("value"))
+
+
+def _q_column_names(spark, sf):
+    return S.column_names(fixture(spark, sf, "fx_gap"))
+
+
+def _q_numeric_list(spark, sf):
+    return spark.createDataFrame([(S.numeric_column_list(fixture(spark, sf, "fx_gap")),)], "numeric_columns string")
+
+
+def _q_guard(spark, sf):
+    return CSV.empty_guard(_t(spark, sf, "orders")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _q_validate(spark, sf):
+    names = FE.validate_target(fixture(spark, sf, "fx_reg"), "y")
+    return spark.createDataFrame([(n,) for n in names], "predictor string")
+
+
+def _q_residuals(spark, sf):
+    pts, _ = V.regression_diagnostics(fixture(spark, sf, "fx_reg").select("y", "l_quantity", "l_discount"), "y")
+    return rounded(pts)
+
+
+def _q_qq_residuals(spark, sf):
+    pts, _ = V.regression_diagnostics(fixture(spark, sf, "fx_reg").select("y", "l_quantity"), "y")
+    return rounded(P.qq_points(pts, "residual"), 5)
+
+
 def _q_scatter_bins(spark, sf):
     return P.scatter_bins(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", bins=20)
 
 
 def _q_scatter_points(spark, sf):
-    return P.scatter_points(_t(spark, sf, "lineitem"), n=10_000, seed=3)
+    return P.scatter_points(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
 
 def _q_line(spark, sf):
@@ -256,8 +305,16 @@ def _q_sample(spark, sf):
     return P.plot_sample(_t(spark, sf, "lineitem"), n=10_000, seed=7)
 
 
+def _q_sample_members(spark, sf):
+    """How many rows the sample has, and how many of them are rows of the table."""
+    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    sample = P.plot_sample(li, n=10_000, seed=7)
+    there = sample.join(li.distinct(), li.columns, "left_semi").agg(F.count(F.lit(1)).alias("members"))
+    return sample.agg(F.count(F.lit(1)).alias("n")).crossJoin(there)  # one row each
+
+
 def _q_density(spark, sf):
-    return P.density_curve(_t(spark, sf, "events"), "value")
+    return rounded(P.density_curve(_t(spark, sf, "events"), "value"))
 
 
 def _q_one_hot(spark, sf):
@@ -311,38 +368,47 @@ def _q_folds(spark, sf):
     return M.fold_sizes(fixture(spark, sf, "fx_reg"), 5, 3)
 
 
+def _cores(spark):
+    """Partitions that the prepared rows of a training query are dealt into: training reads them many times."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _q_compare(spark, sf):
-    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y",
-                           models=["lm", "glmnet", "lasso", "earth", "svmRadial", "rf", "tree"],
-                           cv="cv", k=5, num_trees=20)
-    return res.metrics
+    return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["lm", "glmnet", "lasso", "earth", "rbf_ridge", "tree"],
+                            cv="cv", k=5, partitions=_cores(spark)).metrics
 
 
-def _q_boosting(spark, sf):
-    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["gbm"], cv="none")
-    return res.metrics
+def _q_forest(spark, sf):
+    return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["rf"], cv="none", partitions=_cores(spark)).metrics
 
 
-_FITTED: dict = {}
-SHARED_MODELS = ["lm", "glmnet", "lasso"]
+def _q_boosting(spark, sf):
+    return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["gbm", "xgbTree"], cv="none",
+                            partitions=_cores(spark)).metrics
 
 
-def _shared_comparison(spark, sf):
-    """One fitted comparison per session and table directory, queried by the
-    prediction, importance, best-model and metrics queries (fit once, use many)."""
-    key = (id(spark), sf)
-    if key not in _FITTED:
-        _FITTED[key] = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=SHARED_MODELS, cv="cv", k=5)
-    return _FITTED[key]
+def _one_predictor(spark, sf, models):
+    reg = fixture(spark, sf, "fx_reg").select("y", "l_quantity")
+    return V.compare_models(reg, "y", models=models, cv="none")
 
 
 def _q_predict(spark, sf):
-    res = _shared_comparison(spark, sf)
-    return res.predict(fixture(spark, sf, "fx_reg").drop("y"), keep=["l_quantity", "l_returnflag"])
+    score = fixture(spark, sf, "fx_reg").select("l_quantity")
+    return rounded(_one_predictor(spark, sf, ["lm"]).predict(score, keep=["l_quantity"]))
 
 
 def _q_best(spark, sf):
-    return V.best_model(_shared_comparison(spark, sf).metrics, SHARED_MODELS)
+    models = ["mean", "lm"]
+    return rounded(V.best_model(_one_predictor(spark, sf, models).metrics, models).drop("cv_rmse", "error"))
+
+
+def _q_metrics_long(spark, sf):
+    return rounded(P.metrics_long(_one_predictor(spark, sf, ["mean", "lm"]).metrics))
+
+
+def _q_importance(spark, sf):
+    reg = fixture(spark, sf, "fx_reg").select("y", "l_quantity", "l_discount")
+    return rounded(V.variable_importance(V.compare_models(reg, "y", models=["lm"], cv="none").fitted["lm"]))
 
 
 def _q_summary_model(spark, sf):
@@ -355,30 +421,19 @@ def _q_qq_line(spark, sf):
     return rounded(spark.createDataFrame([(line["slope"], line["intercept"])], "slope double, intercept double"))
 
 
-def _q_importance(spark, sf):
-    return V.variable_importance(_shared_comparison(spark, sf).fitted["lm"])
-
-
-def _q_metrics_long(spark, sf):
-    return P.metrics_long(_shared_comparison(spark, sf).metrics)
-
-
 def _q_classify(spark, sf):
     li = _t(spark, sf, "lineitem")
-    return M.compare_classifiers(li, "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-                                 models=("logistic", "tree"))
+    return M.compare_classifiers(li, "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
 def _q_read_csv(spark, sf):
-    """The fixture written as CSV with three null spellings, read back and typed."""
-    gap = fixture(spark, sf, "fx_gap")
+    """The fixture as CSV lines with three null spellings, quotes, commas and line breaks, read back and typed."""
+    gap = fixture(spark, sf, "fx_gap").withColumn("said", F.concat(F.lit('he said "'), F.col("status"), F.lit('", ok\nthen left')))
     token = {"price": "NA", "mostly_null": "?", "priority": ""}
-    as_text = gap.select(*[
-        F.coalesce(F.col(c).cast("string"), F.lit(token.get(c, "NA"))).alias(c) for c in gap.columns
-    ])
-    path = os.path.join(ensure_checkpoint_dir(spark), f"tabwise-csv-{uuid.uuid4().hex}")
-    as_text.write.option("header", True).option("emptyValue", "").csv(path)
-    return rounded(CSV.read_table_csv(spark, path))
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit(token.get(c, "NA"))) for c in gap.columns]
+    quoted = [F.concat(F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"')) for f in fields]
+    lines = gap.select(F.concat_ws(",", *quoted).alias("line"))
+    return rounded(CSV.table_of_lines(lines, gap.columns))
 
 
 def _q_normalize(spark, sf):
@@ -455,6 +510,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "classify_returnflag": _q_classify,
         "read_table_csv_fx_gap": _q_read_csv,
         "normalize_names_lineitem": _q_normalize,
+        "boxplot_by_quantity": _q_boxplot_numeric,
+        "line_buckets_events": _q_line_buckets,
+        "pair_matrix_lineitem": _q_pair_matrix,
+        "null_counts_fx_nan": _q_null_counts_nan,
+        "profile_fx_nan": _q_profile_nan,
+        "drop_sparse_columns_fx_nan": _q_drop_sparse_nan,
+        "column_names_fx_gap": _q_column_names,
+        "numeric_columns_fx_gap": _q_numeric_list,
+        "empty_guard_orders": _q_guard,
+        "validate_target_fx_reg": _q_validate,
+        "residual_points_fx_reg": _q_residuals,
+        "qq_residuals_fx_reg": _q_qq_residuals,
+        "plot_sample_members_lineitem": _q_sample_members,
+        "forest_fx_reg": _q_forest,
     }
     if corpus_pipeline is not None:
         own["pipeline"] = corpus_pipeline.run
@@ -605,6 +674,24 @@ def _sql_summary() -> str:
     return (_with("fx_gap") + f"SELECT * FROM ({body}) AS s({cols})")
 
 
+def _sql_preprocess() -> str:
+    """F1 on fx_gap: nulls filled, dummies made, (nearly) constant columns left out, scaled. ``mostly_null`` stays: filled
+    with its mean, it has more than 10 % distinct values over the rows with a price."""
+    raw = {"id": "CAST(id AS DOUBLE)",
+           "mostly_null": "coalesce(CAST(mostly_null AS DOUBLE), (SELECT avg(CAST(mostly_null AS DOUBLE)) FROM kept))",
+           "price_copy": "price_copy", "cust": "CAST(cust AS DOUBLE)"}
+    for v in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
+        name = "priority_" + v.replace("-", "_").replace(" ", "_")
+        raw[name] = f"CASE WHEN coalesce(priority, (SELECT v FROM mode)) = '{v}' THEN 1.0 ELSE 0.0 END"
+    for v in ("F", "O", "P"):
+        raw[f"status_{v}"] = f"CASE WHEN status = '{v}' THEN 1.0 ELSE 0.0 END"
+    return (_with("fx_gap") + ", kept AS (SELECT * FROM fx_gap WHERE price IS NOT NULL), "
+            "mode AS (SELECT priority AS v FROM kept WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1), "
+            "r AS (SELECT price, " + ", ".join(f"{e} AS {c}" for c, e in raw.items()) + " FROM kept) "
+            "SELECT " + _r("price") + " AS price, "
+            + ", ".join(_r(f"({c} - (SELECT avg({c}) FROM r)) / (SELECT stddev_samp({c}) FROM r)") + f" AS {c}" for c in raw) + " FROM r")
+
+
 def oracle_sql() -> dict[str, str]:
     gap = _with("fx_gap")
     reg = _with("fx_reg")
@@ -656,19 +743,19 @@ def oracle_sql() -> dict[str, str]:
     q["remove_outliers_sequential"] = _sql_remove("sequential")
     q["remove_outliers_joint"] = _sql_remove("joint")
     q["drop_columns_orders"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
-    drop = [p for p in K.parse_positions(DROP_ROWS_TEXT) if p > 0]
+    day = "CAST(o_orderdate AS VARCHAR) AS o_orderdate"
     q["drop_rows_orders"] = (
-        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM "
-        "(SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE rn NOT IN ("
-        + ", ".join(map(str, drop)) + ")")
+        f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {day}, o_orderpriority FROM "
+        "(SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE rn NOT IN (1, 5, 7, 15000, 20000)")
     q["select_numeric_lineitem"] = "SELECT " + ", ".join(LINEITEM_NUM) + " FROM lineitem"
     q["select_text_lineitem"] = "SELECT l_returnflag, l_linestatus FROM lineitem"
     q["drop_null_target_fx_gap"] = gap + "SELECT * FROM fx_gap WHERE price IS NOT NULL"
     q["complete_cases_fx_gap"] = gap + "SELECT * FROM fx_gap WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in FX_GAP_COLS)
     q["select_model_columns_fx_reg"] = reg + "SELECT y, l_quantity, l_discount, l_tax FROM fx_reg"
     q["preview_orders"] = (
-        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders "
-        "WHERE lower(o_orderstatus || o_orderpriority) LIKE '%urgent%' ORDER BY o_orderkey LIMIT 20 OFFSET 40")
+        f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {day}, o_orderpriority FROM orders "
+        "WHERE lower(concat_ws(chr(1), o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)) "
+        "LIKE '%urgent%' ORDER BY o_orderkey LIMIT 20 OFFSET 40")
     q["drop_duplicates_fx_dup"] = _with("fx_dup") + "SELECT DISTINCT * FROM fx_dup"
     q["melt_numeric_events"] = _union(
         [f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM events" for c in EVENTS_NUM])
@@ -693,7 +780,7 @@ def oracle_sql() -> dict[str, str]:
         "WITH s AS (SELECT min(value) AS lo, (max(value) - min(value)) / 14 AS w FROM events), "
         "b AS (SELECT CAST(least(greatest(ceil((value - (s.lo - s.w / 2)) / s.w) - 1, 0), 14) AS INTEGER) AS bin, "
         "count(*) AS n FROM events, s WHERE value IS NOT NULL GROUP BY 1) "
-        "SELECT CAST(g.bin AS INTEGER) AS bin, " + _r("(s.lo - s.w / 2) + g.bin * s.w") + " AS x_min, "
+        "SELECT CAST(g.bin AS BIGINT) AS bin, " + _r("(s.lo - s.w / 2) + g.bin * s.w") + " AS x_min, "
         + _r("(s.lo - s.w / 2) + (g.bin + 1) * s.w") + " AS x_max, " + _r("(s.lo - s.w / 2) + (g.bin + 0.5) * s.w")
         + " AS center, CAST(coalesce(b.n, 0) AS BIGINT) AS count FROM range(15) g(bin) CROSS JOIN s "
         "LEFT JOIN b ON b.bin = g.bin")
@@ -703,11 +790,11 @@ def oracle_sql() -> dict[str, str]:
         "k AS (SELECT CAST(greatest(ceil((s.hi - s.o) / 10.0), 1) AS INTEGER) AS nb FROM s), "
         "b AS (SELECT CAST(least(greatest(ceil((CAST(l_quantity AS DOUBLE) - s.o) / 10.0) - 1, 0), k.nb - 1) AS INTEGER) AS bin, "
         "count(*) AS n FROM lineitem, s, k GROUP BY 1) "
-        "SELECT CAST(g.bin AS INTEGER) AS bin, " + _r("s.o + g.bin * 10.0") + " AS x_min, " + _r("s.o + (g.bin + 1) * 10.0")
+        "SELECT CAST(g.bin AS BIGINT) AS bin, " + _r("s.o + g.bin * 10.0") + " AS x_min, " + _r("s.o + (g.bin + 1) * 10.0")
         + " AS x_max, " + _r("s.o + (g.bin + 0.5) * 10.0") + " AS center, CAST(coalesce(b.n, 0) AS BIGINT) AS count "
-        "FROM s, k, range(k.nb) g(bin) LEFT JOIN b ON b.bin = g.bin")
-    q["correlation_pairs_lineitem"] = _sql_corr(LINEITEM_NUM[:5], "lineitem", pairs_only=True)
-    q["pair_correlations_lineitem"] = _sql_corr(LINEITEM_NUM[:8], "lineitem", pairs_only=True, pairwise=True)
+        "FROM s, k, range(k.nb) g(bin) JOIN b ON b.bin = g.bin")
+    q["correlation_pairs_lineitem"] = _sql_corr(LINEITEM_NUM, "lineitem", pairs_only=True)
+    q["pair_correlations_lineitem"] = _sql_corr(LINEITEM_NUM, "lineitem", pairs_only=True, pairwise=True)
     q["regression_diagnostics_fx_reg"] = reg + (
         "SELECT CAST(count(*) AS BIGINT) AS n, " + _r("c.b0") + " AS intercept, " + _r("c.b1") + " AS slope, "
         + _r("sum((y - c.b0 - c.b1 * l_quantity) * (y - c.b0 - c.b1 * l_quantity))") + " AS rss, "
@@ -757,10 +844,92 @@ def oracle_sql() -> dict[str, str]:
         "CAST(NULL AS DOUBLE) AS r_squared, CAST(count_if(y = 0) AS BIGINT) AS n_zero_actual "
         "FROM fx_reg, (SELECT avg(y) AS m FROM fx_reg) a")
     gap_txt = "SELECT " + ", ".join(
-        [f"CAST(id AS INTEGER) AS id", _r("price") + " AS price", "CAST(mostly_null AS INTEGER) AS mostly_null",
+        ["CAST(id AS INTEGER) AS id", _r("price") + " AS price", "CAST(mostly_null AS INTEGER) AS mostly_null",
          "const_col", "near_const", "priority", "status", _r("price_copy") + " AS price_copy",
-         "CAST(cust AS INTEGER) AS cust"]) + " FROM fx_gap"
+         "CAST(cust AS INTEGER) AS cust", "'he said \"' || status || '\", ok' || chr(10) || 'then left' AS said"]) + " FROM fx_gap"
     q["read_table_csv_fx_gap"] = gap + gap_txt
+    q["boxplot_by_quantity"] = (
+        "SELECT CAST(NULL AS DOUBLE) AS l_quantity, n, q1, median, q3, lower_whisker, upper_whisker, outliers FROM ("
+        + _sql_box("lineitem", ["l_extendedprice"]) + ")")
+    q["line_buckets_events"] = (
+        "WITH s AS (SELECT CAST(min(event_id) AS DOUBLE) AS a, (CAST(max(event_id) AS DOUBLE) - CAST(min(event_id) AS DOUBLE)) / 100 AS w FROM events) "
+        "SELECT CAST(least(floor((CAST(event_id AS DOUBLE) - s.a) / s.w), 99) AS INTEGER) AS bucket, "
+        "CAST(min(event_id) AS DOUBLE) AS x_min, CAST(max(event_id) AS DOUBLE) AS x_max, " + _r("min(value)") + " AS y_min, "
+        + _r("max(value)") + " AS y_max FROM events, s GROUP BY 1")
+    nan = _with("fx_nan")
+    there = "value IS NOT NULL AND NOT isnan(value)"
+    q["null_counts_fx_nan"] = nan + (
+        "SELECT 'event_id' AS column_name, CAST(count_if(event_id IS NULL) AS BIGINT) AS null_count FROM fx_nan UNION ALL "
+        f"SELECT 'value', CAST(count_if(NOT ({there})) AS BIGINT) FROM fx_nan UNION ALL "
+        "SELECT 'mostly_nan', CAST(count_if(mostly_nan IS NULL OR isnan(mostly_nan)) AS BIGINT) FROM fx_nan")
+    parts = []
+    for c in ("event_id", "value", "mostly_nan"):
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS column_name, CAST((SELECT count(*) FROM fx_nan) - count(*) AS BIGINT) AS nulls, CAST(count(DISTINCT {x}) AS BIGINT) AS n_distinct, "
+            f"{_r(f'min({x})')} AS min, {_r('any_value(f.a)')} AS q1, {_r(f'quantile_cont({x}, 0.5)')} AS median, {_r(f'avg({x})')} AS mean, "
+            f"{_r('any_value(f.b)')} AS q3, {_r(f'max({x})')} AS max, "
+            f"CAST(count_if({x} < f.a - 1.5 * (f.b - f.a) OR {x} > f.b + 1.5 * (f.b - f.a)) AS BIGINT) AS outliers "
+            f"FROM fx_nan, (SELECT quantile_cont({x}, 0.25) AS a, quantile_cont({x}, 0.75) AS b FROM fx_nan WHERE NOT isnan({x})) f "
+            f"WHERE {x} IS NOT NULL AND NOT isnan({x})")
+    q["profile_fx_nan"] = nan + _union(parts)
+    q["drop_sparse_columns_fx_nan"] = nan + f"SELECT event_id, {_r('value')} AS value FROM fx_nan"
+    kinds = ["bigint", "double", "bigint", "int", "int", "string", "string", "double", "bigint"]
+    q["column_names_fx_gap"] = _union([
+        f"SELECT {i} AS position, '{c}' AS column_name, '{k}' AS data_type" for i, (c, k) in enumerate(zip(FX_GAP_COLS, kinds), 1)])
+    q["numeric_columns_fx_gap"] = "SELECT 'id, price, mostly_null, const_col, near_const, price_copy, cust' AS numeric_columns"
+    q["empty_guard_orders"] = "SELECT CAST(count(*) AS BIGINT) AS n_rows FROM orders"
+    q["validate_target_fx_reg"] = _union([
+        f"SELECT '{c}' AS predictor" for c in ("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")])
+    q["correlated_columns_fx_gap"] = "SELECT 'price' AS column_name"
+    q["scatter_points_lineitem"] = "SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM lineitem"
+    q["plot_sample_members_lineitem"] = "SELECT least(10000, count(*)) AS n, least(10000, count(*)) AS members FROM lineitem"
+    q["fold_sizes_fx_reg"] = _union([
+        f"SELECT {r} AS rep, CAST((pos // {5 ** r}) % 5 AS INTEGER) AS fold, count(*) AS n "
+        "FROM range((SELECT count(*) FROM lineitem)) t(pos) GROUP BY 2" for r in range(3)])
+    # two predictors: the 2 x 2 normal equations of centred sums
+    two = reg + (
+        ", m AS (SELECT avg(y) AS y, avg(l_quantity) AS a, avg(l_discount) AS b, count(*) AS n FROM fx_reg), "
+        "c AS (SELECT any_value(m.n) AS n, any_value(m.y) AS my, any_value(m.a) AS ma, any_value(m.b) AS mb, "
+        "sum((l_quantity - m.a) * (l_quantity - m.a)) AS aa, sum((l_discount - m.b) * (l_discount - m.b)) AS bb, "
+        "sum((l_quantity - m.a) * (l_discount - m.b)) AS ab, sum((l_quantity - m.a) * (fx_reg.y - m.y)) AS ay, "
+        "sum((l_discount - m.b) * (fx_reg.y - m.y)) AS by_, sum((fx_reg.y - m.y) * (fx_reg.y - m.y)) AS yy FROM fx_reg, m), "
+        "f AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS b1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM c) ")
+    q["residual_points_fx_reg"] = two + (
+        "SELECT " + _r("my + b1 * (l_quantity - ma) + b2 * (l_discount - mb)") + " AS predicted, "
+        + _r("y - (my + b1 * (l_quantity - ma) + b2 * (l_discount - mb))") + " AS residual FROM fx_reg, f")
+    q["variable_importance_fx_reg"] = two + (
+        ", t AS (SELECT abs(b1) / sqrt(bb) AS t1, abs(b2) / sqrt(aa) AS t2 FROM f) "  # the residual variance is common
+        "SELECT 'l_quantity' AS variable, CASE WHEN t1 > t2 THEN 100.0 ELSE 0.0 END AS importance FROM t UNION ALL "
+        "SELECT 'l_discount', CASE WHEN t2 > t1 THEN 100.0 ELSE 0.0 END FROM t")
+    q["qq_residuals_fx_reg"] = reg + (
+        ", r AS (SELECT y - c.b0 - c.b1 * l_quantity AS e FROM fx_reg, "
+        "(SELECT regr_intercept(y, l_quantity) AS b0, regr_slope(y, l_quantity) AS b1 FROM fx_reg) c) "
+        "SELECT CAST(rn AS BIGINT) AS position, ROUND(CAST(" + _sql_qnorm(p) + " AS DOUBLE), 5) AS theoretical, ROUND(e, 5) AS sample "
+        "FROM (SELECT e, row_number() OVER (ORDER BY e) AS rn, count(*) OVER () AS cnt FROM r)")
+    q["predict_fx_reg"] = reg + f"SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, {_r(pred)} AS prediction FROM fx_reg, {fit}"
+    measures = (f"{_r(f'sqrt(avg((y - {pred}) * (y - {pred})))')} AS rmse, "
+                f"{_r(f'100.0 * avg(abs(CASE WHEN y = 0 THEN NULL ELSE (y - {pred}) / y END))')} AS mape, "
+                f"{_r(f'power(corr({pred}, y), 2)')} AS r_squared")
+    q["best_model_fx_reg"] = reg + (
+        f"SELECT 'lm' AS model, {measures}, CAST(count_if(y = 0) AS BIGINT) AS n_zero_actual FROM fx_reg, {fit}")
+    flat = (f"{_r('sqrt(avg((y - a.m) * (y - a.m)))')} AS rmse, "
+            f"{_r('100.0 * avg(abs(CASE WHEN y = 0 THEN NULL ELSE (y - a.m) / y END))')} AS mape")
+    q["metrics_long_fx_reg"] = reg + (
+        f", l AS (SELECT {measures} FROM fx_reg, {fit}), k AS (SELECT {flat} FROM fx_reg, (SELECT avg(y) AS m FROM fx_reg) a) "
+        + _union([f"SELECT 'lm' AS model, '{m}' AS metric, {m} AS value FROM l" for m in ("rmse", "mape", "r_squared")]
+                 + [f"SELECT 'mean', '{m}', {m} FROM k" for m in ("rmse", "mape")]))
+    q["density_curve_events"] = (
+        "WITH s AS (SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd, "
+        "quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events), "
+        "b AS (SELECT n, lo, hi, 0.9 * least(sd, (q3 - q1) / 1.34) * power(n, -0.2) AS bw FROM s), "
+        "g AS (SELECT n, bw, lo - 3 * bw AS a, ((hi + 3 * bw) - (lo - 3 * bw)) / 2048 AS w FROM b), "
+        "k AS (SELECT least(floor((value - g.a) / g.w), 2047) AS k, count(*) AS c FROM events, g WHERE value IS NOT NULL GROUP BY 1) "
+        "SELECT " + _r("any_value(g.a + g.w * 2048 * i / 511)") + " AS x, "
+        + _r("sum(c * exp(-0.5 * power((g.a + g.w * 2048 * i / 511 - (g.a + (k.k + 0.5) * g.w)) / g.bw, 2))) "
+             "/ (any_value(g.n) * any_value(g.bw) * sqrt(2 * pi()))")
+        + " AS density FROM range(512) t(i), k, g GROUP BY i")
+    q["preprocess_fx_gap"] = _sql_preprocess()
     q["normalize_names_lineitem"] = (
         "SELECT l_quantity AS qty__units_, l_discount AS X2nd_discount, l_tax AS qty__units__1 FROM lineitem")
     if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
