@@ -166,3 +166,11 @@ def test_classifiers(spark):
     acc = {r.model: r.accuracy for r in M.compare_classifiers(li, "l_returnflag", ["l_quantity", "l_tax"],
                                                                models=("logistic", "tree")).collect()}
     assert all(0.0 <= a <= 1.0 for a in acc.values())
+
+
+def test_scoring_from_inputs(spark):
+    reg = fixture(spark, SMALL, "fx_reg")
+    res = V.compare_models(reg, "y", models=["lm"], cv="none")
+    low, high = (V.score_inputs(res, reg, "y", {"l_quantity": q, "l_returnflag": "R"}).first() for q in (1, 11))
+    assert high["prediction"] - low["prediction"] == pytest.approx(30.0, abs=0.1)
+    assert low["l_returnflag"] == "R" and low["l_linestatus"] == "F"  # the smallest value stands for one not given
