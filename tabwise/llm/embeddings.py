@@ -165,7 +165,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     codes = rows.where("label IS NOT NULL AND vector IS NOT NULL").select("row", "label", "vector").mapInArrow(
         _coder, "row long, label string, dim int, code binary, scale double, error double")
     codes = written(codes, "codes")
-    blocks = codes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # tables of their own, here and below, so that a join shuffles both sides anew and AQE can split a frequent label or class
+    blocks = written(codes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     dealt = codes.join(blocks, ["label", "dim"]).withColumn(
         "block", F.pmod(F.xxhash64("row"), F.col("blocks").cast("long")).cast("int"))
     possible = written(_tiles(dealt).groupBy("label", "dim", "lo", "hi").applyInArrow(
@@ -175,7 +176,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     counts = found.groupBy("row").agg(F.sum("n_links").alias("n_links"))
     classes = components(found.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row")
     named = rows.select("row", "key").join(classes, "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
-    lowest = named.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("component"))
+    lowest = written(named.groupBy("class").agg(F.min("key").alias("component")), "lowest")
     return (named.join(lowest, "class").join(counts, "row", "left")
             .select("key", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component",
                     F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept")))

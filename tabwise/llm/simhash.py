@@ -225,6 +225,7 @@ def near_duplicates(df: DataFrame, words: int = 3, most_bits: int = 3, key: str
     classes = components(edges)  # component: a fingerprint
     group = (points.join(classes, points["fp"] == classes["node"], "left")
              .select("fp", "low", F.coalesce("component", "fp").alias("class")))
-    lowest = group.groupBy("class").agg(F.min("low").alias("component"))
+    # a table of its own, so that the join shuffles both sides anew and AQE can split a large class
+    lowest = written(group.groupBy("class").agg(F.min("low").alias("component")), "lowest")
     named = group.join(lowest, "class").select("fp", "component")
     return prints.join(named, "fp").select("key", "fp", "component")

@@ -132,8 +132,9 @@ def write_archives(pages: DataFrame, revisit_from: int = 0, roll_bytes: int = 1
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html"),
                           F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"),
                           F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
-    groups = (narrow.where(F.col("size") >= revisit_from).groupBy("digest", "size")
-              .agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # a table of its own, so that the join below shuffles both sides anew and AQE can split a frequent payload
+    groups = written(narrow.where(F.col("size") >= revisit_from).groupBy("digest", "size")
+                     .agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n"), "payloads")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("holder")), F.lit(None)).otherwise(F.col("holder"))
     rows = (narrow.join(groups, ["digest", "size"], "left")
             .select("page_id", "url", "html", refers.cast("long").alias("refers_to")))
