@@ -22,7 +22,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session (they may not have it installed)."""
+    """Send this package to the Python workers, once a session (they may not have it installed).
+
+    The archive is the driver's own file; Spark serves it to the executors as any ``--py-files`` entry.
+    """
     import tabwise
 
     sc = spark.sparkContext

@@ -15,7 +15,7 @@ The fit uses a bounded sample: about ``most_rows`` labelled rows, chosen by a ha
 Scores cover every row and the whole of every text.
 
 Defined cases: null and empty texts have the score of a text without known words; rows with a null
-label or key are not learned from; a key with several labels gives several examples; with one class
+label or key are not learned from; a text with several labels gives several examples; with one class
 or none to learn, every score is the share of label 1 (0 without any); repeated rows are scored
 alike; an empty table gives an empty result; other columns are ignored.
 """

@@ -90,7 +90,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: tu
 
 
 def gram_hashes(words: np.ndarray, first: np.ndarray, n: int):
-    """``(hashes, row)`` of all runs of ``n`` neighbouring words within a row, given the words' hashes."""
+    """``(hashes, row, place)`` of all runs of ``n`` neighbouring words within a row, given the words' hashes; place: of the first word."""
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
     if len(words) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
