@@ -48,7 +48,7 @@ def op2_decontamination(spark, sf):
 def op3_ngram_lm(spark, sf):
     documents = read_table(spark, sf, "documents")
     held_out = F.coalesce(_crc_of_id(7) == 2, F.lit(False))
-    scored = ngram_lm.score(documents, ngram_lm.fit(documents.where(~held_out))).withColumnRenamed("key", "doc_id")
+    scored = ngram_lm.score(documents, ngram_lm.fit(documents.where(~held_out), order=3)).withColumnRenamed("key", "doc_id")
     return scored.withColumn("held_out", held_out)
 
 

@@ -99,3 +99,68 @@ def test_frequent_left_words_are_cut():
     found = [{"part": 0, "tokens": 1000, "marks": [7] * (L.MARKS - 1)}, {"part": 1, "tokens": 1000, "marks": list(np.arange(L.MARKS - 1) // 6)}]
     cuts = L._cuts(words, found, 10, 16)
     assert len(cuts) == 15 and sum(int(c) >> words.bits == 7 for c in cuts) >= 6
+
+
+class BruteOrder:
+    """Modified Kneser-Ney of any order over plain counters."""
+
+    def __init__(self, texts, order):
+        self.n, count = order, [collections.Counter() for _ in range(order + 1)]
+        for t in texts:
+            run = ["<s>", *tokens(t)]
+            for m in range(1, order + 1):
+                for i in range(len(run) - m + 1):
+                    count[m][tuple(run[i:i + m])] += 1
+        del count[1]["<s>",]
+        self.c = count[:]
+        for m in range(1, order):
+            self.c[m] = collections.Counter(r[1:] for r in count[m + 1])
+            self.c[m].update({r: k for r, k in count[m].items() if r[0] == "<s>"})
+        self.d, self.total, self.freed = [()], collections.Counter(), collections.Counter()
+        for m in range(1, order + 1):
+            of = collections.Counter(self.c[m].values())
+            self.d.append(L.discounts(*(of[i] for i in (1, 2, 3, 4))))
+            for r, k in self.c[m].items():
+                self.total[r[:-1]] += k
+                self.freed[r[:-1]] += self.d[m][min(k, 3) - 1]
+        self.v = len(self.c[1])
+
+    def p(self, w, h):
+        k = self.c[len(h) + 1][(*h, w)]
+        lower = self.p(w, h[1:]) if h else 1 / (self.v + 1)
+        if not self.total[h]:
+            return lower
+        return ((k - self.d[len(h) + 1][min(k, 3) - 1] if k else 0) + self.freed[h] * lower) / self.total[h]
+
+    def score(self, t):
+        run = ["<s>", *tokens(t)]
+        return sum(math.log10(self.p(run[i], tuple(run[max(0, i - self.n + 1):i]))) for i in range(1, len(run)))
+
+
+@pytest.mark.parametrize("order, parts", [(2, None), (3, None), (3, 1), (3, 50), (4, 5)])
+def test_longer_contexts_against_brute_force(spark, documents, monkeypatch, order, parts):
+    monkeypatch.setattr(L, "HELD", 2000)
+    monkeypatch.setattr(L, "SLICE", 9000)
+    texts = [r["text"] for r in documents.orderBy("doc_id").limit(60).collect()] + ["the the the " * 300, None, "", "a", "a b", "a b"]
+    one = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string").repartition(3)
+    learn = texts[::2] + texts[-5:]
+    brute = BruteOrder(learn, order)
+    got = {r["key"]: r["score"] for r in L.score(one(texts), L.fit(one(learn), parts=parts, order=order)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([brute.score(t) for t in texts], rel=1e-6, abs=1e-6)
+    for h in [r[:-1] for r in list(brute.c[order])[:15]]:
+        assert sum(brute.p(w, h) for (w,) in brute.c[1]) + brute.p("never seen", h) == pytest.approx(1)
+
+
+def test_the_second_word_before_counts(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a x b", "c x d"] * 5)], "doc_id long, text string")
+    ask = spark.createDataFrame([(0, "a x b"), (1, "a x d")], "doc_id long, text string")
+    right, wrong = (r["score"] for r in L.score(ask, L.fit(rows, order=3)).orderBy("key").collect())
+    assert right > wrong + 0.5
+
+
+def test_texts_shorter_than_the_order(spark):
+    for texts in ([None, ""], ["a", "b", "a"], ["a b"]):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        brute = BruteOrder(texts, 5)
+        got = L.score(rows, L.fit(rows, order=5)).orderBy("key").collect()
+        assert [r["score"] for r in got] == pytest.approx([brute.score(t) for t in texts], rel=1e-6)
