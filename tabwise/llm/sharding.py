@@ -62,7 +62,8 @@ def assign_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str =
         all_bytes, all_rows = all_bytes + size, all_rows + count
     spark = df.sparkSession
     offset = spark.createDataFrame(offsets, "part int, part_bytes long, part_rows long")
-    shard = F.floor((F.col("part_bytes") + F.col("before")).cast("decimal(38,0)") * n_shards / max(all_bytes, 1))
+    # whole numbers throughout: a decimal quotient is rounded to 6 digits before a floor, up to n_shards for the last bytes
+    shard = F.expr(f"CAST(part_bytes + before AS decimal(38,0)) * {int(n_shards)} div {max(all_bytes, 1)}")
     placed = local.join(F.broadcast(offset), "part").select(
         "key", "size", "crc", shard.cast("int").alias("shard"), (F.col("part_rows") + F.col("index")).alias("rank"))
     starts = placed.groupBy("shard").agg(F.min("rank").alias("start"))  # one row a shard

@@ -1,5 +1,9 @@
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
+from tabwise.llm import sharding
 from tabwise.llm.sharding import assign_shards, write_shards
 
 
@@ -60,3 +64,19 @@ def test_written_shards_hold_all_rows(spark, documents, tmp_path):
     name = (set(back.columns) - set(rows.columns)).pop()
     assert [(r["shard"], r["count"]) for r in plan] == [tuple(r) for r in back.groupBy(name).count().orderBy(name).collect()]
     assert back.count() == documents.count()
+
+
+@pytest.mark.parametrize("first, last", [(30_000_000_000, 1_500), (500_000_000, 20), (10**15, 60_000_000), (9 * 10**17, 3)])
+def test_last_bytes_of_a_large_table_stay_in_the_last_shard(spark, monkeypatch, first, last):
+    """Each row as a partition of its own, the first of them as large as a table."""
+    def large(df, name):
+        df = df.withColumn("part", F.col("key").cast("int")).withColumn("before", F.lit(0).cast("long"))
+        return df.withColumn("index", F.lit(0).cast("long")).withColumn(
+            "size", F.when(F.col("key") == 0, F.lit(first - 3)).when(F.col("key") == 1, F.lit(3)).otherwise(F.lit(last)).cast("long"))
+
+    monkeypatch.setattr(sharding, "written", large)
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "doc_id long, text string")
+    for n in (1, 3, 8, 1000):
+        got = {r["key"]: r["shard"] for r in assign_shards(rows, n).collect()}
+        total = first + last
+        assert got == {0: 0, 1: (first - 3) * n // total, 2: first * n // total} and max(got.values()) < n
