@@ -53,12 +53,11 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of operator 5 (3-word shingles, 3 bits).
 
-    Rows are told apart by their place in the scan of ``docs`` (a Parquet table, so it is the same
-    in both plans below).
+    Rows are told apart by a number that is written with them once: a scan may be cut otherwise when it runs again.
     """
     ship_package(spark)
     row = _free(docs, "_row")
-    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    placed = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     keyed = placed.select(F.struct(F.col("doc_id"), F.col(row).alias("row")).alias("key"), "text")
     found = simhash.near_duplicates(keyed, words=3, most_bits=3, key="key")
     dropped = written(found.where("key <> component").select(F.col("key.row").alias(row)), "near-copies")

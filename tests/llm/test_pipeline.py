@@ -70,3 +70,37 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_copies_are_dropped_if_the_second_scan_is_cut_otherwise(spark, tmp_path, monkeypatch):
+    """Between the fingerprints and the removal, the split size changes, as it does when executors come or go."""
+    sample = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"]).where("length(text) > 200").orderBy("doc_id").limit(24).collect()
+    path = str(tmp_path / "docs")
+    for k in range(6):
+        rows = sample[4 * k:4 * k + 4]
+        rows += [sample[0]] if k in (2, 4) else []
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.mode("append").parquet(path)
+    docs = spark.read.parquet(path)
+    found = C.simhash.near_duplicates
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")
+              if spark.conf.get(k, None) is not None}
+
+    def near_duplicates(*args, **kw):
+        out = C.written(found(*args, **kw), "found")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        return out
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    monkeypatch.setattr(C.simhash, "near_duplicates", near_duplicates)
+    try:
+        got = [r["text"] for r in C.drop_near_copies(spark, docs, SF).select("text").collect()]
+    finally:
+        for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.unset(k)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    monkeypatch.undo()
+    want = [r["text"] for r in C.drop_near_copies(spark, docs, SF).select("text").collect()]
+    assert sorted(got) == sorted(want) and len(set(got)) == len(got) and got.count(sample[0]["text"]) == 1
