@@ -1,20 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment (operator 2).
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment (operator 2).
 
-Texts are words (lower-cased over A-Z, ASCII punctuation parts words), compared by 64-bit hash. Runs
-of ``n`` words of the test items are counted over the whole corpus. A run is a seed if it is rare there (in at most ``rare_share`` of the
-documents, or ``rare_count`` of them); of every ``stretch`` neighbouring runs the rarest is a seed in
-any case, so a test item that leaked often, or that consists of frequent phrases, is still sought, and a copy
-that keeps ``2 * stretch + n - 2`` neighbouring words always holds a seed. Where a
-document holds a seed, the item is aligned with the words around it (as far as an alignment that is
-good enough can reach), so paraphrased and edited copies score like what they kept.
+Texts are words (lower-cased over A-Z, ASCII punctuation parts words), compared by 64-bit hash. Every run
+of ``n`` words of a test item is a seed, however frequent it is, so a copy that keeps ``n`` neighbouring words is
+found however often the item leaked. Where a document holds a seed, the item is aligned with the words around it
+(as far as an alignment that is good enough can reach), so paraphrased and edited copies score like what they kept.
+
+With a ``rare_share`` below 1 (a choice for speed, which may lose edited copies), runs are counted over the corpus first, and
+only those in at most that share of the documents, or in ``rare_count`` of them, are seeds, and the rarest of
+every ``stretch`` neighbouring runs.
 
 Score: matches count 1, words replaced, left out or put in cost ``COST`` each; the best local alignment
 divided by the item's words is the similarity. A pair is a leak at a similarity of ``least`` and a
 score of ``least_words``. Before an alignment, the words that item and surroundings have in common
 are counted; the score cannot be higher, so hopeless places are skipped without loss.
 
-Test items are broadcast in blocks of at most ``BLOCK_WORDS`` words, and the corpus is read twice a
-block (once to count, once to align); a document is worked on where it lies, nothing of it is shuffled.
+Test items are broadcast in blocks of at most ``BLOCK_WORDS`` words, and the corpus is read once a
+block (twice with a ``rare_share`` below 1); a document is worked on where it lies, nothing of it is shuffled.
 
 Defined cases: null and empty texts hold nothing and leak nothing; an item shorter than ``least_words``
 cannot reach that score and is not sought; repeated items and repeated rows are each reported; a
@@ -184,11 +185,14 @@ def _leaks_of(batch_text, items, least, least_words):
 
 
 def _prepared(documents, benchmark, text, item_key, item_text, n, rare, stretch, least_words):
-    """Broadcast blocks of items with their seeds chosen by the counts of the corpus."""
+    """Broadcast blocks of items, with all their runs as seeds or those that the counts of the corpus choose."""
     context = documents.sparkSession.sparkContext
     corpus = documents.select(F.col(text).alias("text"))
     total = None
     for items in _blocks(benchmark, item_key, item_text, n, least_words):
+        if rare[0] >= 1:
+            yield context.broadcast(items)
+            continue
         total = corpus.count() if total is None else total
         counts = (corpus.mapInArrow(_count_grams(context.broadcast(items)), "gram long, n long")
                   .groupBy("gram").agg(F.sum("n").alias("n")).toArrow())  # the block's runs at most
@@ -198,7 +202,7 @@ def _prepared(documents, benchmark, text, item_key, item_text, n, rare, stretch,
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-          item_text: str = "text", n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 0.001,
+          item_text: str = "text", n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 1.0,
           rare_count: int = 100, stretch: int = 4) -> DataFrame:
     """Pairs of document and test item, ``(key, item, similarity, first_byte, end_byte)``: where the item's best copy lies."""
     key_type, item_type = documents.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType
@@ -227,7 +231,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-          n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 0.001, rare_count: int = 100,
+          n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 1.0, rare_count: int = 100,
           stretch: int = 4) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no test item."""
     at = documents.columns.index(text)

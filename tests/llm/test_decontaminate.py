@@ -105,3 +105,31 @@ def test_defined_cases(spark):
     assert sorted(r["doc_id"] for r in clean(d, b).collect()) == [1, 2, 4]
     assert leaks(d, b.limit(0)).collect() == [] and leaks(d.limit(0), b).collect() == []
     assert clean(d, b.limit(0)).count() == 6 and clean(d.limit(0), b).count() == 0
+
+
+def test_an_edited_copy_of_an_item_that_leaked_often(spark):
+    """One whole run is left in four, none of them the first of its stretch."""
+    item = [f"w{i}" for i in range(16)]
+    edited = [f"other{i}" if i % 4 == 2 else w for i, w in enumerate(item)]
+    rows = [(i, " ".join(item)) for i in range(300)] + [(300, "before " + " ".join(edited) + " after")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["key"]: r["similarity"] for r in leaks(d, b).collect()}
+    assert sorted(got) == list(range(301)) and got[300] == 0.625
+    assert clean(d, b).count() == 0
+
+
+def test_frequent_items_lose_no_copy_with_a_whole_run(spark):
+    rnd = random.Random(3)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(15))) for i in range(4)]
+    rows = [(k, items[k % 4][1]) for k in range(480)]
+    for k in range(480, 900):
+        w = items[k % 4][1].split()
+        for at in rnd.sample(range(15), rnd.randrange(2, 5)):
+            w[at] = f"x{rnd.randrange(50)}"
+        rows.append((k, " ".join(w)))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["key"], r["item"]) for r in leaks(d, b).collect()}
+    runs = {i: {tuple(words(t)[k:k + 3]) for k in range(13)} for i, t in items}
+    whole = {(k, i) for k, i in brute(rows, items) if runs[i] & {tuple(words(rows[k][1])[j:j + 3]) for j in range(13)}}
+    assert got == whole
