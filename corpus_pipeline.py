@@ -67,7 +67,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which operator 2 finds no test item."""
     ship_package(spark)
-    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"), short=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

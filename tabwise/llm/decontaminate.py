@@ -18,7 +18,9 @@ Test items are broadcast in blocks of at most ``BLOCK_WORDS`` words, and the cor
 block (twice with a ``rare_share`` below 1); a document is worked on where it lies, nothing of it is shuffled.
 
 Defined cases: null and empty texts hold nothing and leak nothing; an item shorter than ``least_words``
-cannot reach that score and is not sought; repeated items and repeated rows are each reported; a
+(or ``n``) cannot reach that score: with ``short`` it is sought by its whole word sequence, which must stand in the text unedited
+(a word of a script without blanks is all that stands between blanks or ASCII punctuation), otherwise not at all; an item without a word is never
+sought; repeated items and repeated rows are each reported; a
 null id stays null in the result; an empty table on either side gives an empty result (``clean`` then
 keeps all rows); other columns are ignored by ``leaks`` and kept by ``clean``.
 """
@@ -61,11 +63,20 @@ def local_alignment(item: np.ndarray, words: np.ndarray):
 
 
 class Items:
-    """A block of test items: their words, their runs of ``n`` words, and which of these are seeds."""
+    """A block of test items: their words, their runs of ``n`` words, and which of these are seeds.
 
-    def __init__(self, ids: list, words: list, n: int):
+    Items of fewer than ``least`` words have no seeds; ``short`` has their whole sequences, by length.
+    """
+
+    def __init__(self, ids: list, words: list, n: int, least: int):
         self.ids, self.words, self.n = ids, words, n
-        grams = [gram_hashes(w, np.array([0, len(w)]), n)[0] for w in words]
+        grams = [gram_hashes(w, np.array([0, len(w)]), n)[0] if len(w) >= least else np.empty(0, np.uint64) for w in words]
+        self.short = {}
+        for k in sorted({len(w) for w in words if len(w) < least}):
+            of = np.array([i for i, w in enumerate(words) if len(w) == k])
+            whole = np.array([gram_hashes(words[i], np.array([0, k]), k)[0][0] for i in of], np.uint64)
+            order = np.argsort(whole, kind="stable")
+            self.short[k] = whole[order], of[order]
         self.item = np.repeat(np.arange(len(words)), [len(g) for g in grams])
         self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
         self.gram = np.concatenate(grams) if grams else np.empty(0, np.uint64)
@@ -97,6 +108,18 @@ class Items:
         at = np.minimum(np.searchsorted(self.distinct, grams[maybe]), len(self.distinct) - 1)
         return maybe[self.distinct[at] == grams[maybe]]
 
+    def short_leaks(self, words: np.ndarray, of: np.ndarray):
+        """``(row, item, score, first word, word behind the last)``: the first place of each short item in each of many texts."""
+        for k, (whole, items) in self.short.items():
+            grams, row, place = gram_hashes(words, of, k)
+            lo, hi = np.searchsorted(whole, grams, "left"), np.searchsorted(whole, grams, "right")
+            found = set()
+            for at in np.flatnonzero(lo < hi):
+                for i in items[lo[at]:hi[at]].tolist():
+                    if (row[at], i) not in found:
+                        found.add((row[at], i))
+                        yield int(row[at]), i, float(k), int(place[at]), int(place[at]) + k
+
     def leaks(self, words: np.ndarray, at: np.ndarray, grams: np.ndarray, least: float, least_words: int):
         """``(item, score, first word, word behind the last)``: the best alignment of each item in one text with seed hits ``at``."""
         lo, hi = np.searchsorted(self.gram, grams, "left"), np.searchsorted(self.gram, grams, "right")
@@ -133,22 +156,22 @@ class Items:
                 yield i, *best
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str, n: int, least_words: int):
+def _blocks(benchmark: DataFrame, key: str, text: str, n: int, least_words: int, short: bool):
     """Blocks of items, read from the benchmark one after another."""
-    ids, words, held = [], [], 0
+    ids, words, held, least = [], [], 0, max(n, least_words)
     for row in benchmark.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").toLocalIterator():
         data = np.frombuffer(row["text"].encode(), np.uint8)
         h = _words(data, np.array([0, len(data)]))[0]
-        if len(h) < max(n, least_words):
+        if len(h) < (1 if short else least):
             continue
         ids.append(row["key"])
         words.append(h)
         held += len(h)
         if held >= BLOCK_WORDS:
-            yield Items(ids, words, n)
+            yield Items(ids, words, n, least)
             ids, words, held = [], [], 0
     if ids:
-        yield Items(ids, words, n)
+        yield Items(ids, words, n, least)
 
 
 def _count_grams(sent):
@@ -174,6 +197,8 @@ def _leaks_of(batch_text, items, least, least_words):
     """``(row, item, score, first byte, byte behind the last)`` of the leaks in the texts of a batch."""
     for first, n, data, offsets in text_slices(batch_text, "text"):
         h, of, starts, ends = _words(data, offsets)
+        for r, i, score, a, z in items.short_leaks(h, of):
+            yield first + r, i, score, int(starts[a] - offsets[r]), int(ends[z - 1] - offsets[r])
         grams, row, place = gram_hashes(h, of, items.n)
         at = items.hits(grams)
         rows = row[at]
@@ -184,12 +209,12 @@ def _leaks_of(batch_text, items, least, least_words):
                 yield first + r, i, score, int(starts[lo + a] - offsets[r]), int(ends[lo + z - 1] - offsets[r])
 
 
-def _prepared(documents, benchmark, text, item_key, item_text, n, rare, stretch, least_words):
+def _prepared(documents, benchmark, text, item_key, item_text, n, rare, stretch, least_words, short):
     """Broadcast blocks of items, with all their runs as seeds or those that the counts of the corpus choose."""
     context = documents.sparkSession.sparkContext
     corpus = documents.select(F.col(text).alias("text"))
     total = None
-    for items in _blocks(benchmark, item_key, item_text, n, least_words):
+    for items in _blocks(benchmark, item_key, item_text, n, least_words, short):
         if rare[0] >= 1:
             yield context.broadcast(items)
             continue
@@ -203,7 +228,7 @@ def _prepared(documents, benchmark, text, item_key, item_text, n, rare, stretch,
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
           item_text: str = "text", n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 1.0,
-          rare_count: int = 100, stretch: int = 4) -> DataFrame:
+          rare_count: int = 100, stretch: int = 4, short: bool = False) -> DataFrame:
     """Pairs of document and test item, ``(key, item, similarity, first_byte, end_byte)``: where the item's best copy lies."""
     key_type, item_type = documents.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType
     schema = f"key {key_type}, item {item_type.simpleString()}, similarity double, first_byte long, end_byte long"
@@ -225,14 +250,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         return run
 
     out = documents.sparkSession.createDataFrame([], schema)
-    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, (rare_share, rare_count), stretch, least_words):
+    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, (rare_share, rare_count), stretch, least_words, short):
         out = out.unionByName(rows.mapInArrow(finder(sent), schema))
     return out
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
           n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 1.0, rare_count: int = 100,
-          stretch: int = 4) -> DataFrame:
+          stretch: int = 4, short: bool = False) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no test item."""
     at = documents.columns.index(text)
 
@@ -248,6 +273,6 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_k
         return run
 
     out = documents
-    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, (rare_share, rare_count), stretch, least_words):
+    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, (rare_share, rare_count), stretch, least_words, short):
         out = out.mapInArrow(dropper(sent), documents.schema)
     return out

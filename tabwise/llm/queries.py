@@ -40,7 +40,7 @@ def op1_sharding(spark, sf):
 
 @_query
 def op2_decontamination(spark, sf):
-    found = decontaminate.leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+    found = decontaminate.leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"), short=True)
     return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
 

@@ -133,3 +133,21 @@ def test_frequent_items_lose_no_copy_with_a_whole_run(spark):
     runs = {i: {tuple(words(t)[k:k + 3]) for k in range(13)} for i, t in items}
     whole = {(k, i) for k, i in brute(rows, items) if runs[i] & {tuple(words(rows[k][1])[j:j + 3]) for j in range(13)}}
     assert got == whole
+
+
+def test_short_items_are_sought_whole(spark, tables):
+    documents, items = tables
+    more = [(1000, "Who wrote Hamlet?"), (1001, "who wrote hamlet"), (1002, "法国的首都是哪里"), (1003, "capital"), (1004, "one two three four"), (1005, "..."), (1006, None)]
+    rows = documents + [(2000, "x é who, WROTE Hamlet y who wrote hamlet"), (2001, "who wrote the Hamlet"), (2002, "问：法国的首都是哪里?"),
+                        (2003, "a 法国的首都是哪里? b"), (2004, "one two three five four"), (2005, "capital one two three four"), (2006, "who wrote"), (2007, "hamlet who wrote")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items + more, "item_id long, text string")
+    got = {(r["key"], r["item"]): r for r in leaks(d, b, short=True).collect()}
+    short = {k for k in got if k[1] >= 1000}
+    assert short == {(2000, 1000), (2000, 1001), (2003, 1002), (2005, 1003), (2005, 1004)}
+    assert {k for k in got if k[1] < 1000} == {(r["key"], r["item"]) for r in leaks(d, b).collect()}
+    r = got[2000, 1000]
+    assert rows[-8][1].encode()[r["first_byte"]:r["end_byte"]].decode() == "who, WROTE Hamlet" and r["similarity"] == 1.0
+    assert {r["doc_id"] for r in clean(d, b, short=True).collect()} == {i for i, _ in rows} - {k for k, _ in got}
+    only = spark.createDataFrame(more, "item_id long, text string")
+    assert {(r["key"], r["item"]) for r in leaks(d, only, short=True).collect()} == short
