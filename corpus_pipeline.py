@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is writte
 again as the next stage's ``docs``. All stages but the last return the columns of ``docs``.
 
 Defined cases, beside those of the operators: documents with null text have no toxic word, are rejected by
-language ID (no letter), as are texts of digits and signs alone; documents with null id go through all stages;
+language ID (no letter), as are texts of digits and signs alone and texts without a trigram of the training rows; documents with null id go through all stages;
 of repeated rows, near-dedup keeps one; of a group it keeps the smallest id (a null id before all others).
 """
 
@@ -42,11 +42,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which operator 6 finds a language (not ``und``); it learns as ``op6_language_id`` does."""
+    """Documents in which operator 6 finds a language (not ``und``, a letter and a known trigram); it learns as ``op6_language_id`` does."""
     ship_package(spark)
     names = tuple(_free(docs, x) for x in ("_lang_pred", "_score", "_ambiguous"))
     model = langid.fit(docs.where(_crc_of_id(3) != 1))
-    found = langid.identify(docs, model, keep=docs.columns, names=names)
+    found = langid.identify(docs, model, keep=docs.columns, names=names, reject=True)
     return found.where(F.col(names[0]) != langid.UNKNOWN).select(docs.columns)
 
 

@@ -14,7 +14,8 @@ Texts are lower-cased over A-Z; ASCII other than letters counts as blank. Trigra
 side by side say nothing and are passed over.
 
 Defined cases: null texts and texts without any letter are ``und`` with score 0; a text whose
-trigrams are all unknown gets the nearest codeword of no evidence and is ambiguous; rows with null
+trigrams are all unknown gets the nearest codeword of no evidence and is ambiguous (``identify`` with ``reject`` makes it ``und`` with score 0,
+if there are two languages or more); rows with null
 text or language are not learned from; with no language to learn all texts are ``und``, with one all
 texts with a letter get it; repeated rows are treated alike; an empty table gives an empty result;
 other columns are never read.
@@ -183,8 +184,11 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int =
 
 
 def identify(df: DataFrame, model: Model, keep=("doc_id",), text: str = "text", ambiguous_below: float = 0.1,
-             names: tuple = ("lang_pred", "score", "ambiguous")) -> DataFrame:
-    """The ``keep`` columns of every row with the predicted language, its score (0 to 1) and whether it is ambiguous."""
+             names: tuple = ("lang_pred", "score", "ambiguous"), reject: bool = False) -> DataFrame:
+    """The ``keep`` columns of every row with the predicted language, its score (0 to 1) and whether it is ambiguous.
+
+    With ``reject``, a text in which the model knows no trigram is in no known language.
+    """
     sent, keep = df.sparkSession.sparkContext.broadcast(model), list(keep)  # BUCKETS rows by bits, whatever the input
     fields = [df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in zip(names, (
         T.StringType(), T.DoubleType(), T.BooleanType()))]
@@ -197,7 +201,10 @@ def identify(df: DataFrame, model: Model, keep=("doc_id",), text: str = "text",
             for first, n, data, offsets in text_slices(only, "text"):
                 lettered = np.array([t.is_valid and _LETTER.search(t.as_py()) is not None for t in texts.slice(first, n)], bool)
                 if len(known) > 1:
-                    best, score, second = sent.value.decode(sent.value.margins(data, offsets))
+                    margins = sent.value.margins(data, offsets)
+                    best, score, second = sent.value.decode(margins)
+                    if reject and margins.shape[1]:
+                        lettered &= margins.any(1)
                 else:
                     best, score, second = np.zeros(n, int), np.zeros(n), np.zeros(n)
                 best = np.where(lettered, best, len(known) - 1)

@@ -104,3 +104,14 @@ def test_copies_are_dropped_if_the_second_scan_is_cut_otherwise(spark, tmp_path,
     monkeypatch.undo()
     want = [r["text"] for r in C.drop_near_copies(spark, docs, SF).select("text").collect()]
     assert sorted(got) == sorted(want) and len(set(got)) == len(got) and got.count(sample[0]["text"]) == 1
+
+
+def test_a_text_without_a_known_trigram_has_no_language(spark):
+    say = {"en": "the house stands by the river and the people walk there", "de": "das haus steht am fluss und die leute gehen dort"}
+    rows = [(k, f"{say[lang]} {k}", lang, "s", 1) for k in range(60) for lang in say]
+    rows += [(1000 + k, t, None, "s", 1) for k, t in enumerate(["ηλιος", "12", "the people", "die leute ηλιος"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["text"] for r in C.drop_unknown_language(spark, docs, SF).collect()}
+    assert kept == {r[1] for r in rows} - {"ηλιος", "12"}
+    one = docs.where("lang = 'en' OR lang IS NULL")  # one language tells nothing apart
+    assert {r["text"] for r in C.drop_unknown_language(spark, one, SF).collect()} >= {"ηλιος", "the people"}
