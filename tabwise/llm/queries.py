@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabwise.llm import bpe, chat, decontaminate, embeddings, langid, ngram_lm, sharding, simhash, toxicity, warc
+from tabwise.llm import bpe, chat, decontaminate, embeddings, langid, ngram_lm, sharding, simhash, topk, toxicity, warc
 from tabwise.llm.common import ship_package
 from tabwise.sources.tables import read_table
 
@@ -154,3 +154,23 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
 FROM p JOIN g ON p.hex = g.hex"""
+
+
+@_query
+def op13_exact_topk(spark, sf):
+    found = topk.top_k(read_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLES["op13_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS code FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.code, c.code) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20"""
