@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabwise.llm import bpe, chat, decontaminate, embeddings, langid, ngram_lm, sharding, simhash, topk, toxicity, variants, warc
+from tabwise.llm import bpe, chat, convtrie, decontaminate, embeddings, langid, ngram_lm, sharding, simhash, topk, toxicity, variants, warc
 from tabwise.llm.common import ship_package
 from tabwise.sources.tables import read_table
 
@@ -156,6 +156,12 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM p JOIN g ON p.hex = g.hex"""
 
 
+@_query
+def op11_prefix_trie(spark, sf):
+    turns = convtrie.numbered_turns(read_table(spark, sf, "conversations"))
+    return convtrie.prefix_trie(convtrie.rebuilt(turns)).withColumnRenamed("saved_bytes", "saved_tokens")
+
+
 @_query
 def op12_spelling_variants(spark, sf):
     return variants.group_variants(variants.count_words(read_table(spark, sf, "documents")))
