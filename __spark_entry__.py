@@ -368,6 +368,14 @@ def _q_folds(spark, sf):
     return M.fold_sizes(fixture(spark, sf, "fx_reg"), 5, 3)
 
 
+def _q_folds_most(spark, sf):
+    return M.fold_sizes(fixture(spark, sf, "fx_reg"), 20, 10)
+
+
+def _q_folds_ten(spark, sf):
+    return M.fold_sizes(_t(spark, sf, "orders"), 10, 10)
+
+
 def _cores(spark):
     """Partitions that the prepared rows of a training query are dealt into: training reads them many times."""
     return spark.sparkContext.defaultParallelism
@@ -499,6 +507,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_metrics_fx_reg": _q_lm_metrics,
         "mean_model_fx_reg": _q_mean_model,
         "fold_sizes_fx_reg": _q_folds,
+        "fold_sizes_20_by_10": _q_folds_most,
+        "fold_sizes_10_by_10": _q_folds_ten,
         "compare_models_fx_reg": _q_compare,
         "boosting_fx_reg": _q_boosting,
         "predict_fx_reg": _q_predict,
@@ -884,9 +894,11 @@ def oracle_sql() -> dict[str, str]:
     q["correlated_columns_fx_gap"] = "SELECT 'price' AS column_name"
     q["scatter_points_lineitem"] = "SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM lineitem"
     q["plot_sample_members_lineitem"] = "SELECT least(10000, count(*)) AS n, least(10000, count(*)) AS members FROM lineitem"
-    q["fold_sizes_fx_reg"] = _union([
-        f"SELECT {r} AS rep, CAST((pos // {5 ** r}) % 5 AS INTEGER) AS fold, count(*) AS n "
-        "FROM range((SELECT count(*) FROM lineitem)) t(pos) GROUP BY 2" for r in range(3)])
+    # a repeat is a permutation of the rows' numbers, modulo k: the sizes are those of 0 to n - 1 modulo k
+    for name, table, k, repeats in (("fold_sizes_fx_reg", "lineitem", 5, 3), ("fold_sizes_20_by_10", "lineitem", 20, 10),
+                                    ("fold_sizes_10_by_10", "orders", 10, 10)):
+        q[name] = (f"SELECT CAST(r AS INTEGER) AS rep, CAST(place % {k} AS INTEGER) AS fold, count(*) AS n "
+                   f"FROM range({repeats}) a(r), range((SELECT count(*) FROM {table})) b(place) GROUP BY 1, 2")
     # two predictors: the 2 x 2 normal equations of centred sums
     two = reg + (
         ", m AS (SELECT avg(y) AS y, avg(l_quantity) AS a, avg(l_discount) AS b, count(*) AS n FROM fx_reg), "

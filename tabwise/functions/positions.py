@@ -49,6 +49,24 @@ def with_positions(df: DataFrame, order_by: list[str | Column], pos_col: str = "
             .withColumn(pos_col, F.col("_off") + F.col("_idx")).drop("_part", "_idx", "_off"))
 
 
+def numbered(df: DataFrame, out: str = "_number") -> tuple[DataFrame, int]:
+    """``df`` plus ``out``, a dense row number from 0, and the number of rows. No shuffle: each partition counts on from its offset.
+
+    ``df`` must give the same partitions each time it is read, as a persisted, checkpointed or written frame does.
+    """
+    parts = df.select(F.spark_partition_id().alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("t"))
+    rows = sorted((r["_part"], r["t"]) for r in parts.collect())
+    offsets, n = [], 0
+    for part, t in rows:
+        offsets.append((int(part), n))
+        n += int(t)
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _off long"))  # one row a partition
+    mid = F.monotonically_increasing_id()
+    tagged = df.select("*", mid.alias("_mid")).withColumn("_part", F.shiftright("_mid", 33).cast("int"))
+    return (tagged.join(table, "_part").withColumn(out, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
+            .drop("_part", "_off", "_mid")), n
+
+
 def key_positions(df: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct ``keys`` with ``_n`` (rows that have them) and ``_start`` (0-based position of the first such row)."""
     counted = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count(F.lit(1)).alias("_n"))

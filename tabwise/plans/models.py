@@ -10,6 +10,7 @@ expression. Tree ensembles use Spark ML's distributed learners.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,9 +19,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.positions import with_positions
+from ..functions.permute import with_permutations
+from ..functions.positions import numbered
 from ..functions.quantiles import as_double
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .gram import Grams, fit_elastic_net, fit_ols, gram_by_group, linear_expr
 
 # The reference's model choices and their tuning constants. Its kernel model is re-aimed
@@ -57,25 +59,42 @@ class Fitted:
 
 # ---------------------------------------------------------------- folds (V1)
 
-FOLD_POS = "_fold_pos"
+FOLD = "_fold_"
 
 
-def with_fold_positions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``df`` plus ``FOLD_POS``, each row's position in the order of a hash of its raw values.
+def fold_names(reps: int) -> list[str]:
+    return [f"{FOLD}{r}" for r in range(reps)]
 
-    The order does not depend on how the input is partitioned, and rows with equal values stand next to
-    each other, so they go to different folds. Computed once and carried through the preparation.
+
+def with_folds(df: DataFrame, k: int, reps: int, seed: int = 42) -> DataFrame:
+    """``df`` plus a fold 0..k-1 a repeat: the row's dense number, permuted anew for every repeat, modulo k.
+
+    The folds of a repeat differ by one row at most, and the repeats are independent, for any k and number of repeats. There is
+    no shuffle; ``df`` must keep its partitions (``numbered``), as a persisted frame does.
     """
-    cols = df.columns if cols is None else cols
-    return with_positions(df, [F.xxhash64(*[F.col(f"`{c}`") for c in cols])], FOLD_POS)
+    rows, n = numbered(df)
+    names = fold_names(reps)
+    return with_permutations(rows, "_number", n, {c: seed + r for r, c in enumerate(names)}, k).drop("_number")
 
 
-def fold_columns(k: int, repeats: int) -> list[Column]:
-    """Fold 0..k-1 for each repeat: the digits, to the base k, of the row's position.
+@contextmanager
+def folded(df: DataFrame, k: int, reps: int, partitions: int | None = None):
+    """``df`` with folds, kept for the passes of one training (dealt out anew where ``partitions`` is given).
 
-    The fold sizes of repeat r differ by at most k ** r rows.
+    Rows are put in the order of a hash within their partition before they are numbered, so a kept block that is lost and read
+    again has the same numbers. A frame that has folds already, or needs neither, is handed on as it is.
     """
-    return [F.pmod(F.expr(f"{FOLD_POS} div {k ** r}"), F.lit(k)).cast("int") for r in range(repeats)]
+    if f"{FOLD}0" in df.columns or not (k or partitions):
+        yield df
+        return
+    kept = df.repartition(partitions) if partitions else df
+    if k:
+        kept = kept.sortWithinPartitions(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    kept = kept.persist()
+    try:
+        yield with_folds(kept, k, reps) if k else kept
+    finally:
+        kept.unpersist()
 
 
 def fold_plan(cv: str, k: int = CV_DEFAULT_K, repeats: int = CV_DEFAULT_REPEATS) -> tuple[int, int]:
@@ -96,8 +115,10 @@ def fold_plan(cv: str, k: int = CV_DEFAULT_K, repeats: int = CV_DEFAULT_REPEATS)
 
 def fold_sizes(df: DataFrame, k: int, repeats: int = 1) -> DataFrame:
     """(rep, fold, n) row counts of the folds that training uses; each repeat sums to the table size."""
-    folds = F.array(*[F.struct(F.lit(r).alias("rep"), f.alias("fold")) for r, f in enumerate(fold_columns(k, repeats))])
-    return with_fold_positions(df).select(F.inline(folds)).groupBy("rep", "fold").agg(F.count(F.lit(1)).alias("n"))
+    k, repeats = fold_plan("repeatedcv", k, repeats)
+    hashes = cut_lineage(df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_h")))  # 8 bytes a row
+    folds = F.array(*[F.struct(F.lit(r).alias("rep"), F.col(c).alias("fold")) for r, c in enumerate(fold_names(repeats))])
+    return with_folds(hashes, k, repeats).select(F.inline(folds)).groupBy("rep", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- linear family
@@ -117,7 +138,7 @@ class FoldGrams:
 
     def folds(self):
         """(training moments, held-out moments) of each fold with rows on both sides."""
-        for m in self.per.values():
+        for m in self.per.values():  # a fold is empty only where there are fewer rows than folds
             train, hold = self.of(self.total - m), self.of(m)
             if hold.n > 0 and train.n >= 2:
                 yield train, hold
@@ -125,12 +146,11 @@ class FoldGrams:
 
 def _grams(prepared: DataFrame, features: list[str], label: str, k: int, reps: int, feature_fn=None,
            n_out: int | None = None) -> FoldGrams:
-    """Statistics of all folds of all repeats from one pass; positions are taken here where ``prepared`` has none."""
+    """Statistics of all folds of all repeats from one pass; rows are dealt into folds here where ``prepared`` has none."""
     if not k:
         return FoldGrams(gram_by_group(prepared, features, label, feature_fn=feature_fn, n_out=n_out), 0)
-    if FOLD_POS not in prepared.columns:
-        prepared = with_fold_positions(prepared)
-    return FoldGrams(gram_by_group(prepared, features, label, fold_columns(k, reps), k, feature_fn, n_out), k)
+    with folded(prepared, k, reps) as rows:
+        return FoldGrams(gram_by_group(rows, features, label, [F.col(c) for c in fold_names(reps)], k, feature_fn, n_out), k)
 
 
 def _cv_select(fit_fn, grid, grams: FoldGrams):
@@ -320,19 +340,18 @@ def fit_tree(prepared, features, label, name, seed=42, num_trees=500, max_depth=
     if name in ("gbm", "xgbTree"):
         ensure_checkpoint_dir(prepared.sparkSession)  # boosting cuts its lineage there every 10 rounds
     kk, reps = fold_plan(cv, k, repeats)
-    if kk and FOLD_POS not in prepared.columns:
-        prepared = with_fold_positions(prepared)
     est = est.setFeaturesCol("_features").setLabelCol(label).setPredictionCol("_held")
-    data = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep").transform(prepared)
     scores = []
-    for fold_col in fold_columns(kk, reps) if kk else []:
-        for f in range(kk):
-            held = est.fit(data.where(fold_col != f)).transform(data.where(fold_col == f))
-            err = F.col("_held") - F.col(f"`{label}`")
-            r = held.agg(F.sqrt(F.avg(err * err)).alias("rmse")).first()["rmse"]
-            if r is not None:
-                scores.append(r)
-    model = est.fit(data)
+    with folded(prepared, kk, reps) as rows:
+        data = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep").transform(rows)
+        for fold in map(F.col, fold_names(reps) if kk else []):
+            for f in range(kk):
+                held = est.fit(data.where(fold != f)).transform(data.where(fold == f))
+                err = F.col("_held") - F.col(f"`{label}`")
+                r = held.agg(F.sqrt(F.avg(err * err)).alias("rmse")).first()["rmse"]
+                if r is not None:
+                    scores.append(r)
+        model = est.fit(data)
     imp = dict(zip(features, map(float, model.featureImportances.toArray())))
     return Fitted(name, features, ml_model=model, params=params, importance=imp,
                   cv_rmse=float(np.mean(scores)) if scores else None)

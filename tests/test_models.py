@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabwise.functions.permute import permuted, with_permutations
 from tabwise.plans import evaluate as V
 from tabwise.plans import models as M
 from tabwise.plans.gram import fit_elastic_net, gram_by_group
@@ -57,23 +58,46 @@ def _fold_rows(df, k, reps):
     return sorted(map(tuple, M.fold_sizes(df, k, reps).collect()))
 
 
-def test_folds_are_balanced_and_independent_of_partitioning(spark):
-    reg = fixture(spark, SMALL, "fx_reg")
-    n = reg.count()
-    sizes = _fold_rows(reg, 5, 3)
-    for p in (1, 3, 7):
-        assert _fold_rows(reg.repartition(p), 5, 3) == sizes
-    for r in range(3):
-        mine = [c for rep, _, c in sizes if rep == r]
-        assert sum(mine) == n and len(mine) == 5 and max(mine) - min(mine) <= 5 ** r
-    few = spark.createDataFrame([(float(i % 6), float(i % 6)) for i in range(1000)], "x double, y double").repartition(4)
-    assert {c for rep, _, c in _fold_rows(few, 5, 1)} == {200}
+@pytest.mark.parametrize("k, reps", [(5, 3), (20, 10), (10, 10), (7, 2)])
+def test_every_fold_of_every_repeat_is_balanced(spark, k, reps):
+    for rows in (spark.range(10_000), spark.range(9_973).repartition(7), spark.range(0, 300).selectExpr("1 AS x")):
+        n = rows.count()
+        sizes = _fold_rows(rows, k, reps)
+        assert len(sizes) == k * reps  # none is empty
+        assert sorted(sizes) == [(r, f, len(range(f, n, k))) for r in range(reps) for f in range(k)]
+
+
+def test_no_fold_is_skipped(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(a), float(a + b)) for a, b in rng.normal(size=(400, 2))], "x double, y double")
+    for k, reps in ((10, 10), (20, 10)):
+        assert len(list(M._grams(df, ["x"], "y", k, reps).folds())) == k * reps
+
+
+def test_repeats_are_independent(spark):
+    kept = spark.range(4_000).repartition(3).persist()
+    pdf = M.with_folds(kept, 5, 6).toPandas()
+    assert sorted(pdf.id) == list(range(4_000)) and list(pdf.columns) == ["id", *M.fold_names(6)]
+    for a in range(6):
+        mine = pdf[f"{M.FOLD}{a}"].to_numpy()
+        assert abs(np.mean(mine[1:] == mine[:-1]) - 0.2) < 0.03  # neighbours
+        for b in range(a):
+            assert abs(np.mean(mine == pdf[f"{M.FOLD}{b}"]) - 0.2) < 0.03
+    kept.unpersist()
+
+
+def test_folds_do_not_shuffle_or_checkpoint_the_table(spark):
+    kept = spark.range(1_000).repartition(3).persist()
+    plan = M.with_folds(kept, 5, 2)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    kept.unpersist()
 
 
-def test_folds_of_the_same_row_do_not_move(spark):
-    reg = fixture(spark, SMALL, "fx_reg").select("y", "l_quantity", "l_discount").distinct()
-    a, b = (M.with_fold_positions(reg.repartition(p)).collect() for p in (2, 5))
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 17, 100, 1_009, 4_999])
+def test_permutation_is_a_bijection(spark, n):
+    got = with_permutations(spark.range(n).withColumn("z", F.col("id")), "id", n, {"p": 5, "q": 6}).collect()
+    assert sorted(r["p"] for r in got) == sorted(r["q"] for r in got) == list(range(n))
+    assert [r["p"] for r in sorted(got)] == list(permuted(np.arange(n), n, 5)) and all(r["z"] == r["id"] for r in got)
 
 
 def test_compare_models_ranks_and_scores(spark):
@@ -99,12 +123,12 @@ def test_compare_models_ranks_and_scores(spark):
 def test_held_out_error_is_that_of_the_folds(spark):
     reg = _reg3(spark, SMALL)
     feats = ["l_quantity", "l_discount", "flag_r"]
-    rows = M.with_fold_positions(reg)
+    rows = M.with_folds(reg.persist(), 4, 1).persist()
     fit = M.fit_linear(rows, feats, "y", "lm", cv="cv", k=4)
     pdf = rows.toPandas()
     want = []
     for f in range(4):
-        hold = pdf[M.FOLD_POS] % 4 == f
+        hold = pdf[f"{M.FOLD}0"] == f
         z = np.column_stack([np.ones(len(pdf)), pdf[feats].to_numpy()])
         b = np.linalg.lstsq(z[~hold], pdf.y[~hold], rcond=None)[0]
         want.append(np.sqrt(np.mean((pdf.y[hold] - z[hold] @ b) ** 2)))
