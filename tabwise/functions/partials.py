@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 LANES = 32  # merged arrays of a group that reach the driver, at most
 
 
-def summed_arrays(df: DataFrame, partial) -> dict[int, np.ndarray]:
+def summed_arrays(df: DataFrame, partial, parts: int | None = None) -> dict[int, np.ndarray]:
     """``{group: sum}`` of the arrays that ``partial`` yields as ``(group, array)`` for a partition's pandas batches.
 
     Each partition hands over one binary row a group; tasks add those of their lane, so the driver adds
-    ``LANES`` arrays a group whatever the number of partitions.
+    ``LANES`` arrays a group whatever the number of partitions. ``parts`` is that number where the caller knows it: up to ``LANES``
+    partitions need no lanes.
     """
     lanes = LANES
 
@@ -46,8 +47,10 @@ def summed_arrays(df: DataFrame, partial) -> dict[int, np.ndarray]:
                                          ["g", "shape", "v"])
 
     merge.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    rows = (df.mapInArrow(run, "g long, lane int, shape string, v binary").groupBy("g", "lane")
-            .applyInArrow(merge, "g long, shape string, v binary").collect())
+    rows = df.mapInArrow(run, "g long, lane int, shape string, v binary")
+    if parts is None or parts > lanes:
+        rows = rows.groupBy("g", "lane").applyInArrow(merge, "g long, shape string, v binary")
+    rows = rows.collect()
     out: dict[int, np.ndarray] = {}
     for r in rows:
         a = np.frombuffer(bytes(r["v"]), "<f8").reshape([int(x) for x in r["shape"].split(",")])

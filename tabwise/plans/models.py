@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.permute import with_permutations
 from ..functions.positions import numbered
 from ..functions.quantiles import as_double
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage
 from .gram import Grams, fit_elastic_net, fit_ols, gram_by_group, linear_expr
+from .trees import boost, packed
 
 # The reference's model choices and their tuning constants. Its kernel model is re-aimed
 # to ``rbf_ridge``; the reference's name for it is accepted too.
@@ -308,26 +309,37 @@ def fit_hinge(prepared, features, label, max_terms=10, knots=9, penalty=2.0, cv=
                   importance=imp, cv_rmse=score)
 
 
-# ---------------------------------------------------------------- trees (Spark ML)
+# ---------------------------------------------------------------- trees
+
+# The reference's tuning constants of its boosted models (and the published defaults of what it leaves open).
+BOOSTING = {
+    "gbm": {"rounds": 100, "depth": 3, "rate": 0.1, "l2": 0.0, "least": 10.0, "bag": 0.5},
+    "xgbTree": {"rounds": 100, "depth": 6, "rate": 0.3, "l2": 1.0, "least": 1.0, "bag": 1.0},
+}
+
+
+def fit_boosted(prepared, features, label, name, seed=42, max_depth=None, cv="none", k=CV_DEFAULT_K,
+                repeats=CV_DEFAULT_REPEATS, **constants) -> Fitted:
+    """M5 gbm and M6 xgbTree: second-order boosting over binned features; the models of all folds share every pass."""
+    kk, reps = fold_plan(cv, k, repeats)
+    used = BOOSTING[name] | constants | ({"depth": max_depth} if max_depth else {})
+    with folded(prepared, kk, reps) as rows, packed(rows, features, label, fold_names(reps), kk) as blocks:
+        model = boost(blocks, seed=seed, **used)
+    return Fitted(name, features, expr=model.expr(features), params=used, importance=dict(zip(features, map(float, model.gain))),
+                  cv_rmse=float(np.mean(model.held_out)) if model.held_out else None, ml_model=None)
+
 
 def tree_estimator(name: str, n_features: int, seed: int = 42, num_trees: int = 500, max_depth: int | None = None):
-    """The Spark learner of a tree model. ``max_depth`` None: the model's own fixed depth (gbm 3, xgbTree 6), and for
-    rf and tree 12 and 10. The reference's forest has no depth limit; Spark needs one, 30 at most."""
-    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+    """The Spark learner of a tree model. ``max_depth`` None: 12 for rf and 10 for tree. The reference's forest has no depth
+    limit; Spark needs one, 30 at most."""
+    from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 
-    depth = max_depth or {"rf": 12, "gbm": 3, "xgbTree": 6, "tree": 10, "rpart": 10}.get(name)
+    depth = max_depth or {"rf": 12, "tree": 10, "rpart": 10}.get(name)
     # fixed values: the reference's tuning constants of each model
     if name == "rf":
         mtry = max(1, min(int(math.floor(math.sqrt(n_features))), n_features))
         return RandomForestRegressor(numTrees=num_trees, featureSubsetStrategy=str(mtry), minInstancesPerNode=5,
                                      maxDepth=depth, seed=seed), {"mtry": mtry, "trees": num_trees, "maxDepth": depth}
-    if name == "gbm":
-        return GBTRegressor(maxIter=100, maxDepth=depth, stepSize=0.1, minInstancesPerNode=10, subsamplingRate=0.5,
-                            seed=seed), {"n.trees": 100, "interaction.depth": depth, "shrinkage": 0.1,
-                                         "n.minobsinnode": 10}
-    if name == "xgbTree":
-        return GBTRegressor(maxIter=100, maxDepth=depth, stepSize=0.3, subsamplingRate=1.0, seed=seed), \
-            {"nrounds": 100, "max_depth": depth, "eta": 0.3}
     if name in ("tree", "rpart"):
         return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=7, seed=seed), {"maxDepth": depth}
     raise ValueError(f"unknown tree model {name}")
@@ -337,8 +349,6 @@ def fit_tree(prepared, features, label, name, seed=42, num_trees=500, max_depth=
              repeats=CV_DEFAULT_REPEATS) -> Fitted:
     """A tree model; with resampling it is also fitted without each fold, for the mean held-out RMSE."""
     est, params = tree_estimator(name, len(features), seed, num_trees, max_depth)
-    if name in ("gbm", "xgbTree"):
-        ensure_checkpoint_dir(prepared.sparkSession)  # boosting cuts its lineage there every 10 rounds
     kk, reps = fold_plan(cv, k, repeats)
     est = est.setFeaturesCol("_features").setLabelCol(label).setPredictionCol("_held")
     scores = []
@@ -366,6 +376,8 @@ def fit_model(name: str, prepared: DataFrame, features: list[str], label: str, c
         return fit_rbf_ridge(prepared, features, label, cv=cv, k=k, repeats=repeats, seed=seed)
     if name == "earth":
         return fit_hinge(prepared, features, label, cv=cv, k=k, repeats=repeats)
+    if name in BOOSTING:
+        return fit_boosted(prepared, features, label, name, seed, max_depth, cv, k, repeats)
     return fit_tree(prepared, features, label, name, seed, num_trees, max_depth, cv, k, repeats)
 
 

@@ -6,7 +6,9 @@ function takes a DataFrame (and reads ``df.sparkSession`` when it needs one).
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -58,3 +60,25 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: tasks that use its functions import it there.
+
+    The archive is the driver's own file; Spark serves it to the executors as any ``--py-files`` entry.
+    """
+    import tabwise
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tabwise_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(tabwise.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tabwise-code-"), "tabwise_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("tabwise", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tabwise_shipped = True
