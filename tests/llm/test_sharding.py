@@ -66,6 +66,17 @@ def test_written_shards_hold_all_rows(spark, documents, tmp_path):
     assert back.count() == documents.count()
 
 
+def test_equal_rows_are_written_as_the_plan_says(spark, tmp_path):
+    rows = spark.range(1_000).selectExpr("7L AS doc_id", "'same text' AS text", "id % 3 AS _SHARD").repartition(5)
+    path = str(tmp_path / "equal")
+    plan = write_shards(rows, 4, path)
+    assert sorted((r["shard"], r["count"]) for r in plan.groupBy("shard").count().collect()) == [(i, 250) for i in range(4)]
+    back = spark.read.parquet(path)
+    name = next(c for c in back.columns if c not in rows.columns)
+    assert sorted((r[name], r["count"]) for r in back.groupBy(name).count().collect()) == [(i, 250) for i in range(4)]
+    assert sorted(r["_SHARD"] for r in back.select("_SHARD").collect()) == sorted(i % 3 for i in range(1_000))
+
+
 @pytest.mark.parametrize("first, last", [(30_000_000_000, 1_500), (500_000_000, 20), (10**15, 60_000_000), (9 * 10**17, 3)])
 def test_last_bytes_of_a_large_table_stay_in_the_last_shard(spark, monkeypatch, first, last):
     """Each row as a partition of its own, the first of them as large as a table."""
