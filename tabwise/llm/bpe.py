@@ -229,7 +229,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
     def run(batches):
         encoder = worker_encoder(ranks.value, pattern)
         for b in batches:
-            texts = b.column("__text")
+            texts = b.column(len(keep))
             first = 0
             while first < len(texts):
                 packed, size, end = [], 0, first
@@ -245,7 +245,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
                 first = end
 
-    rows = df.select(*(df[c] for c in keep), df[text].alias("__text"))
+    rows = df.select(*(df[c] for c in keep), df[text].alias("__text"))  # taken by position: a kept column may have any name
     return rows.mapInArrow(run, T.StructType(fields))
 
 

@@ -77,3 +77,10 @@ def test_defined_cases(spark, library):
     assert packed_to_list(got[4]["ids"]) == library.encode_ordinary("word " * 60000)
     assert bytes(got[4]["decoded"]) == b"word " * 60000
     assert encode_documents(df.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_columns_of_any_name(spark, library):
+    df = spark.createDataFrame([(1, "some text", "x"), (2, None, "y")], "doc_id long, text string, __text string")
+    got = encode_documents(df, PATH, P.PATTERN, keep=df.columns).collect()
+    assert [tuple(r)[:3] for r in got] == [(1, "some text", "x"), (2, None, "y")]
+    assert packed_to_list(bytes(got[0]["ids"])) == library.encode_ordinary("some text") and got[1]["n_tokens"] == 0
