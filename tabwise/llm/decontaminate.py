@@ -1,24 +1,23 @@
-"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment (operator 2).
+"""Benchmark decontamination: rare seeds and Smith-Waterman alignment (operator 2).
 
-Texts are words (lower-cased over A-Z, ASCII punctuation parts words), compared by 64-bit hash. Every run
-of ``n`` words of a test item is a seed, however frequent it is, so a copy that keeps ``n`` neighbouring words is
-found however often the item leaked. Where a document holds a seed, the item is aligned with the words around it
-(as far as an alignment that is good enough can reach), so paraphrased and edited copies score like what they kept.
+Texts are words (lower-cased over A-Z, ASCII punctuation parts words), compared by 64-bit hash. A leaked copy must keep a
+least number m of an item's L words, so of any L - m + 1 of them it keeps one: the L - m + 1 words of an item that are
+rarest in the corpus are its seeds, and no copy that counts can be without one, whatever was replaced, left out or put in.
+(Seeds are single words: edits can break every longer run.) Words that many items share are seeds of few, so they bring no item to a
+document by themselves.
 
-With a ``rare_share`` below 1 (a choice for speed, which may lose edited copies), runs are counted over the corpus first, and
-only those in at most that share of the documents, or in ``rare_count`` of them, are seeds, and the rarest of
-every ``stretch`` neighbouring runs.
+For the items of which a document holds a seed, the words in common are counted; where at least m of them stand close
+enough together for one alignment, the item is aligned with that part of the document.
 
 Score: matches count 1, words replaced, left out or put in cost ``COST`` each; the best local alignment
 divided by the item's words is the similarity. A pair is a leak at a similarity of ``least`` and a
-score of ``least_words``. Before an alignment, the words that item and surroundings have in common
-are counted; the score cannot be higher, so hopeless places are skipped without loss.
+score of ``least_words``. The score cannot be higher than the number of words in common, so what is skipped is no loss.
 
-Test items are broadcast in blocks of at most ``BLOCK_WORDS`` words, and the corpus is read once a
-block (twice with a ``rare_share`` below 1); a document is worked on where it lies, nothing of it is shuffled.
+Test items are broadcast in blocks of at most ``BLOCK_WORDS`` words, and the corpus is read twice a
+block (once to count the block's words); a document is worked on where it lies, nothing of it is shuffled.
 
 Defined cases: null and empty texts hold nothing and leak nothing; an item shorter than ``least_words``
-(or ``n``) cannot reach that score: with ``short`` it is sought by its whole word sequence, which must stand in the text unedited
+cannot reach that score: with ``short`` it is sought by its whole word sequence, which must stand in the text unedited
 (a word of a script without blanks is all that stands between blanks or ASCII punctuation), otherwise not at all; an item without a word is never
 sought; repeated items and repeated rows are each reported; a
 null id stays null in the result; an empty table on either side gives an empty result (``clean`` then
@@ -63,50 +62,54 @@ def local_alignment(item: np.ndarray, words: np.ndarray):
 
 
 class Items:
-    """A block of test items: their words, their runs of ``n`` words, and which of these are seeds.
+    """A block of test items: their words, and which of these are seeds.
 
-    Items of fewer than ``least`` words have no seeds; ``short`` has their whole sequences, by length.
+    Items of fewer than ``least_words`` words have no seeds; ``short`` has their whole sequences, by length.
     """
 
-    def __init__(self, ids: list, words: list, n: int, least: int):
-        self.ids, self.words, self.n = ids, words, n
-        grams = [gram_hashes(w, np.array([0, len(w)]), n)[0] if len(w) >= least else np.empty(0, np.uint64) for w in words]
+    def __init__(self, ids: list, words: list, least: float, least_words: int):
+        self.ids, self.words = ids, words
         self.short = {}
-        for k in sorted({len(w) for w in words if len(w) < least}):
+        for k in sorted({len(w) for w in words if len(w) < least_words}):
             of = np.array([i for i, w in enumerate(words) if len(w) == k])
             whole = np.array([gram_hashes(words[i], np.array([0, k]), k)[0][0] for i in of], np.uint64)
             order = np.argsort(whole, kind="stable")
             self.short[k] = whole[order], of[order]
-        self.item = np.repeat(np.arange(len(words)), [len(g) for g in grams])
-        self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-        self.gram = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        self._index(np.ones(len(self.gram), bool))
-
-    def _index(self, chosen):
-        order = np.argsort(self.gram[chosen], kind="stable")
-        self.item, self.place, self.gram = (x[chosen][order] for x in (self.item, self.place, self.gram))
-        self.distinct = np.unique(self.gram)
+        long = [i for i, w in enumerate(words) if len(w) >= least_words]
+        self.need = np.array([max(least * len(w), least_words) for w in words])
+        self.vocabulary = np.unique(np.concatenate([words[i] for i in long])) if long else np.empty(0, np.uint64)
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.distinct & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
-    def choose_seeds(self, counts: dict, most: float, stretch: int) -> None:
-        """Keep the runs in at most ``most`` documents, and the rarest of each stretch."""
-        count = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        chosen = count <= most
-        part = self.place // stretch
-        order = np.lexsort((self.place, count, part, self.item))
-        first = np.ones(len(order), bool)
-        first[1:] = (self.item[order][1:] != self.item[order][:-1]) | (part[order][1:] != part[order][:-1])
-        chosen[order[first]] = True
-        self._index(chosen)
-
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Positions of ``grams`` that are known."""
-        if not len(self.distinct) or not len(grams):
-            return np.empty(0, np.int64)
-        maybe = np.flatnonzero(self.seen[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.distinct, grams[maybe]), len(self.distinct) - 1)
-        return maybe[self.distinct[at] == grams[maybe]]
+        self.seen[(self.vocabulary & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        # the distinct words of item i, and how often it has them: [of[i]:of[i + 1]]
+        each = [np.unique(np.searchsorted(self.vocabulary, w), return_counts=True) if len(w) >= least_words else (np.empty(0, np.int64),) * 2
+                for w in words]
+        self.of = np.concatenate([[0], np.cumsum([len(w) for w, _ in each])])
+        self.word, self.times = (np.concatenate([e[c] for e in each]) if each else np.empty(0, np.int64) for c in (0, 1))
+
+    def choose_seeds(self, counts: np.ndarray) -> None:
+        """The rarest words of each item, as many as make sure that a copy keeps one; ``counts`` are those of the vocabulary in the corpus."""
+        items, seeds = [], []
+        for i, w in enumerate(self.words):
+            mine = slice(self.of[i], self.of[i + 1])
+            word = self.word[mine]
+            order = np.lexsort((word, counts[word]))
+            free = len(w) - int(np.ceil(self.need[i] - 1e-9))  # words that a copy can be without
+            taken = np.searchsorted(np.cumsum(self.times[mine][order]), free, "right") + 1
+            seeds.append(word[order][:taken])
+            items.append(np.full(len(seeds[-1]), i))
+        seed, item = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (seeds, items))
+        order = np.argsort(seed, kind="stable")
+        self.seed_item = item[order]  # the items of seed v: [seed_of[v]:seed_of[v + 1]]
+        self.seed_of = np.searchsorted(seed[order], np.arange(len(self.vocabulary) + 1))
+
+    def known(self, words: np.ndarray):
+        """``(positions, numbers in the vocabulary)`` of the words that items have."""
+        if not len(self.vocabulary) or not len(words):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        maybe = np.flatnonzero(self.seen[(words & np.uint64(0xFFFFF)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.vocabulary, words[maybe]), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == words[maybe]
+        return maybe[hit], at[hit]
 
     def short_leaks(self, words: np.ndarray, of: np.ndarray):
         """``(row, item, score, first word, word behind the last)``: the first place of each short item in each of many texts."""
@@ -120,115 +123,118 @@ class Items:
                         found.add((row[at], i))
                         yield int(row[at]), i, float(k), int(place[at]), int(place[at]) + k
 
-    def leaks(self, words: np.ndarray, at: np.ndarray, grams: np.ndarray, least: float, least_words: int):
-        """``(item, score, first word, word behind the last)``: the best alignment of each item in one text with seed hits ``at``."""
-        lo, hi = np.searchsorted(self.gram, grams, "left"), np.searchsorted(self.gram, grams, "right")
-        where = np.repeat(at, hi - lo)
-        entry = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-        items, begin = self.item[entry], where - self.place[entry]
-        order = np.lexsort((begin, items))
-        items, begin = items[order], begin[order]
-        for first, end in zip(np.searchsorted(items, u := np.unique(items)), np.searchsorted(items, u, "right")):
-            i = int(items[first])
-            item = self.words[i]
-            need = max(least * len(item), least_words)
-            reach = int((len(item) - need) / COST) + 1  # words that an alignment can skip and still score enough
-            best = (0.0, 0, 0)
+    def leaks(self, words: np.ndarray, place: np.ndarray, number: np.ndarray, count: np.ndarray):
+        """``(item, score, first word, word behind the last)``: the best alignment of each item in one text.
+
+        ``place`` and ``number`` are what ``known`` gives for the text; ``count`` is a zero for each word of the vocabulary, and is left so.
+        """
+        there, often = np.unique(number, return_counts=True)
+        lo, hi = self.seed_of[there], self.seed_of[there + 1]
+        size = hi - lo
+        entry = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        touched = np.unique(self.seed_item[entry])
+        if not len(touched):
+            return
+        count[there] = often
+        size = self.of[touched + 1] - self.of[touched]
+        entry = np.repeat(self.of[touched] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.bincount(np.repeat(np.arange(len(touched)), size), np.minimum(count[self.word[entry]], self.times[entry]))
+        count[there] = 0
+        for i in touched[common >= self.need[touched] - 1e-9].tolist():
+            item, need = self.words[i], self.need[i]
+            mine = slice(self.of[i], self.of[i + 1])
+            count[self.word[mine]] = 1
+            held = np.flatnonzero(count[number])
+            count[self.word[mine]] = 0
+            at, least = place[held], int(np.ceil(need - 1e-9))
+            wide = len(item) + int((len(item) - need) / COST) + 1  # words that an alignment of enough score can reach over
+            good = np.flatnonzero(at[least - 1:] - at[:len(at) - least + 1] < wide)
             spans = []
-            for b in begin[first:end]:
-                a, z = max(0, int(b) - reach), min(len(words), int(b) + len(item) + reach)
+            for a in at[good].tolist():
+                z = min(len(words), a + wide)
                 if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], z)
+                    spans[-1][1] = z
                 else:
                     spans.append([a, z])
-            of_item, times = np.unique(item, return_counts=True)
+            best = (0.0, 0, 0)
             for a, z in spans:
-                near = words[a:z]
-                place = np.minimum(np.searchsorted(of_item, near), len(of_item) - 1)
-                common = np.bincount(place[of_item[place] == near], minlength=len(of_item))
-                if np.minimum(common, times).sum() < need - 1e-9:
+                got = np.bincount(number[held[np.searchsorted(at, a):np.searchsorted(at, z)]], minlength=0)
+                times = self.word[mine]
+                times = times[times < len(got)]
+                if np.minimum(got[times], self.times[mine][:len(times)]).sum() < need - 1e-9:
                     continue
-                score, stop = local_alignment(item, near)
+                score, stop = local_alignment(item, words[a:z])
                 if score > best[0] + 1e-9:
-                    _, back = local_alignment(item[::-1], near[:stop][::-1])
+                    _, back = local_alignment(item[::-1], words[a:a + stop][::-1])
                     best = score, a + stop - back, a + stop
             if best[0] >= need - 1e-9:
                 yield i, *best
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str, n: int, least_words: int, short: bool):
+def _blocks(benchmark: DataFrame, key: str, text: str, least: float, least_words: int, short: bool):
     """Blocks of items, read from the benchmark one after another."""
-    ids, words, held, least = [], [], 0, max(n, least_words)
+    ids, words, held = [], [], 0
     for row in benchmark.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").toLocalIterator():
         data = np.frombuffer(row["text"].encode(), np.uint8)
         h = _words(data, np.array([0, len(data)]))[0]
-        if len(h) < (1 if short else least):
+        if len(h) < (1 if short else least_words):
             continue
         ids.append(row["key"])
         words.append(h)
         held += len(h)
         if held >= BLOCK_WORDS:
-            yield Items(ids, words, n, least)
+            yield Items(ids, words, least, least_words)
             ids, words, held = [], [], 0
     if ids:
-        yield Items(ids, words, n, least)
+        yield Items(ids, words, least, least_words)
 
 
-def _count_grams(sent):
+def _count_words(sent):
     def run(batches):
-        found, items = [], sent.value
+        items, total = sent.value, None
         for b in batches:
             for _, _, data, offsets in text_slices(b, "text"):
-                h, of, _, _ = _words(data, offsets)
-                grams, row, _ = gram_hashes(h, of, items.n)
-                at = items.hits(grams)
-                which = np.searchsorted(items.distinct, grams[at])
-                pairs = np.unique(row[at] * len(items.distinct) + which)
-                found.append(np.bincount(pairs % len(items.distinct), minlength=len(items.distinct)))
-                found = [np.sum(found, axis=0)]
-        if found:
-            some = np.flatnonzero(found[0])
-            yield pa.RecordBatch.from_arrays([pa.array(items.distinct[some].view(np.int64)), pa.array(found[0][some])], ["gram", "n"])
+                _, number = items.known(_words(data, offsets)[0])
+                found = np.bincount(number, minlength=len(items.vocabulary))
+                total = found if total is None else total + found
+        if total is not None:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
     return run
 
 
-def _leaks_of(batch_text, items, least, least_words):
+def _leaks_of(batch_text, items):
     """``(row, item, score, first byte, byte behind the last)`` of the leaks in the texts of a batch."""
+    count = np.zeros(len(items.vocabulary), np.int64)
     for first, n, data, offsets in text_slices(batch_text, "text"):
         h, of, starts, ends = _words(data, offsets)
         for r, i, score, a, z in items.short_leaks(h, of):
             yield first + r, i, score, int(starts[a] - offsets[r]), int(ends[z - 1] - offsets[r])
-        grams, row, place = gram_hashes(h, of, items.n)
-        at = items.hits(grams)
-        rows = row[at]
-        for r in np.unique(rows):
-            mine = at[np.searchsorted(rows, r):np.searchsorted(rows, r, "right")]
-            lo = of[r]
-            for i, score, a, z in items.leaks(h[lo:of[r + 1]], place[mine] - lo, grams[mine], least, least_words):
+        place, number = items.known(h)
+        cut = np.searchsorted(place, of)
+        for r in np.flatnonzero(np.diff(cut)).tolist():
+            lo, mine = of[r], slice(cut[r], cut[r + 1])
+            for i, score, a, z in items.leaks(h[lo:of[r + 1]], place[mine] - lo, number[mine], count):
                 yield first + r, i, score, int(starts[lo + a] - offsets[r]), int(ends[lo + z - 1] - offsets[r])
 
 
-def _prepared(documents, benchmark, text, item_key, item_text, n, rare, stretch, least_words, short):
-    """Broadcast blocks of items, with all their runs as seeds or those that the counts of the corpus choose."""
+def _prepared(documents, benchmark, text, item_key, item_text, least, least_words, short):
+    """Broadcast blocks of items (a block's size is bounded), their seeds chosen by the counts of the corpus."""
     context = documents.sparkSession.sparkContext
     corpus = documents.select(F.col(text).alias("text"))
-    total = None
-    for items in _blocks(benchmark, item_key, item_text, n, least_words, short):
-        if rare[0] >= 1:
-            yield context.broadcast(items)
-            continue
-        total = corpus.count() if total is None else total
-        counts = (corpus.mapInArrow(_count_grams(context.broadcast(items)), "gram long, n long")
-                  .groupBy("gram").agg(F.sum("n").alias("n")).toArrow())  # the block's runs at most
-        items.choose_seeds(dict(zip(counts.column("gram").to_pylist(), counts.column("n").to_pylist())),
-                           max(rare[0] * total, rare[1]), stretch)
+    for items in _blocks(benchmark, item_key, item_text, least, least_words, short):
+        counts = np.zeros(len(items.vocabulary), np.int64)
+        if len(counts):
+            got = (corpus.mapInArrow(_count_words(context.broadcast(items)), "word long, n long")
+                   .groupBy("word").agg(F.sum("n").alias("n")).toArrow())  # the block's words at most
+            counts[got.column("word").to_numpy()] = got.column("n").to_numpy()
+        items.choose_seeds(counts)
         yield context.broadcast(items)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-          item_text: str = "text", n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 1.0,
-          rare_count: int = 100, stretch: int = 4, short: bool = False) -> DataFrame:
+          item_text: str = "text", least: float = 0.55, least_words: int = 5, short: bool = False) -> DataFrame:
     """Pairs of document and test item, ``(key, item, similarity, first_byte, end_byte)``: where the item's best copy lies."""
     key_type, item_type = documents.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType
     schema = f"key {key_type}, item {item_type.simpleString()}, similarity double, first_byte long, end_byte long"
@@ -239,7 +245,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         def run(batches):
             items = sent.value
             for b in batches:
-                got = list(_leaks_of(b, items, least, least_words))
+                got = list(_leaks_of(b, items))
                 row, item, score, first, end = zip(*got) if got else ([],) * 5
                 yield pa.RecordBatch.from_arrays(
                     [b.column("key").take(pa.array(row, pa.int64())), pa.array([items.ids[i] for i in item], arrow_type),
@@ -250,14 +256,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         return run
 
     out = documents.sparkSession.createDataFrame([], schema)
-    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, (rare_share, rare_count), stretch, least_words, short):
+    for sent in _prepared(documents, benchmark, text, item_key, item_text, least, least_words, short):
         out = out.unionByName(rows.mapInArrow(finder(sent), schema))
     return out
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-          n: int = 3, least: float = 0.55, least_words: int = 5, rare_share: float = 1.0, rare_count: int = 100,
-          stretch: int = 4, short: bool = False) -> DataFrame:
+          least: float = 0.55, least_words: int = 5, short: bool = False) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no test item."""
     at = documents.columns.index(text)
 
@@ -266,13 +271,13 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_k
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 only = pa.RecordBatch.from_arrays([b.column(at)], ["text"])
-                for row, *_ in _leaks_of(only, sent.value, least, least_words):
+                for row, *_ in _leaks_of(only, sent.value):
                     keep[row] = False
                 yield b.filter(pa.array(keep))
 
         return run
 
     out = documents
-    for sent in _prepared(documents, benchmark, text, item_key, item_text, n, (rare_share, rare_count), stretch, least_words, short):
+    for sent in _prepared(documents, benchmark, text, item_key, item_text, least, least_words, short):
         out = out.mapInArrow(dropper(sent), documents.schema)
     return out
