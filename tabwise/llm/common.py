@@ -10,7 +10,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.session import ensure_checkpoint_dir
@@ -50,6 +50,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn(rows: DataFrame, share: Column, name: str) -> DataFrame:
+    """``rows`` thinned to ``share`` (of 2**30) each, plus ``row``, a number of its own; the caller's shares bound the sample.
+
+    A row is drawn by a checksum of its values and of its number among the rows equal to it, so the sample is the
+    same however the rows lie, and no frequent row stands or falls with all its copies.
+    """
+    values = F.xxhash64(*rows.columns)
+    counted = rows.select(values.alias("h"), share.alias("share")).groupBy("h", "share").agg(F.count("*").alias("n"))
+    copies = counted.select("h", "share", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    chosen = copies.where(F.pmod(F.xxhash64("h", "copy"), F.lit(1 << 30)) < F.col("share")).groupBy("h").agg(F.count("*").alias("copies"))
+    chosen = written(chosen, f"{name}-chosen")
+    one = rows.withColumn("h", values).join(F.broadcast(chosen), "h").dropDuplicates(["h"])
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
+    return written(one.select("*", copy).select(*rows.columns, F.xxhash64("h", "copy").alias("row")), name)
+
+
 def _file_system(uri: str):
     parts = urlsplit(uri)
     if parts.scheme in ("", "file"):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwise.llm.common import text_slices, written
+from tabwise.llm.common import drawn, text_slices
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -147,7 +147,7 @@ def _calibrate(m: np.ndarray, y: np.ndarray):
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 500) -> Model:
-    """Learn from all rows with text and language."""
+    """Learn from all rows with text and language; a bit's scale and weight from ``most_rows`` rows a language at most."""
     spark = df.sparkSession
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
@@ -166,9 +166,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int =
     model = Model(languages, code, odds.astype(np.float32), np.ones(bits), np.zeros(bits), np.ones(bits))
     if not bits:
         return model
-    share = spark.createDataFrame([(k, int(min(1.0, most_rows / v) * (1 << 30))) for k, v in per.items()], "lang string, share long")
-    sample = written(rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share"))
-                     .select("lang", "text"), "lang-sample")
+    sample = sample_rows(rows, per, most_rows)
     got = sample.mapInArrow(_marginer(spark.sparkContext.broadcast(model)), "lang string, margins array<double>").toArrow()
     if not len(got):
         return model
@@ -183,6 +181,14 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", most_rows: int =
     return model
 
 
+def sample_rows(rows: DataFrame, per: dict, most_rows: int) -> DataFrame:
+    """About ``most_rows`` of the rows ``(text, lang)`` of each language, whatever texts they hold."""
+    share = F.lit(0)
+    for k, v in per.items():
+        share = F.when(F.col("lang") == k, F.lit(int(min(1.0, most_rows / v) * (1 << 30)))).otherwise(share)
+    return drawn(rows, share, "lang-sample").select("lang", "text")
+
+
 def identify(df: DataFrame, model: Model, keep=("doc_id",), text: str = "text", ambiguous_below: float = 0.1,
              names: tuple = ("lang_pred", "score", "ambiguous"), reject: bool = False) -> DataFrame:
     """The ``keep`` columns of every row with the predicted language, its score (0 to 1) and whether it is ambiguous.

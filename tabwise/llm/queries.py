@@ -70,9 +70,9 @@ def op5_simhash(spark, sf):
 @_query
 def op6_language_id(spark, sf):
     documents = read_table(spark, sf, "documents")
-    held_out = _crc_of_id(3) == 1
+    held_out = F.coalesce(_crc_of_id(3) == 1, F.lit(False))
     found = langid.identify(documents, langid.fit(documents.where(~held_out)))
-    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 @_query

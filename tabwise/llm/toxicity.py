@@ -4,14 +4,15 @@ A linear classifier over the words that occur in a text, and over the beginnings
 (so that inflected and joined forms count too), is fitted on labelled texts. Identity terms
 (names of groups) in labelled sentences are swapped for the other terms of their kind and for a
 neutral one; the change of score that a swap makes is penalised, so a group's name by itself does
-not make a text toxic.
+not make a text toxic. The features of both sentences are compared as sets, so a feature that another word of the
+sentence has too is not changed by the swap. A sentence ends at ``.``, ``!``, ``?`` or a line break.
 
 Words are compared by 64-bit hash, so no two words share a weight. Candidate words are those whose
 share of toxic and other texts differs by ``least_z`` standard errors; a first fit has an L1 term,
 which leaves weight only where the labels speak clearly, so a long text does not add up noise, and
 the words it leaves are fitted again without that term.
 
-The fit uses a bounded sample: about ``most_rows`` labelled rows, chosen by a hash of their key.
+The fit uses a bounded sample: about ``most_rows`` labelled rows, drawn row by row (rows of one key or text are drawn apart).
 Scores cover every row and the whole of every text.
 
 Defined cases: null and empty texts have the score of a text without known words; rows with a null
@@ -23,13 +24,14 @@ alike; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import text_slices, written
+from tabwise.llm.common import drawn, text_slices
 from tabwise.llm.words import LOWER, PUNCTUATION, hash_spans, word_bounds
 
 #: Default identity terms, by kind; the first of a kind is the neutral term.
@@ -116,6 +118,56 @@ def _find_words(chosen):
     return run
 
 
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?\n"]] = True
+
+
+def _swap_sentences(kinds):
+    """Swaps in the sentences of a task's texts: (features that come, features that go, number of such swaps)."""
+    heads = np.concatenate([k[:, 0] for k in kinds])
+    kind_of = {int(h): (i, j) for i, k in enumerate(kinds) for j, h in enumerate(k[:, 0])}
+    features = [[frozenset(map(int, row)) for row in k] for k in kinds]
+
+    def swaps(h: np.ndarray, sentence: np.ndarray, counts: Counter) -> None:
+        named = np.isin(h[:, 0], heads)
+        for s in np.unique(sentence[named]):
+            words = h[sentence == s]
+            for term in {int(x) for x in words[:, 0]} & kind_of.keys():
+                i, j = kind_of[term]
+                rest = set(map(int, words[words[:, 0] != np.uint64(term)].ravel()))
+                for other, f in enumerate(features[i]):
+                    if other != j:
+                        come, go = f - rest - features[i][j], features[i][j] - rest - f
+                        if come or go:
+                            counts[tuple(sorted(come)), tuple(sorted(go))] += 1
+
+    def run(batches):
+        counts = Counter()
+        for b in batches:
+            for _, n, data, offsets in text_slices(b, "text"):
+                data = LOWER[data]
+                starts, ends, of = word_bounds(data, offsets, PUNCTUATION)
+                h = _features(data, starts, ends)
+                ended = np.cumsum(_ENDS[data])[starts] if len(starts) else starts
+                for i in range(n):
+                    part = slice(of[i], of[i + 1])
+                    swaps(h[part], ended[part], counts)
+        pairs = [np.array([*c, *g], np.uint64).view(np.int64) for c, g in counts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([list(x[:len(c)]) for x, (c, _) in zip(pairs, counts)], pa.list_(pa.int64())),
+             pa.array([list(x[len(c):]) for x, (c, _) in zip(pairs, counts)], pa.list_(pa.int64())),
+             pa.array(list(counts.values()), pa.int64())], ["come", "go", "n"])
+
+    return run
+
+
+def swapped(sample: DataFrame, kinds: list) -> list:
+    """``(features that come, features that go, count)`` of every swap in the sentences of ``sample``. Equal changes are one row, so
+    what reaches the driver is bounded by the terms (a pair of terms has 8 features), whatever the number of sentences."""
+    found = sample.mapInArrow(_swap_sentences(kinds), "come array<long>, go array<long>, n long").groupBy("come", "go").agg(F.sum("n").alias("n"))
+    return [([x & (1 << 64) - 1 for x in r["come"]], [x & (1 << 64) - 1 for x in r["go"]], r["n"]) for r in found.toArrow().to_pylist()]
+
+
 class Model:
     def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float):
         order = np.argsort(words)
@@ -137,36 +189,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit_weights(rows, cols, y, n_words, terms, swaps, l1, l2, fairness, steps=400):
+def fit_weights(rows, cols, y, n_words, swaps, l1, l2, fairness, steps=400):
     """Logistic weights with L1, L2 and counterfactual terms, by accelerated proximal gradient descent.
 
-    ``rows``/``cols`` are the (text, word) pairs. ``terms`` lists the columns of each identity term (none
-    of a term without a weight). ``swaps`` are ``(term, other, count)``: ``count`` labelled texts hold a sentence
-    with the term, in which it was swapped for the other; each adds ``fairness`` times the square of the
-    change of score.
+    ``rows``/``cols`` are the (text, word) pairs. ``swaps`` are ``(columns that come, columns that go, count)``: ``count`` sentences change
+    so by a swap of identity terms; each adds ``fairness`` times the square of the change of score.
     """
     n = len(y)
     prior = math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))  # a text without known words keeps near this
     w, bias = np.zeros(n_words), prior
-    a, b, c = (np.array(x) for x in zip(*swaps)) if swaps else (np.empty(0, int), np.empty(0, int), np.empty(0))
-    part = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    column = np.concatenate([*terms, np.empty(0, int)]).astype(int)
-    width = np.bincount(part, minlength=len(terms) + 1).astype(float)
-    curve_term = 2 * fairness * (np.bincount(a, c * (width[a] + width[b]), len(terms) + 1)
-                                 + np.bincount(b, c * (width[a] + width[b]), len(terms) + 1)) if len(a) else width * 0
+    swap = np.repeat(np.arange(len(swaps)), [len(c) + len(g) for c, g, _ in swaps]).astype(int)
+    column = np.array([x for c, g, _ in swaps for x in (*c, *g)], int)
+    sign = np.array([v for c, g, _ in swaps for v in (*[1.0] * len(c), *[-1.0] * len(g))])
+    times = 2 * fairness * np.array([t for _, _, t in swaps], float)
+    width = np.bincount(swap, minlength=len(swaps))
     per_text = np.bincount(rows, minlength=n)
-    # an upper bound of the curvature, by word: its texts weighted by how many words they have
-    curve = 0.25 * np.bincount(cols, per_text[rows] + 1.0, n_words) + l2 + 1e-9 + np.bincount(column, curve_term[part], n_words)
+    # an upper bound of the curvature, by word: its texts and swaps weighted by how many words they have
+    curve = 0.25 * np.bincount(cols, per_text[rows] + 1.0, n_words) + l2 + 1e-9 + np.bincount(column, (times * width)[swap], n_words)
     curve_bias = 0.25 * (n + per_text.sum()) + 1
     z, z_bias, t = w.copy(), bias, 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z_bias + np.bincount(rows, z[cols], n), -500, 500)))
         g = np.bincount(cols, (p - y)[rows], n_words) + l2 * z
-        if len(a):
-            total = np.bincount(part, z[column], len(terms))
-            d = 2 * fairness * c * (total[a] - total[b])
-            of_term = np.bincount(a, d, len(terms)) - np.bincount(b, d, len(terms))
-            g += np.bincount(column, of_term[part], n_words)
+        if len(swap):
+            change = np.bincount(swap, sign * z[column], len(swaps))
+            g += np.bincount(column, (times * change)[swap] * sign, n_words)
         new = z - g / curve
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / curve, 0)
         new_bias = z_bias - ((p - y).sum() + z_bias - prior) / curve_bias
@@ -176,17 +223,19 @@ def fit_weights(rows, cols, y, n_words, terms, swaps, l1, l2, fairness, steps=40
     return w, bias
 
 
+def draw(labelled: DataFrame, most_rows: int, key: str = "doc_id", text: str = "text", label: str = "label") -> DataFrame:
+    """``(row, label, text)``: about ``most_rows`` labelled rows at most, each drawn for itself."""
+    rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    rows = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
+    share = min(1.0, most_rows / max(rows.count(), 1))
+    return drawn(rows, F.lit(int(share * (1 << 30))), "labelled").select("row", "label", "text")
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", identity=IDENTITY,
         most_rows: int = 16_000, least_texts: int = 5, least_z: float = 4.0, l1: float = 0.1, l2: float = 0.005,
         fairness: float = 1.0) -> Model:
     """Fit on about ``most_rows`` rows of ``labelled`` at most; ``l1`` is in units of the root of their number."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    n_all = rows.count()
-    if n_all > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(most_rows / n_all * (1 << 30)))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col(label).cast("int").alias("label"),
-                       F.col(text).alias("text"))
-    sample = written(rows, "labelled")
+    sample = draw(labelled, most_rows, key, text, label)
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     empty = np.empty(0, np.uint64), np.empty(0)
     if positive in (0, n):
@@ -212,23 +261,16 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
         return Model(*empty, math.log(share / (1 - share)))
 
     index = {int(h): i for i, h in enumerate(words)}
-    texts_with = np.bincount(cols, minlength=len(words))
-    terms, swaps = [], []
-    for kind in named:
-        first = len(terms)
-        for f in kind:
-            terms.append(np.unique([index[int(h)] for h in f if int(h) in index]).astype(int))
-        for i, f in enumerate(kind):
-            held = int(texts_with[index[int(f[0])]]) if int(f[0]) in index else 0
-            swaps += [(first + i, first + j, held) for j in range(len(kind)) if held and i != j]
-    weights, _ = fit_weights(at, cols, y, len(words), terms, swaps, l1 * math.sqrt(n), l2, fairness)
+    changes = [([index[x] for x in come if x in index], [index[x] for x in go if x in index], count)
+               for come, go, count in swapped(sample, named)]
+    weights, _ = fit_weights(at, cols, y, len(words), changes, l1 * math.sqrt(n), l2, fairness)
     # the L1 term has chosen the words; fitted again without it, their weights are no longer shrunk
     kept = np.flatnonzero(weights)
     place = np.full(len(words), -1)
     place[kept] = np.arange(len(kept))
     inside = place[cols] >= 0
-    terms = [place[t][place[t] >= 0] for t in terms]
-    weights, bias = fit_weights(at[inside], place[cols[inside]], y, len(kept), terms, swaps, 0.0, l2, fairness, steps=3000)
+    changes = [([place[x] for x in come if place[x] >= 0], [place[x] for x in go if place[x] >= 0], count) for come, go, count in changes]
+    weights, bias = fit_weights(at[inside], place[cols[inside]], y, len(kept), changes, 0.0, l2, fairness, steps=3000)
     return Model(words[kept], weights, bias)
 
 

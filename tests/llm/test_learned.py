@@ -1,6 +1,7 @@
 """Language ID and toxicity: held-out accuracy, the methods' own properties, defined cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -120,3 +121,50 @@ def test_the_sample_is_bounded_and_the_same_each_time(spark):
     df = spark.createDataFrame(sentences(random.Random(2), 3000), "doc_id long, text string, label int")
     a, b = toxicity.fit(df.repartition(3), most_rows=500), toxicity.fit(df.repartition(7), most_rows=500)
     assert np.array_equal(a.words, b.words) and np.allclose(a.weights, b.weights, atol=1e-6)
+
+
+def test_samples_are_bounded_by_row(spark):
+    """Rows that share one key, or two texts, are drawn apart."""
+    one = spark.range(60_000).selectExpr("1L AS doc_id", "concat('t', id % 50) AS text", "CAST(id % 2 AS int) AS label").repartition(4)
+    n = toxicity.draw(one, 4_000).count()
+    assert abs(n - 4_000) < 400
+    two = spark.range(40_000).selectExpr("concat('text ', id % 2) AS text", "'en' AS lang").repartition(4)
+    n = langid.sample_rows(two, {"en": 40_000}, 500).groupBy("text").count().collect()
+    assert len(n) == 2 and 380 < sum(r["count"] for r in n) < 620 and min(r["count"] for r in n) > 150
+    few = spark.createDataFrame([("a", "en"), ("a", "en"), ("b", "de")], "text string, lang string")
+    assert sorted(map(tuple, langid.sample_rows(few, {"en": 2, "de": 1}, 500).collect())) == [("de", "b"), ("en", "a"), ("en", "a")]
+
+
+def _swaps_by_hand(texts, kinds):
+    """All swaps of one term in one sentence, with the sets of features before and after."""
+    def feature(word):
+        return {int(x) for x in toxicity.term_features([word])[0]}
+
+    out = {}
+    for text in texts:
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            said = re.findall(r"[a-z0-9']+", sentence.lower())
+            for kind in kinds:
+                for term in set(said) & set(kind):
+                    for other in set(kind) - {term}:
+                        before = set().union(*map(feature, said))
+                        after = set().union(*(feature(other if w == term else w) for w in said))
+                        if before != after:
+                            change = tuple(sorted(after - before)), tuple(sorted(before - after))
+                            out[change] = out.get(change, 0) + 1
+    return out
+
+
+def test_sentences_are_swapped(spark):
+    kinds = [("people", "women", "men", "woman"), ("person", "gay", "queer")]
+    texts = ["Women and men met. Women left!", "the womanly woman", "gay people\nqueer, gay", None, "", "no one here", "men men men? A person.", "peoples and people"]
+    sample = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string").repartition(3)
+    got = {(tuple(sorted(c)), tuple(sorted(g))): n for c, g, n in toxicity.swapped(sample, [toxicity.term_features(k) for k in kinds])}
+    assert got == _swaps_by_hand(texts, kinds) and max(got.values()) > 1
+
+
+def test_null_ids_are_learned_from(spark):
+    rows = [(None, "the cat and the dog", "en"), (None, "der hund und die katze", "de")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held_out = F.coalesce(crc(3) == 1, F.lit(False))
+    assert langid.fit(df.where(~held_out)).languages == ["de", "en"]
