@@ -10,7 +10,9 @@ properties.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +29,13 @@ from tabwise.plans import models as M
 from tabwise.sources import csv as CSV
 from tabwise.sources.tables import FIXTURE_SQL, fixture, read_table
 
-try:  # the pipeline subpackage and its top-level script may be absent
+# the pipeline subpackage and its top-level script may be absent; if they are there, their errors are errors
+if find_spec("tabwise.llm"):
     from tabwise.llm.queries import ORACLES as LLM_ORACLES
     from tabwise.llm.queries import QUERIES as LLM_QUERIES
-except ImportError:
+else:
     LLM_ORACLES, LLM_QUERIES = {}, {}
-try:
-    import corpus_pipeline
-except ImportError:
-    corpus_pipeline = None
+corpus_pipeline = importlib.import_module("corpus_pipeline") if find_spec("corpus_pipeline") else None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -391,10 +391,53 @@ def _q_forest(spark, sf):
 
 
 def _q_boosting(spark, sf):
-    return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["gbm", "xgbTree"], cv="none",
+    return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["gbm", "xgbTree"], cv="cv", k=5,
                             partitions=_cores(spark)).metrics
 
 
+def _q_svm(spark, sf):
+    return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["svmRadial"], cv="cv", k=5, partitions=_cores(spark)).metrics
+
+
+def _q_stump(spark, sf):
+    """One round of one cut: the exact second-order split of the gradients."""
+    reg = fixture(spark, sf, "fx_reg").select("y", "l_quantity")
+    fit = M.fit_boosted(reg, ["l_quantity"], "y", "xgbTree", cv="none", rounds=1, depth=1)
+    return rounded(fit.predict(reg, keep=["l_quantity"]).groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("prediction")))
+
+
+def _q_penalised(spark, sf):
+    """Ridge and lasso with one predictor, at the first lambda of the grid."""
+    reg = fixture(spark, sf, "fx_reg").select("y", "l_quantity")
+    fits = {m: M.fit_linear(reg, ["l_quantity"], "y", m, cv="none") for m in ("glmnet", "lasso")}
+    return rounded(spark.createDataFrame([(m, f.params["intercept"], f.coef["l_quantity"]) for m, f in fits.items()],
+                                         "model string, intercept double, slope double"))
+
+
+def _q_permutation(spark, sf):
+    """Importance of every predictor for a model without a measure of its own."""
+    res = V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["rbf_ridge"], cv="none", partitions=_cores(spark))
+    return rounded(V.variable_importance(res.fitted["rbf_ridge"], prepared=res.prepared, label=res.label))
+
+
+def _q_pair_matrix_default(spark, sf):
+    """The pair plot's own columns (the first 8 numeric ones) and sample size."""
+    li = _t(spark, sf, "lineitem")
+    return rounded(P.pair_matrix(li, P.default_columns(li, 8)[0]))
+
+
+def _q_one_pass(spark, sf):
+    gap = fixture(spark, sf, "fx_gap").select("id", "price", "price_copy", "cust")
+    return spark.createDataFrame([(n,) for n in PR.correlated_columns(gap, rule="one_pass")], "column_name string")
+
+
+def _q_classify_held_out(spark, sf):
+    """Confusion table of the held-out rows: a text target on numeric and text predictors."""
+    orders = _t(spark, sf, "orders").select("o_orderpriority", "o_totalprice", "o_orderstatus", "o_custkey")
+    return M.compare_classifiers(orders, "o_orderstatus", models=("logistic", "tree"), cv="cv", k=5, partitions=_cores(spark),
+                                 confusion=True)[1]
+
+
 def _one_predictor(spark, sf, models):
     reg = fixture(spark, sf, "fx_reg").select("y", "l_quantity")
     return V.compare_models(reg, "y", models=models, cv="none")
@@ -431,7 +474,7 @@ def _q_qq_line(spark, sf):
 
 def _q_classify(spark, sf):
     li = _t(spark, sf, "lineitem")
-    return M.compare_classifiers(li, "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return M.compare_classifiers(li, "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], partitions=_cores(spark))
 
 
 def _q_read_csv(spark, sf):
@@ -534,6 +577,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "qq_residuals_fx_reg": _q_qq_residuals,
         "plot_sample_members_lineitem": _q_sample_members,
         "forest_fx_reg": _q_forest,
+        "svm_radial_fx_reg": _q_svm,
+        "boosted_stump_fx_reg": _q_stump,
+        "penalised_models_fx_reg": _q_penalised,
+        "permutation_importance_fx_reg": _q_permutation,
+        "pair_matrix_default_lineitem": _q_pair_matrix_default,
+        "correlated_columns_one_pass_fx_gap": _q_one_pass,
+        "classify_held_out_orders": _q_classify_held_out,
     }
     if corpus_pipeline is not None:
         own["pipeline"] = corpus_pipeline.run
@@ -894,6 +944,29 @@ def oracle_sql() -> dict[str, str]:
     q["correlated_columns_fx_gap"] = "SELECT 'price' AS column_name"
     q["scatter_points_lineitem"] = "SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM lineitem"
     q["plot_sample_members_lineitem"] = "SELECT least(10000, count(*)) AS n, least(10000, count(*)) AS members FROM lineitem"
+    q["penalised_models_fx_reg"] = reg + (
+        ", m AS (SELECT covar_pop(l_quantity, y) AS c, var_pop(l_quantity) AS v, stddev_samp(y) AS sd, avg(l_quantity) AS mx, avg(y) AS my FROM fx_reg), "
+        "b AS (SELECT 'glmnet' AS model, c / (v + 0.001 / sd) AS slope, mx, my FROM m "
+        "UNION ALL SELECT 'lasso', sign(c) * greatest(abs(c) - 0.001, 0) / v, mx, my FROM m) "
+        "SELECT model, " + _r("my - slope * mx") + " AS intercept, " + _r("slope") + " AS slope FROM b")
+    # one cut with penalty 1 and step 0.3: gradients are mean - y, the gain is G^2 / (n + 1) of both sides
+    q["boosted_stump_fx_reg"] = reg + (
+        ", m AS (SELECT avg(y) AS base, count(*) AS n, sum(y) AS s FROM fx_reg), "
+        "v AS (SELECT l_quantity, count(*) AS n, sum(y) AS s FROM fx_reg GROUP BY 1), "
+        "w AS (SELECT v.l_quantity, sum(v.n) OVER o AS nl, sum(v.n) OVER o * base - sum(v.s) OVER o AS gl, m.n AS n, m.n * base - m.s AS g, base "
+        "FROM v, m WINDOW o AS (ORDER BY v.l_quantity)), "
+        "best AS (SELECT * FROM w WHERE nl < n ORDER BY gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) DESC, l_quantity LIMIT 1) "
+        "SELECT v.l_quantity, v.n, " + _r("best.base - 0.3 * CASE WHEN v.l_quantity <= best.l_quantity THEN gl / (nl + 1) "
+                                          "ELSE (g - gl) / (best.n - nl + 1) END") + " AS prediction FROM v, best")
+    four = ["id", "price", "price_copy", "cust"]
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    means = ", ".join("(1 + " + " + ".join(f"abs(r{min(i, j)}{max(i, j)})" for j in range(4) if j != i) + f") / 4 AS m{i}" for i in range(4))
+    q["correlated_columns_one_pass_fx_gap"] = _with("fx_gap") + (
+        ", k AS (SELECT * FROM fx_gap WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in four) + "), "
+        "r AS (SELECT " + ", ".join(f"corr({four[i]}, {four[j]}) AS r{i}{j}" for i, j in pairs) + " FROM k), "
+        f"m AS (SELECT *, {means} FROM r) "
+        "SELECT DISTINCT column_name FROM (" + " UNION ALL ".join(
+            f"SELECT CASE WHEN m{j} > m{i} THEN '{four[j]}' ELSE '{four[i]}' END AS column_name FROM m WHERE abs(r{i}{j}) > 0.9" for i, j in pairs) + ")")
     # a repeat is a permutation of the rows' numbers, modulo k: the sizes are those of 0 to n - 1 modulo k
     for name, table, k, repeats in (("fold_sizes_fx_reg", "lineitem", 5, 3), ("fold_sizes_20_by_10", "lineitem", 20, 10),
                                     ("fold_sizes_10_by_10", "orders", 10, 10)):

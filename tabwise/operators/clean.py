@@ -139,14 +139,14 @@ def drop_near_zero_variance(df: DataFrame) -> DataFrame:
     return drop_columns(df, nzv_columns(df))
 
 
-def drop_correlated(df: DataFrame, cutoff: float = 0.9) -> DataFrame:
+def drop_correlated(df: DataFrame, cutoff: float = 0.9, rule: str = "exact") -> DataFrame:
     """K3: drop the correlation screen's choices, only with more than one numeric column."""
     if len(numeric_columns(df)) <= 1:
         return df
-    return drop_columns(df, correlated_columns(df, cutoff=cutoff))
+    return drop_columns(df, correlated_columns(df, cutoff=cutoff, rule=rule))
 
 
-def auto_clean(df: DataFrame, threshold: float = 0.5, cutoff: float = 0.9, report: bool = False):
+def auto_clean(df: DataFrame, threshold: float = 0.5, cutoff: float = 0.9, report: bool = False, rule: str = "exact"):
     """K4: K1 then K2 then K3. Three statistics jobs, then a pure projection.
 
     With ``report=True`` returns ``(df, {"sparse": [...], "nzv": [...], "correlated": [...]})``.
@@ -156,7 +156,7 @@ def auto_clean(df: DataFrame, threshold: float = 0.5, cutoff: float = 0.9, repor
     dropped["nzv"] = nzv_columns(out) if len(out.columns) > 1 else []
     out = drop_columns(out, dropped["nzv"])
     num = numeric_columns(out)
-    dropped["correlated"] = correlated_columns(out, num, cutoff) if len(num) > 1 else []
+    dropped["correlated"] = correlated_columns(out, num, cutoff, rule) if len(num) > 1 else []
     out = drop_columns(out, dropped["correlated"])
     return (out, dropped) if report else out
 

@@ -253,12 +253,15 @@ def find_correlated(matrix: dict[tuple[str, str], float | None], names: list[str
     return [names[k] for k in order if not standing[k]]
 
 
-def correlated_columns(df: DataFrame, cols: list[str] | None = None, cutoff: float = 0.9) -> list[str]:
-    """Names the correlation screen would remove."""
+def correlated_columns(df: DataFrame, cols: list[str] | None = None, cutoff: float = 0.9, rule: str = "exact") -> list[str]:
+    """Names the correlation screen would remove, by the ``exact`` rule or in ``one_pass`` over the pairs (``find_correlated``;
+    the rule meant for 100 columns and more)."""
+    if rule not in ("exact", "one_pass"):
+        raise ValueError("rule must be 'exact' or 'one_pass'")
     cols = numeric_columns(df) if cols is None else list(cols)
     if len(cols) < 2:
         return []
-    return find_correlated(correlation_matrix_values(df, cols), cols, cutoff)
+    return find_correlated(correlation_matrix_values(df, cols), cols, cutoff, exact=rule == "exact")
 
 
 def outlier_fences(df: DataFrame, cols: list[str], k: float = 1.5, **kw) -> dict[str, tuple]:

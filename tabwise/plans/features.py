@@ -125,7 +125,8 @@ def fit_fill_values(df: DataFrame, numeric: list[str], categorical: list[str], m
     return n, fills, levels
 
 
-def preprocess(df: DataFrame, target: str, nzv: bool = True, corr_cutoff: float | None = 0.9) -> tuple[Preprocessor, DataFrame]:
+def preprocess(df: DataFrame, target: str, nzv: bool = True, corr_cutoff: float | None = 0.9,
+               rule: str = "exact") -> tuple[Preprocessor, DataFrame]:
     """validate -> drop null targets -> impute -> row check -> one-hot -> syntactic names -> drop
     near-zero-variance features -> drop correlated features -> standardise. The target is never dropped or scaled.
 
@@ -165,7 +166,7 @@ def preprocess(df: DataFrame, target: str, nzv: bool = True, corr_cutoff: float
             corr = np.clip(mo.cxx / np.outer(scale, scale), -1, 1)
             matrix = {(a, b): None if np.isnan(corr[i, j]) else float(corr[i, j])
                       for i, a in enumerate(features) for j, b in enumerate(features)}
-            dropped["correlated"] = find_correlated(matrix, features, corr_cutoff)
+            dropped["correlated"] = find_correlated(matrix, features, corr_cutoff, exact=rule == "exact")
         at = [i for i, f in enumerate(features) if f not in dropped["correlated"]]
         pre.means = {features[i]: float(mo.mx[i]) for i in at}
         pre.sds = {features[i]: float(sd[i]) if sd[i] > 0 else 1.0 for i in at}

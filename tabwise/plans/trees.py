@@ -1,33 +1,30 @@
-"""Boosted trees (M5, M6) and forests (M4) over binned features.
+"""Boosted trees (M5, M6) over binned features.
 
 Features are cut at quantiles into at most ``BINS`` bins and the rows packed into blocks (bin codes, label, folds), which are kept
-for the passes of a training. Boosting grows a level a pass: every task sums gradients and counts by (model, node, feature, bin), the
+for the passes of a training. A pass is per-partition array work without a schema, and a training makes hundreds of
+them, so they run on the blocks' RDD: a job without a plan of its own costs a third of one with. Boosting grows a level a pass: every task sums gradients and counts by (model, node, feature, bin), the
 sums are merged in two levels, and the driver picks the best cut of each node. The models of a K-fold
 resampling share each pass, as a block's rows are added to the histograms of every model that trains on them. A row's margins are
 carried in its block and brought up to date every few rounds.
-
-A forest's tree starts with the same histogram levels only while a node has more rows than a task takes (``TASK_ROWS``). All rows of a node
-that fits are handed to one task, which grows the subtree to the end, without a depth limit. Trees are written to the shared
-folder; scoring streams them from there.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.partials import summed_arrays
+from ..functions.partials import LANES
 from ..functions.quantiles import as_double
-from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 
 BINS = 256
 BLOCK_ROWS = 1 << 15
@@ -59,8 +56,8 @@ def _packer(edges, n_folds: int):
         y, folds = np.ascontiguousarray(x[:, len(edges)]), x[:, len(edges) + 1:].astype(np.int8)
         return pa.RecordBatch.from_arrays(
             [pa.array([(part << 32) + number]), pa.array([len(x)], pa.int64()), pa.array([codes.tobytes()], pa.binary()),
-             pa.array([y.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(folds).tobytes()], pa.binary()), pa.array([b""], pa.binary())],
-            ["block", "n", "codes", "y", "folds", "margin"])
+             pa.array([y.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(folds).tobytes()], pa.binary())],
+            ["block", "n", "codes", "y", "folds"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -79,21 +76,43 @@ def _packer(edges, n_folds: int):
     return run
 
 
+@dataclass
+class Rows:
+    """One block's arrays; ``margin`` holds the carried part of each model's prediction."""
+
+    block: int
+    codes: np.ndarray
+    y: np.ndarray
+    folds: np.ndarray
+    margin: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return len(self.y)
+
+    def trains(self, folds: list, m: int) -> np.ndarray:
+        """Which rows model ``m`` trains on."""
+        return np.ones(self.n, bool) if m == 0 else self.folds[:, folds[m - 1][0]] != folds[m - 1][1]
+
+
 @dataclass
 class Blocks:
-    """Packed rows of a training table."""
+    """Packed rows of a training table: an RDD of ``Rows``, kept."""
 
-    df: DataFrame
+    rdd: RDD
     edges: list
-    folds: list  # (column of the fold, fold) of each held-out model
-    parts: int
+    folds: list  # (repeat, fold) of each held-out model
 
     @property
     def models(self) -> int:
         return 1 + len(self.folds)
 
-    def summed(self, partial) -> dict:
-        return summed_arrays(self.df, partial, self.parts)
+    def summed(self, partial) -> np.ndarray:
+        """Sum of the arrays that ``partial`` makes of each partition's rows; the executors add them up first where there are many."""
+        arrays = self.rdd.mapPartitions(lambda rows: [partial(rows)])
+        if arrays.getNumPartitions() <= LANES:
+            return sum(arrays.collect())
+        return arrays.treeReduce(lambda a, b: a + b)
 
 
 @contextmanager
@@ -104,35 +123,18 @@ def packed(prepared: DataFrame, features: list[str], label: str, fold_cols: list
     rows = prepared.select(*[as_double(f).alias(f"_x{i}") for i, f in enumerate(features)], as_double(label).alias("_y"),
                            *[F.col(c).cast("double") for c in fold_cols])
     rows = rows.na.drop("any", subset=[f"_x{i}" for i in range(len(features))] + ["_y"])
-    df = rows.mapInArrow(_packer(edges, len(fold_cols)), "block long, n long, codes binary, y binary, folds binary, margin binary").persist()
-    try:
-        parts = df.select(F.spark_partition_id().alias("p")).distinct().count()
-        yield Blocks(df, edges, [(r, f) for r in range(len(fold_cols)) for f in range(k)], parts)
-    finally:
-        df.unpersist()
-
-
-class _Rows:
-    """One block's arrays."""
+    blocks = rows.mapInArrow(_packer(edges, len(fold_cols)), "block long, n long, codes binary, y binary, folds binary")
+    models, p, reps = 1 + len(fold_cols) * k, len(features), len(fold_cols)
 
-    def __init__(self, row, n_features: int, n_models: int, n_folds: int):
-        n = int(row.n)
-        self.n, self.block = n, int(row.block)
-        self.codes = np.frombuffer(row.codes, np.uint8).reshape(n, n_features)
-        self.y = np.frombuffer(row.y, float)
-        self.folds = np.frombuffer(row.folds, np.int8).reshape(n, n_folds)
-        self.margin = np.frombuffer(row.margin, float).reshape(n_models, n) if len(row.margin) else np.zeros((n_models, n))
+    def unpack(row):
+        return Rows(row.block, np.frombuffer(row.codes, np.uint8).reshape(row.n, p), np.frombuffer(row.y, float),
+                    np.frombuffer(row.folds, np.int8).reshape(row.n, reps), np.zeros((models, row.n)))
 
-    def trains(self, folds: list, m: int) -> np.ndarray:
-        """Which rows model ``m`` trains on."""
-        return np.ones(self.n, bool) if m == 0 else self.folds[:, folds[m - 1][0]] != folds[m - 1][1]
-
-
-def _rows_of(frames, n_features: int, n_models: int, folds: list):
-    n_folds = len({r for r, _ in folds})
-    for pdf in frames:
-        for row in pdf.itertuples(index=False):
-            yield _Rows(row, n_features, n_models, n_folds)
+    rdd = blocks.rdd.map(unpack).persist()
+    try:
+        yield Blocks(rdd, edges, [(r, f) for r in range(reps) for f in range(k)])
+    finally:
+        rdd.unpersist()
 
 
 # ---------------------------------------------------------------- level-wise trees
@@ -233,34 +235,35 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
     folds, models, widths = blocks.folds, blocks.models, [len(e) + 1 for e in blocks.edges]
     p = len(widths)
 
-    def sums(frames):
+    def sums(blocks):
         out = np.zeros((models, 2))
-        for rows in _rows_of(frames, p, models, folds):
+        for rows in blocks:
             for m in range(models):
                 y = rows.y[rows.trains(folds, m)]
                 out[m] += len(y), y.sum()
-        yield 0, out
+        return out
 
-    count, total = blocks.summed(sums)[0].T
+    count, total = blocks.summed(sums).T
     base = total / np.maximum(count, 1)
     recent: list = []  # trees that the carried margins do not have yet
     first: list = []  # trees of model 0
     gains = np.zeros(p)
     current = blocks
     updates = 0
+    ensure_checkpoint_dir(SparkSession.getActiveSession())
 
-    def margins(rows: _Rows, m: int, recent: list) -> np.ndarray:
+    def margins(rows: Rows, m: int, recent: list) -> np.ndarray:
         return rows.margin[m] + base[m] + sum((t[m].score(rows.codes) for t in recent), np.zeros(rows.n))
 
-    def bagged(rows: _Rows, number: int) -> np.ndarray:
+    def bagged(rows: Rows, number: int) -> np.ndarray:
         chosen = np.zeros(rows.n, bool)
         chosen[np.random.default_rng([seed, number, rows.block]).permutation(rows.n)[:round(bag * rows.n)]] = True
         return chosen
 
     def level_pass(number: int, level: int, trees: list, recent: list):
-        def partial(frames):
+        def partial(blocks):
             out = np.zeros((models, 2, 2 ** level, sum(widths)))
-            for rows in _rows_of(frames, p, models, folds):
+            for rows in blocks:
                 chosen = bagged(rows, number) if bag < 1 else None
                 for m in range(models):
                     mine = rows.trains(folds, m)
@@ -268,28 +271,20 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
                     grad = margins(rows, m, recent)[mine] - rows.y[mine]
                     codes = rows.codes[mine]
                     out[m] += histograms(codes, trees[m].place(codes, level), 2 ** level, widths, [grad, None])
-            yield 0, out
+            return out
 
         return partial
 
     def updated(recent: list):
-        def run(batches):
-            for b in batches:
-                for rows in _rows_of([b.to_pandas()], p, models, folds):
-                    fresh = np.stack([rows.margin[m] + sum((t[m].score(rows.codes) for t in recent), np.zeros(rows.n)) for m in range(models)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([rows.block]), pa.array([rows.n], pa.int64()), pa.array([rows.codes.tobytes()], pa.binary()),
-                         pa.array([rows.y.tobytes()], pa.binary()), pa.array([rows.folds.tobytes()], pa.binary()),
-                         pa.array([fresh.tobytes()], pa.binary())], ["block", "n", "codes", "y", "folds", "margin"])
-
-        return run
+        return lambda rows: replace(rows, margin=np.stack([
+            rows.margin[m] + sum((t[m].score(rows.codes) for t in recent), np.zeros(rows.n)) for m in range(models)]))
 
     try:
         for number in range(rounds):
             trees = [LevelTree.empty(depth) for _ in range(models)]
             live = [np.ones(1, bool) for _ in range(models)]  # nodes of the level that are still grown
             for level in range(depth):
-                sums_ = current.summed(level_pass(number, level, trees, recent))[0]
+                sums_ = current.summed(level_pass(number, level, trees, recent))
                 at, more = 2 ** level - 1, False
                 for m in range(models):
                     grad, hess = sums_[m]
@@ -314,27 +309,26 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
             recent.append(trees)
             first.append(trees[0])
             if len(recent) == REFRESH:
-                df = current.df.mapInArrow(updated(list(recent)), current.df.schema).persist()
+                rdd = current.rdd.map(updated(list(recent))).persist()
                 updates += 1
                 if updates % CUT == 0:
-                    df = cut_lineage(df)
-                else:
-                    df.count()
+                    rdd.checkpoint()
+                rdd.count()
                 if current is not blocks:
-                    current.df.unpersist()
-                current, recent = Blocks(df, blocks.edges, folds, blocks.parts), []
+                    current.rdd.unpersist()
+                current, recent = Blocks(rdd, blocks.edges, folds), []
 
-        def errors(frames):
+        def errors(blocks):
             out = np.zeros((models, 2))
-            for rows in _rows_of(frames, p, models, folds):
+            for rows in blocks:
                 for m in range(1, models):
                     held = ~rows.trains(folds, m)
                     e = margins(rows, m, recent)[held] - rows.y[held]
                     out[m] += held.sum(), (e * e).sum()
-            yield 0, out
+            return out
 
-        held = current.summed(errors)[0][1:] if folds else np.zeros((0, 2))
+        held = current.summed(errors)[1:] if folds else np.zeros((0, 2))
     finally:
         if current is not blocks:
-            current.df.unpersist()
+            current.rdd.unpersist()
     return Boosted(blocks.edges, float(base[0]), first, gains, [math.sqrt(s / n) for n, s in held if n])

@@ -102,11 +102,11 @@ def test_permutation_is_a_bijection(spark, n):
 
 def test_compare_models_ranks_and_scores(spark):
     reg = fixture(spark, SMALL, "fx_reg")
-    res = V.compare_models(reg, "y", models=["lm", "glmnet", "lasso", "earth", "svmRadial", "tree", "rf", "nope"],
+    res = V.compare_models(reg, "y", models=["lm", "glmnet", "lasso", "earth", "rbf_ridge", "svmRadial", "tree", "rf", "nope"],
                            cv="repeatedcv", k=3, repeats=2, num_trees=10)
     rows = {r.model: r for r in res.metrics.collect()}
     assert rows["nope"].rmse is None and "nope" in rows["nope"].error  # defect B5: fixed schema
-    for m in ["lm", "glmnet", "lasso", "earth", "rbf_ridge", "tree", "rf"]:
+    for m in ["lm", "glmnet", "lasso", "earth", "rbf_ridge", "svmRadial", "tree", "rf"]:
         assert rows[m].rmse is not None and rows[m].error is None and rows[m].cv_rmse > 0.5 * rows[m].rmse
     assert rows["lm"].r_squared > 0.99
     best = min((r.rmse, i, r.model) for i, r in enumerate(res.metrics.collect()) if r.rmse is not None)[2]
@@ -198,3 +198,31 @@ def test_scoring_from_inputs(spark):
     low, high = (V.score_inputs(res, reg, "y", {"l_quantity": q, "l_returnflag": "R"}).first() for q in (1, 11))
     assert high["prediction"] - low["prediction"] == pytest.approx(30.0, abs=0.1)
     assert low["l_returnflag"] == "R" and low["l_linestatus"] == "F"  # the smallest value stands for one not given
+
+
+def test_classifiers_on_prepared_predictors(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        c = "abc"[int(rng.integers(3))]
+        rows.append((c if i % 50 else None, float("abc".index(c) + rng.normal() * 0.2) if i % 7 else None, {"a": "red", "b": "blue", "c": "blue"}[c] if i % 5 else None))
+    df = spark.createDataFrame(rows, "c string, x double, colour string").repartition(3)
+    report, table = M.compare_classifiers(df, "c", models=("tree", "logistic"), cv="cv", k=4, confusion=True)
+    n = df.where("c IS NOT NULL").count()
+    got = {r["model"]: r for r in report.collect()}
+    cells = table.where("model = 'tree'").collect()
+    assert sum(r["n"] for r in cells) == n and {r["label"] for r in cells} == set("abc")
+    assert sum(r["n"] for r in cells if r["label"] == r["predicted"]) / n == pytest.approx(got["tree"]["cv_accuracy"])
+    assert got["tree"]["accuracy"] > 0.9 and got["tree"]["cv_accuracy"] > 0.8 and got["logistic"]["error"] is None
+
+
+def test_class_folds_are_stratified(spark):
+    df = spark.range(997).selectExpr("id", "CAST(CASE WHEN id % 10 = 0 THEN 2 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS double) AS y").repartition(5)
+    kept = df.sortWithinPartitions("y", F.xxhash64("id")).persist()
+    got = M.with_class_folds(kept, "y", 4)
+    assert sorted(got.columns) == sorted(["id", "y", f"{M.FOLD}0"]) and got.count() == 997
+    sizes = got.groupBy("y", f"{M.FOLD}0").count().collect()
+    for y in (0.0, 1.0, 2.0):
+        mine = [r["count"] for r in sizes if r["y"] == y]
+        assert len(mine) == 4 and max(mine) - min(mine) <= 1
+    kept.unpersist()
