@@ -17,6 +17,18 @@ def _crc_of_id(n):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, four bits at a time."""
+    table = []
+    for t in range(16):
+        for _ in range(4):
+            t = (t >> 1) ^ 0xEDB88320 if t & 1 else t >> 1
+        table.append(t)
+    nibbles = f"list_filter(string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), ''), lambda x: x <> '')"
+    return f"""xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform({nibbles}, lambda x: strpos('0123456789ABCDEF', x) - 1),
+    lambda a, e: xor(a >> 4, {table}[xor(a & 15, e) + 1])), 4294967295)"""
+
+
 QUERIES = {}
 ORACLES = {}
 
@@ -38,6 +50,18 @@ def op1_sharding(spark, sf):
                        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+ORACLES["op1_sharding"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents
+), placed AS (
+  SELECT *, sum(size) OVER o - size AS before, sum(size) OVER () AS total FROM d
+  WINDOW o AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)
+), cut AS (SELECT *, CAST(before * 8 // total AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut"""
+
+
 @_query
 def op2_decontamination(spark, sf):
     found = decontaminate.leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"), short=True)
@@ -162,11 +186,70 @@ def op11_prefix_trie(spark, sf):
     return convtrie.prefix_trie(convtrie.rebuilt(turns)).withColumnRenamed("saved_bytes", "saved_tokens")
 
 
+ORACLES["op11_prefix_trie"] = f"""
+WITH said AS (
+  SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    octet_length(encode(coalesce(text, ''))) AS bytes FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(digest, 32)) AS place FROM said
+), ids AS (
+  SELECT conv_id, {_crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM own)
+), plan AS (
+  SELECT ids.*, least(h, (SELECT count(*) FROM own WHERE own.conv_id = ids.base)) AS taken FROM ids
+), turns AS (
+  SELECT plan.conv_id, place - h + taken AS d, digest, bytes FROM plan JOIN own ON own.conv_id = plan.conv_id AND place > h
+  UNION ALL SELECT plan.conv_id, place, digest, bytes FROM plan JOIN own ON own.conv_id = plan.base AND place <= taken
+), paths AS (
+  SELECT conv_id, d, bytes, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM plan
+), lengths AS (SELECT conv_id, max(d) AS l FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, any_value(d) AS depth, any_value(bytes) AS bytes, min(paths.conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(paths.conv_id AS VARCHAR), ',' ORDER BY paths.conv_id) FILTER (WHERE d = l), '') AS ends
+  FROM paths JOIN lengths USING (conv_id) GROUP BY path
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND left(c.path, length(c.path) - 64) = n.path) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 64)
+)
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, CAST(count(*) FILTER (WHERE b.n_children = 0) AS BIGINT) AS n_leaves,
+  CAST(sum((b.n_convs - 1) * b.bytes) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM linked a JOIN linked b ON starts_with(b.path, a.path)
+GROUP BY a.path, a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends"""
+
+
 @_query
 def op12_spelling_variants(spark, sf):
     return variants.group_variants(variants.count_words(read_table(spark, sf, "documents")))
 
 
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents WHERE text IS NOT NULL
+), hashed AS (
+  SELECT run, c, {_crc_sql("doc_id || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY 1, 2)
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON cut.rest = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON cut.rest = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, min(struct_pack(less := -m, other := other)) AS b FROM near GROUP BY word
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 2 * n THEN b.other END AS form,
+    CASE WHEN -b.less >= 2 * n THEN -b.less END AS form_n FROM words LEFT JOIN best USING (word)
+), up AS (
+  SELECT word, word AS at FROM forms UNION ALL SELECT up.word, forms.form FROM up JOIN forms ON up.at = forms.word WHERE forms.form IS NOT NULL
+)
+SELECT forms.word, forms.form, up.at AS root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN up ON up.word = forms.word JOIN forms last ON last.word = up.at AND last.form IS NULL"""
+
+
 @_query
 def op13_exact_topk(spark, sf):
     found = topk.top_k(read_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
