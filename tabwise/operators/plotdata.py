@@ -67,15 +67,22 @@ def boxplot_stats(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
               "upper_whisker double, outliers long")
 
 
-def grouped_quantiles(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact type-7 quantiles of ``col`` within each group of ``by``.
+SALTS = 32  # a group's values meet its few numbers in so many parts, so a group of any size spreads
 
-    Rows are counted by (group, value) map-side and the distinct pairs numbered in order, so neither a group nor
-    a value that holds a third of the rows meets in one task; a group's order statistics are the
-    pairs whose positions cover (group start + k). Result: (by, n, q_0, q_1, ...).
-    """
+
+def _salted(groups: DataFrame) -> DataFrame:
+    """Each group's row once for every salt."""
+    return groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _value_pairs(df: DataFrame, by: str, col: str) -> DataFrame:
+    """The distinct (group, value) pairs: ``_g, _v``, rows ``_c``, position ``_start`` in the order of both, and a salt."""
     base = df.select(_q(by).alias("_g"), as_double(col).alias("_v")).where(F.col("_v").isNotNull())
-    pairs = key_positions(base, ["_g", "_v"]).withColumnRenamed("_n", "_c")
+    return key_positions(base, ["_g", "_v"]).withColumnRenamed("_n", "_c").withColumn(
+        "_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+
+
+def _quantiles_of(pairs: DataFrame, by: str, probs) -> DataFrame:
     groups = pairs.groupBy("_g").agg(F.min("_start").alias("_first"), F.sum("_c").alias("_n"))
     wanted = []
     for j, p in enumerate(probs):
@@ -84,8 +91,8 @@ def grouped_quantiles(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75))
         for side, k in ((0, k0), (1, F.least(k0 + 1, F.col("_n") - 1))):
             wanted.append(F.struct(F.lit(j).alias("j"), F.lit(side).alias("side"), (F.col("_first") + k).alias("_pos"),
                                    (h - k0).alias("frac")))
-    picks = groups.select(F.col("_g").alias("_pg"), "_n", F.inline(F.array(*wanted)))
-    hit = pairs.join(picks, pairs["_g"].eqNullSafe(picks["_pg"]) & (F.col("_pos") >= F.col("_start"))
+    picks = _salted(groups).select(F.col("_g").alias("_pg"), "_n", F.col("_salt").alias("_ps"), F.inline(F.array(*wanted)))
+    hit = pairs.join(picks, pairs["_g"].eqNullSafe(picks["_pg"]) & (F.col("_salt") == F.col("_ps")) & (F.col("_pos") >= F.col("_start"))
                      & (F.col("_pos") < F.col("_start") + F.col("_c")))
     agg = hit.groupBy("_g", "_n", "j").agg(
         F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("v0"),
@@ -97,24 +104,35 @@ def grouped_quantiles(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75))
     return wide.select(by, "n", *[F.col(str(j)).alias(f"q_{j}") for j in range(len(probs))])
 
 
+def grouped_quantiles(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact type-7 quantiles of ``col`` within each group of ``by``.
+
+    Rows are counted by (group, value) map-side and the distinct pairs numbered in order, so neither a group nor
+    a value that holds a third of the rows meets in one task; a group's order statistics are the
+    pairs whose positions cover (group start + k). Result: (by, n, q_0, q_1, ...).
+    """
+    return _quantiles_of(_value_pairs(df, by, col), by, probs)
+
+
 def boxplot_by(df: DataFrame, x: str, y: str, k: float = 1.5) -> DataFrame:
     """Box statistics of ``y`` per category of ``x`` (n, q1, median, q3,
     whiskers, outliers). Null categories form their own box, as in a chart. A numeric ``x`` is no category:
-    it gives one box of all rows, with ``x`` null."""
+    it gives one box of all rows, with ``x`` null. The table is read once: fences meet the numbered (category, value) pairs."""
     if is_numeric_type(df.schema[x].dataType):
         df = df.select(F.lit(None).cast(df.schema[x].dataType).alias(x), _q(y))
-    qs = grouped_quantiles(df, x, y)
-    qs = qs.select(x, "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
-    side = qs.select(x, "n", "q1", "median", "q3",
-                     (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("_lo"),
-                     (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    base = df.select(_q(x).alias(x), as_double(y).alias("_y")).where(F.col("_y").isNotNull())
-    # one fence row a category; Spark broadcasts them if they are small, else joins by shuffle and splits a hot category
-    joined = base.join(side, base[x].eqNullSafe(side[x])).drop(side[x])
-    return joined.groupBy(base[x], "n", "q1", "median", "q3").agg(
-        F.min(F.when(F.col("_y") >= F.col("_lo"), F.col("_y"))).alias("lower_whisker"),
-        F.max(F.when(F.col("_y") <= F.col("_hi"), F.col("_y"))).alias("upper_whisker"),
-        F.count_if((F.col("_y") < F.col("_lo")) | (F.col("_y") > F.col("_hi"))).alias("outliers"),
+    pairs = _value_pairs(df, x, y)
+    qs = _quantiles_of(pairs, x, (0.25, 0.5, 0.75))
+    side = qs.select(_q(x).alias("_sg"), "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"),
+                     (F.col("q_0") - k * (F.col("q_2") - F.col("q_0"))).alias("_lo"),
+                     (F.col("q_2") + k * (F.col("q_2") - F.col("q_0"))).alias("_hi"))
+    side = _salted(side).withColumnRenamed("_salt", "_ss")
+    joined = pairs.join(side, pairs["_g"].eqNullSafe(side["_sg"]) & (F.col("_salt") == F.col("_ss")))
+    v, c = F.col("_v"), F.col("_c")
+    outside = F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), c).otherwise(F.lit(0).cast("long")))
+    return joined.groupBy(F.col("_g").alias(x), "n", "q1", "median", "q3").agg(
+        F.min(F.when(v >= F.col("_lo"), v)).alias("lower_whisker"),
+        F.max(F.when(v <= F.col("_hi"), v)).alias("upper_whisker"),
+        outside.alias("outliers"),
     )
 
 
