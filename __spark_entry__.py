@@ -30,12 +30,12 @@ from tabwise.sources import csv as CSV
 from tabwise.sources.tables import FIXTURE_SQL, fixture, read_table
 
 # the pipeline subpackage and its top-level script may be absent; if they are there, their errors are errors
-if find_spec("tabwise.llm"):
+if (_llm := find_spec("tabwise.llm")) and _llm.origin:
     from tabwise.llm.queries import ORACLES as LLM_ORACLES
     from tabwise.llm.queries import QUERIES as LLM_QUERIES
 else:
     LLM_ORACLES, LLM_QUERIES = {}, {}
-corpus_pipeline = importlib.import_module("corpus_pipeline") if find_spec("corpus_pipeline") else None
+corpus_pipeline = importlib.import_module("corpus_pipeline") if LLM_QUERIES and find_spec("corpus_pipeline") else None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
