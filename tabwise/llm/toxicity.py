@@ -12,7 +12,7 @@ share of toxic and other texts differs by ``least_z`` standard errors; a first f
 which leaves weight only where the labels speak clearly, so a long text does not add up noise, and
 the words it leaves are fitted again without that term.
 
-The fit uses a bounded sample: about ``most_rows`` labelled rows, drawn row by row (rows of one key or text are drawn apart).
+The fit uses a bounded sample: about ``most_rows`` labelled rows; of a key with many rows no more than its share.
 Scores cover every row and the whole of every text.
 
 Defined cases: null and empty texts have the score of a text without known words; rows with a null
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import drawn, text_slices
+from tabwise.llm.common import text_slices, written
 from tabwise.llm.words import LOWER, PUNCTUATION, hash_spans, word_bounds
 
 #: Default identity terms, by kind; the first of a kind is the neutral term.
@@ -224,11 +224,25 @@ def fit_weights(rows, cols, y, n_words, swaps, l1, l2, fairness, steps=400):
 
 
 def draw(labelled: DataFrame, most_rows: int, key: str = "doc_id", text: str = "text", label: str = "label") -> DataFrame:
-    """``(row, label, text)``: about ``most_rows`` labelled rows at most, each drawn for itself."""
+    """``(row, label, text)``: about ``most_rows`` labelled rows at most.
+
+    Keys are drawn by a checksum, each with a number of rows: its share of the bound, rounded up or down by the checksum. No text
+    is read before, and the keys (about ``most_rows`` at most) are a filter that reaches the scans; of a key with more rows than
+    were drawn, rows are kept by their own number.
+    """
     rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    share = min(1.0, most_rows / max(rows.count(), 1))
-    return drawn(rows, F.lit(int(share * (1 << 30))), "labelled").select("row", "label", "text")
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("n")), "labelled-keys")
+    share = min(1.0, most_rows / max(keys.agg(F.sum("n")).first()[0] or 0, 1))
+    taken = F.floor(F.col("n") * F.lit(share) + F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("long")
+    chosen = keys.select("key", F.least(taken, "n").alias("taken"), "n").where("taken > 0").collect()
+    some = {r["key"]: r["taken"] / r["n"] for r in chosen if r["taken"] < r["n"]}
+    rows = rows.where(F.col("key").isin([r["key"] for r in chosen])).withColumn("row", F.monotonically_increasing_id())
+    if some:
+        part = labelled.sparkSession.createDataFrame(list(some.items()), f"key {labelled.schema[key].dataType.simpleString()}, part double")
+        own = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        rows = rows.join(F.broadcast(part), "key", "left").where(F.col("part").isNull() | (own < F.col("part")))
+    return written(rows.select("row", "label", "text"), "labelled")
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", identity=IDENTITY,
