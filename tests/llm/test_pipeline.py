@@ -8,7 +8,7 @@ C = pytest.importorskip("corpus_pipeline")
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -28,8 +28,8 @@ def test_queries_match_their_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_give_a_row_for_every_row(spark, name):
     table, key = {"op7_embeddings": ("embeddings", "vec_id"), "op10_warc": ("pages", "page_id")}.get(name, ("documents", "doc_id"))
-    if name in ("op2_decontamination", "op8_chat_formatting"):
-        pytest.skip("one row a leak, one row a conversation")
+    if name in ("op2_decontamination", "op8_chat_formatting", "op11_prefix_trie", "op12_spelling_variants", "op13_exact_topk"):
+        pytest.skip("one row a leak, a conversation, a prefix, a word, an answer")
     got = [r[key] for r in QUERIES[name](spark, SF).select(key).collect()]
     want = [r[key] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()]
     assert sorted(got) == sorted(want)
