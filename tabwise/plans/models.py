@@ -4,7 +4,7 @@ Linear-family models (lm, ridge, lasso, rbf_ridge, earth, mean)
 are fitted from per-fold Gram matrices (``gram.py``): one distributed pass
 gives every fold's statistics, cross-validation over the lambda grid is
 algebra on p x p matrices, and the fitted model scores as a column
-expression. Tree ensembles use Spark ML's distributed learners.
+expression. Forests and boosted trees have engines of their own (``forest.py``, ``trees.py``).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from ..functions.permute import with_permutations
 from ..functions.positions import numbered
 from ..functions.quantiles import as_double
 from ..session import cut_lineage
+from .forest import Forest, fit_forest
 from .gram import Grams, fit_elastic_net, fit_ols, gram_by_group, linear_expr
 from .svr import fit_machine
 from .trees import boost, packed
@@ -47,11 +48,14 @@ class Fitted:
     coef: dict = field(default_factory=dict)
     importance: dict = field(default_factory=dict)
     cv_rmse: float | None = None
+    forest: Forest | None = None
 
     def predict(self, prepared: DataFrame, out_col: str = "prediction", keep: list[str] | None = None) -> DataFrame:
         keep_cols = [F.col(f"`{c}`") for c in (keep if keep is not None else prepared.columns)]
         if self.expr is not None:
             return prepared.select(*keep_cols, self.expr.alias(out_col))
+        if self.forest is not None:
+            return self.forest.score(prepared, list(keep if keep is not None else prepared.columns), out_col)
         assembled = VectorAssembler(inputCols=self.features, outputCol="_features", handleInvalid="keep") \
             .transform(prepared)
         self.ml_model.setFeaturesCol("_features").setPredictionCol(out_col)
@@ -344,26 +348,43 @@ def fit_boosted(prepared, features, label, name, seed=42, max_depth=None, cv="no
                   cv_rmse=float(np.mean(model.held_out)) if model.held_out else None, ml_model=None)
 
 
-def tree_estimator(name: str, n_features: int, seed: int = 42, num_trees: int = 500, max_depth: int | None = None):
-    """The Spark learner of a tree model. ``max_depth`` None: 12 for rf and 10 for tree. The reference's forest has no depth
-    limit; Spark needs one, 30 at most."""
-    from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+def tree_estimator(max_depth: int | None = None, seed: int = 42):
+    """Spark's learner of a single tree, depth 10 at most where nothing else is given."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    depth = max_depth or 10
+    return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=7, seed=seed), {"maxDepth": depth}
 
-    depth = max_depth or {"rf": 12, "tree": 10, "rpart": 10}.get(name)
-    # fixed values: the reference's tuning constants of each model
-    if name == "rf":
-        mtry = max(1, min(int(math.floor(math.sqrt(n_features))), n_features))
-        return RandomForestRegressor(numTrees=num_trees, featureSubsetStrategy=str(mtry), minInstancesPerNode=5,
-                                     maxDepth=depth, seed=seed), {"mtry": mtry, "trees": num_trees, "maxDepth": depth}
-    if name in ("tree", "rpart"):
-        return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=7, seed=seed), {"maxDepth": depth}
-    raise ValueError(f"unknown tree model {name}")
 
+FOREST_LEAST = 5  # fixed value: the reference's learner leaves nodes of at most 5 rows whole
 
-def fit_tree(prepared, features, label, name, seed=42, num_trees=500, max_depth=None, cv="none", k=CV_DEFAULT_K,
+
+def fit_random_forest(prepared, features, label, seed=42, num_trees=500, max_depth=None, cv="none", k=CV_DEFAULT_K,
+                      repeats=CV_DEFAULT_REPEATS) -> Fitted:
+    """M4 rf: trees grown to the end (``forest.py``), root of p features a node; with resampling also without each fold."""
+    kk, reps = fold_plan(cv, k, repeats)
+    mtry = max(1, min(int(math.floor(math.sqrt(len(features)))), len(features)))
+    scores = []
+    with folded(prepared, kk, reps) as rows:
+        for fold in map(F.col, fold_names(reps) if kk else []):
+            for f in range(kk):
+                held = fit_forest(rows.where(fold != f), features, label, num_trees, mtry, FOREST_LEAST, seed, max_depth).score(
+                    rows.where(fold == f), [label], "_held")
+                err = F.col("_held") - F.col(f"`{label}`")
+                r = held.agg(F.sqrt(F.avg(err * err)).alias("rmse")).first()["rmse"]
+                if r is not None:
+                    scores.append(r)
+        model = fit_forest(rows, features, label, num_trees, mtry, FOREST_LEAST, seed, max_depth)
+    return Fitted("rf", features, params={"mtry": mtry, "trees": num_trees, "least": FOREST_LEAST}, forest=model,
+                  importance=dict(zip(features, map(float, model.gain))), cv_rmse=float(np.mean(scores)) if scores else None)
+
+
+def fit_tree(prepared, features, label, name="tree", seed=42, max_depth=None, cv="none", k=CV_DEFAULT_K,
              repeats=CV_DEFAULT_REPEATS) -> Fitted:
-    """A tree model; with resampling it is also fitted without each fold, for the mean held-out RMSE."""
-    est, params = tree_estimator(name, len(features), seed, num_trees, max_depth)
+    """R2: a single tree; with resampling it is also fitted without each fold, for the mean held-out RMSE."""
+    if name not in ("tree", "rpart"):
+        raise ValueError(f"unknown tree model {name}")
+    est, params = tree_estimator(max_depth, seed)
     kk, reps = fold_plan(cv, k, repeats)
     est = est.setFeaturesCol("_features").setLabelCol(label).setPredictionCol("_held")
     scores = []
@@ -395,7 +416,9 @@ def fit_model(name: str, prepared: DataFrame, features: list[str], label: str, c
         return fit_hinge(prepared, features, label, cv=cv, k=k, repeats=repeats)
     if name in BOOSTING:
         return fit_boosted(prepared, features, label, name, seed, max_depth, cv, k, repeats)
-    return fit_tree(prepared, features, label, name, seed, num_trees, max_depth, cv, k, repeats)
+    if name == "rf":
+        return fit_random_forest(prepared, features, label, seed, num_trees, max_depth, cv, k, repeats)
+    return fit_tree(prepared, features, label, name, seed, max_depth, cv, k, repeats)
 
 
 # ---------------------------------------------------------------- classification
