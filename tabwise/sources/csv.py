@@ -11,12 +11,14 @@ as far as the header goes (missing fields are NULL), and reported with their lin
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.schema import normalized_names
+from .lines import csv_records
 
 # The null tokens and the logical spellings the reference's reader accepts.
 NULL_TOKENS = ("", "NA", "?")
@@ -51,13 +53,17 @@ def empty_guard(df: DataFrame) -> DataFrame:
 
 
 def read_table_csv(spark: SparkSession, path: str, na=NULL_TOKENS, trim: bool = True, guard: bool = True,
-                   multi_line: bool = False, report: bool = False):
+                   multi_line: bool = False, report: bool = False, position: str | None = None):
     """Header CSV, several null tokens, types inferred after nulling, names made syntactic and unique.
 
     With ``report`` returns a ``CsvRead`` with the counts of rows that do not fit the header. ``multi_line`` lets a
-    quoted field span lines; Spark then reads each file in one task."""
-    reader = spark.read.option("inferSchema", False).option("quote", '"').option("escape", '"') \
-        .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+    quoted field span lines; a file is still read in as many tasks as it has splits (``lines.py``). ``position`` (with
+    ``multi_line``) names a column with each row's number in file order."""
+    if multi_line:
+        return _read_records(spark, path, na, trim, guard, report, position)
+    if position:
+        raise ValueError("positions need multi_line=True")
+    reader = spark.read.option("inferSchema", False).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
     head = reader.option("header", False).csv(path).limit(1).collect()
     if not head:
         raise EmptyTableError("the file is empty")
@@ -68,26 +74,42 @@ def read_table_csv(spark: SparkSession, path: str, na=NULL_TOKENS, trim: bool =
     return typed_table(raw, header, na, trim, guard, report)
 
 
+def _read_records(spark, path, na, trim, guard, report, position):
+    records = csv_records(spark, path)
+    head = records.where("position = -1").orderBy("file").limit(1).collect()
+    if not head:
+        raise EmptyTableError("the file is empty")
+    header = next(csv.reader([head[0]["text"]]))
+    return table_of_lines(records.where("position >= 0").select("text", "position"), header, na, trim, guard, report, position)
+
+
 def _text_schema(p: int) -> str:
     return ", ".join(f"_f{i} string" for i in range(p)) + ", _bad string"
 
 
-def table_of_lines(lines: DataFrame, header: list, na=NULL_TOKENS, trim: bool = True, guard: bool = True, report: bool = False):
-    """S1 on CSV lines in the first column of a DataFrame (no header line; a quoted field may hold line breaks)."""
+def table_of_lines(lines: DataFrame, header: list, na=NULL_TOKENS, trim: bool = True, guard: bool = True, report: bool = False,
+                   position: str | None = None):
+    """S1 on CSV lines in the first column of a DataFrame (no header line; a quoted field may hold line breaks). ``position``:
+    a name for the second column, which is then kept as the last one."""
     fields = F.from_csv(F.col(f"`{lines.columns[0]}`"), _text_schema(len(header)), {
         "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "multiLine": "true"})
-    return typed_table(lines.select(fields.alias("f")).select("f.*"), header, na, trim, guard, report)
+    place = [F.col(f"`{lines.columns[1]}`").alias("_place")] if position else []
+    raw = lines.select(fields.alias("f"), *place).select("f.*", *(["_place"] if position else []))
+    return typed_table(raw, header, na, trim, guard, report, position)
 
 
-def typed_table(raw: DataFrame, header: list, na, trim: bool, guard: bool, report: bool):
+def typed_table(raw: DataFrame, header: list, na, trim: bool, guard: bool, report: bool, position: str | None = None):
     """The typed table of text fields ``_f0``, ``_f1``, ... whose damaged lines are in ``_bad``."""
     cols = normalized_names([h.strip() if trim else h for h in header])
+    if position and position.lower() in [c.lower() for c in cols]:
+        raise ValueError(f"the file has a column {position}")
+    place = [F.col("_place").alias(position)] if position else []
 
     def cleaned(i):
         v = F.trim(F.col(f"_f{i}")) if trim else F.col(f"_f{i}")
         return F.when(v.isin(*na, *NAN_WORDS), F.lit(None)).otherwise(v)
 
-    text = raw.select(*[cleaned(i).alias(c) for i, c in enumerate(cols)])
+    text = raw.select(*[cleaned(i).alias(c) for i, c in enumerate(cols)], *place)
     with_bad = raw.select(*[cleaned(i).alias(c) for i, c in enumerate(cols)], "_bad")
     # one type code per value: 0 int, 1 bigint, 2 double, 3 logical, 4 text. The
     # patterns gate the casts, so no value reaches a failing number parse.
@@ -119,7 +141,7 @@ def typed_table(raw: DataFrame, header: list, na, trim: bool, guard: bool, repor
             out.append(F.when(v.isin(*TRUE_WORDS), F.lit(True)).when(v.isin(*FALSE_WORDS), F.lit(False)).alias(c))
         else:
             out.append(v.alias(c))
-    table = text.select(*out)
+    table = text.select(*out, *([F.col(f"`{position}`")] if position else []))
     if not report:
         return table
     # the first field is read beside the line: Spark refuses to read the corrupt record's column alone

@@ -64,3 +64,99 @@ def test_lines_of_a_frame(spark):
     lines = spark.createDataFrame([('1,"a ""b"", c"',), ("?,NA",), ("3,x,y",)], "value string")
     got = table_of_lines(lines, ["n", "t"], report=True)
     assert sorted(map(tuple, got.table.collect()), key=str) == [(1, 'a "b", c'), (3, "x"), (None, None)] and got.damaged == 1
+
+
+def _files(texts):
+    d = tempfile.mkdtemp(prefix="tabwise-csv-test-")
+    for name, text in texts.items():
+        with open(os.path.join(d, name), "w", newline="") as f:
+            f.write(text)
+    return d
+
+
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_records_across_splits_equal_the_whole_read(spark, split):
+    """Every place of a split's end: inside a quoted field, at a break, in a record longer than several splits."""
+    import random
+
+    rng = random.Random(split)
+    files = {}
+    for name in ("a.csv", "b.csv"):
+        lines = ['id,"no\nte",v']
+        for i in range(60):
+            text = rng.choice(["plain", "a,b", 'he said ""hi""', "two\nlines", "\n\nmany\r\n\nlines\n", "x" * 40 + "\n" + "y" * 40, ""])
+            lines.append(f'{i},"{text}",{rng.choice(["1", "NA", "2.5"])}' + rng.choice(["", "\r"]))
+            if i % 9 == 0:
+                lines.append(rng.choice(["", "  "]))
+        files[name] = "\n".join(lines) + "\n"
+    path = _files(files)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        table = read_table_csv(spark, path, multi_line=True, position="at")
+        got = [tuple(r) for r in table.orderBy("at").collect()]
+        from tabwise.sources.lines import csv_records
+        tasks = csv_records(spark, path).rdd.getNumPartitions()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = []
+    for name in sorted(files):
+        records, text, open_ = [], "", False
+        for line in files[name].split("\n"):
+            if not open_ and not line.strip():
+                continue
+            text = text + "\n" + line if open_ else line
+            open_ ^= line.count('"') % 2 == 1
+            if not open_:
+                records.append(_fields(text))
+        want += records[1:]
+    want = [(int(a), b.strip(" ") if b.strip(" ") else None, None if c == "NA" else float(c), i) for i, (a, b, c) in enumerate(want)]
+    assert got == want and table.columns == ["id", "no_te", "v", "at"]
+    if split == 7:
+        assert tasks > 8
+
+
+def _fields(text):
+    """The fields of one record, quotes doubled."""
+    out, field, quoted, i = [], "", False, 0
+    text = text[:-1] if text.endswith("\r") else text
+    while i < len(text):
+        c = text[i]
+        if c == '"' and quoted and text[i + 1:i + 2] == '"':
+            field, i = field + '"', i + 1
+        elif c == '"':
+            quoted = not quoted
+        elif c == "," and not quoted:
+            out, field = [*out, field], ""
+        else:
+            field += c
+        i += 1
+    return [*out, field]
+
+
+def test_open_quote_blank_files_and_headers(spark):
+    from tabwise.sources.lines import csv_records
+
+    path = _files({"a.csv": 'n,t\n1,"open\nto the end\n', "b.csv": "n,t\n", "c.csv": "", "d.csv": "n,t\n2,x\n3,y"})
+    got = sorted((r["position"], r["text"]) for r in csv_records(spark, path).collect())
+    assert got == [(-1, "n,t")] * 3 + [(0, '1,"open\nto the end'), (1, "2,x"), (2, "3,y")]
+    with pytest.raises(EmptyTableError):
+        read_table_csv(spark, _files({"a.csv": ""}), multi_line=True)
+    with pytest.raises(EmptyTableError):
+        read_table_csv(spark, _files({"a.csv": "n,t\n"}), multi_line=True)
+    with pytest.raises(ValueError):
+        read_table_csv(spark, path, multi_line=True, position="N")
+
+
+def test_parquet_positions(spark):
+    from tabwise.sources.lines import parquet_positions
+
+    d = tempfile.mkdtemp(prefix="tabwise-csv-test-")
+    spark.range(1000).selectExpr("id * 3 AS v").repartition(4).write.parquet(os.path.join(d, "t"))
+    table = parquet_positions(spark, os.path.join(d, "t"))
+    assert sorted(r["position"] for r in table.collect()) == list(range(1000))
+    again = spark.read.parquet(os.path.join(d, "t")).select("*", "_metadata.file_path", "_metadata.row_index")
+    want = [r["v"] for r in again.orderBy("file_path", "row_index").collect()]
+    assert [r["v"] for r in table.orderBy("position").collect()] == want
