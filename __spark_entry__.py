@@ -11,6 +11,7 @@ properties.
 from __future__ import annotations
 
 import importlib
+import uuid
 from collections.abc import Callable
 from importlib.util import find_spec
 
@@ -26,7 +27,9 @@ from tabwise.operators import schema as S
 from tabwise.plans import evaluate as V
 from tabwise.plans import features as FE
 from tabwise.plans import models as M
+from tabwise.session import ensure_checkpoint_dir
 from tabwise.sources import csv as CSV
+from tabwise.sources.lines import parquet_positions
 from tabwise.sources.tables import FIXTURE_SQL, fixture, read_table
 
 # the pipeline subpackage and its top-level script may be absent; if they are there, their errors are errors
@@ -387,7 +390,7 @@ def _q_compare(spark, sf):
 
 
 def _q_forest(spark, sf):
-    return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["rf"], cv="none", partitions=_cores(spark)).metrics
+    return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["rf"], cv="cv", k=5, partitions=_cores(spark)).metrics
 
 
 def _q_boosting(spark, sf):
@@ -487,6 +490,29 @@ def _q_read_csv(spark, sf):
     return rounded(CSV.table_of_lines(lines, gap.columns))
 
 
+def _q_read_csv_files(spark, sf):
+    """S1 on files: the fixture, written as CSV with quoted line breaks, commas and null tokens, read back in splits and typed."""
+    gap = fixture(spark, sf, "fx_gap").withColumn("said", F.concat(F.lit('he said "'), F.col("status"), F.lit('", ok\nthen left')))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    text = gap.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in gap.columns])
+    text.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return rounded(CSV.read_table_csv(spark, path, multi_line=True))
+
+
+def _q_drop_rows_file(spark, sf):
+    return _day(K.drop_rows(parquet_positions(spark, f"{sf}/orders.parquet"), DROP_ROWS_TEXT, position="position"))
+
+
+def _q_distinct_seen(spark, sf):
+    return PR.distinct_values(parquet_positions(spark, f"{sf}/orders.parquet"), "o_orderpriority", position="position")
+
+
+def _q_fill_row_file(spark, sf):
+    li = parquet_positions(spark, f"{sf}/lineitem.parquet").select(
+        "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "position")
+    return rounded(FE.fill_score_row(li, "l_extendedprice", position="position"))
+
+
 def _q_normalize(spark, sf):
     li = _t(spark, sf, "lineitem").select(
         F.col("l_quantity").alias("qty (units)"), F.col("l_discount").alias("2nd discount"),
@@ -562,6 +588,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "metrics_long_fx_reg": _q_metrics_long,
         "classify_returnflag": _q_classify,
         "read_table_csv_fx_gap": _q_read_csv,
+        "read_table_csv_files_fx_gap": _q_read_csv_files,
+        "drop_rows_file_order_orders": _q_drop_rows_file,
+        "distinct_values_first_seen_orders": _q_distinct_seen,
+        "fill_score_row_file_order_lineitem": _q_fill_row_file,
         "normalize_names_lineitem": _q_normalize,
         "boxplot_by_quantity": _q_boxplot_numeric,
         "line_buckets_events": _q_line_buckets,
@@ -908,6 +938,17 @@ def oracle_sql() -> dict[str, str]:
          "const_col", "near_const", "priority", "status", _r("price_copy") + " AS price_copy",
          "CAST(cust AS INTEGER) AS cust", "'he said \"' || status || '\", ok' || chr(10) || 'then left' AS said"]) + " FROM fx_gap"
     q["read_table_csv_fx_gap"] = gap + gap_txt
+    q["read_table_csv_files_fx_gap"] = gap + gap_txt
+    q["drop_rows_file_order_orders"] = (
+        f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {day}, o_orderpriority FROM "
+        "(SELECT *, row_number() OVER () AS rn FROM orders) WHERE rn NOT IN (1, 5, 7, 15000, 20000)")
+    q["distinct_values_first_seen_orders"] = (
+        "SELECT o_orderpriority, min(rn) - 1 AS first_seen FROM (SELECT o_orderpriority, row_number() OVER () AS rn FROM orders) "
+        "WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority")
+    q["fill_score_row_file_order_lineitem"] = (
+        "SELECT " + _r("avg(l_quantity)") + " AS l_quantity, " + _r("avg(l_discount)") + " AS l_discount, "
+        "arg_min(l_returnflag, rn) AS l_returnflag, arg_min(l_linestatus, rn) AS l_linestatus "
+        "FROM (SELECT *, row_number() OVER () AS rn FROM lineitem)")
     q["boxplot_by_quantity"] = (
         "SELECT CAST(NULL AS DOUBLE) AS l_quantity, n, q1, median, q3, lower_whisker, upper_whisker, outliers FROM ("
         + _sql_box("lineitem", ["l_extendedprice"]) + ")")

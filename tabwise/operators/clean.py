@@ -38,14 +38,19 @@ def parse_positions(text) -> list[int]:
     return out
 
 
-def drop_rows(df: DataFrame, positions, order_by: list[str]) -> DataFrame:
-    """Drop rows at 1-based ``positions`` of the order ``order_by`` (ties: by a hash of the other columns).
+def drop_rows(df: DataFrame, positions, order_by: list[str] | None = None, position: str | None = None) -> DataFrame:
+    """Drop rows at 1-based ``positions`` of the order ``order_by`` (ties: by a hash of the other columns), or of the file order
+    where ``position`` names a column with each row's number from 0 (``sources/lines.py``): a filter, which drops that column.
 
     Positions outside 1..n are ignored; an empty list keeps every row. Only the order keys are ranked
     (grouped, so a frequent key is one row); the keys at the wanted positions are few, and the table itself is
     filtered by a join on them: no row of it is sorted. Of identical rows as many go as positions fall on them.
     """
     pos = sorted({p for p in parse_positions(positions) if p > 0})
+    if (order_by is None) == (position is None):
+        raise ValueError("give order_by or position")
+    if position:
+        return df.where(~_q(position).isin([p - 1 for p in pos])).drop(position) if pos else df.drop(position)
     if not pos:
         return df
     keys = [f"_k{i}" for i in range(len(order_by))] + ["_h"]

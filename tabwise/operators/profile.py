@@ -105,9 +105,14 @@ def summary(df: DataFrame, **kw) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(r.values()) for r in out], schema)
 
 
-def distinct_values(df: DataFrame, col: str, sort: bool = True) -> DataFrame:
-    """Non-null distinct values of ``col`` (ascending when ``sort``; first-seen order
-    does not exist in Spark)."""
+def distinct_values(df: DataFrame, col: str, sort: bool = True, position: str | None = None) -> DataFrame:
+    """Non-null distinct values of ``col``, ascending when ``sort``.
+
+    Where ``position`` names a column with each row's number in file order (``sources/lines.py``): (col, first_seen) in the order
+    in which the values are first seen."""
+    if position:
+        first = df.where(_q(col).isNotNull()).groupBy(_q(col)).agg(F.min(_q(position)).alias("first_seen"))
+        return first.orderBy("first_seen") if sort else first
     out = df.select(_q(col)).where(_q(col).isNotNull()).distinct()
     return out.orderBy(_q(col)) if sort else out
 

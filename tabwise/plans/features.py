@@ -225,17 +225,19 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*out)
 
 
-def fill_score_row(df: DataFrame, target: str, inputs: dict | DataFrame | None = None) -> DataFrame:
-    """input rows with defaults: the mean of each numeric predictor and the first (smallest) non-null
-    value of each other predictor; one aggregate.
+def fill_score_row(df: DataFrame, target: str, inputs: dict | DataFrame | None = None, position: str | None = None) -> DataFrame:
+    """input rows with defaults: the mean of each numeric predictor and the smallest non-null
+    value of each other predictor, or, where ``position`` names a column with each row's number in file order
+    (which is no predictor), the non-null value that is seen first; one aggregate.
 
     ``inputs``: the user's values, a dict (one row) or a table; a null or absent value takes the
     default, columns that are no predictors are ignored. Without inputs: the row of defaults."""
     names, defaults = [], []
     for f in df.schema.fields:
-        if f.name != target:
+        if f.name not in (target, position):
             names.append(f)
-            defaults.append((F.avg(as_double(f.name)) if is_numeric_type(f.dataType) else F.min(_q(f.name))).alias(f.name))
+            text = F.min_by(_q(f.name), F.when(_q(f.name).isNotNull(), _q(position))) if position else F.min(_q(f.name))
+            defaults.append((F.avg(as_double(f.name)) if is_numeric_type(f.dataType) else text).alias(f.name))
     row = df.agg(*defaults)
     if inputs is None:
         return row

@@ -160,3 +160,18 @@ def test_parquet_positions(spark):
     again = spark.read.parquet(os.path.join(d, "t")).select("*", "_metadata.file_path", "_metadata.row_index")
     want = [r["v"] for r in again.orderBy("file_path", "row_index").collect()]
     assert [r["v"] for r in table.orderBy("position").collect()] == want
+
+
+def test_operators_in_file_order(spark):
+    from tabwise.operators.clean import drop_rows
+    from tabwise.operators.profile import distinct_values
+    from tabwise.plans.features import fill_score_row
+
+    table = read_table_csv(spark, _write("n,t\n5,NA\n1,z\n3,b\n1,z\n"), multi_line=True, position="at")
+    assert sorted(r["n"] for r in drop_rows(table, "2, 9, 4", position="at").collect()) == [3, 5]
+    assert drop_rows(table, "", position="at").columns == ["n", "t"]
+    assert [tuple(r) for r in distinct_values(table, "t", position="at").collect()] == [("z", 1), ("b", 2)]
+    assert [tuple(r) for r in distinct_values(table, "n", position="at").collect()] == [(5, 0), (1, 1), (3, 2)]
+    assert fill_score_row(table, "n", position="at").first().asDict() == {"t": "z"}
+    with pytest.raises(ValueError):
+        drop_rows(table, "1")
