@@ -25,6 +25,7 @@ from ..functions.quantiles import as_double
 from ..session import cut_lineage
 from .forest import Forest, fit_forest
 from .gram import Grams, fit_elastic_net, fit_ols, gram_by_group, linear_expr
+from .hinges import forward, ordered_blocks
 from .svr import fit_machine
 from .trees import boost, packed
 
@@ -255,31 +256,24 @@ def rff_score_expr(features: list[str], w: np.ndarray, b: np.ndarray, coef: np.n
     return score(F.struct(*[as_double(f).alias(f"_x{i}") for i, f in enumerate(features)]))
 
 
-def _select_hinges(mo, n_cands: int, max_terms: int, penalty: float):
-    """Forward selection of hinge pairs by residual sum of squares, then backward pruning by GCV to at most
-    ``max_terms`` terms (intercept included). Returns (chosen candidates, intercept, coefficients, GCV)."""
+def _prune_hinges(mo, terms: list, max_terms: int, penalty: float):
+    """Backward pruning of the columns ``terms`` of the moments by GCV to at most ``max_terms`` terms (intercept included).
+    Returns (chosen columns, intercept, coefficients, GCV)."""
     n = mo.n
 
     def rss(sel):
         sel = list(sel)
         if not sel:
             return mo.vyy * n, np.zeros(0)
-        c = mo.cxx[np.ix_(sel, sel)]
-        beta = np.linalg.lstsq(c, mo.cxy[sel], rcond=None)[0]
+        beta = np.linalg.lstsq(mo.cxx[np.ix_(sel, sel)], mo.cxy[sel], rcond=None)[0]
         return float(max(mo.vyy - beta @ mo.cxy[sel], 0.0) * n), beta
 
     def gcv(sel):
-        terms = len(sel) + 1
-        c = terms + penalty * (terms - 1) / 2
+        size = len(sel) + 1
+        c = size + penalty * (size - 1) / 2
         return (rss(sel)[0] / n) / (1 - c / n) ** 2 if c < n else float("inf")
 
-    selected: list[int] = []
-    pairs = [(j, j + 1) for j in range(0, n_cands, 2)]
-    while len(selected) + 2 <= max(2 * max_terms, 21) - 1 and pairs:
-        best = min(pairs, key=lambda pr: rss(selected + list(pr))[0])
-        selected += best
-        pairs.remove(best)
-    path, cur = [list(selected)], list(selected)
+    path, cur = [list(terms)], list(terms)
     while cur:
         _, j = min((rss([t for t in cur if t != j])[0], j) for j in cur)
         cur = [t for t in cur if t != j]
@@ -289,43 +283,53 @@ def _select_hinges(mo, n_cands: int, max_terms: int, penalty: float):
     return chosen, float(mo.my - mo.mx[chosen] @ beta), beta, float(gcv(chosen))
 
 
-def fit_hinge(prepared, features, label, max_terms=10, knots=9, penalty=2.0, cv="none", k=CV_DEFAULT_K,
-              repeats=CV_DEFAULT_REPEATS) -> Fitted:
-    """M8 re-aimed (MARS-like, degree 1): candidate hinge pairs max(0, x - t),
-    max(0, t - x) at ``knots`` quantile knots per feature. Selection, pruning and the held-out error of
-    each fold (which selects anew) all come from one Gram pass over the candidates."""
-    probs = [(i + 1) / (knots + 1) for i in range(knots)]
-    row = prepared.agg(*[F.percentile_approx(F.col(f"`{f}`"), probs, 1000).alias(f"_k{i}")
-                         for i, f in enumerate(features)]).first()
-    cands = [(i, f, float(t), side) for i, f in enumerate(features) for t in sorted(set(row[f"_k{i}"] or []))
-             for side in (1, -1)]
-    col_idx = np.array([c[0] for c in cands], dtype=int)
-    at = np.array([c[2] for c in cands])
-    sides = np.array([c[3] for c in cands], dtype=float)
+# The reference's number of terms after pruning, and the published defaults of what it leaves open.
+HINGE_TERMS = 10
+HINGE_THRESHOLD = 0.001
+HINGE_PAIRS = 10
 
-    def hinges(x):
-        return np.maximum(0.0, (x[:, col_idx] - at) * sides)
 
+def fit_hinge(prepared, features, label, max_terms=HINGE_TERMS, pairs=HINGE_PAIRS, penalty=2.0, threshold=HINGE_THRESHOLD, cv="none",
+              k=CV_DEFAULT_K, repeats=CV_DEFAULT_REPEATS) -> Fitted:
+    """M8 earth, degree 1: hinge pairs max(0, x - t), max(0, t - x) are added with t any value of any feature (``hinges.py``), at most
+    ``pairs`` and while a pair raises R squared by ``threshold``; one Gram pass over the chosen hinges then serves the pruning by GCV.
+    Every held-out fold has hinges of its own, chosen in the same passes."""
     kk, reps = fold_plan(cv, k, repeats)
-    g = _grams(prepared, features, label, kk, reps, hinges, len(cands))
-
-    def fit_fn(mo, _g=None, _s=None):
-        chosen, b0, coef, _ = _select_hinges(mo, len(cands), max_terms, penalty)
-        beta = np.zeros(len(cands))
-        beta[chosen] = coef
-        return b0, beta
-
-    _, score = _cv_select(fit_fn, [None], g)
-    chosen, b0, coef, gcv = _select_hinges(g.all, len(cands), max_terms, penalty)
+    folds = [(r, f) for r in range(reps) for f in range(kk)] if kk else []
+    with folded(prepared, kk, reps) as rows:
+        with ordered_blocks(rows, features, label, fold_names(reps) if kk else []) as (blocks, scale):
+            models = forward(blocks, scale, len(features), folds, reps if kk else 0, pairs, threshold)
+        terms = sorted({t for m in models for t in m.terms})
+        if not terms:
+            return fit_linear(rows, features, label, "mean", cv, k, repeats)
+        of = np.array([t[0] for t in terms], dtype=int)
+        at, sides = np.array([t[1] for t in terms]), np.array([t[2] for t in terms])
+
+        def hinges(x):
+            return np.maximum(0.0, (x[:, of] - at) * sides)
+
+        g = _grams(rows, features, label, kk, reps, hinges, len(terms))
+    number = {t: j for j, t in enumerate(terms)}
+    mine = [[number[t] for t in m.terms] for m in models]
+    held = []
+    for f, chosen_of in zip(range(len(folds)), mine[1:]):
+        hold = g.per.get(f)
+        if hold is not None and g.of(hold).n > 0:
+            chosen, b0, coef, _ = _prune_hinges(g.of(g.total - hold), chosen_of, max_terms, penalty)
+            beta = np.zeros(len(terms))
+            beta[chosen] = coef
+            held.append(math.sqrt(g.of(hold).sse(b0, beta) / g.of(hold).n))
+    chosen, b0, coef, gcv = _prune_hinges(g.all, mine[0], max_terms, penalty)
     expr = F.lit(b0)
-    terms, imp = {}, {}
+    named, imp = {}, {}
     for c, j in zip(map(float, coef), chosen):
-        _, f, t, side = cands[j]
-        expr = expr + F.lit(c) * F.greatest(F.lit(0.0), (F.col(f"`{f}`") - F.lit(t)) * F.lit(float(side)))
-        terms[f"h({f},{t},{side})"] = c
+        i, t, side = terms[j]
+        f = features[i]
+        expr = expr + F.lit(c) * F.greatest(F.lit(0.0), (F.col(f"`{f}`") - F.lit(t)) * F.lit(side))
+        named[f"h({f},{t},{int(side)})"] = c
         imp[f] = imp.get(f, 0.0) + abs(c)
-    return Fitted("earth", features, expr=expr, params={"terms": len(chosen) + 1, "gcv": gcv}, coef=terms,
-                  importance=imp, cv_rmse=score)
+    return Fitted("earth", features, expr=expr, params={"terms": len(chosen) + 1, "gcv": gcv}, coef=named,
+                  importance=imp, cv_rmse=float(np.mean(held)) if held else None)
 
 
 # ---------------------------------------------------------------- trees
