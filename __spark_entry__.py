@@ -27,6 +27,7 @@ from tabwise.operators import schema as S
 from tabwise.plans import evaluate as V
 from tabwise.plans import features as FE
 from tabwise.plans import models as M
+from tabwise.plans.sparse import fit_sparse
 from tabwise.session import ensure_checkpoint_dir
 from tabwise.sources import csv as CSV
 from tabwise.sources.lines import parquet_positions
@@ -393,6 +394,15 @@ def _q_forest(spark, sf):
     return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["rf"], cv="cv", k=5, partitions=_cores(spark)).metrics
 
 
+def _q_sparse(spark, sf):
+    """A slope and one level a part: as many columns as the table has parts; predictions as shares of the actual value."""
+    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", F.col("l_partkey").cast("string").alias("part"))
+    fit = fit_sparse(li, "l_extendedprice", ["l_quantity", "part"])
+    share = (F.col("prediction") / F.col("l_extendedprice")).alias("share")
+    out = fit.predict(li, keep=["l_orderkey", "l_linenumber", "l_extendedprice"])
+    return rounded(out.select("l_orderkey", "l_linenumber", share, F.lit(fit.coefficients()["l_quantity"]).alias("slope")))
+
+
 def _q_boosting(spark, sf):
     return V.compare_models(fixture(spark, sf, "fx_reg"), "y", models=["gbm", "xgbTree"], cv="cv", k=5,
                             partitions=_cores(spark)).metrics
@@ -607,6 +617,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "qq_residuals_fx_reg": _q_qq_residuals,
         "plot_sample_members_lineitem": _q_sample_members,
         "forest_fx_reg": _q_forest,
+        "sparse_linear_lineitem": _q_sparse,
         "svm_radial_fx_reg": _q_svm,
         "boosted_stump_fx_reg": _q_stump,
         "penalised_models_fx_reg": _q_penalised,
@@ -939,6 +950,12 @@ def oracle_sql() -> dict[str, str]:
          "CAST(cust AS INTEGER) AS cust", "'he said \"' || status || '\", ok' || chr(10) || 'then left' AS said"]) + " FROM fx_gap"
     q["read_table_csv_fx_gap"] = gap + gap_txt
     q["read_table_csv_files_fx_gap"] = gap + gap_txt
+    # with one level a part, the slope is that within parts, and a prediction starts at its part's means
+    q["sparse_linear_lineitem"] = (
+        "WITH m AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x, "
+        "avg(CAST(l_extendedprice AS DOUBLE)) OVER (PARTITION BY l_partkey) AS my, avg(CAST(l_quantity AS DOUBLE)) OVER (PARTITION BY l_partkey) AS mx "
+        "FROM lineitem), s AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b FROM m) "
+        "SELECT l_orderkey, l_linenumber, ROUND((my + b * (x - mx)) / y, 6) AS share, ROUND(b, 6) AS slope FROM m, s")
     q["drop_rows_file_order_orders"] = (
         f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {day}, o_orderpriority FROM "
         "(SELECT *, row_number() OVER () AS rn FROM orders) WHERE rn NOT IN (1, 5, 7, 15000, 20000)")
