@@ -90,6 +90,9 @@ class Preprocessor:
         return df.select(*head, *self.feature_exprs())
 
 
+MOST_LEVELS = 10_000  # levels that may become a column each
+
+
 def fit_fill_values(df: DataFrame, numeric: list[str], categorical: list[str], missing: str = "Missing",
                     all_levels: bool = True):
     """(rows, fills, levels): means (0 for an all-null column), modes ("Missing" for an all-null column) and category
@@ -97,7 +100,8 @@ def fit_fill_values(df: DataFrame, numeric: list[str], categorical: list[str], m
 
     Without ``all_levels`` only levels whose 0/1 column is not near-zero-variance (A12) leave Spark. Of n >= 20
     rows that needs a count of n / 20 (nulls count for the mode, which fills them), so at most 20 levels
-    of a column come back whatever it holds; a table of fewer rows has fewer levels than that.
+    of a column come back whatever it holds; a table of fewer rows has fewer levels than that. With it, more than
+    ``MOST_LEVELS`` levels are an error.
     """
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(as_double(c)).alias(f"_m{i}") for i, c in enumerate(numeric)]).first()
     n = row["_n"]
@@ -118,7 +122,11 @@ def fit_fill_values(df: DataFrame, numeric: list[str], categorical: list[str], m
             counts = counts.join(F.broadcast(filled), "column_name").withColumn("n", m).where(F.col("n") < n)
             if n >= 20:
                 counts = counts.where((F.col("n") * 20 >= n) & ((F.lit(n) - F.col("n")) * 20 >= n))
-        for r in counts.select("column_name", "value").collect():
+        found = counts.select("column_name", "value").limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise PreprocessError("many_levels", f"more than {MOST_LEVELS} levels for a column each: use one_hot_vector, or "
+                                                 "fit_sparse of plans/sparse.py")
+        for r in found:
             levels.setdefault(r["column_name"], []).append(r["value"])
         for c in categorical:
             levels[c] = sorted(levels.get(c, [missing] if all_levels and c not in per_column else []))
@@ -183,7 +191,7 @@ def preprocess(df: DataFrame, target: str, nzv: bool = True, corr_cutoff: float
 def one_hot(df: DataFrame, cols: list[str], keep_source: bool = False) -> DataFrame:
     """one 0/1 column per level (all levels kept, ascending), named
     ``<col>_<level>`` made syntactic; nulls give 0 in every level column."""
-    _, _, levels = fit_fill_values(df, [], list(cols))  # every level becomes a column: for columns of few levels
+    _, _, levels = fit_fill_values(df, [], list(cols))  # more than MOST_LEVELS are an error
     others = [c for c in df.columns if keep_source or c not in cols]
     names = normalized_names(others + [f"{c}_{lvl}" for c in cols for lvl in levels[c]])[len(others):]
     exprs, k = [], 0

@@ -131,3 +131,13 @@ def test_one_hot_vector(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "c string")
     got = [r["one_hot"].toArray().tolist() for r in FE.one_hot_vector(df, ["c"]).collect()]
     assert got == [[0, 1, 0], [1, 0, 0], [0, 0, 1], [1, 0, 0]]
+
+
+def test_more_levels_than_columns_can_be(spark, monkeypatch):
+    df = spark.range(40).selectExpr("concat('k', id % 7) AS c", "CAST(id AS DOUBLE) AS y")
+    monkeypatch.setattr(FE, "MOST_LEVELS", 7)
+    assert len(FE.one_hot(df, ["c"]).columns) == 8
+    monkeypatch.setattr(FE, "MOST_LEVELS", 6)
+    for call in (lambda: FE.one_hot(df, ["c"]), lambda: FE.preprocess(df, "y", nzv=False)):
+        with pytest.raises(FE.PreprocessError):
+            call()
