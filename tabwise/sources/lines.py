@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 _BREAK = "\n"
 
 
@@ -132,6 +134,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     ``position`` counts the records below the headers from 0, in the order of the files' names and of the records in them. A
     record's text has its inner line breaks; a carriage return before its last line break is left out.
     """
+    ship_package(spark)
     lines = _physical(spark, path)
     splits = lines.mapInArrow(_count, "file string, start long, parity int, even long, odd long").collect()  # one row a split
     known = _carried(splits)

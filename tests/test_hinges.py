@@ -23,7 +23,7 @@ def _brute(x, y, pairs, threshold):
     for _ in range(pairs):
         best = (0.0, None)
         for f in range(x.shape[1]):
-            for t in np.unique(x[:, f])[1:-1]:
+            for t in np.unique(x[:, f])[:-1]:
                 gain = now - rss([*cols, np.maximum(0, x[:, f] - t), np.maximum(0, t - x[:, f])])
                 if gain > best[0] * (1 + 1e-7):
                     best = (gain, (f, t))
@@ -31,7 +31,7 @@ def _brute(x, y, pairs, threshold):
             break
         f, t = best[1]
         cols += [np.maximum(0, x[:, f] - t), np.maximum(0, t - x[:, f])]
-        terms += [(f, t, 1.0), (f, t, -1.0)]
+        terms += [(f, t, 1.0)] + ([(f, t, -1.0)] if t > x[:, f].min() else [])
         now -= best[0]
     return terms
 
@@ -87,3 +87,15 @@ def test_hot_values_constant_columns_and_few_rows(spark):
     assert got["prediction"].to_numpy() == pytest.approx(got["y"].to_numpy(), abs=1e-6)
     flat = M.fit_hinge(df.selectExpr("f1", "1.0D AS y"), ["f1"], "y")
     assert flat.params["mean"] == 1.0
+
+
+def test_features_of_two_values_and_straight_lines(spark):
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.integers(0, 2, 300) * 1.3 - 0.4, rng.integers(0, 2, 300), rng.integers(0, 30, 300)], 1)
+    y = 20 * x[:, 0] - 7 * x[:, 1] + 2 * x[:, 2] + 5
+    df, names = _table(spark, x, y)
+    with H.ordered_blocks(df, names, "y", []) as (blocks, scale):
+        model = H.forward(blocks, scale, 3, [], 0, 6, 1e-3)[0]
+    assert model.terms == _brute(x, y, 6, 1e-3)
+    fit = M.fit_hinge(df, names, "y", cv="cv", k=4)
+    assert fit.cv_rmse < 1e-6
