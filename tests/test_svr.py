@@ -75,3 +75,18 @@ def test_permuted_values_are_the_columns_own(spark):
     fit = M.Fitted("lm", ["u", "v"], expr=F.col("u"))
     gain = V.permutation_importance(fit, df, "y")
     assert gain["v"] == 0.0 and gain["u"] == pytest.approx(2_000 / np.sqrt(6), rel=0.06)
+
+
+def test_passes_read_packed_rows(spark):
+    """What the rows are made by (here the folds) is not run again in each pass."""
+    df, x, y = _table(spark, n=300)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("long")
+    def fold(v):
+        made.add(len(v))
+        return (v * 0 + np.arange(len(v)) % 3).astype("int64")
+
+    w, b = M.fourier_features(3, 0.1, 20, 7)
+    m = fit_machine(df.repartition(2).withColumn("f", fold("a")), ["a", "b", "noise"], "y", w, b, 1.0, 0.1, ["f"], 3)
+    assert m.passes > 10 and len(m.held_out) == 3 and 300 <= made.value <= 600
