@@ -5,7 +5,10 @@ for the passes of a training. A pass is per-partition array work without a schem
 them, so they run on the blocks' RDD: a job without a plan of its own costs a third of one with. Boosting grows a level a pass: every task sums gradients and counts by (model, node, feature, bin), the
 sums are merged in two levels, and the driver picks the best cut of each node. The models of a K-fold
 resampling share each pass, as a block's rows are added to the histograms of every model that trains on them. A row's margins are
-carried in its block and brought up to date every few rounds.
+carried in its block; the first pass of a round brings them up to date, so that is no job of its own.
+
+Features of few bins are bundled: a bundle's code is the number of the combination of its features' bins, at most ``JOINT`` of them. One histogram a bundle
+holds those of all its features, which are its marginal sums, and the same key tells to which side of a cut a row goes.
 """
 
 from __future__ import annotations
@@ -22,14 +25,15 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.partials import LANES
+from ..functions.partials import summed_rdd
 from ..functions.quantiles import as_double
 from ..session import ensure_checkpoint_dir, ship_package
 
 BINS = 256
 BLOCK_ROWS = 1 << 15
-REFRESH = 3  # rounds between two updates of the carried margins
-CUT = 10  # updates between two checkpoints of the blocks
+REFRESH = 1  # rounds between two updates of the carried margins
+CUT = 30  # updates between two checkpoints of the blocks
+JOINT = 1 << 10  # combinations of a bundle of features, unless one feature alone has more bins
 
 
 # ---------------------------------------------------------------- bins and blocks
@@ -50,6 +54,29 @@ def codes_of(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bundles(widths: list[int], most: int | None = None) -> list[list[int]]:
+    """The features dealt into bundles of at most ``most`` combinations of bins: each goes to the first bundle that has room."""
+    out, sizes = [], []
+    for f, w in enumerate(widths):
+        at = next((i for i, size in enumerate(sizes) if size * w <= (most or JOINT)), None)
+        if at is None:
+            out.append([f])
+            sizes.append(w)
+        else:
+            out[at].append(f)
+            sizes[at] *= w
+    return out
+
+
+def joint_codes(codes: np.ndarray, widths: list[int], dealt: list[list[int]]) -> np.ndarray:
+    """A row a bundle: the first feature is the most significant digit."""
+    out = np.zeros((len(dealt), len(codes)), np.uint16)
+    for i, mine in enumerate(dealt):
+        for f in mine:
+            out[i] = out[i] * np.uint16(widths[f]) + codes[:, f]
+    return out
+
+
 def _packer(edges, n_folds: int):
     def block(part, number, x):
         codes = codes_of(x[:, :len(edges)], edges)
@@ -78,10 +105,10 @@ def _packer(edges, n_folds: int):
 
 @dataclass
 class Rows:
-    """One block's arrays; ``margin`` holds the carried part of each model's prediction."""
+    """One block's arrays; ``joint`` has a row a bundle, ``margin`` holds the carried part of each model's prediction."""
 
     block: int
-    codes: np.ndarray
+    joint: np.ndarray
     y: np.ndarray
     folds: np.ndarray
     margin: np.ndarray
@@ -108,11 +135,7 @@ class Blocks:
         return 1 + len(self.folds)
 
     def summed(self, partial) -> np.ndarray:
-        """Sum of the arrays that ``partial`` makes of each partition's rows; the executors add them up first where there are many."""
-        arrays = self.rdd.mapPartitions(lambda rows: [partial(rows)])
-        if arrays.getNumPartitions() <= LANES:
-            return sum(arrays.collect())
-        return arrays.treeReduce(lambda a, b: a + b)
+        return summed_rdd(self.rdd, partial)
 
 
 @contextmanager
@@ -125,10 +148,13 @@ def packed(prepared: DataFrame, features: list[str], label: str, fold_cols: list
     rows = rows.na.drop("any", subset=[f"_x{i}" for i in range(len(features))] + ["_y"])
     blocks = rows.mapInArrow(_packer(edges, len(fold_cols)), "block long, n long, codes binary, y binary, folds binary")
     models, p, reps = 1 + len(fold_cols) * k, len(features), len(fold_cols)
+    widths = [len(e) + 1 for e in edges]
+    dealt = bundles(widths)
 
     def unpack(row):
-        return Rows(row.block, np.frombuffer(row.codes, np.uint8).reshape(row.n, p), np.frombuffer(row.y, float),
-                    np.frombuffer(row.folds, np.int8).reshape(row.n, reps), np.zeros((models, row.n)))
+        joint = joint_codes(np.frombuffer(row.codes, np.uint8).reshape(row.n, p), widths, dealt)
+        return Rows(row.block, joint, np.frombuffer(row.y, float), np.frombuffer(row.folds, np.int8).reshape(row.n, reps),
+                    np.zeros((models, row.n)))
 
     rdd = blocks.rdd.map(unpack).persist()
     try:
@@ -191,17 +217,53 @@ def best_cuts(grad: np.ndarray, hess: np.ndarray, widths: list[int], l2: float,
     return best, feature.astype(np.int32), cut.astype(np.int32), left_g, left_h
 
 
-def histograms(codes: np.ndarray, node: np.ndarray, n_nodes: int, widths: list[int], weights: list) -> np.ndarray:
-    """Sums of each of ``weights`` (None: counts) by (node, bin), features side by side."""
-    total = sum(widths)
-    out = np.zeros((len(weights), n_nodes, total))
-    at = 0
-    for f, w in enumerate(widths):
-        place = node * w + codes[:, f]
-        for i, v in enumerate(weights):
-            out[i, :, at:at + w] = np.bincount(place, v, minlength=n_nodes * w).reshape(n_nodes, w)
-        at += w
-    return out
+class Sides:
+    """Which way the rows go at each level of a tree, as tables over (node, combination) a bundle.
+
+    Node ``2 ** level`` of a level, one more than there are, is that of the rows that take no part: they stay in it.
+    """
+
+    def __init__(self, tree: LevelTree, levels: int, widths: list[int], dealt: list[list[int]]):
+        self.sizes = [math.prod(widths[f] for f in mine) for mine in dealt]
+        digits = {}
+        for mine, size in zip(dealt, self.sizes):
+            step = size
+            for f in mine:
+                step //= widths[f]
+                digits[f] = np.arange(size) // step % widths[f]
+        of = {f: i for i, mine in enumerate(dealt) for f in mine}
+        self.levels = []
+        for level in range(levels):
+            at = 2 ** level - 1
+            tables = {}
+            for j in range(2 ** level):
+                f, cut = int(tree.feature[at + j]), int(tree.cut[at + j])
+                if cut < widths[f] - 1:
+                    i = of[f]
+                    tables.setdefault(i, np.zeros((2 ** level + 1, self.sizes[i]), np.int64))[j] = digits[f] > cut
+            self.levels.append([(i, t.ravel()) for i, t in tables.items()])
+
+    def place(self, joint: np.ndarray, node: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+        """Nodes of the last level of rows that begin in ``node`` (0, or 1: no part), which is changed."""
+        for tables in self.levels:
+            sides = []
+            for i, table in tables:
+                np.multiply(node, self.sizes[i], out=scratch)
+                scratch += joint[i]
+                sides.append(table.take(scratch))
+            node += node
+            for side in sides:
+                node += side
+        return node
+
+
+def marginal(cells: np.ndarray, widths: list[int], dealt: list[list[int]], out: np.ndarray) -> None:
+    """Add a bundle list's (node, combination) sums to ``out``, (node, bin) with the features side by side."""
+    starts = np.cumsum([0, *widths])
+    for mine, c in zip(dealt, cells):
+        c = c.reshape(-1, *[widths[f] for f in mine])
+        for j, f in enumerate(mine, 1):
+            out[:, starts[f]:starts[f] + widths[f]] += c.sum(tuple(a for a in range(1, c.ndim) if a != j))
 
 
 @dataclass
@@ -233,7 +295,8 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
     ``l2`` is the penalty on leaf values, ``least`` the least hessian (rows) of a side, ``bag`` the share of each block's rows that a tree sees.
     """
     folds, models, widths = blocks.folds, blocks.models, [len(e) + 1 for e in blocks.edges]
-    p = len(widths)
+    p, dealt = len(widths), bundles(widths)
+    sizes = [math.prod(widths[f] for f in mine) for mine in dealt]
 
     def sums(blocks):
         out = np.zeros((models, 2))
@@ -248,43 +311,80 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
     recent: list = []  # trees that the carried margins do not have yet
     first: list = []  # trees of model 0
     gains = np.zeros(p)
-    current = blocks
+    current, added = blocks, False  # whether the carried margins have the mean
     updates = 0
     ensure_checkpoint_dir(SparkSession.getActiveSession())
 
-    def margins(rows: Rows, m: int, recent: list) -> np.ndarray:
-        return rows.margin[m] + base[m] + sum((t[m].score(rows.codes) for t in recent), np.zeros(rows.n))
+    def sides_of(recent: list):
+        return [[Sides(t[m], depth, widths, dealt) for m in range(models)] for t in recent]
+
+    def margins(rows: Rows, m: int, recent: list, sides: list, added: bool, chosen=None) -> np.ndarray:
+        out = rows.margin[m] if chosen is None else rows.margin[m].take(chosen)
+        out = out if added else out + base[m]
+        if recent:
+            joint = rows.joint if chosen is None else rows.joint.take(chosen, 1)
+            scratch = np.empty(len(out), np.int64)
+            for t, s in zip(recent, sides):
+                out = out + t[m].value.take(s[m].place(joint, np.zeros(len(out), np.int64), scratch))
+        return out
 
     def bagged(rows: Rows, number: int) -> np.ndarray:
         chosen = np.zeros(rows.n, bool)
         chosen[np.random.default_rng([seed, number, rows.block]).permutation(rows.n)[:round(bag * rows.n)]] = True
-        return chosen
+        return np.flatnonzero(chosen)
+
+    def level_pass(number: int, level: int, trees: list, recent: list, added: bool):
+        nodes = 2 ** level
 
-    def level_pass(number: int, level: int, trees: list, recent: list):
         def partial(blocks):
-            out = np.zeros((models, 2, 2 ** level, sum(widths)))
+            cells = [[[np.zeros((nodes + 1) * size) for size in sizes] for _ in range(2)] for _ in range(models)]
+            upper, late = [Sides(t, level, widths, dealt) for t in trees], sides_of(recent)
             for rows in blocks:
                 chosen = bagged(rows, number) if bag < 1 else None
+                y, joint = (rows.y, rows.joint) if chosen is None else (rows.y.take(chosen), rows.joint.take(chosen, 1))
+                key = np.empty(len(y), np.int64)
                 for m in range(models):
                     mine = rows.trains(folds, m)
-                    mine = np.flatnonzero(mine if chosen is None else mine & chosen)
-                    grad = margins(rows, m, recent)[mine] - rows.y[mine]
-                    codes = rows.codes[mine]
-                    out[m] += histograms(codes, trees[m].place(codes, level), 2 ** level, widths, [grad, None])
+                    out = ~(mine if chosen is None else mine.take(chosen))
+                    grad = margins(rows, m, recent, late, added, chosen) - y
+                    node = upper[m].place(joint, out.astype(np.int64), key)
+                    for i, size in enumerate(sizes):
+                        np.multiply(node, size, out=key)
+                        key += joint[i]
+                        cells[m][0][i] += np.bincount(key, grad, (nodes + 1) * size)
+                        cells[m][1][i] += np.bincount(key, None, (nodes + 1) * size)
+            out = np.zeros((models, 2, nodes, sum(widths)))
+            for m in range(models):
+                for a in range(2):
+                    marginal([c[:nodes * size] for c, size in zip(cells[m][a], sizes)], widths, dealt, out[m, a])
             return out
 
         return partial
 
-    def updated(recent: list):
-        return lambda rows: replace(rows, margin=np.stack([
-            rows.margin[m] + sum((t[m].score(rows.codes) for t in recent), np.zeros(rows.n)) for m in range(models)]))
+    def updated(recent: list, added: bool):
+        def run(blocks):
+            sides = sides_of(recent)
+            for rows in blocks:
+                yield replace(rows, margin=np.stack([margins(rows, m, recent, sides, added) for m in range(models)]))
+
+        return run
 
     try:
         for number in range(rounds):
+            old = None
+            if not added or len(recent) >= REFRESH:
+                rdd = current.rdd.mapPartitions(updated(list(recent), added)).persist()
+                updates += 1
+                if updates % CUT == 0:
+                    rdd.checkpoint()
+                old, current, recent, added = current, Blocks(rdd, blocks.edges, folds), [], True
             trees = [LevelTree.empty(depth) for _ in range(models)]
             live = [np.ones(1, bool) for _ in range(models)]  # nodes of the level that are still grown
             for level in range(depth):
-                sums_ = current.summed(level_pass(number, level, trees, recent))
+                sums_ = current.summed(level_pass(number, level, trees, recent, added))
+                if old is not None and old is not blocks:  # this pass has made the new blocks
+                    old.rdd.unpersist()
+                old = None
                 at, more = 2 ** level - 1, False
                 for m in range(models):
                     grad, hess = sums_[m]
@@ -308,23 +408,14 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
                     break
             recent.append(trees)
             first.append(trees[0])
-            if len(recent) == REFRESH:
-                rdd = current.rdd.map(updated(list(recent))).persist()
-                updates += 1
-                if updates % CUT == 0:
-                    rdd.checkpoint()
-                rdd.count()
-                if current is not blocks:
-                    current.rdd.unpersist()
-                current, recent = Blocks(rdd, blocks.edges, folds), []
 
         def errors(blocks):
-            out = np.zeros((models, 2))
+            out, sides = np.zeros((models, 2)), sides_of(recent)
             for rows in blocks:
                 for m in range(1, models):
-                    held = ~rows.trains(folds, m)
-                    e = margins(rows, m, recent)[held] - rows.y[held]
-                    out[m] += held.sum(), (e * e).sum()
+                    held = np.flatnonzero(~rows.trains(folds, m))
+                    e = margins(rows, m, recent, sides, added, held) - rows.y[held]
+                    out[m] += len(held), (e * e).sum()
             return out
 
         held = current.summed(errors)[1:] if folds else np.zeros((0, 2))

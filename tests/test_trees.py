@@ -116,3 +116,37 @@ def test_constant_features_and_few_rows(spark):
     with T.packed(df, ["a", "b"], "y", [], 0) as blocks:
         model = T.boost(blocks, 3, 2, 0.3, 1.0, 1.0)
     assert model.predict(np.array([[1.0, 2.0], [9.0, -1.0]])) == pytest.approx([6.0, 6.0])
+
+
+def test_bundles_hold_the_histograms_of_their_features():
+    rng = np.random.default_rng(4)
+    widths = [50, 2, 300, 11, 2, 9, 1]
+    codes = np.stack([rng.integers(0, min(w, 256), 5_000) for w in widths], 1).astype(np.uint8)
+    dealt, node, grad = T.bundles(widths), rng.integers(0, 4, 5_000), rng.normal(size=5_000)
+    assert sorted(f for mine in dealt for f in mine) == list(range(7)) and len(dealt) < 5
+    assert all(len(mine) == 1 or np.prod([widths[f] for f in mine]) <= T.JOINT for mine in dealt)
+    joint, out = T.joint_codes(codes, widths, dealt), np.zeros((4, sum(widths)))
+    sizes = [int(np.prod([widths[f] for f in mine])) for mine in dealt]
+    T.marginal([np.bincount(node * s + j, grad, 4 * s) for j, s in zip(joint, sizes)], widths, dealt, out)
+    starts = np.cumsum([0, *widths])
+    for f, w in enumerate(widths):
+        want = np.bincount(node * w + codes[:, f], grad, 4 * w).reshape(4, w)
+        assert out[:, starts[f]:starts[f] + w] == pytest.approx(want, abs=1e-9)
+    tree = T.LevelTree.empty(3)
+    tree.feature[:], tree.cut[:] = [0, 2, 5, 3, 1, 4, 6], [20, 100, 4, 5, 0, 255, 255]
+    out = rng.random(5_000) < 0.2
+    got = T.Sides(tree, 3, widths, dealt).place(joint, out.astype(np.int64), np.empty(5_000, np.int64))
+    assert (got == np.where(out, 8, tree.place(codes, 3))).all()
+
+
+def test_a_level_is_the_only_job(spark):
+    """The carried margins are made by the first pass of a round, not by a job of their own."""
+    df, names, x, y = _table(spark)
+    sc = spark.sparkContext
+    with T.packed(df, names, "y", [], 0) as blocks:
+        sc.setJobGroup("boost", "")
+        try:
+            T.boost(blocks, 8, 2, 0.3, 1.0, 1.0)
+            assert len(sc.statusTracker().getJobIdsForGroup("boost")) <= 1 + 8 * 2
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
