@@ -109,3 +109,20 @@ def test_constant_label_and_few_rows(spark):
     with pytest.raises(ValueError):
         R.fit_forest(df.where("a > 99"), ["a", "b"], "y", trees=1, mtry=1)
     assert M.MODEL_CHOICES[3] == "rf"
+
+
+def test_pieces_grow_the_same_tree(monkeypatch):
+    """Rows dealt out by node, in pieces, give the tree that all rows together give; leaves are reached by columns alike."""
+    rng = np.random.default_rng(8)
+    codes = np.stack([rng.integers(0, w, 6_000) for w in (200, 30, 2, 2)], 1).astype(np.uint8)
+    y, w = 3.0 * codes[:, 0] - codes[:, 1] + rng.normal(size=6_000), rng.poisson(1.0, 6_000) + (np.arange(6_000) % 2)
+    at = w > 0
+    codes, y, w = codes[at], y[at], w[at].astype(np.uint8)
+    whole, gain = R.grow(codes, y, w, 2, 5, R.root_path(1, 1))
+    monkeypatch.setattr(R, "PIECE_ROWS", 100)
+    monkeypatch.setattr(R, "PIECES", 4)
+    pieces, gain_of = R.grow(codes, y, w, 2, 5, R.root_path(1, 1))
+    assert len(pieces.left) == len(whole.left) and gain_of == pytest.approx(gain)
+    place = pieces.place_columns(np.ascontiguousarray(codes.T))
+    assert (pieces.feature[place] == -1).all()
+    assert pieces.value[place] == pytest.approx(whole.value[whole.place(codes)], abs=1e-12)
