@@ -90,3 +90,24 @@ def test_passes_read_packed_rows(spark):
     w, b = M.fourier_features(3, 0.1, 20, 7)
     m = fit_machine(df.repartition(2).withColumn("f", fold("a")), ["a", "b", "noise"], "y", w, b, 1.0, 0.1, ["f"], 3)
     assert m.passes > 10 and len(m.held_out) == 3 and 300 <= made.value <= 600
+
+
+def test_each_value_is_dealt_once(spark, monkeypatch):
+    """Values sent to ranges of numbers, in pieces, are those that the permutation of each feature sends; nulls go along."""
+    from tabwise.functions.permute import permuted
+    from tabwise.functions.positions import numbered
+
+    monkeypatch.setattr(V, "_range_rows", lambda n, p: 17)
+    rows = [(float(i), None if i % 5 == 0 else float(i % 7), float(i)) for i in range(200)]
+    kept = spark.createDataFrame(rows, "_y double, _x0 double, _x1 double").repartition(3).persist()
+    table, n = numbered(kept)
+    there = V._dealt(V.with_permutations(table, "_number", n, {"_to0": 42, "_to1": 43}), 2, V._range_rows(n, 2))
+    got = {r["_y"]: r for r in there.collect()}
+    of = {r["_number"]: r for r in table.collect()}
+    assert len(got) == n == 200
+    for i, key in enumerate((42, 43)):
+        to = permuted(np.arange(n), n, key)
+        for number in range(n):
+            assert got[of[int(to[number])]["_y"]][f"_v{i}"] == of[number][f"_x{i}"]
+    assert all(got[r["_y"]]["_x0"] == r["_x0"] for r in of.values())
+    kept.unpersist()
