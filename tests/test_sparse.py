@@ -61,3 +61,40 @@ def test_nulls_unseen_levels_clashing_names_and_limits(spark, monkeypatch):
     monkeypatch.setattr(P, "MOST_LEVELS", 1)
     with pytest.raises(ValueError):
         P.fit_sparse(df, "y", ["g"])
+
+
+def _by_steps(df, target, features):
+    """The same problem with a second category of one level, null throughout: conjugate gradients."""
+    from pyspark.sql import functions as F
+
+    return P.fit_sparse(df.withColumn("none", F.lit(None).cast("string")), target, [*features, "none"])
+
+
+@pytest.mark.parametrize("features, nulls", [(["a", "b", "u"], False), (["a", "b", "v"], True), (["v"], False), (["a", "twice", "same", "u"], True)])
+def test_one_category_is_eliminated(spark, features, nulls):
+    """The coefficients are those that conjugate gradients reach, also where many solutions predict alike."""
+    from pyspark.sql import functions as F
+
+    df, *_ = _table(spark)
+    df = df.withColumn("twice", F.col("a") * 2 + 1).withColumn("same", F.length("u").cast("double") + F.ascii(F.col("u").substr(2, 1)))
+    if nulls:
+        df = df.select(*[F.when(F.col("a") > 14, None).otherwise(F.col(c)).alias(c) if c in "uv" else c for c in df.columns])
+    one, steps = P.fit_sparse(df, "y", features), _by_steps(df, "y", features)
+    assert one.tail is None and one.steps == 0 and steps.steps > 0
+    assert one.head == pytest.approx(steps.head, abs=1e-6)
+    by = {r["level"]: r["weight"] for r in one.levels.collect()}
+    other = {r["level"]: steps.tail[r["index"]] for r in steps.levels.collect()}
+    assert by == pytest.approx(other, abs=1e-6)
+    assert one.weights[len(one.head):].sum() == pytest.approx(steps.tail.sum(), abs=1e-5)
+    unseen = spark.createDataFrame([("zz", "zz", 1.0, 2.0, 3.0, 60.0)], "u string, v string, a double, b double, twice double, same double")
+    assert one.predict(unseen).first()["prediction"] == pytest.approx(steps.predict(unseen.withColumn("none", F.lit("n"))).first()["prediction"], abs=1e-6)
+
+
+def test_more_levels_than_fit_the_driver(spark, monkeypatch):
+    """A single category's levels never reach the driver, so its limit of arrays does not hold for them."""
+    monkeypatch.setattr(P, "DRIVER_LEVELS", 10)
+    df, x, g, y = _table(spark)
+    fit = P.fit_sparse(df, "y", ["a", "b", "v"])
+    assert fit.levels.count() == 30
+    with pytest.raises(ValueError):
+        P.fit_sparse(df, "y", ["a", "u", "v"])
