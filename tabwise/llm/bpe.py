@@ -245,7 +245,10 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
                 first = end
 
-    rows = df.select(*(df[c] for c in keep), df[text].alias("__text"))  # taken by position: a kept column may have any name
+    name = "__text"
+    while name in (c.lower() for c in keep):  # the columns given to mapInArrow are looked up by name
+        name += "_"
+    rows = df.select(*(df[c] for c in keep), df[text].alias(name))
     return rows.mapInArrow(run, T.StructType(fields))
 
 
