@@ -42,7 +42,7 @@ from tabwise.llm.words import LOWER, hash_spans, word_bounds
 
 END = np.uint64(0x5BD1E9955BD1E995)  # stands for the end token among the words' hashes
 HELD = 4_000_000  # entries that a counting task holds before it returns a block
-SLICE = 4 << 20
+SLICE = 2 << 20
 MARKS = 256  # points a range reports for cutting the runs one word longer
 
 
@@ -101,7 +101,9 @@ class _Held:
         return self.n > HELD
 
     def _merge(self):
-        self.parts = [summed(*(np.concatenate(x) for x in zip(*self.parts)))]
+        arrays = [np.concatenate(x) for x in zip(*self.parts)]
+        self.parts = []  # not held beside their copies while these are sorted
+        self.parts = [summed(*arrays)]
         self.n = len(self.parts[0][0])
 
     def take(self):

@@ -164,3 +164,19 @@ def test_texts_shorter_than_the_order(spark):
         brute = BruteOrder(texts, 5)
         got = L.score(rows, L.fit(rows, order=5)).orderBy("key").collect()
         assert [r["score"] for r in got] == pytest.approx([brute.score(t) for t in texts], rel=1e-6)
+
+
+def test_parts_are_not_held_while_they_are_merged(monkeypatch):
+    """The peak of a counting task: the parts are let go before their copies are sorted."""
+    held, seen, summed = L._Held(), [], L.summed
+
+    def watched(keys, counts=None):
+        if counts is not None:
+            seen.append(len(held.parts))
+        return summed(keys, counts)
+
+    monkeypatch.setattr(L, "summed", watched)
+    for i in range(3):
+        held.add(np.array([5, 1, 5, i], np.uint64))
+    keys, counts = held.take()
+    assert seen == [0] and keys.tolist() == [0, 1, 2, 5] and counts.tolist() == [1, 4, 1, 6]
