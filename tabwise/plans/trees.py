@@ -33,6 +33,7 @@ BINS = 256
 BLOCK_ROWS = 1 << 15
 REFRESH = 1  # rounds between two updates of the carried margins
 CUT = 30  # updates between two checkpoints of the blocks
+TIE = 1e-9  # gains this close are equal
 JOINT = 1 << 10  # combinations of a bundle of features, unless one feature alone has more bins
 
 
@@ -208,8 +209,8 @@ def best_cuts(grad: np.ndarray, hess: np.ndarray, widths: list[int], l2: float,
                 gain = np.where((hl >= least) & (hr >= least) & (hl > 0) & (hr > 0), gain, 0.0)
                 j = gain.argmax(1)
                 g = gain[np.arange(n), j]
-                # rounding of sums is no gain
-                better = (g > best) & (g > 1e-9 * np.maximum(whole, 1e-300)) & (g > 1e-12)
+                # rounding of sums is no gain, and does not tell two cuts into the same rows apart
+                better = (g > best * (1 + TIE)) & (g > 1e-9 * np.maximum(whole, 1e-300)) & (g > 1e-12)
                 best, feature, cut = np.where(better, g, best), np.where(better, f, feature), np.where(better, j, cut)
                 left_g = np.where(better, gl[np.arange(n), j], left_g)
                 left_h = np.where(better, hl[np.arange(n), j], left_h)
