@@ -226,3 +226,12 @@ def test_class_folds_are_stratified(spark):
         mine = [r["count"] for r in sizes if r["y"] == y]
         assert len(mine) == 4 and max(mine) - min(mine) <= 1
     kept.unpersist()
+
+
+def test_folds_are_kept_with_the_rows(spark):
+    """No pass of a training draws the folds again."""
+    df = spark.range(100).selectExpr("CAST(id AS DOUBLE) AS y")
+    with M.folded(df, 4, 2, 3) as rows:
+        assert rows.is_cached
+        sizes = [r["count"] for c in M.fold_names(2) for r in rows.groupBy(c).count().collect()]
+    assert sizes == [25] * 8 and not rows.is_cached
