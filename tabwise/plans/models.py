@@ -28,6 +28,7 @@ from .gram import Grams, fit_elastic_net, fit_ols, gram_by_group, linear_expr
 from .hinges import forward, ordered_blocks
 from .svr import fit_machine
 from .trees import boost, packed
+from .votes import VoteForest, fit_votes
 
 # The reference's model choices and their tuning constants.
 ALIASES = {"ridge": "glmnet"}
@@ -486,9 +487,19 @@ def compare_classifiers(df: DataFrame, target: str, features: list[str] | None =
     back = IndexToString(inputCol="_pred", outputCol="predicted", labels=indexer.labels)
     rows, pred, tables = [], {}, []
 
-    def outcome(fitted, data):
-        out = back.transform(fitted.transform(data))
-        return out.select(F.get(names, F.col(label).cast("int")).alias("label"), "predicted")
+    def fit(name, data):
+        if name == "rf":
+            return fit_votes(data, feats, label, len(indexer.labels), num_trees, rf_depth, seed)
+        return _classifier(name, seed, tree_depth).setFeaturesCol("_features").setLabelCol(label).setPredictionCol("_pred").fit(data)
+
+    def named(out, *more):
+        return back.transform(out).select(F.get(names, F.col(label).cast("int")).alias("label"), "predicted", *more)
+
+    def counts(fitted, data):
+        """(label, predicted, n)"""
+        if isinstance(fitted, VoteForest):
+            return named(fitted.counted(data, label), "n").groupBy("label", "predicted").agg(F.sum("n").alias("n"))
+        return named(fitted.transform(data)).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
     def share(table):
         r = table.agg(F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n"))), F.sum("n")).first()
@@ -499,20 +510,17 @@ def compare_classifiers(df: DataFrame, target: str, features: list[str] | None =
         data = VectorAssembler(inputCols=feats, outputCol="_features").transform(folds)
         for m in models:
             try:
-                learner = _classifier(m, seed, num_trees, tree_depth, rf_depth).setFeaturesCol("_features").setLabelCol(
-                    label).setPredictionCol("_pred")
-                out = outcome(learner.fit(data), data)
-                whole = out.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
-                counted = [(m, *r) for r in whole.collect()]  # classes x classes
+                fitted = fit(m, data)
+                counted = [(m, *r) for r in counts(fitted, data).collect()]  # classes x classes
                 accuracy, held = share(_confusion(df, counted)), None
                 if kk:
                     counted = []
                     for f in range(kk):
-                        there = outcome(learner.fit(data.where(F.col(f"{FOLD}0") != f)), data.where(F.col(f"{FOLD}0") == f))
-                        counted += [(m, *r) for r in there.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n")).collect()]
+                        there = counts(fit(m, data.where(F.col(f"{FOLD}0") != f)), data.where(F.col(f"{FOLD}0") == f))
+                        counted += [(m, *r) for r in there.collect()]
                     held = share(_confusion(df, counted))
                 rows.append((m, accuracy, held, None))
-                pred[m] = out
+                pred[m] = named(fitted.transform(data))
                 tables += counted
             except Exception as e:  # one failure does not stop the others
                 rows.append((m, None, None, f"{m} failed: {e}"))
@@ -528,13 +536,11 @@ def _confusion(df: DataFrame, rows: list) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "model string, label string, predicted string, n long")
 
 
-def _classifier(name, seed, num_trees, tree_depth, rf_depth):
-    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+def _classifier(name, seed, tree_depth):
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 
     if name == "logistic":
         return LogisticRegression(maxIter=100)
     if name == "tree":
         return DecisionTreeClassifier(maxDepth=tree_depth, seed=seed)
-    if name == "rf":
-        return RandomForestClassifier(numTrees=num_trees, maxDepth=rf_depth, seed=seed)
     raise ValueError(f"unknown classifier {name}")
