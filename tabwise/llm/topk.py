@@ -12,7 +12,8 @@ the sum of its local scores, one a slice. For every query
 
 Equal code vectors are one class that keeps its k + 1 smallest ids (no answer can need more of
 them), so a vector that a third of all rows share is scored once. Lists are dealt into blocks; a task holds one
-slice of one block of candidates and one of queries.
+slice of one block of candidates and one of queries. It scores ``_STEP`` queries at a time, and what it collects goes on packed, a step
+and ``_PIECE`` entries a row at most; the merge takes the rows in the order of their steps and holds one step.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do those whose codes have a
 sum of squares of 2**62 or more (their scores need not fit a long); vectors of different lengths are not compared, and an empty
@@ -33,8 +34,9 @@ from tabwise.llm.common import written
 
 BLOCK = 8_192  # candidates, and queries, in a block (about)
 _STEP = 256  # queries scored at a time in a task
+_PIECE = 1 << 16  # entries in a row
 _TILE = ["dim", "qb", "cb"]
-_PART, _ASK, _ENTRIES = 0, 1, 2
+_PART, _ASK, _GATHERED, _ENTRIES = 0, 1, 2, 3
 
 
 def codes(vector: str | Column, scale: int) -> Column:
@@ -62,83 +64,106 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def _sides(t: pa.Table):
-    """(table of candidates, table of queries, table of entries) of a tile."""
+    """(table of candidates, table of queries, table of gathered entries) of a tile."""
     kind = t["kind"].to_numpy()
-    return [t.take(pa.array(np.flatnonzero(kind == k))) for k in (_PART, _ASK, _ENTRIES)]
-
-
-def _batch(t: pa.Table, slice_: int, q: np.ndarray, c: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    """One row of entries: queries, candidates and their local scores."""
-    names = [*_TILE, "slice", "q", "c", "s"]
-    one = [pa.array([t[n][0].as_py()], pa.int32()) for n in _TILE] + [pa.array([slice_], pa.int32())]
-    for v in (q, c, s):
-        one.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(np.int64))))
-    return pa.RecordBatch.from_arrays(one, names)
-
-
-_ENTRY_SCHEMA = "dim int, qb int, cb int, slice int, q array<long>, c array<long>, s array<long>"
+    return [t.take(pa.array(np.flatnonzero(kind == k))) for k in (_PART, _ASK, _GATHERED)]
 
 
 def _scored(t: pa.Table):
-    """(first query, local scores of a step of queries, classes of the queries, of the candidates, query table)."""
-    cand, ask, _ = _sides(t)
+    """(first query, local scores of a step of queries, the queries' rows, classes of the candidates), both in the order of their classes."""
+    cand, ask, _ = (x.sort_by("class") for x in _sides(t))
     if not len(cand) or not len(ask):
         return
     width = len(cand["code"][0])
     c, q = _matrix(cand["code"], width), _matrix(ask["code"], width)
-    cls, asked = cand["class"].to_numpy(), ask["class"].to_numpy()
+    cls = cand["class"].to_numpy()
     for at in range(0, len(q), _STEP):
-        yield at, local_scores(q[at:at + _STEP], c), asked[at:at + _STEP], cls, ask
+        yield at, local_scores(q[at:at + _STEP], c), ask.slice(at, _STEP), cls
 
 
 def _best_of_lists(k: int):
+    """The ``k`` best entries of each query in a list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        for _, score, asked, cls, _ in _scored(t):
+        for _, score, ask, cls in _scored(t):
             n = min(k, score.shape[1])
             top = np.argpartition(score, -n, axis=1)[:, -n:]
-            yield _batch(t, t["slice"][0].as_py(), np.repeat(asked, n), cls[top].ravel(), np.take_along_axis(score, top, 1).ravel())
+            found = np.repeat(ask["class"].to_numpy(), n), cls[top].ravel(), np.take_along_axis(score, top, 1).ravel().astype(np.int64)
+            one = [pa.array(np.full(len(found[0]), t[c][0].as_py(), np.int32)) for c in (*_TILE, "slice")]
+            yield pa.RecordBatch.from_arrays([*one, *map(pa.array, found)], [*_TILE, "slice", "query", "other", "score"])
 
     return run
 
 
+_LIST_SCHEMA = "dim int, qb int, cb int, slice int, query long, other long, score long"
+_ENTRY_SCHEMA = "dim int, qb int, cb int, slice int, step int, pairs binary, s binary"
+
+
 def _entries():
+    """All entries of at least ``least``, packed: a pair is the query's place in its step times the candidates, plus the candidate's place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        for at, score, asked, cls, ask in _scored(t):
-            least = ask["least"].slice(at, len(asked)).to_numpy()
-            i, j = np.nonzero(score >= least[:, None])
-            if len(i):
-                yield _batch(t, t["slice"][0].as_py(), asked[i], cls[j], score[i, j])
+        for at, score, ask, cls in _scored(t):
+            pairs = np.flatnonzero(score >= ask["least"].to_numpy()[:, None])
+            for lo in range(0, len(pairs), _PIECE):
+                part = pairs[lo:lo + _PIECE]
+                s = score.take(part).astype(np.int64)
+                if np.abs(s).max() < 1 << 31:
+                    s = s.astype(np.int32)
+                one = [pa.array([v], pa.int32()) for v in (*(t[c][0].as_py() for c in (*_TILE, "slice")), at // _STEP)]
+                yield pa.RecordBatch.from_arrays([*one, pa.array([part.astype(np.int32).tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())],
+                                                 [*_TILE, "slice", "step", "pairs", "s"])
 
     return run
 
 
-def _resolver(k: int, slices: int):
-    """Whole scores of a tile's collected pairs, the best ``k`` of a query (ties at the k-th kept)."""
+class _Tile:
+    """The codes of a tile's candidates and queries, both in the order of their classes, and the queries' cutoffs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        cand, ask, found = _sides(t)
-        if not len(found):
-            return
-        q, c = (found[n].combine_chunks().flatten().to_numpy() for n in ("q", "c"))
-        s = found["s"].combine_chunks().flatten().to_numpy()
-        where = np.repeat(found["slice"].to_numpy(), [len(v) for v in found["q"]])
-        asked, cls = np.unique(ask["class"].to_numpy()), np.unique(cand["class"].to_numpy())
-        pair = np.searchsorted(asked, q) * len(cls) + np.searchsorted(cls, c)
-        pairs, at = np.unique(pair, return_inverse=True)
-        total, seen = np.zeros(len(pairs), np.int64), np.zeros((slices, len(pairs)), bool)
-        for b in range(slices):  # a list may name a pair twice: once counts
-            mine = np.flatnonzero(where == b)
-            _, first = np.unique(at[mine], return_index=True)
-            mine = mine[first]
-            total[at[mine]] += s[mine]
-            seen[b, at[mine]] = True
-        i, j = pairs // len(cls), pairs % len(cls)
-        cut, least = (np.full(len(asked), np.iinfo(np.int64).min) for _ in range(2))
-        place = np.searchsorted(asked, ask["class"].to_numpy())
-        cut[place], least[place] = ask["cut"].to_numpy(), ask["least"].to_numpy()
+    def __init__(self, batches: list, slices: int):
+        self.cand, self.ask, self.found = _sides(pa.Table.from_batches(batches))
+        self.asked, self.cls = np.unique(self.ask["class"].to_numpy()), np.unique(self.cand["class"].to_numpy())
+        self.cut, self.least = (np.full(len(self.asked), np.iinfo(np.int64).min) for _ in range(2))
+        place = np.searchsorted(self.asked, self.ask["class"].to_numpy())
+        self.cut[place], self.least[place] = self.ask["cut"].to_numpy(), self.ask["least"].to_numpy()
+        self.slices, self.codes = slices, {}
+
+    def of_slice(self, b: int):
+        """(queries, candidates) of slice ``b``."""
+        if b not in self.codes:
+            mine = [x.take(pa.array(np.flatnonzero(x["slice"].to_numpy() == b))).sort_by("class") for x in (self.ask, self.cand)]
+            self.codes[b] = [_matrix(x["code"], len(mine[0]["code"][0])) for x in mine]
+        return self.codes[b]
+
+    def gathered(self):
+        """(step, [(slice, pairs, local scores)]) of the entries that the lists handed over."""
+        where = self.found["slice"].to_numpy()
+        i, j = (np.searchsorted(v, self.found[n].to_numpy()) for v, n in ((self.asked, "q"), (self.cls, "c")))
+        s = self.found["s"].to_numpy()
+        for step in np.unique(i // _STEP):
+            at = i // _STEP == step
+            yield int(step), [(b, (i[m] - step * _STEP) * len(self.cls) + j[m], s[m]) for b in range(self.slices) for m in (np.flatnonzero(at & (where == b)),)]
+
+
+def _resolver(k: int, slices: int):
+    """Whole scores of a tile's collected pairs, the best ``k`` of a query (ties at the k-th kept). The rows come in the order of kind and step."""
+
+    def resolved(tile: _Tile, step: int, found: list) -> pa.RecordBatch:
+        first = step * _STEP
+        asked, cut, least = (v[first:first + _STEP] for v in (tile.asked, tile.cut, tile.least))
+        size = len(asked) * len(tile.cls)
+        total, seen = np.zeros(size, np.int64), np.zeros((slices, size), bool)
+        for b, pairs, s in found:
+            new = np.flatnonzero(~seen[b].take(pairs))  # a list may name a pair twice: once counts
+            _, at = np.unique(pairs.take(new), return_index=True)
+            new = new.take(at)
+            total[pairs.take(new)] += s.take(new)
+            seen[b, pairs.take(new)] = True
+        pairs = np.flatnonzero(seen.any(0))
+        i, j = np.divmod(pairs, len(tile.cls))
+        total, seen = total.take(pairs), seen.take(pairs, 1)
         missing = slices - seen.sum(0)
         # what a list did not send scores less than ``least`` there; without a cutoff every pair stays open
         bound = total + missing * (least[i] - 1.0)
@@ -149,12 +174,10 @@ def _resolver(k: int, slices: int):
             need = np.flatnonzero(~seen[b])
             if not len(need):
                 continue
-            mine = [x.take(pa.array(np.flatnonzero(x["slice"].to_numpy() == b))) for x in (ask, cand)]
-            width = len(mine[0]["code"][0])
-            codes_ = [_matrix(x["code"], width)[np.argsort(x["class"].to_numpy(), kind="stable")] for x in mine]
+            q, c = tile.of_slice(b)
             for lo in range(0, len(need), 1 << 16):
                 part = need[lo:lo + (1 << 16)]
-                total[part] += np.einsum("ij,ij->i", codes_[0][i[part]], codes_[1][j[part]])
+                total[part] += np.einsum("ij,ij->i", q[first + i[part]], c[j[part]])
         good = np.flatnonzero(total >= cut[i])
         order = good[np.lexsort((-total[good], i[good]))]
         i, j, total = i[order], j[order], total[order]
@@ -164,15 +187,45 @@ def _resolver(k: int, slices: int):
             kth = total[np.minimum(np.searchsorted(i, i) + k - 1, last)]
             keep = (rank < k) | (total >= kth)
             i, j, total = i[keep], j[keep], total[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(cls[j]), pa.array(total)], ["query", "class", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(tile.cls[j]), pa.array(total)], ["query", "class", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, tile, step, found, done = [], None, None, [], set()
+        for t in batches:
+            kind = t.column("kind").to_numpy()
+            if (kind < _ENTRIES).any():
+                if tile is not None:
+                    raise RuntimeError("entries before their tile")
+                head.append(t.take(pa.array(np.flatnonzero(kind < _ENTRIES))))
+            for r in np.flatnonzero(kind == _ENTRIES).tolist():
+                tile = tile or _Tile(head, slices)
+                at = t.column("step")[r].as_py()
+                if at != step:
+                    if found:
+                        yield resolved(tile, step, found)
+                    if at in done:
+                        raise RuntimeError("entries out of order")
+                    step, found = at, []
+                    done.add(at)
+                pairs, s = np.frombuffer(t.column("pairs")[r].as_py(), np.int32), t.column("s")[r].as_py()
+                found.append((t.column("slice")[r].as_py(), pairs, np.frombuffer(s, np.int64 if len(s) == 8 * len(pairs) else np.int32)))
+        if found:
+            yield resolved(tile, step, found)
+        if tile is None and head:
+            tile = _Tile(head, slices)
+            for step, found in tile.gathered():
+                yield resolved(tile, step, found)
 
     return run
 
 
-def _wide(df: DataFrame, kind: int) -> DataFrame:
+_GATHERED_COLUMNS = {"q": "long", "c": "long", "s": "long"}
+_ENTRY_COLUMNS = {"step": "int", "pairs": "binary", "s": "binary"}
+
+
+def _wide(df: DataFrame, kind: int, more: dict) -> DataFrame:
     """Rows of a tile in their common form."""
-    columns = {"class": "long", "slice": "int", "code": "array<long>", "cut": "long", "least": "long", "q": "array<long>",
-               "c": "array<long>", "s": "array<long>"}
+    columns = {"class": "long", "slice": "int", "code": "array<long>", "cut": "long", "least": "long", **more}
     none = [F.lit(None).cast(t).alias(c) if c not in df.columns else F.col(c) for c, t in columns.items()]
     return df.select(*_TILE, F.lit(kind).alias("kind"), *none)
 
@@ -208,20 +261,20 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vect
     candidates = dealt.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1))).withColumn("cb", F.col("own_c"))
     asks = (dealt.join(asked, "class").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("cbs") - 1)))
             .withColumn("qb", F.col("own_q")))
-    tiles = _wide(candidates, _PART)
+
+    def listed(asks: DataFrame):
+        """The candidates and queries of each slice of a tile."""
+        return _wide(candidates, _PART, {}).unionByName(_wide(asks, _ASK, {})).groupBy("slice", *_TILE)
 
     # phase 1: the best of every list, and the cutoff
-    lists = written(tiles.unionByName(_wide(asks, _ASK)).groupBy("slice", *_TILE).applyInArrow(_best_of_lists(most), _ENTRY_SCHEMA),
-                    "topk-lists")
-    entry = F.explode(F.arrays_zip("q", "c", "s"))
-    local = Window.partitionBy("query", "slice").orderBy(F.desc("score"), "class")
-    gathered = (lists.select(*_TILE, "slice", entry.alias("e")).select(
-        *_TILE, "slice", F.col("e.q").alias("query"), F.col("e.c").alias("class"), F.col("e.s").alias("score"))
-        .withColumn("place", F.row_number().over(local)).where(F.col("place") <= most)
-        .select(*_TILE, "slice", F.array("query").alias("q"), F.array("class").alias("c"), F.array("score").alias("s")))
+    lists = listed(asks).applyInArrow(_best_of_lists(most), _LIST_SCHEMA)
+    local = Window.partitionBy("query", "slice").orderBy(F.desc("score"), "other")
+    gathered = (lists.withColumn("place", F.row_number().over(local)).where(F.col("place") <= most)
+                .select(*_TILE, "slice", F.col("query").alias("q"), F.col("other").alias("c"), F.col("score").alias("s")))
     none = F.lit(-(1 << 63)).cast("long")
     open_asks = asks.withColumn("cut", none).withColumn("least", none)
-    first = tiles.unionByName(_wide(open_asks, _ASK)).unionByName(_wide(gathered, _ENTRIES)).groupBy(*_TILE).applyInArrow(
+    parts = [_wide(candidates, _PART, _GATHERED_COLUMNS), _wide(open_asks, _ASK, _GATHERED_COLUMNS), _wide(gathered, _GATHERED, _GATHERED_COLUMNS)]
+    first = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*_TILE).applyInArrow(
         _resolver(most, slices), "query long, class long, score long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     cutoff = written(first.withColumn("place", F.row_number().over(best)).where(F.col("place") == most)
@@ -231,12 +284,12 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vect
     cut_asks = (asks.join(cutoff, "class", "left").withColumn("cut", F.coalesce("cut", none))
                 .withColumn("least", F.when(F.col("cut") == none, none).otherwise(F.expr(f"cut div {slices}") + F.expr(
                     f"CAST(cut % {slices} > 0 AS int)"))))
-    entries = written(tiles.unionByName(_wide(cut_asks, _ASK)).groupBy("slice", *_TILE).applyInArrow(_entries(), _ENTRY_SCHEMA),
-                      "topk-entries")
+    entries = listed(cut_asks).applyInArrow(_entries(), _ENTRY_SCHEMA)
 
-    # phase 3: whole scores of what was collected
-    scored = written(tiles.unionByName(_wide(cut_asks, _ASK)).unionByName(_wide(entries, _ENTRIES)).groupBy(*_TILE).applyInArrow(
-        _resolver(most, slices), "query long, class long, score long"), "topk-scored")
+    # phase 3: whole scores of what was collected, a step after the other (rows of one order by shuffle and sort)
+    parts = [_wide(candidates, _PART, _ENTRY_COLUMNS), _wide(cut_asks, _ASK, _ENTRY_COLUMNS), _wide(entries, _ENTRIES, _ENTRY_COLUMNS)]
+    ordered = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(*_TILE).sortWithinPartitions(*_TILE, "kind", "step")
+    scored = written(ordered.groupBy(*_TILE).applyInArrow(_resolver(most, slices), "query long, class long, score long"), "topk-scored")
     leaders = classes.select("class", "members", F.col("members")[0].alias("lead"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "lead")
     top = (scored.join(leaders, "class").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most))
