@@ -111,3 +111,20 @@ def test_each_value_is_dealt_once(spark, monkeypatch):
             assert got[of[int(to[number])]["_y"]][f"_v{i}"] == of[number][f"_x{i}"]
     assert all(got[r["_y"]]["_x0"] == r["_x0"] for r in of.values())
     kept.unpersist()
+
+
+def test_equal_rows_are_counted(spark):
+    """Rows that come often are one pair of predictors and label, and the machine is that of all rows."""
+    from tabwise.plans import svr
+
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(a + b + e)) for a, b, e in zip(*(rng.integers(0, n, 4_000) for n in (4, 3, 2)))]
+    df = M.with_folds(spark.createDataFrame(rows, "a double, b double, y double").repartition(3).persist(), 3, 1).persist()
+    with svr.packed_rows(df, ["a", "b"], "y", M.fold_names(1)) as blocks:
+        got = blocks.map(lambda b: (len(b.y), len(b.n), float(b.n.sum()))).collect()
+    assert sum(g[0] for g in got) == len(set(rows)) and sum(g[1] for g in got) <= 3 * len(set(rows)) and sum(g[2] for g in got) == 4_000
+    w, b = M.fourier_features(2, 0.1, 10, 7)
+    m = fit_machine(df, ["a", "b"], "y", w, b, 1.0, 0.1, M.fold_names(1), 3)
+    pdf = df.toPandas()
+    z = np.cos(pdf[["a", "b"]].to_numpy() @ w.T + b)
+    assert len(m.held_out) == 3 and np.sqrt(np.mean((z @ m.weights + m.intercept - pdf.y) ** 2)) == pytest.approx(np.mean(m.held_out), rel=0.02)
