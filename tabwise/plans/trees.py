@@ -5,7 +5,9 @@ for the passes of a training. A pass is per-partition array work without a schem
 them, so they run on the blocks' RDD: a job without a plan of its own costs a third of one with. Boosting grows a level a pass: every task sums gradients and counts by (model, node, feature, bin), the
 sums are merged in two levels, and the driver picks the best cut of each node. The models of a K-fold
 resampling share each pass, as a block's rows are added to the histograms of every model that trains on them. A row's margins are
-carried in its block; the first pass of a round brings them up to date, so that is no job of its own.
+carried in its block; the first pass of a round brings them up to date, so that is no job of its own. Rows of equal bins are one cell of their block:
+margins, nodes and histograms are formed for cells, from the cells' sums of rows and labels by fold, which a pass counts from the rows (without
+a bag, once for all passes). Where all rows differ, a cell is a row.
 
 Features of few bins are bundled: a bundle's code is the number of the combination of its features' bins, at most ``JOINT`` of them. One histogram a bundle
 holds those of all its features, which are its marginal sums, and the same key tells to which side of a cut a row goes.
@@ -25,12 +27,14 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.counted import groups
 from ..functions.partials import summed_rdd
 from ..functions.quantiles import as_double
 from ..session import ensure_checkpoint_dir, ship_package
 
 BINS = 256
 BLOCK_ROWS = 1 << 15
+CELL_ROWS = 1 << 20  # rows of a partition's blocks that share their cells
 REFRESH = 1  # rounds between two updates of the carried margins
 CUT = 30  # updates between two checkpoints of the blocks
 TIE = 1e-9  # gains this close are equal
@@ -106,21 +110,47 @@ def _packer(edges, n_folds: int):
 
 @dataclass
 class Rows:
-    """One block's arrays; ``joint`` has a row a bundle, ``margin`` holds the carried part of each model's prediction."""
+    """Arrays of neighbouring blocks. ``joint`` has a row a bundle and a column a cell, ``margin`` holds the carried part of each model's prediction
+    of a cell. An entry is ``n`` rows of a ``cell`` and of the same ``folds`` with labels that sum to ``y`` and vary by ``spread`` (sum of squares about their mean);
+    as long as a bag draws rows, an entry is a row."""
 
-    block: int
+    draws: list  # (block, number of its rows)
     joint: np.ndarray
+    cell: np.ndarray
     y: np.ndarray
     folds: np.ndarray
+    n: np.ndarray
+    spread: np.ndarray
     margin: np.ndarray
 
     @property
-    def n(self) -> int:
-        return len(self.y)
-
-    def trains(self, folds: list, m: int) -> np.ndarray:
-        """Which rows model ``m`` trains on."""
-        return np.ones(self.n, bool) if m == 0 else self.folds[:, folds[m - 1][0]] != folds[m - 1][1]
+    def cells(self) -> int:
+        return self.joint.shape[1]
+
+    def grouped(self) -> "Rows":
+        """Entries of equal cell and folds as one."""
+        first, group = groups([self.cell, *self.folds.T])
+        n, y = (np.bincount(group, a, len(first)) for a in (self.n, self.y))
+        rest = self.y - self.n * (y / n).take(group)
+        spread = np.bincount(group, self.spread + rest * rest / self.n, len(first))
+        return replace(self, cell=self.cell[first], y=y, folds=np.ascontiguousarray(self.folds[first]), n=n, spread=spread)
+
+    def sums(self, folds: list, k: int, chosen=None):
+        """For each model, the number of rows of each cell that it trains on, and the sum of their labels."""
+        cell, y, n, of = (a if chosen is None else a[chosen] for a in (self.cell, self.y, self.n, self.folds))
+        size = self.cells
+        if not folds:
+            yield np.bincount(cell, n, size), np.bincount(cell, y, size)
+            return
+        for r in range(of.shape[1]):
+            key = of[:, r] * np.int64(size) + cell
+            count, total = (np.bincount(key, a, k * size).reshape(k, size) for a in (n, y))
+            whole, all_y = count.sum(0), total.sum(0)
+            if r == 0:
+                yield whole, all_y
+            for f in range(k):
+                mine = whole - count[f]
+                yield mine, np.where(mine > 0, all_y - total[f], 0.0)
 
 
 @dataclass
@@ -152,12 +182,25 @@ def packed(prepared: DataFrame, features: list[str], label: str, fold_cols: list
     widths = [len(e) + 1 for e in edges]
     dealt = bundles(widths)
 
-    def unpack(row):
-        joint = joint_codes(np.frombuffer(row.codes, np.uint8).reshape(row.n, p), widths, dealt)
-        return Rows(row.block, joint, np.frombuffer(row.y, float), np.frombuffer(row.folds, np.int8).reshape(row.n, reps),
-                    np.zeros((models, row.n)))
-
-    rdd = blocks.rdd.map(unpack).persist()
+    def unpack(rows):
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += row.n
+            if size >= CELL_ROWS:
+                yield joined(held)
+                held, size = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(held):
+        codes, y, folds = (np.concatenate([np.frombuffer(row[c], t) for row in held]) for c, t in (("codes", np.uint8), ("y", float), ("folds", np.int8)))
+        joint = joint_codes(codes.reshape(-1, p), widths, dealt)
+        first, cell = groups(list(joint))
+        return Rows([(row["block"], row["n"]) for row in held], joint.take(first, 1), cell, y, folds.reshape(len(y), reps), np.ones(len(y)),
+                    np.zeros(len(y)), np.zeros((models, len(first))))
+
+    rdd = blocks.rdd.mapPartitions(unpack).persist()
     try:
         yield Blocks(rdd, edges, [(r, f) for r in range(reps) for f in range(k)])
     finally:
@@ -296,15 +339,14 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
     ``l2`` is the penalty on leaf values, ``least`` the least hessian (rows) of a side, ``bag`` the share of each block's rows that a tree sees.
     """
     folds, models, widths = blocks.folds, blocks.models, [len(e) + 1 for e in blocks.edges]
-    p, dealt = len(widths), bundles(widths)
+    p, dealt, k = len(widths), bundles(widths), 1 + max((f for _, f in folds), default=0)
     sizes = [math.prod(widths[f] for f in mine) for mine in dealt]
 
     def sums(blocks):
         out = np.zeros((models, 2))
         for rows in blocks:
-            for m in range(models):
-                y = rows.y[rows.trains(folds, m)]
-                out[m] += len(y), y.sum()
+            for m, (n, y) in enumerate(rows.sums(folds, k)):
+                out[m] += n.sum(), y.sum()
         return out
 
     count, total = blocks.summed(sums).T
@@ -313,51 +355,49 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
     first: list = []  # trees of model 0
     gains = np.zeros(p)
     current, added = blocks, False  # whether the carried margins have the mean
+    entries = Rows.grouped if bag >= 1 else lambda rows: rows
     updates = 0
     ensure_checkpoint_dir(SparkSession.getActiveSession())
 
     def sides_of(recent: list):
         return [[Sides(t[m], depth, widths, dealt) for m in range(models)] for t in recent]
 
-    def margins(rows: Rows, m: int, recent: list, sides: list, added: bool, chosen=None) -> np.ndarray:
-        out = rows.margin[m] if chosen is None else rows.margin[m].take(chosen)
-        out = out if added else out + base[m]
+    def margins(rows: Rows, m: int, recent: list, sides: list, added: bool) -> np.ndarray:
+        """Of the cells."""
+        out = rows.margin[m] if added else rows.margin[m] + base[m]
         if recent:
-            joint = rows.joint if chosen is None else rows.joint.take(chosen, 1)
             scratch = np.empty(len(out), np.int64)
             for t, s in zip(recent, sides):
-                out = out + t[m].value.take(s[m].place(joint, np.zeros(len(out), np.int64), scratch))
+                out = out + t[m].value.take(s[m].place(rows.joint, np.zeros(len(out), np.int64), scratch))
         return out
 
     def bagged(rows: Rows, number: int) -> np.ndarray:
-        chosen = np.zeros(rows.n, bool)
-        chosen[np.random.default_rng([seed, number, rows.block]).permutation(rows.n)[:round(bag * rows.n)]] = True
+        chosen, at = np.zeros(len(rows.y), bool), 0
+        for block, n in rows.draws:
+            chosen[at + np.random.default_rng([seed, number, block]).permutation(n)[:round(bag * n)]] = True
+            at += n
         return np.flatnonzero(chosen)
 
     def level_pass(number: int, level: int, trees: list, recent: list, added: bool):
         nodes = 2 ** level
 
         def partial(blocks):
-            cells = [[[np.zeros((nodes + 1) * size) for size in sizes] for _ in range(2)] for _ in range(models)]
+            cells = [[[np.zeros(nodes * size) for size in sizes] for _ in range(2)] for _ in range(models)]
             upper, late = [Sides(t, level, widths, dealt) for t in trees], sides_of(recent)
             for rows in blocks:
-                chosen = bagged(rows, number) if bag < 1 else None
-                y, joint = (rows.y, rows.joint) if chosen is None else (rows.y.take(chosen), rows.joint.take(chosen, 1))
-                key = np.empty(len(y), np.int64)
-                for m in range(models):
-                    mine = rows.trains(folds, m)
-                    out = ~(mine if chosen is None else mine.take(chosen))
-                    grad = margins(rows, m, recent, late, added, chosen) - y
-                    node = upper[m].place(joint, out.astype(np.int64), key)
+                key = np.empty(rows.cells, np.int64)
+                for m, (n, y) in enumerate(rows.sums(folds, k, bagged(rows, number) if bag < 1 else None)):
+                    grad = n * margins(rows, m, recent, late, added) - y
+                    node = upper[m].place(rows.joint, np.zeros(rows.cells, np.int64), key)
                     for i, size in enumerate(sizes):
                         np.multiply(node, size, out=key)
-                        key += joint[i]
-                        cells[m][0][i] += np.bincount(key, grad, (nodes + 1) * size)
-                        cells[m][1][i] += np.bincount(key, None, (nodes + 1) * size)
+                        key += rows.joint[i]
+                        cells[m][0][i] += np.bincount(key, grad, nodes * size)
+                        cells[m][1][i] += np.bincount(key, n, nodes * size)
             out = np.zeros((models, 2, nodes, sum(widths)))
             for m in range(models):
                 for a in range(2):
-                    marginal([c[:nodes * size] for c, size in zip(cells[m][a], sizes)], widths, dealt, out[m, a])
+                    marginal(cells[m][a], widths, dealt, out[m, a])
             return out
 
         return partial
@@ -366,6 +406,7 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
         def run(blocks):
             sides = sides_of(recent)
             for rows in blocks:
+                rows = rows if added else entries(rows)
                 yield replace(rows, margin=np.stack([margins(rows, m, recent, sides, added) for m in range(models)]))
 
         return run
@@ -414,9 +455,10 @@ def boost(blocks: Blocks, rounds: int, depth: int, rate: float, l2: float = 0.0,
             out, sides = np.zeros((models, 2)), sides_of(recent)
             for rows in blocks:
                 for m in range(1, models):
-                    held = np.flatnonzero(~rows.trains(folds, m))
-                    e = margins(rows, m, recent, sides, added, held) - rows.y[held]
-                    out[m] += len(held), (e * e).sum()
+                    held = np.flatnonzero(rows.folds[:, folds[m - 1][0]] == folds[m - 1][1])
+                    n = rows.n[held]
+                    e = margins(rows, m, recent, sides, added).take(rows.cell[held]) - rows.y[held] / n
+                    out[m] += n.sum(), (n * e * e + rows.spread[held]).sum()
             return out
 
         held = current.summed(errors)[1:] if folds else np.zeros((0, 2))

@@ -150,3 +150,22 @@ def test_a_level_is_the_only_job(spark):
             assert len(sc.statusTracker().getJobIdsForGroup("boost")) <= 1 + 8 * 2
         finally:
             sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rows_of_equal_bins_are_one_cell(spark):
+    """Cells are as many as there are combinations of bins, and their sums those of the rows outside each fold."""
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), float(v)) for a, b, v in zip(rng.integers(0, 5, 3_000), rng.integers(0, 3, 3_000), rng.normal(size=3_000))]
+    df = M.with_folds(spark.createDataFrame(rows, "a double, b double, y double").repartition(2).persist(), 3, 1).persist()
+    with T.packed(df, ["a", "b"], "y", M.fold_names(1), 3) as blocks:
+        held, folds = blocks.rdd.collect(), blocks.folds
+    for r in held:
+        assert r.cells == 15
+        g = r.grouped()
+        assert len(g.y) == 45 and g.n.sum() == len(r.y) and (g.y.sum(), g.n.sum()) == pytest.approx((r.y.sum(), r.n.sum()))
+        for m, ((n, y), (n2, y2)) in enumerate(zip(r.sums(folds, 3), g.sums(folds, 3), strict=True)):
+            mine = np.ones(len(r.y), bool) if m == 0 else r.folds[:, 0] != m - 1
+            assert np.array_equal(n, np.bincount(r.cell[mine], minlength=15)) and np.array_equal(n, n2)
+            assert y == pytest.approx(np.bincount(r.cell[mine], r.y[mine], 15)) and y2 == pytest.approx(y)
+        assert g.spread.sum() == pytest.approx(sum(((r.y[at] - r.y[at].mean()) ** 2).sum() for c in range(15) for f in range(3)
+                                                   for at in (np.flatnonzero((r.cell == c) & (r.folds[:, 0] == f)),)))
