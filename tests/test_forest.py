@@ -126,3 +126,21 @@ def test_pieces_grow_the_same_tree(monkeypatch):
     place = pieces.place_columns(np.ascontiguousarray(codes.T))
     assert (pieces.feature[place] == -1).all()
     assert pieces.value[place] == pytest.approx(whole.value[whole.place(codes)], abs=1e-12)
+
+
+def test_cells_grow_the_tree_of_their_rows():
+    """Rows of equal bins, as one cell with weight, mean and sum of squares, give the tree and gains of the rows."""
+    from tabwise.functions.counted import groups
+
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 4, (3_000, 3)).astype(np.uint8)
+    y, w = codes @ [3.0, -2.0, 1.0] + rng.normal(size=3_000), rng.integers(1, 4, 3_000)
+    first, cell = groups(list(codes.T))
+    weight = np.bincount(cell, w)
+    mean = np.bincount(cell, w * y) / weight
+    spread = np.bincount(cell, w * (y - mean[cell]) ** 2)
+    path = R.root_path(42, 1)
+    rows, gain = R.grow(codes, y, w, 2, 5, path)
+    cells, of_cells = R.grow(codes[first], mean, weight, 2, 5, path, None, spread)
+    assert len(first) == 64 and np.array_equal(rows.feature, cells.feature) and np.array_equal(rows.cut, cells.cut)
+    assert cells.value == pytest.approx(rows.value) and of_cells == pytest.approx(gain)
